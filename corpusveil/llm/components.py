@@ -1,0 +1,28 @@
+"""Connected components over an edge table, as joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Label each node with the smallest node that it can reach.
+
+    `edges` has long columns a and b, in any direction, repeats allowed; an empty table gives an empty
+    result. Each round takes the least label among a node's neighbours and then follows the label's own
+    label once (pointer jumping), so that long chains need few rounds. Returns node, label.
+    """
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+    for _ in range(max_rounds):
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        new = cut(step.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("label"), F.col("old")), "labels")
+        labels = new.select("node", "label")
+        if new.where("label <> old").isEmpty():
+            return labels
+    raise RuntimeError("the labels did not settle")
