@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .langid import identify
 from .minhash import near_duplicates
+from .packing import pack
+from .quality import judged
+
+
+def tokenizer(name: str) -> str:
+    """A file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents")).select(F.col("k").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +30,41 @@ def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("k").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return packed.withColumnRenamed("k", "doc_id")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).withColumnRenamed("k", "doc_id")
+
+
+_WORDS = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op4_host_rules": rf"""
+        with w as (select doc_id, source, coalesce(text, '') as t, list_filter({_WORDS}, lambda x: x <> '') as words from documents),
+        windows as (select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as x
+                    from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from w)),
+        twice as (select doc_id, x from windows group by doc_id, x having count(*) > 1),
+        covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from windows join twice using (doc_id, x)) group by doc_id),
+        m as (select doc_id, source, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+                     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+                     (select (count(*) - count(distinct l))::bigint from (select unnest(string_split(t, chr(10))) as l) where regexp_matches(l, '[^ 	-
+]')) as n_dup_lines,
+                     coalesce(n, 0)::bigint as n_repeat_words
+              from w left join covered using (doc_id)),
+        f as (select *, (n_words < 50)::int as short, (100 * n_repeat_words > 50 * n_words)::int as repetitive,
+                     (n_symbols > n_words)::int as symbols, (word_chars < 2 * n_words or word_chars > 15 * n_words)::int as word_length from m),
+        h as (unpivot (select source, count(*) as n, sum(short) as short, sum(repetitive) as repetitive, sum(symbols) as symbols, sum(word_length) as word_length from f group by source)
+              on short, repetitive, symbols, word_length into name rule value fails),
+        p as (select rule, avg(fails / n) as mean, coalesce(var_samp(fails / n), 0) as var from h group by rule),
+        r as (select source, max((fails + weight * mean) / (n + weight)) as rate
+              from (select h.*, mean, case when var > 0 and var < mean * (1 - mean) then mean * (1 - mean) / var - 1 else 1 end as weight from h join p using (rule)) group by source)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (short + repetitive > 0) as base_failed, (short + repetitive = 0 and rate <= 0.5) as kept
+        from f join r on f.source is not distinct from r.source""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
