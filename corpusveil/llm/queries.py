@@ -12,6 +12,7 @@ from .langid import identify
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import judged
+from .records import read_records, write_records
 
 
 def tokenizer(name: str) -> str:
@@ -21,6 +22,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = write_records(table(spark, sf_dir, "documents"), tokenizer=tokenizer("word_bpe_49k.json"), keeps_space=False, end_id=1)
+    return read_records(spark, root).withColumnRenamed("k", "doc_id")
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select(F.col("k").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
