@@ -13,6 +13,7 @@ from .minhash import near_duplicates
 from .packing import pack
 from .quality import judged
 from .records import read_records, write_records
+from .toxicity import score
 
 
 def tokenizer(name: str) -> str:
@@ -36,6 +37,10 @@ def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("k").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("k", "doc_id")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
     return packed.withColumnRenamed("k", "doc_id")
