@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import rollups
+from .common import fresh_dir, table
+from .html import extract
 from .langid import identify
 from .minhash import near_duplicates
 from .packing import pack
@@ -23,11 +25,32 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumnRenamed("k", "page_id")
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = write_records(table(spark, sf_dir, "documents"), tokenizer=tokenizer("word_bpe_49k.json"), keeps_space=False, end_id=1)
     return read_records(spark, root).withColumnRenamed("k", "doc_id")
 
 
+def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in, then those of under five words go, the others' word counts are revised to words with a letter, a second tokenizer's counts come in; the second batch is committed twice."""
+    docs, root = table(spark, sf_dir, "documents"), fresh_dir(spark, "rollups")
+    words, pieces = (rollups.token_count("text", v) for v in ("words-1", "pieces-2"))
+    lettered = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*")), F.lit(0)).cast("long")
+    keys = docs.select("source", "lang", words.alias("words"), lettered.alias("lettered"), pieces.alias("pieces"))
+    first = keys.select("source", "lang", F.lit("words-1").alias("version"), F.lit("insert").alias("op"), F.col("words").alias("tokens"), F.lit(None).cast("long").alias("old_tokens"))
+    second = keys.select("source", "lang", F.explode(F.array(
+        F.struct(F.lit("words-1").alias("version"), F.when(F.col("words") < 5, "delete").otherwise("revise").alias("op"), F.when(F.col("words") < 5, F.col("words")).otherwise(F.col("lettered")).alias("tokens"), F.col("words").alias("old_tokens")),
+        F.struct(F.lit("pieces-2").alias("version"), F.lit("insert").alias("op"), F.col("pieces").alias("tokens"), F.lit(None).cast("long").alias("old_tokens")),
+    )).alias("c")).select("source", "lang", "c.*")
+    rollups.commit(root, "1", first)
+    rollups.commit(root, "2", second)
+    rollups.commit(root, "2", second)
+    return rollups.totals(spark, root)
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select(F.col("k").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -53,6 +76,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op3_token_rollups": r"""
+        with c as (select source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as words,
+                          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*')), 0)::bigint as lettered,
+                          coalesce(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]')), 0)::bigint as pieces from documents)
+        select source, lang, 'words-1' as version, count(*)::bigint as n_docs, sum(lettered)::bigint as n_tokens from c where words >= 5 group by all
+        union all
+        select source, lang, 'pieces-2', count(*)::bigint, sum(pieces)::bigint from c group by all""",
     "op4_host_rules": rf"""
         with w as (select doc_id, source, coalesce(text, '') as t, list_filter({_WORDS}, lambda x: x <> '') as words from documents),
         windows as (select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as x
