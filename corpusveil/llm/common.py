@@ -20,9 +20,9 @@ BROADCAST_ROWS = 50_000
 _local_root: str | None = None
 
 
-def tune(spark: SparkSession) -> None:
+def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the Arrow batches, since texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

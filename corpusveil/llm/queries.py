@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import rollups
 from .common import fresh_dir, table
 from .html import extract
+from .jpeg import digests, stored
 from .langid import identify
 from .minhash import near_duplicates
 from .packing import pack
@@ -73,6 +74,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).withColumnRenamed("k", "doc_id")
 
 
+def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(stored(table(spark, sf_dir, "documents"))).withColumnRenamed("k", "doc_id")
+
+
 _WORDS = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
