@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rollups
+from . import rollups, sampling
 from .common import fresh_dir, table
 from .html import extract
 from .jpeg import digests, stored
@@ -65,6 +65,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("k", "doc_id")
 
 
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.digests(table(spark, sf_dir, "documents"), model=tokenizer("piece_bpe_32k.model")).withColumnRenamed("k", "doc_id")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
     return packed.withColumnRenamed("k", "doc_id")
