@@ -42,8 +42,8 @@ WORDS = {
 SAMPLE = {1: 4000, 0: 8000}
 #: Lengths of stems. A stem is an insult if its log odds, less SURENESS standard errors, are LEAST_ODDS or more.
 STEMS, SURENESS, LEAST_ODDS = (3, 4, 5, 6, 7, 8), 2.0, 2.2
-#: It must also stand after different words, VARIED of its documents' number: words of one often copied text do not.
-VARIED = 0.4
+#: It must also stand after different words, VARIED of its documents' number or ENOUGH: words of one often copied text do not.
+VARIED, ENOUGH = 0.4, 20
 #: A stem goes if a longer one, or a whole word, has this share of its toxic documents.
 FULLER = 0.9
 #: Most stems in a lexicon, the surest ones.
@@ -173,7 +173,7 @@ def learn(rows: DataFrame) -> Scorer:
 
     varied = {r["unit"]: r["n"] for r in rows.where("y = 1").select("t").mapInArrow(match, "unit string, before string").groupBy("unit").agg(F.count_distinct("before").alias("n")).collect()}
     fuller = {u.rstrip("$")[:n] for u, (_, pos) in wanted.items() for n in STEMS if n < len(u) and pos >= FULLER * wanted.get(u.rstrip("$")[:n], (0, pos + 1))[1]}
-    scorer = Scorer({u: float(odds) for u, (odds, pos) in wanted.items() if u not in fuller and varied.get(u, 0) >= VARIED * pos})
+    scorer = Scorer({u: float(odds) for u, (odds, pos) in wanted.items() if u not in fuller and varied.get(u, 0) >= min(VARIED * pos, ENOUGH)})
     shape = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
