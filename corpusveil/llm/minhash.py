@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, texts, tune
+from .common import batch, cut, small_or_plain, texts, tune
 from .components import components
 
 #: Places on the circle; a power of two.
@@ -32,8 +32,10 @@ LOCATIONS = 1 << 20
 BANDS, ROWS = 45, 6
 #: Rounds in which each open bucket takes one more pivot, before what is left goes to buckets of rare shingles.
 PIVOT_ROUNDS = 2
-#: Documents of a block, where large buckets that stay open are compared block by block.
-BLOCK = 128
+#: Documents of an open bucket that are compared one by one; larger buckets are compared in blocks of about so many shingles.
+SMALL_BUCKET, BLOCK_SHINGLES = 24, 1 << 17
+#: Most ids (8 bytes each) that are broadcast.
+ID_ROWS = 500_000
 #: Words of the cache from a word to its hash, per worker.
 CACHE_WORDS = 300_000
 
@@ -122,39 +124,46 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, bands: int = BAN
     return texts(docs, key, text).mapInArrow(run, "k long, n long, f1 long, f2 long, bands array<long>")
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row (k, t) for each of these ids. Up to ID_ROWS ids are sent to the scan, so that other texts are not shuffled."""
+    return docs.join(small_or_plain(cut(ids.distinct(), "ids"), ID_ROWS), "k", "left_semi").dropDuplicates(["k"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * |both| >= percent * |either|."""
-    ids = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    own = docs.join(ids, "k", "left_semi").dropDuplicates(["k"])
+    own = only(docs, pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))))
     left, right = (own.select(F.col("k").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
+        held: dict[int, np.ndarray] = {}
         for batch_ in batches:
             keep = []
             a, b = batch_.column("a").to_pylist(), batch_.column("b").to_pylist()
             ta, tb = batch_.column("ta"), batch_.column("tb")
             for i in range(len(a)):
-                if b[i] != last:
-                    last, mine = b[i], shingle_set(tb[i].as_py(), size)
-                other = shingle_set(ta[i].as_py(), size)
+                if len(held) > 64:
+                    held.clear()
+                for k, t in ((a[i], ta), (b[i], tb)):
+                    if k not in held:
+                        held[k] = shingle_set(t[i].as_py(), size)
+                mine, other = held[a[i]], held[b[i]]
                 both = len(np.intersect1d(mine, other, assume_unique=True))
                 keep.append(100 * both >= percent * (len(mine) + len(other) - both))
             yield batch(schema, a=[x for x, y in zip(a, keep, strict=True) if y], b=[x for x, y in zip(b, keep, strict=True) if y])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").repartition("b").sortWithinPartitions("b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """rep, n and the shingles of each document of `members`."""
-    reps = members.select("rep", "n").distinct()
-    own = docs.withColumnRenamed("k", "rep").dropDuplicates(["rep"]).join(reps, "rep").select("rep", "n", "t")
+    own = only(docs, members.select(F.col("rep").alias("k"))).withColumnRenamed("k", "rep")
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(schema, rep=b.column("rep"), n=b.column("n"), shingles=[shingle_set(t, size).view(np.int64) for t in b.column("t").to_pylist()])
+            found = [shingle_set(t, size).view(np.int64) for t in b.column("t").to_pylist()]
+            yield batch(schema, rep=b.column("rep"), n=[len(x) for x in found], shingles=found)
 
     return cut(own.mapInArrow(run, "rep long, n long, shingles array<long>"), "sets")
 
@@ -236,9 +245,9 @@ class _Links:
         return self._try(at, at.select("band", F.col("rep").alias("prep"), F.col("n").alias("pn"), F.col("label").alias("plabel")), "rep < prep")
 
     def in_blocks(self, members: DataFrame, sets: DataFrame) -> None:
-        """Compare all documents of large open buckets, BLOCK of them at a time with BLOCK others, each in one task."""
+        """Compare all documents of large open buckets, one block with another in each task."""
         percent = self.percent
-        at = self.labelled(members).join(members.groupBy("band").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks")), "band")
+        at = self.labelled(members).join(members.groupBy("band").agg(F.expr(f"cast(ceil(sum(n) / {BLOCK_SHINGLES}) as int)").alias("blocks")), "band")
         mine = at.withColumn("mine", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = mine.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "label").join(sets, "rep")
 
@@ -286,6 +295,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         if not state.pivots(members, turn):
             break
     rest = state.open_buckets(members)
+    if rest is not None:
+        state.all_pairs(rest.where(f"rows <= {SMALL_BUCKET}"))
+        rest = state.open_buckets(rest.where(f"rows > {SMALL_BUCKET}"))
     if rest is not None:
         sets = shingle_sets(rest, own, size)
         rest = cut(rare_prefixes(sets, percent), "prefixes")
@@ -294,8 +306,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                 break
         rest = state.open_buckets(rest)
         if rest is not None:
-            state.all_pairs(rest.where(f"rows <= {BLOCK // 4}"))
-            state.in_blocks(rest.where(f"rows > {BLOCK // 4}"), sets)
+            state.all_pairs(rest.where(f"rows <= {SMALL_BUCKET}"))
+            state.in_blocks(rest.where(f"rows > {SMALL_BUCKET}"), sets)
     labels = state.labels
     nodes = classes.join(labels, F.col("rep") == F.col("node"), "left").where("copies > 1 or label is not null").select("f1", "f2", F.coalesce("label", "rep").alias("component"))
     out = marks.select("k", "n", "f1", "f2").join(nodes, ["f1", "f2"], "left")

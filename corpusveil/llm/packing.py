@@ -4,7 +4,8 @@ A configuration is a multiset of lengths that fit one sequence. The program asks
 configurations that cover the histogram. It is solved by multiplicative weights: each round prices the
 lengths by how far they are covered, a knapsack dynamic program finds the dearest configuration at these
 prices, and the configuration is used for a share of what it can still cover. Uses are rounded down to
-whole numbers; what stays uncovered is put into the fullest sequence with room, longest first.
+whole numbers; what stays uncovered is put into the fullest sequence with room, longest first. Rounding keeps
+the rounds up to the stop (1, 2, 4, ... rounds, or all) that needs the fewest sequences, the later of equals.
 
 Only the histogram (at most `capacity` numbers) reaches the driver, and the plan's size depends on the
 capacity and the rounds alone. Pieces find their sequences by their rank among the pieces of a length.
@@ -105,7 +106,8 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tup
         uses[(capacity,)] = full
         need[capacity] = 0
     left, weights, bound = need.copy(), np.arange(capacity + 1) / capacity, 0.0
-    for _ in range(rounds):
+    stops = [(uses.copy(), left.copy())]
+    for done in range(1, rounds + 1):
         if not left.any():
             break
         value = float(np.sum(weights[(config := dearest(np.where(need > 0, weights, 0), capacity))]))
@@ -118,8 +120,10 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tup
         for x, k in counts.items():
             left[x] -= k * times
             weights[x] *= np.exp(-STEP * k * times / need[x])
-    uses.update(best_fit({x: int(left[x]) for x in np.flatnonzero(left)}, capacity))
-    return sorted(uses.items(), reverse=True), full + int(np.ceil(bound - 1e-9))
+        if done & (done - 1) == 0 or done == rounds:
+            stops.append((uses.copy(), left.copy()))
+    plans = [u + best_fit({int(x): int(r[x]) for x in np.flatnonzero(r)}, capacity) for u, r in reversed(stops)]
+    return sorted(min(plans, key=Counter.total).items(), reverse=True), full + int(np.ceil(bound - 1e-9))
 
 
 def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:

@@ -5,11 +5,10 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-
-import numpy as np
+from array import array
 
 #: Chunks that a worker keeps, and the longest chunk that is kept.
-CACHE_CHUNKS, CACHE_CHARS = 500_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 1_000_000, 32
 
 #: Chunks are splits of the tokenizers' own patterns, or unions of neighbouring ones.
 _DROP = re.compile(r"'[^\W_]+|[^\W_]+|(?:[^\w\s]|_)+")
@@ -50,19 +49,26 @@ class CachedEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        cache, cut = self.cache, [self.chunks(t) for t in texts]
-        wanted = {c for chunks in cut for c in chunks if c not in cache}
-        missing = list(wanted)
-        long = [c for c in missing if len(c) > CACHE_CHARS]
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
+        known, cut, got, missing = self.cache.get, [], [], set()
+        for t in texts:
+            chunks = self.chunks(t)
+            ids = list(map(known, chunks))
+            if None in ids:
+                missing.update(c for c, x in zip(chunks, ids, strict=True) if x is None)
+            cut.append(chunks)
+            got.append(ids)
+        if not missing:
+            return [b"".join(ids) for ids in got]
+        new: dict[str, bytes] = {}
+        wanted = list(missing)
+        for i in range(0, len(wanted), 4096):
+            part = wanted[i : i + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(cache.__getitem__, chunks)) for chunks in cut]
-        for c in long:
-            del cache[c]
+                new[c] = array("I", e.ids).tobytes()
+        out = [b"".join([new[c] if x is None else x for c, x in zip(chunks, ids, strict=True)] if None in ids else ids) for chunks, ids in zip(cut, got, strict=True)]
+        if len(self.cache) + len(new) > CACHE_CHUNKS:
+            self.cache.clear()
+        self.cache.update((c, x) for c, x in new.items() if len(c) <= CACHE_CHARS)
         return out
 
 
