@@ -1,10 +1,13 @@
 """Main text of web pages with site style trees.
 
-Pages of a host are merged by the style paths of their branches (tag and class down from the root). A
-branch whose text is the same on the host's different pages has a low entropy and so a low importance;
-likewise one whose presentation never varies. Such branches are removed from each page, besides those
-whose tag, role or class says that they are no article. Pages with equal text count once, so a host of
-copies keeps its article; a host with few different pages has no tree, and tags alone decide.
+Pages of a host are merged by the style paths of all their elements (tag and class down from the root).
+A branch whose text is the same on the host's different pages has a low entropy and so a low importance;
+likewise one whose presentation never varies. The leaves are the text blocks of an element: a block that
+stands on most of the different pages which have the element spreads evenly over them and so has a low
+importance, though the element's other blocks differ. Branches and leaves of low importance are removed
+from each page. Tags, roles and classes that say no article decide only in between: such a branch goes
+unless its importance is high on enough pages. Pages with equal text count once, so a host of copies
+keeps its article; a host with few different pages has no tree, and tags alone decide.
 
 Only hashes by host and path are shuffled. Counts are pre-aggregated by (host, path, content), so a host
 with a third of all pages is spread over its contents.
@@ -26,15 +29,20 @@ from .common import batch, cut, small_or_plain, tune
 
 #: A branch goes if its importance is below this on a host with at least so many different pages.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 5
+#: A branch that the lists call no article stays if its content's importance is this on so many different pages. Texts dealt
+#: out of v variants have one of at most log v / log m on m pages, so a hundred pages tell menus of up to 79 variants from running text.
+SURE_CONTENT, SURE_PAGES = 0.95, 100
+#: Elements that hold every page, so that none is removed; and what keeps places of leaves apart from paths.
+PAGE, LEAF = frozenset(("", "html", "body")), 0x5EAF
 #: Share of the presentation in a branch's importance; the rest is its content's.
 PRESENTATION = 0.1
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg canvas textarea select".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Tags that the tree does not take as branches: text blocks of an article.
+#: Text blocks of an article.
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr dt dd blockquote pre tbody thead".split())
-NO_ARTICLE = frozenset("head nav footer aside form button dialog menu".split())
+NO_ARTICLE = frozenset("nav footer aside form button dialog menu".split())
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NO_CLASS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond disqus reply replies widget pagination pager toolbar search skip copyright".split())
 #: Tags that a start tag closes, up to the nearest of the second set.
@@ -54,6 +62,7 @@ class Node:
 
     tag: str
     path: int
+    hidden: bool
     no_article: bool
     parent: Node | None
     main: int = 0
@@ -65,20 +74,25 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if "=" in raw else {}
 
 
-def _no_article(tag: str, a: dict[str, str], raw: str, inside: bool) -> bool:
+def _hidden(tag: str, a: dict[str, str], raw: str) -> bool:
+    """Whether no reader of the page sees the element."""
+    if tag in ("html", "body", "main", "article"):
+        return False
+    return tag == "head" or a.get("aria-hidden") == "true" or bool(a.get("style") and _HIDDEN.search(a["style"].lower())) or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw))
+
+
+def _no_article(tag: str, a: dict[str, str], inside: bool) -> bool:
     if tag in NO_ARTICLE or (tag == "header" and not inside) or a.get("role", "").lower() in NO_ROLE:
         return True
     if tag in ("html", "body", "main", "article"):
         return tag == "article" and not NO_CLASS.isdisjoint(_WORDS.findall(a.get("class", "").lower()))
-    if a.get("aria-hidden") == "true" or (a.get("style") and _HIDDEN.search(a["style"].lower())) or re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw):
-        return True
     names = f"{a.get('class', '')} {a.get('id', '')}".lower()
     return names != " " and not NO_CLASS.isdisjoint(_WORDS.findall(names))
 
 
 def parse(source: str) -> Node:
     """The tree of a page. Unclosed elements end where HTML ends them; raw elements are skipped whole."""
-    root = node = Node("", 0, False, None)
+    root = node = Node("", 0, False, False, None)
     text: list[str] = []
 
     def flush() -> None:
@@ -127,10 +141,10 @@ def parse(source: str) -> Node:
             if up.tag in ends:
                 node = up.parent
         a = _attributes(m[3])
-        look = f"{tag}.{'.'.join(sorted(a.get('class', '').lower().split()))}" if tag not in TEXT else tag
+        look = f"{tag}.{'.'.join(sorted(a.get('class', '').lower().split()))}"
         node.style.append(look)
         inside = bool(node.main)
-        child = Node(tag, xxhash.xxh3_64_intdigest(look, seed=node.path) >> 1, _no_article(tag, a, m[3], inside), node, node.main)
+        child = Node(tag, xxhash.xxh3_64_intdigest(look, seed=node.path) >> 1, _hidden(tag, a, m[3]), _no_article(tag, a, inside), node, node.main)
         if tag == "article":
             child.main = 2
         elif tag == "main" or a.get("role", "").lower() == "main":
@@ -142,52 +156,74 @@ def parse(source: str) -> Node:
     return root
 
 
-def blocks(node: Node, low: frozenset[int] | set[int], main: int) -> list[str]:
-    """Text blocks below a node in page order, without removed branches, of the main part alone if there is one."""
+def leaf(path: int, block: str) -> int:
+    """The place of a text block in the tree, below its element's path."""
+    return xxhash.xxh3_64_intdigest(block.encode("utf-8", "surrogatepass"), seed=path ^ LEAF) >> 1
+
+
+def blocks(node: Node, low: frozenset[int] | set[int], sure: frozenset[int] | set[int], main: int) -> list[str]:
+    """Text blocks below a node in page order, without removed branches and leaves, of the main part alone if there is one."""
     out: list[str] = []
-    stack: list[str | Node] = [node]
+    stack: list[Node | tuple[int, str]] = [node]
     while stack:
         x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif not x.no_article and (x.path not in low):
+        if isinstance(x, tuple):
+            if not low or leaf(*x) not in low:
+                out.append(x[1])
+        elif not x.hidden and (x.tag in PAGE or (x.path not in low and (not x.no_article or x.path in sure))):
             keep = x.main >= main
-            stack.extend(p for p in reversed(x.parts) if keep or isinstance(p, Node))
+            stack.extend((x.path, p) if isinstance(p, str) else p for p in reversed(x.parts) if keep or isinstance(p, Node))
     return out
 
 
-def main_text(source: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article of a page: blocks joined by blank lines. Null or blank pages give an empty text."""
+def main_text(source: str | None, low: frozenset[int] | set[int] = frozenset(), sure: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article of a page: blocks joined by blank lines. Null or blank pages give an empty text.
+
+    `low` are the places of branches and leaves of low importance on the page's host, `sure` those of high importance.
+    """
     root = parse(source or "")
     for main in (2, 1, 0):
-        if found := blocks(root, low, main):
+        if found := blocks(root, low, sure, main):
             return "\n\n".join(found)
     return ""
 
 
-def branches(source: str) -> tuple[list[tuple[int, int, int]], int]:
-    """Path, hash of the presentation and hash of the text of each branch that is not removed already, and the hash of the page's text."""
-    root, rows = parse(source), {}
+def branches(source: str) -> tuple[list[tuple[int, int, int, bool]], int]:
+    """The visible part of a page's tree, and the hash of its text.
+
+    A branch is a path, the hash of its presentation, the hash of its text and False; a leaf is its element's
+    path, 0, its place and True. The page's text is what the lists leave of it, or all if they leave none.
+    """
+    root, rows, leaves = parse(source), {}, set()
     stack: list[tuple[Node, bool]] = [(root, False)]
-    whole: dict[int, list[str]] = {}
+    whole: dict[int, tuple[list[str], list[str]]] = {}
     while stack:
         x, done = stack.pop()
         if not done:
             stack.append((x, True))
-            stack.extend((p, False) for p in reversed(x.parts) if isinstance(p, Node) and not p.no_article)
+            stack.extend((p, False) for p in reversed(x.parts) if isinstance(p, Node) and not p.hidden)
             continue
-        whole[id(x)] = [y for p in x.parts for y in ([p] if isinstance(p, str) else whole.pop(id(p), []))]
-        if x.tag not in TEXT and x.tag not in ("", "html", "body", "main", "article"):
-            style, text = rows.setdefault(x.path, ([], []))
-            style.extend(x.style)
-            text.extend(whole[id(x)])
+        every, listed = whole[id(x)] = [], []
+        for p in x.parts:
+            if isinstance(p, str):
+                every.append(p)
+                listed.append(p)
+                leaves.add((x.path, 0, leaf(x.path, p), True))
+            elif id(p) in whole:
+                below = whole.pop(id(p))
+                every += below[0]
+                listed += [] if p.no_article else below[1]
+        style, text = rows.setdefault(x.path, ([], []))
+        style.extend(x.style)
+        text.extend(every)
     digest = lambda parts: xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) >> 1
-    return [(path, digest(style), digest(text)) for path, (style, text) in rows.items() if text], digest(whole[id(root)])
+    every, listed = whole[id(root)]
+    return [(path, digest(style), digest(text), False) for path, (style, text) in rows.items() if text] + sorted(leaves), digest(listed or every)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path and importance of the branches of each host's merged tree; from columns host and h (the page's source)."""
-    schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("look", pa.int64()), ("content", pa.int64()), ("page", pa.int64())])
+    """host, path, content (the content's importance) and importance of the branches and leaves of each host's merged tree, and m, the different pages that they rest on; from columns host and h (the page's source)."""
+    schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("look", pa.int64()), ("content", pa.int64()), ("leaf", pa.bool_()), ("page", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,14 +234,18 @@ def style_tree(pages: DataFrame) -> DataFrame:
             if rows:
                 yield batch(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
 
-    seen = pages.where("host <> '' and h is not null").select("host", "h").mapInArrow(run, "host string, path long, look long, content long, page long").distinct()
+    seen = cut(pages.where("host <> '' and h is not null").select("host", "h").mapInArrow(run, "host string, path long, look long, content long, leaf boolean, page long").distinct(), "seen")
 
     def entropy(what: str) -> DataFrame:
-        counts = seen.groupBy("host", "path", what).agg(F.count_distinct("page").alias("n"))
+        counts = seen.where("not leaf").groupBy("host", "path", what).agg(F.count_distinct("page").alias("n"))
         return counts.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s")).select("host", "path", "m", F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0).alias(what))
 
     both = entropy("content").join(entropy("look").drop("m"), ["host", "path"])
-    return both.select("host", "path", "m", (PRESENTATION * F.col("look") + (1 - PRESENTATION) * F.col("content")).alias("importance"))
+    inner = both.select("host", "path", "m", F.lit(False).alias("leaf"), "content", (PRESENTATION * F.col("look") + (1 - PRESENTATION) * F.col("content")).alias("importance"))
+    on = seen.where("not leaf").groupBy("host", "path").agg(F.count_distinct("page").alias("m"))
+    spread = seen.where("leaf").groupBy("host", "path", "content").agg(F.count_distinct("page").alias("n")).where("n > 1")
+    leaves = spread.join(on, ["host", "path"]).select("host", F.col("content").alias("path"), "m", F.lit(True).alias("leaf"), (1 - F.log("n") / F.log("m")).alias("content")).withColumn("importance", F.col("content"))
+    return inner.union(leaves)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -217,12 +257,13 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     tune(pages.sparkSession)
     host = F.coalesce(F.regexp_extract(F.lower(F.col(f"`{url}`")), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit(""))
     own = pages.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{source}`").cast("string").alias("h"), host.alias("host"))
-    low = cut(style_tree(own).where((F.col("importance") < least) & (F.col("m") >= least_pages)).groupBy("host").agg(F.collect_set("path").alias("low")), "low")
+    low, sure = (F.col("importance") < least) & (F.col("m") >= least_pages), ~F.col("leaf") & (F.col("content") >= SURE_CONTENT) & (F.col("m") >= SURE_PAGES)
+    places = cut(style_tree(own).where(low | sure).groupBy("host").agg(F.collect_set(F.when(low, F.col("path"))).alias("low"), F.collect_set(F.when(sure, F.col("path"))).alias("sure")), "places")
     schema = pa.schema([("k", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [main_text(h, set(x or ())) for h, x in zip(b.column("h").to_pylist(), b.column("low").to_pylist(), strict=True)]
+            found = [main_text(h, set(x or ()), set(y or ())) for h, x, y in zip(b.column("h").to_pylist(), b.column("low").to_pylist(), b.column("sure").to_pylist(), strict=True)]
             yield batch(schema, k=b.column("k"), url=b.column("url"), text=found, n_chars=[len(t) for t in found])
 
-    return own.join(small_or_plain(low), "host", "left").select("k", "url", "h", "low").mapInArrow(run, "k long, url string, text string, n_chars long")
+    return own.join(small_or_plain(places), "host", "left").select("k", "url", "h", "low", "sure").mapInArrow(run, "k long, url string, text string, n_chars long")
