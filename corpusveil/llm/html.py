@@ -45,6 +45,8 @@ TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr dt dd blockquote pre tbody the
 NO_ARTICLE = frozenset("nav footer aside form button dialog menu".split())
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NO_CLASS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond disqus reply replies widget pagination pager toolbar search skip copyright".split())
+#: Names that an article's own wrapper has; as a whole class or id they outweigh words inside of other names (with-sidebar).
+ARTICLE_NAME = frozenset("article content entry main page post site story".split())
 #: Tags that a start tag closes, up to the nearest of the second set.
 CLOSES = {t: ("p", "") for t in "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()} | {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr"), "th": ("td th", "tr"), "option": ("option", "select"),
@@ -64,6 +66,7 @@ class Node:
     path: int
     hidden: bool
     no_article: bool
+    named: bool
     parent: Node | None
     main: int = 0
     parts: list[str | Node] = field(default_factory=list)
@@ -81,18 +84,23 @@ def _hidden(tag: str, a: dict[str, str], raw: str) -> bool:
     return tag == "head" or a.get("aria-hidden") == "true" or bool(a.get("style") and _HIDDEN.search(a["style"].lower())) or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw))
 
 
-def _no_article(tag: str, a: dict[str, str], inside: bool) -> bool:
-    if tag in NO_ARTICLE or (tag == "header" and not inside) or a.get("role", "").lower() in NO_ROLE:
-        return True
-    if tag in ("html", "body", "main", "article"):
-        return tag == "article" and not NO_CLASS.isdisjoint(_WORDS.findall(a.get("class", "").lower()))
-    names = f"{a.get('class', '')} {a.get('id', '')}".lower()
-    return names != " " and not NO_CLASS.isdisjoint(_WORDS.findall(names))
+def _no_article(tag: str, a: dict[str, str], inside: bool) -> tuple[bool, bool]:
+    """Whether the lists call an element no article, and whether they do so for its class, id or form tag alone."""
+    if (tag in NO_ARTICLE and tag != "form") or (tag == "header" and not inside) or a.get("role", "").lower() in NO_ROLE:
+        return True, False
+    if tag in ("html", "body", "main"):
+        return False, False
+    names = f"{a.get('class', '')} {a.get('id', '') if tag != 'article' else ''}".lower().split()
+    found = [n for n in names if not NO_CLASS.isdisjoint(words := _WORDS.findall(n)) and (NO_CLASS.intersection(words) != {"header"} or ARTICLE_NAME.isdisjoint(words))]
+    if tag == "article" or not ARTICLE_NAME.isdisjoint(names):
+        found = [n for n in found if n in NO_CLASS]
+    named = bool(found) or tag == "form"
+    return named, named
 
 
 def parse(source: str) -> Node:
     """The tree of a page. Unclosed elements end where HTML ends them; raw elements are skipped whole."""
-    root = node = Node("", 0, False, False, None)
+    root = node = Node("", 0, False, False, False, None)
     text: list[str] = []
 
     def flush() -> None:
@@ -144,7 +152,7 @@ def parse(source: str) -> Node:
         look = f"{tag}.{'.'.join(sorted(a.get('class', '').lower().split()))}"
         node.style.append(look)
         inside = bool(node.main)
-        child = Node(tag, xxhash.xxh3_64_intdigest(look, seed=node.path) >> 1, _hidden(tag, a, m[3]), _no_article(tag, a, inside), node, node.main)
+        child = Node(tag, xxhash.xxh3_64_intdigest(look, seed=node.path) >> 1, _hidden(tag, a, m[3]), *_no_article(tag, a, inside), node, node.main)
         if tag == "article":
             child.main = 2
         elif tag == "main" or a.get("role", "").lower() == "main":
@@ -153,9 +161,29 @@ def parse(source: str) -> Node:
         node = child
     put(source[at:])
     flush()
+    _spare(root)
     return root
 
 
+def _spare(root: Node) -> None:
+    """A name alone does not speak against a branch that holds most of the page's visible text."""
+    sizes: dict[int, int] = {}
+    named: list[Node] = []
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    while stack:
+        x, done = stack.pop()
+        if not done:
+            stack.append((x, True))
+            stack.extend((p, False) for p in x.parts if isinstance(p, Node) and not p.hidden)
+            continue
+        sizes[id(x)] = sum(len(p) if isinstance(p, str) else sizes.get(id(p), 0) for p in x.parts)
+        if x.named:
+            named.append(x)
+    for x in named:
+        if 2 * sizes[id(x)] > sizes[id(root)]:
+            x.no_article = x.named = False
+
+
 def leaf(path: int, block: str) -> int:
     """The place of a text block in the tree, below its element's path."""
     return xxhash.xxh3_64_intdigest(block.encode("utf-8", "surrogatepass"), seed=path ^ LEAF) >> 1
@@ -179,13 +207,15 @@ def blocks(node: Node, low: frozenset[int] | set[int], sure: frozenset[int] | se
 def main_text(source: str | None, low: frozenset[int] | set[int] = frozenset(), sure: frozenset[int] | set[int] = frozenset()) -> str:
     """The article of a page: blocks joined by blank lines. Null or blank pages give an empty text.
 
+    What is in <article> is the text if it is at least half of the main part's, and the main part's if it is
+    at least half of the page's; otherwise the wider part is.
     `low` are the places of branches and leaves of low importance on the page's host, `sure` those of high importance.
     """
     root = parse(source or "")
-    for main in (2, 1, 0):
-        if found := blocks(root, low, sure, main):
-            return "\n\n".join(found)
-    return ""
+    found = [blocks(root, low, sure, main) for main in (2, 1, 0)]
+    sizes = [sum(map(len, f)) for f in found]
+    best = 2 if 2 * sizes[1] < sizes[2] else 1
+    return "\n\n".join(found[0 if 2 * sizes[0] >= sizes[best] else best])
 
 
 def branches(source: str) -> tuple[list[tuple[int, int, int, bool]], int]:

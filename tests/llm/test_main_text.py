@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusveil.llm.html import extract
+from corpusveil.llm.html import extract, main_text
 
 
 def texts_of(spark, pages):
@@ -19,3 +19,15 @@ def test_importance_decides_over_all_elements(spark):
     got = texts_of(spark, [outside.format(i, i % 50) for i in range(200)])
     assert got == {i: f"{article[i]}\n\nstory {i}" for i in range(200)}
     assert texts_of(spark, [outside.format(i, i % 50) for i in range(4)]) == {i: f"Read more here\n\ntext number {i}\n\nsame line everywhere\n\nand again\n\nitem {i}\n\nsame item" for i in range(4)}
+
+
+def test_names_do_not_outweigh_the_text():
+    body = "<p>" + "long story " * 20 + "</p>"
+    text = ("long story " * 20).strip()
+    for wrapper in ("div id=page class='site header-fixed'", "div class='content with-sidebar'", "article class='post share-enabled'", "div class='post has-comments'", "div class='layout sidebar-left'", "form id=f"):
+        tag = wrapper.split()[0]
+        assert main_text(f"<div class=menu>menu</div><{wrapper}><div class=entry-header><h1>Head</h1></div>{body}<div class=post-share>share</div></{tag}>") == f"Head\n\n{text}", wrapper
+    assert main_text(f"<main><div class=story>{body}</div><article class=teaser><p>other</p></article></main>") == f"{text}\n\nother"
+    assert main_text(f"<main><article>{body}</article><p>more</p></main><p>x</p>") == text
+    assert main_text(f"<main><p>short</p></main><div>{body}</div>") == f"short\n\n{text}"
+    assert main_text("<article><p>a b c</p></article><nav>a long menu of the site</nav><div class=ad>buy</div>") == "a b c"
