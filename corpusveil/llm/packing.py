@@ -1,11 +1,14 @@
 """Packing token sequences by a configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fit one sequence. The program asks for the fewest
-configurations that cover the histogram. It is solved by multiplicative weights: each round prices the
-lengths by how far they are covered, a knapsack dynamic program finds the dearest configuration at these
-prices, and the configuration is used for a share of what it can still cover. Uses are rounded down to
-whole numbers; what stays uncovered is put into the fullest sequence with room, longest first. Rounding keeps
-the rounds up to the stop (1, 2, 4, ... rounds, or all) that needs the fewest sequences, the later of equals.
+configurations, in fractions, that cover the histogram. It is solved by multiplicative weights: each round
+prices the lengths by how far they are covered, a knapsack dynamic program finds the dearest configuration
+that holds each length at these prices, and lengths that lag behind the round's target buy theirs if it is
+among the dearest of all. Targets grow by a constant factor, so that early rounds at bad prices weigh little.
+Rounds end when the uses, scaled to cover the histogram, are within GAP of the dual bound, or after ROUNDS.
+
+The scaled uses are rounded down along the sorted configurations, each taking over what its predecessors'
+fractions or exhausted lengths left unused. Only the pieces that this leaves go to best fit, longest first.
 
 Only the histogram (at most `capacity` numbers) reaches the driver, and the plan's size depends on the
 capacity and the rounds alone. Pieces find their sequences by their rank among the pieces of a length.
@@ -27,32 +30,44 @@ from pyspark.sql import functions as F
 from .common import batch, cut, small_or_plain, texts, tune
 from .tokens import encoder
 
-#: Rounds of multiplicative weights, the weights' step, and the share of a configuration's possible uses taken in a round.
-ROUNDS, STEP, SHARE = 120, 0.05, 0.5
+#: Most rounds of multiplicative weights, and the gap to the dual bound at which they end.
+ROUNDS, GAP = 400, 0.02
+#: The weights' step, the growth of the targets, and how far below the dearest a configuration may be.
+STEP, GROWTH, SLACK = 0.1, 1.02, 0.1
 
 
-def dearest(prices: np.ndarray, capacity: int) -> list[int]:
-    """The lengths (repeats allowed) of largest total price that fit the capacity; prices[l] is 0 for lengths not wanted."""
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest total price for each capacity up to this one, and a length to take for it (0: none); prices[l] is 0 for lengths not wanted."""
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
     wanted = np.flatnonzero(prices > 0)
+    price, fit = prices[wanted], np.searchsorted(wanted, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        fits = wanted[: np.searchsorted(wanted, c, side="right")]
-        if len(fits):
-            value = best[c - fits] + prices[fits]
-            i = len(value) - 1 - int(value[::-1].argmax())
-            best[c], last[c] = value[i], fits[i]
-        if best[c] < best[c - 1]:
-            best[c], last[c] = best[c - 1], 0
+        best[c] = best[c - 1]
+        if n := fit[c]:
+            value = best[c - wanted[:n]] + price[:n]
+            i = int(value.argmax())
+            if value[i] >= best[c]:
+                best[c], last[c] = value[i], wanted[i]
+    return best, last
+
+
+def filled(last: list[int], capacity: int) -> list[int]:
+    """The lengths that the knapsack program takes for a capacity."""
     out, c = [], capacity
     while c > 0:
         if last[c]:
-            out.append(int(last[c]))
-            c -= int(last[c])
+            out.append(last[c])
+            c -= last[c]
         else:
             c -= 1
     return out
 
 
+def dearest(prices: np.ndarray, capacity: int) -> list[int]:
+    """The lengths (repeats allowed) of largest total price that fit the capacity; prices[l] is 0 for lengths not wanted."""
+    return filled(knapsack(prices, capacity)[1].tolist(), capacity)
+
+
 def best_fit(need: dict[int, int], capacity: int) -> Counter[tuple[int, ...]]:
     """Best fit, longest lengths first, on counts: equal sequences are filled together, so the work does not grow with the counts."""
     uses: Counter[tuple[int, ...]] = Counter()
@@ -92,6 +107,56 @@ def best_fit(need: dict[int, int], capacity: int) -> Counter[tuple[int, ...]]:
     return uses
 
 
+def fractional(need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], float]:
+    """Fractional uses of configurations that cover need[l] pieces of each length l, and the dual bound: no cover uses less in all."""
+    lengths = np.flatnonzero(need)
+    if not len(lengths):
+        return {}, 0.0
+    n, at = need[lengths].astype(float), np.zeros(capacity + 1, dtype=np.int64)
+    at[lengths] = np.arange(len(lengths))
+    cover, weights, prices = np.zeros(len(lengths)), lengths / capacity, np.zeros(capacity + 1)
+    uses: dict[tuple[int, ...], float] = {}
+    bound, target = 0.0, 1.0
+    for done in range(1, rounds + 1):
+        prices[lengths] = weights
+        best, last = knapsack(prices, capacity)
+        bound = max(bound, float(n @ weights) / best[capacity])
+        near = (weights + best[capacity - lengths] >= (1 - SLACK) * best[capacity]) | (done == rounds)
+        take = last.tolist()
+        for i in np.argsort(cover, kind="stable").tolist():
+            lack = target - cover[i]
+            if lack <= 0 or not near[i]:
+                continue
+            length = int(lengths[i])
+            config = tuple(sorted([length, *filled(take, capacity - length)], reverse=True))
+            counts = Counter(config)
+            times = lack * n[i] / counts[length]
+            uses[config] = uses.get(config, 0.0) + times
+            for x, k in counts.items():
+                cover[at[x]] += k * times / n[at[x]]
+        least = float(cover.min())
+        if least > 0 and sum(uses.values()) <= (1 + GAP) * bound * least:
+            break
+        weights = lengths / capacity * np.exp(-STEP * (cover - least) / target)
+        target *= GROWTH
+    return {config: x / least for config, x in uses.items()}, bound
+
+
+def rounded(uses: dict[tuple[int, ...], float], need: np.ndarray) -> tuple[Counter[tuple[int, ...]], np.ndarray]:
+    """Whole uses, in all no more than the fractional ones and of no length more than needed, and the pieces that they leave."""
+    left, out, total, done = need.copy(), Counter(), 0.0, 0
+    for config in sorted(uses, reverse=True):
+        total += uses[config]
+        counts = Counter(config)
+        times = min(int(total + 1e-9) - done, *(int(left[x]) // k for x, k in counts.items()))
+        if times > 0:
+            out[config] = times
+            done += times
+            for x, k in counts.items():
+                left[x] -= k * times
+    return out, left
+
+
 def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """Configurations and their uses, which hold each length exactly as often as the histogram says, and a lower bound of their number.
 
@@ -100,30 +165,13 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tup
     need = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         need[length] = n
-    uses: Counter[tuple[int, ...]] = Counter()
-    full = int(need[capacity])
+    full, need[capacity] = int(need[capacity]), 0
+    fractions, bound = fractional(need, capacity, rounds)
+    uses, left = rounded(fractions, need)
+    uses += best_fit({int(x): int(left[x]) for x in np.flatnonzero(left)}, capacity)
     if full:
         uses[(capacity,)] = full
-        need[capacity] = 0
-    left, weights, bound = need.copy(), np.arange(capacity + 1) / capacity, 0.0
-    stops = [(uses.copy(), left.copy())]
-    for done in range(1, rounds + 1):
-        if not left.any():
-            break
-        value = float(np.sum(weights[(config := dearest(np.where(need > 0, weights, 0), capacity))]))
-        bound = max(bound, float(need @ weights) / value)
-        config = dearest(np.where(left > 0, weights, 0), capacity)
-        counts = {x: min(k, int(left[x])) for x, k in Counter(config).items()}
-        times = min(int(left[x]) // k for x, k in counts.items())
-        times = max(1, int(times * SHARE))
-        uses[tuple(sorted(Counter(counts).elements(), reverse=True))] += times
-        for x, k in counts.items():
-            left[x] -= k * times
-            weights[x] *= np.exp(-STEP * k * times / need[x])
-        if done & (done - 1) == 0 or done == rounds:
-            stops.append((uses.copy(), left.copy()))
-    plans = [u + best_fit({int(x): int(r[x]) for x in np.flatnonzero(r)}, capacity) for u, r in reversed(stops)]
-    return sorted(min(plans, key=Counter.total).items(), reverse=True), full + int(np.ceil(bound - 1e-9))
+    return sorted(uses.items(), reverse=True), full + int(np.ceil(bound - 1e-9))
 
 
 def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
