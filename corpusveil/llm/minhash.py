@@ -6,11 +6,12 @@ when the second permutation is turned by k places. As a shingle's ranks under al
 in memory, a signature is a minimum over contiguous slices.
 
 Scale: texts with equal sets are one node (the class of copies), so a group of copies costs one row.
-Bands are joined to one pivot of their bucket at a time, and only documents that are not yet in the
-pivot's component are compared with it, so a bucket of n near copies costs about n comparisons. Buckets
-that stay open (texts with a long common passage) are dealt anew by their rare shingles, which loses no
-pair; what stays open even then (copies just short of the wanted similarity) is compared in blocks of
-bounded size. Every candidate is verified on the full shingle sets.
+The shingle sets of the nodes that share a band with another are written once; candidates are verified by
+joins with that table. Bands are joined to one pivot of their bucket at a time, and only documents that
+are not yet in the pivot's component are compared with it, so a bucket of n near copies costs about n
+comparisons. Buckets that stay open (texts with a long common passage) are dealt anew by their rare
+shingles, which loses no pair; what stays open even then (copies just short of the wanted similarity) is
+compared in blocks of bounded size. New links merge whole components, so no link is walked twice.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, small_or_plain, texts, tune
+from .common import batch, cut, small_or_plain, tune
 from .components import components
 
 #: Places on the circle; a power of two.
@@ -32,10 +33,11 @@ LOCATIONS = 1 << 20
 BANDS, ROWS = 45, 6
 #: Rounds in which each open bucket takes one more pivot, before what is left goes to buckets of rare shingles.
 PIVOT_ROUNDS = 2
-#: Documents of an open bucket that are compared one by one; larger buckets are compared in blocks of about so many shingles.
-SMALL_BUCKET, BLOCK_SHINGLES = 24, 1 << 17
-#: Most ids (8 bytes each) that are broadcast.
-ID_ROWS = 500_000
+#: Documents of an open bucket that are compared one by one; larger buckets are compared in blocks of about so many shingles
+#: and documents at most. Either way all documents of a bucket are compared.
+SMALL_BUCKET, BLOCK_SHINGLES, BLOCK_ROWS = 12, 1 << 17, 1000
+#: Most ids or pairs of ids, and most shingles of whole sets, that are broadcast; both are counted first.
+ID_ROWS, SET_SHINGLES = 500_000, 2_000_000
 #: Words of the cache from a word to its hash, per worker.
 CACHE_WORDS = 300_000
 
@@ -102,9 +104,9 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, key: str, text: str, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """k, n (size of the shingle set), f1 and f2 (a 128-bit hash of the set), bands (keys; empty for an empty set)."""
-    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def signatures(rows: DataFrame, size: int, bands: int = BANDS, rows_of_band: int = ROWS) -> DataFrame:
+    """r, k, n (size of the shingle set), f1 and f2 (a 128-bit hash of the set), bands (keys; empty for an empty set) of rows r, k, t."""
+    schema = pa.schema([("r", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,58 +118,40 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, bands: int = BAN
                 f1.append(int(f[0]))
                 f2.append(int(f[1]))
                 if len(s):
-                    keys.append(band_keys(s, bands, rows))
+                    keys.append(band_keys(s, bands, rows_of_band))
                 offsets.append(offsets[-1] + bands * bool(len(s)))
             values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield batch(schema, k=b.column("k"), n=n, f1=f1, f2=f2, bands=pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)))
+            yield batch(schema, r=b.column("r"), k=b.column("k"), n=n, f1=f1, f2=f2, bands=pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)))
 
-    return texts(docs, key, text).mapInArrow(run, "k long, n long, f1 long, f2 long, bands array<long>")
+    return rows.select("r", "k", "t").mapInArrow(run, "r long, k long, n long, f1 long, f2 long, bands array<long>")
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row (k, t) for each of these ids. Up to ID_ROWS ids are sent to the scan, so that other texts are not shuffled."""
-    return docs.join(small_or_plain(cut(ids.distinct(), "ids"), ID_ROWS), "k", "left_semi").dropDuplicates(["k"])
-
-
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * |both| >= percent * |either|."""
-    own = only(docs, pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))))
-    left, right = (own.select(F.col("k").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch_ in batches:
-            keep = []
-            a, b = batch_.column("a").to_pylist(), batch_.column("b").to_pylist()
-            ta, tb = batch_.column("ta"), batch_.column("tb")
-            for i in range(len(a)):
-                if len(held) > 64:
-                    held.clear()
-                for k, t in ((a[i], ta), (b[i], tb)):
-                    if k not in held:
-                        held[k] = shingle_set(t[i].as_py(), size)
-                mine, other = held[a[i]], held[b[i]]
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(mine) + len(other) - both))
-            yield batch(schema, a=[x for x, y in zip(a, keep, strict=True) if y], b=[x for x, y in zip(b, keep, strict=True) if y])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def shingle_sets(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """rep, n and the shingles of each document of `members`."""
-    own = only(docs, members.select(F.col("rep").alias("k"))).withColumnRenamed("k", "rep")
+def shingle_sets(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """rep, n and the shingles of the rows r, t with these ids (column rep). Up to ID_ROWS ids are sent to the scan, so that other texts are not shuffled."""
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(t, size).view(np.int64) for t in b.column("t").to_pylist()]
-            yield batch(schema, rep=b.column("rep"), n=[len(x) for x in found], shingles=found)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            values = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield batch(schema, rep=b.column("rep"), n=[len(x) for x in found], shingles=pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
 
+    own = rows.select(F.col("r").alias("rep"), "t").join(small_or_plain(cut(ids.select("rep").distinct(), "ids"), ID_ROWS), "rep", "left_semi")
     return cut(own.mapInArrow(run, "rep long, n long, shingles array<long>"), "sets")
 
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have 100 * |both| >= percent * |either|. Repeated ids should stand in b."""
+    wanted = cut(pairs.select(F.col("b").alias("rep")).distinct().join(sets.select("rep", "n"), "rep"), "wanted")
+    total = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    right = sets.join(small_or_plain(wanted.select("rep"), ID_ROWS), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")).join(small_or_plain(pairs, ID_ROWS), "a")
+    both = F.size(F.array_intersect("sa", "sb"))
+    found = left.join(F.broadcast(right) if total <= SET_SHINGLES else right, "b").select("a", "b", "na", "nb", both.alias("both"))
+    return found.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
+
+
 def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """Buckets that hold every pair of `sets` at the wanted similarity.
 
@@ -186,70 +170,86 @@ def linked_in_group(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
     """Links between rows of different labels, as many as are needed to connect what they connect."""
     reps, n, labels = (rows.column(c).to_numpy() for c in ("rep", "n", "label"))
     column = rows.column("shingles").combine_chunks()
-    owner = np.repeat(np.arange(len(reps)), np.diff(column.offsets.to_numpy()))
-    tokens, place, counts = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(reps), dtype=np.int32), np.diff(column.offsets.to_numpy()))
+    _, place, counts = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
     use = counts[place] > 1
     owner, place = owner[use], (np.cumsum(counts > 1) - 1)[place[use]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
     both = np.zeros((len(reps), len(reps)), dtype=np.float32)
-    for start in range(0, int((counts > 1).sum()), 4096):
-        here = (place >= start) & (place < start + 4096)
-        part = np.zeros((len(reps), 4096), dtype=np.float32)
-        part[owner[here], place[here] - start] = 1
+    width = max(64, (1 << 21) // max(1, len(reps)))
+    for start in range(0, int((counts > 1).sum()), width):
+        lo, hi = np.searchsorted(place, (start, start + width))
+        part = np.zeros((len(reps), width), dtype=np.float32)
+        part[owner[lo:hi], place[lo:hi] - start] = 1
         both += part @ part.T
-    both = both.astype(np.int64)
-    near = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (labels[:, None] != labels[None, :])
-    top = {x: x for x in labels.tolist()}
-
-    def root(x: int) -> int:
-        while top[x] != x:
-            top[x] = x = top[top[x]]
-        return x
-
-    out = []
-    for i, j in np.argwhere(np.triu(near, 1)).tolist():
-        x, y = root(int(labels[i])), root(int(labels[j]))
-        if x != y:
-            top[x] = y
-            out.append((int(reps[i]), int(reps[j])))
+    near = (100 + percent) * both.astype(np.int64) >= percent * (n[:, None] + n[None, :])
+    del both
+    return spanning(near, reps, labels)
+
+
+def spanning(near: np.ndarray, reps: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs marked in a symmetric matrix, links that connect the same labels. Rows of one label count as connected."""
+    _, own = np.unique(labels, return_inverse=True)
+    open_, out = np.ones(len(reps), dtype=bool), []
+    while open_.any():
+        front = np.flatnonzero(own == own[open_.argmax()])
+        while len(front):
+            open_[front] = False
+            hit = near[front] & open_
+            new = np.flatnonzero(hit.any(axis=0))
+            _, first = np.unique(own[new], return_index=True)
+            out += [(int(reps[front[hit[:, j].argmax()]]), int(reps[j])) for j in new[first]]
+            front = np.flatnonzero(np.isin(own, own[new]))
     return out
 
 
 class _Links:
-    """The links found so far, the pairs tried, and the components they make."""
+    """The pairs tried, and the components that the links found so far make."""
 
-    def __init__(self, docs: DataFrame, size: int, percent: int):
-        spark = docs.sparkSession
-        self.docs, self.size, self.percent = docs, size, percent
-        self.links = self.tried = spark.createDataFrame([], "a long, b long")
+    def __init__(self, sets: DataFrame, percent: int):
+        spark = sets.sparkSession
+        self.sets, self.percent = sets, percent
+        self.tried = spark.createDataFrame([], "lo long, hi long")
         self.labels = spark.createDataFrame([], "node long, label long")
 
+    def merge(self, new: DataFrame) -> None:
+        """Join the components of each link's ends; only components that the new links touch are worked on."""
+        known = small_or_plain(self.labels, ID_ROWS)
+        a = new.join(known, F.col("a") == F.col("node"), "left").select(F.coalesce("label", "a").alias("a"), "b")
+        ends = a.join(known, F.col("b") == F.col("node"), "left").select("a", F.coalesce("label", "b").alias("b")).where("a <> b")
+        moved = components(ends)
+        step = small_or_plain(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), ID_ROWS)
+        old = self.labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        self.labels = cut(old.union(moved.join(self.labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+
     def labelled(self, members: DataFrame) -> DataFrame:
-        return members.join(self.labels, F.col("rep") == F.col("node"), "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        return members.join(small_or_plain(self.labels, ID_ROWS), F.col("rep") == F.col("node"), "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
 
     def open_buckets(self, members: DataFrame) -> DataFrame | None:
         """The rows of buckets that still hold documents of different components."""
-        at = self.labelled(members)
-        mixed = at.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("band", "rows")
-        rest = cut(members.select("band", "rep", "n").join(mixed, "band"), "open")
+        mixed = self.labelled(members).groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("band", "rows")
+        rest = cut(members.select("band", "rep", "n").join(small_or_plain(cut(mixed, "mixed"), ID_ROWS), "band"), "open")
         return None if rest.isEmpty() else rest
 
     def pivots(self, members: DataFrame, turn: int) -> bool:
         """Compare one document of each open bucket with those of other components; False if there was nothing to compare."""
         at = self.labelled(members)
         chosen = at.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "label", "n")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        return self._try(at, chosen.select("band", F.col("p.rep").alias("prep"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel")), "rep <> prep")
+        return self._try(at, small_or_plain(cut(chosen.select("band", F.col("p.rep").alias("prep"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel")), "pivots"), ID_ROWS), "rep <> prep")
 
     def all_pairs(self, members: DataFrame) -> bool:
         """Compare all documents of a bucket that are in different components."""
         at = self.labelled(members)
         return self._try(at, at.select("band", F.col("rep").alias("prep"), F.col("n").alias("pn"), F.col("label").alias("plabel")), "rep < prep")
 
-    def in_blocks(self, members: DataFrame, sets: DataFrame) -> None:
+    def in_blocks(self, members: DataFrame) -> None:
         """Compare all documents of large open buckets, one block with another in each task."""
         percent = self.percent
-        at = self.labelled(members).join(members.groupBy("band").agg(F.expr(f"cast(ceil(sum(n) / {BLOCK_SHINGLES}) as int)").alias("blocks")), "band")
+        sizes = members.groupBy("band").agg(F.expr(f"cast(ceil(greatest(sum(n) / {BLOCK_SHINGLES}, count(*) / {BLOCK_ROWS})) as int)").alias("blocks"))
+        at = self.labelled(members).join(small_or_plain(cut(sizes, "sizes"), ID_ROWS), "band")
         mine = at.withColumn("mine", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = mine.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "label").join(sets, "rep")
+        dealt = mine.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "label").join(self.sets, "rep")
 
         def run(rows: pa.Table) -> pa.Table:
             found = linked_in_group(rows, percent)
@@ -257,40 +257,45 @@ class _Links:
 
         new = cut(dealt.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct(), "links")
         if not new.isEmpty():
-            self.links = self.links.union(new)
-            self.labels = components(self.links)
+            self.merge(new)
 
     def _try(self, at: DataFrame, other: DataFrame, which: str) -> bool:
         found = at.join(other, "band").where(f"{which} and label <> plabel and 100 * least(n, pn) >= {self.percent} * greatest(n, pn)")
-        pairs = cut(found.select(F.least("rep", "prep").alias("a"), F.greatest("rep", "prep").alias("b")).distinct().join(self.tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = found.select(F.least("rep", "prep").alias("lo"), F.greatest("rep", "prep").alias("hi"), F.col("rep").alias("a"), F.col("prep").alias("b"))
+        pairs = cut(pairs.groupBy("lo", "hi").agg(F.min(F.struct("a", "b")).alias("p")).join(self.tried, ["lo", "hi"], "left_anti").select("lo", "hi", "p.a", "p.b"), "pairs")
         if pairs.isEmpty():
             return False
-        self.tried = self.tried.union(pairs)
-        new = cut(verified(pairs, self.docs, self.size, self.percent), "links")
+        self.tried = self.tried.union(pairs.select("lo", "hi"))
+        new = cut(verified(pairs.select("a", "b"), self.sets, self.percent), "links")
         if not new.isEmpty():
-            self.links = self.links.union(new)
-            self.labels = components(self.links)
+            self.merge(new)
         return True
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, pivot_rounds: int = PIVOT_ROUNDS, row: str | None = None) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of at least percent / 100.
 
-    Returns one row for each row of `docs`: k (the key), n_shingles, component (the smallest key that can
-    be reached over links, its own included) and kept (k = component). Null and blank texts have no
-    shingles and link with nothing. Rows that repeat a key are returned as often as they stand, with one
-    component; of different texts under one key any may stand for it. A null key is never linked: its component is null and it is kept.
+    Returns one row for each row of `docs`: r (the row's number, from the column `row` if there is one), k
+    (the key), n_shingles, component (the smallest key that can be reached over links, its own included),
+    kept (k = component) and first (one row of each group: the smallest key, null keys last, and of repeated
+    ones the smallest row number). Null and blank texts have no shingles, link with nothing and are each
+    first. Every row is compared by its own text, so rows that repeat a key may be in different groups. A
+    group of null keys alone has a null component, and its rows are kept. An empty table gives no rows.
     """
     tune(docs.sparkSession)
-    own = texts(docs, key, text)
-    marks = cut(signatures(docs, key, text, size, bands, rows), "marks")
-    classes = cut(marks.where("n > 0 and k is not null").groupBy("f1", "f2").agg(F.min("k").alias("rep"), F.count("*").alias("copies")), "classes")
-    again = classes.where("copies > 1").select("f1", "f2", "rep")
-    single = marks.where("n > 0 and k is not null").join(again, ["f1", "f2"], "left").where("rep is null or rep = k").select("k", "n", "bands").dropDuplicates(["k"])
-    banded = single.select(F.col("k").alias("rep"), "n", F.explode("bands").alias("band"))
+    number = F.col(f"`{row}`").cast("long") if row else F.monotonically_increasing_id()
+    own = docs.select(number.alias("r"), F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
+    own = own if row else cut(own, "rows")
+    marks = cut(signatures(own, size, bands, rows), "marks")
+    some = marks.where("n > 0")
+    classes = cut(some.groupBy("f1", "f2").agg(F.min("r").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("k").alias("least")), "classes")
+    again = small_or_plain(classes.where("copies > 1").select("f1", "f2", "rep"), ID_ROWS)
+    single = some.join(again, ["f1", "f2"], "left").where("rep is null or rep = r").select(F.col("r").alias("rep"), "n", "bands")
+    banded = single.select("rep", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band")
     members = cut(banded.join(shared, "band"), "members")
-    state = _Links(own, size, percent)
+    sets = shingle_sets(own, members, size)
+    state = _Links(sets, percent)
     for turn in range(pivot_rounds):
         if not state.pivots(members, turn):
             break
@@ -299,17 +304,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         state.all_pairs(rest.where(f"rows <= {SMALL_BUCKET}"))
         rest = state.open_buckets(rest.where(f"rows > {SMALL_BUCKET}"))
     if rest is not None:
-        sets = shingle_sets(rest, own, size)
-        rest = cut(rare_prefixes(sets, percent), "prefixes")
+        mine = sets.join(small_or_plain(rest.select("rep").distinct(), ID_ROWS), "rep", "left_semi")
+        rest = cut(rare_prefixes(mine, percent), "prefixes")
         for turn in range(pivot_rounds):
             if not state.pivots(rest, pivot_rounds + turn):
                 break
         rest = state.open_buckets(rest)
         if rest is not None:
             state.all_pairs(rest.where(f"rows <= {SMALL_BUCKET}"))
-            state.in_blocks(rest.where(f"rows > {SMALL_BUCKET}"), sets)
-    labels = state.labels
-    nodes = classes.join(labels, F.col("rep") == F.col("node"), "left").where("copies > 1 or label is not null").select("f1", "f2", F.coalesce("label", "rep").alias("component"))
-    out = marks.select("k", "n", "f1", "f2").join(nodes, ["f1", "f2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "k")).otherwise(F.col("k"))
-    return out.select("k", F.col("n").alias("n_shingles"), F.when(F.col("k").isNotNull(), component).alias("component")).withColumn("kept", F.coalesce(F.col("k") == F.col("component"), F.lit(True)))
+            rest = state.open_buckets(rest.where(f"rows > {SMALL_BUCKET}"))
+        if rest is not None:
+            state.in_blocks(rest)
+    grouped = cut(classes.where("n > 0").join(small_or_plain(state.labels, ID_ROWS), F.col("rep") == F.col("node"), "left").where("copies > 1 or label is not null").select("f1", "f2", F.coalesce("label", "rep").alias("label"), "least"), "grouped")
+    groups = some.select("r", "k", "f1", "f2").join(small_or_plain(grouped, ID_ROWS), ["f1", "f2"]).groupBy("label").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "r")).alias("head"))
+    heads = cut(grouped.join(groups, "label").select("f1", "f2", F.col("head.k").alias("component"), F.col("head.r").alias("first")), "heads")
+    out = marks.select("r", "k", "n", "f1", "f2").join(small_or_plain(heads, ID_ROWS), ["f1", "f2"], "left")
+    linked = (F.col("n") > 0) & F.col("first").isNotNull()
+    component = F.when(linked, F.col("component")).otherwise(F.col("k"))
+    out = out.select("r", "k", F.col("n").alias("n_shingles"), component.alias("component"), F.when(linked, F.col("first") == F.col("r")).otherwise(True).alias("first"))
+    return out.withColumn("kept", F.col("k").eqNullSafe(F.col("component")))

@@ -66,7 +66,8 @@ def test_large_open_buckets_are_compared_in_blocks(spark, monkeypatch):
     from corpusveil.llm import minhash
 
     monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 600)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 4000)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(100)]
     texts = []
@@ -83,9 +84,35 @@ def test_large_open_buckets_are_compared_in_blocks(spark, monkeypatch):
 def test_groups_of_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(empty).count() == 0
-    docs = spark.createDataFrame([(None, "same words here again and again"), (4, "same words here again and again"), (4, "same words here again and again"), (7, None)], "doc_id long, text string")
-    got = sorted(((r["k"], r["component"], r["kept"]) for r in near_duplicates(docs).collect()), key=str)
-    assert got == [(4, 4, True), (4, 4, True), (7, 7, True), (None, None, True)]
+    rows = [(None, "same words here again and again"), (4, "same words here again and again"), (4, "same words here again and again"), (4, "another text under a key that repeats"), (7, None), (None, "of nobody at all but twice"), (None, "of nobody at all but twice")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, r string, component int")
+    found = near_duplicates(docs).collect()
+    got = Counter((r["k"], r["n_shingles"], r["component"], r["kept"]) for r in found)
+    assert got == {(4, 2, 4, True): 2, (4, 3, 4, True): 1, (None, 2, 4, False): 1, (7, 0, 7, True): 1, (None, 2, None, True): 2}
+    assert Counter((r["n_shingles"], r["component"]) for r in found if r["first"]) == {(2, 4): 1, (3, 4): 1, (0, 7): 1, (2, None): 1}
+
+
+def test_links_of_a_group_span_its_components():
+    import pyarrow as pa
+
+    from corpusveil.llm.minhash import linked_in_group
+
+    rng = random.Random(8)
+    sets = [set(rng.sample(range(60), 50)) for _ in range(200)] + [set(rng.sample(range(10**6), 30)) for _ in range(50)]
+    labels = [rng.randrange(40) if i < 80 else 1000 + i for i in range(len(sets))]
+    rows = pa.table({"rep": list(range(len(sets))), "n": [len(x) for x in sets], "label": labels, "shingles": pa.array([sorted(x) for x in sets], pa.list_(pa.int64()))})
+
+    def parts(links):
+        top = list(range(len(sets)))
+        for i, j in [*links, *((labels.index(x), i) for i, x in enumerate(labels))]:
+            a, b = top[i], top[j]
+            top = [min(a, b) if x in (a, b) else x for x in top]
+        return top
+
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    found = linked_in_group(rows, 80)
+    assert {(min(x), max(x)) for x in found} <= {(min(x), max(x)) for x in near}
+    assert parts(found) == parts(near) and len(found) < len(near)
 
 
 def test_configurations_cover_the_histogram():
