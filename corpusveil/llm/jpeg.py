@@ -5,7 +5,7 @@ intervals) into coefficient arrays, inverts the transform with numpy, repeats ch
 converts to RGB. Restart intervals of all files of a batch are decoded side by side, one symbol of each at a time.
 
 The store puts each byte of a payload into a quantised coefficient (quantiser 1, 4:2:0, values 2 to 129 of
-either sign), so decoding the coefficients gives the bytes back.
+either sign, small ones for bytes that are frequent in texts), so decoding the coefficients gives the bytes back.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import batch, texts, tune
+from .common import batch, cut, texts, tune
 
 #: MCUs, or blocks of a one-component scan, in a restart interval of stored payloads; most MCU rows of an image.
 INTERVAL, MOST_ROWS = 8, 4000
@@ -37,7 +39,15 @@ BASIS = np.round(2048 * np.array([[(0.5**0.5 if u == 0 else 1) * 0.5 * np.cos((2
 SCANS = (((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 1), ((1,), 1, 63, 0, 1), ((2,), 1, 63, 0, 1), ((0,), 6, 63, 0, 1), ((0,), 1, 63, 1, 0), ((1,), 1, 63, 1, 0), ((2,), 1, 63, 1, 0), ((0, 1, 2), 0, 0, 1, 0))
 #: Huffman tables of stored payloads: numbers of codes by length, symbols.
 DC_TABLE = (bytes([0, 0, 0, 12] + [0] * 12), bytes(range(12)))
-AC_TABLE = (bytes([0, 0, 7, 1] + [0] * 12), bytes([3, 4, 5, 2, 6, 1, 7, 0]))
+AC_TABLE = (bytes([0, 3, 1, 1, 1, 1, 1] + [0] * 9), bytes([2, 3, 1, 4, 5, 6, 7, 0]))
+#: Bytes from the most frequent one; the others follow in natural order. Byte number r has the magnitude 2 + r // 2, and a minus sign if r is odd.
+FREQUENT = b"\xff etnaoirshldcupm\xc3gfyvwb\xa9.,\n-'qkxjz"
+RANKED = np.frombuffer(FREQUENT + bytes(x for x in range(256) if x not in FREQUENT), dtype=np.uint8)
+VALUE = np.zeros(256, dtype=np.int64)
+VALUE[RANKED] = (2 + np.arange(256) // 2) * np.where(np.arange(256) % 2, -1, 1)
+#: The byte of each coefficient from -129 to 129.
+BYTE = np.zeros(259, dtype=np.uint8)
+BYTE[VALUE + 129] = np.arange(256)
 
 
 def codes(table: tuple[bytes, bytes]) -> list[tuple[int, int, int]]:
@@ -51,6 +61,7 @@ def codes(table: tuple[bytes, bytes]) -> list[tuple[int, int, int]]:
     return out
 
 
+@lru_cache(maxsize=256)
 def decoding_table(table: tuple[bytes, bytes]) -> np.ndarray:
     """For each 16 bits: the length of the code they begin with times 256, plus its symbol; 0 if there is none."""
     out = np.zeros(1 << 16, dtype=np.int64)
@@ -59,20 +70,53 @@ def decoding_table(table: tuple[bytes, bytes]) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=64)
+def value_table(table: tuple[bytes, bytes]) -> np.ndarray:
+    """For each 16 bits: 64 times the value that follows a code without a run of zeros, plus the bits of both; 0 for all else."""
+    found, bits = decoding_table(table), np.arange(1 << 16, dtype=np.int64)
+    length, size = found >> 8, found & 255
+    plain = (size > 0) & (size < 16) & (length + size <= 16)
+    size = np.where(plain, size, 1)
+    raw = (bits >> np.where(plain, 16 - length - size, 0)) & ((1 << size) - 1)
+    value = np.where(raw < (1 << (size - 1)), raw - (1 << size) + 1, raw)
+    return np.where(plain, value * 64 + length + size, 0).astype(np.int32)
+
+
 def pack_bits(values: np.ndarray, lengths: np.ndarray, segment: np.ndarray, n: int) -> list[bytes]:
-    """The bits of each segment as bytes, filled up with ones. Values come in order of their segments."""
-    bits = np.bincount(segment, weights=lengths, minlength=n).astype(np.int64)
-    words = (bits + 31) // 32
+    """The bits of each segment as bytes, filled up with ones. Values of at most 57 bits come in order of their segments."""
+    lengths = lengths.astype(np.int64)
+    ends = np.cumsum(lengths)
+    bits = np.diff(ends[np.searchsorted(segment, np.arange(n), side="right") - 1], prepend=0) if len(values) else np.zeros(n, dtype=np.int64)
+    words = (bits + 63) // 64
     base = np.cumsum(words) - words
-    before = np.cumsum(bits) - bits
-    at = base[segment] * 32 + np.cumsum(lengths) - lengths - before[segment]
+    at = ends - lengths + (64 * base - np.cumsum(bits) + bits)[segment]
+    shift = 64 - (at & 63) - lengths
+    whole = np.zeros(int(words.sum()) + 2, dtype=np.uint64)
+    over = shift < 0
+    high = np.where(over, values >> np.where(over, -shift, 0).astype(np.uint64), values << np.where(over, 0, shift & 63).astype(np.uint64))
+    place = at >> 6
+    if len(values):
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        whole[place[first]] = np.bitwise_or.reduceat(high, first)
+        spill = np.flatnonzero(over)
+        whole[place[spill] + 1] |= values[spill] << (64 + shift[spill]).astype(np.uint64)
     fill = -bits % 8
-    at, lengths, values = np.concatenate([at, base * 32 + bits]), np.concatenate([lengths, fill]), np.concatenate([values.astype(np.uint64), (np.uint64(1) << fill.astype(np.uint64)) - np.uint64(1)])
-    shifted = values << (64 - (at & 31) - lengths).astype(np.uint64) * (lengths > 0).astype(np.uint64)
-    total = int(words.sum()) + 2
-    whole = np.bincount(at >> 5, weights=(shifted >> np.uint64(32)).astype(np.float64), minlength=total) + np.bincount((at >> 5) + 1, weights=(shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=total)
-    data = whole.astype(">u4").tobytes()
-    return [data[4 * b : 4 * b + (k + 7) // 8] for b, k in zip(base.tolist(), bits.tolist(), strict=True)]
+    some = np.flatnonzero(fill)
+    whole[base[some] + (bits[some] >> 6)] |= ((1 << fill[some]) - 1).astype(np.uint64) << (64 - (bits[some] & 63) - fill[some]).astype(np.uint64)
+    data = whole.astype(">u8").tobytes()
+    return [data[8 * b : 8 * b + (k + 7) // 8] for b, k in zip(base.tolist(), bits.tolist(), strict=True)]
+
+
+def joined(values: np.ndarray, lengths: np.ndarray, many: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Values of `many` columns each as one value of their lengths' sum; the last columns may be fewer."""
+    out_v, out_l = [], []
+    for i in range(0, values.shape[1], many):
+        v, n = values[:, i], lengths[:, i]
+        for j in range(i + 1, min(i + many, values.shape[1])):
+            v, n = v << lengths[:, j] | values[:, j], n + lengths[:, j]
+        out_v.append(v)
+        out_l.append(n)
+    return np.stack(out_v, axis=1), np.stack(out_l, axis=1)
 
 
 def grid(payload_bytes: int) -> tuple[int, int]:
@@ -97,23 +141,35 @@ def _signed_bits(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(x < 0, x + (1 << size) - 1, x)
 
 
+def _first_bits() -> tuple[np.ndarray, np.ndarray]:
+    """By byte: the code and value of its coefficient without the last bit, and their length."""
+    ac = {symbol: (code, length) for code, length, symbol in codes(AC_TABLE)}
+    high = np.sign(VALUE) * (np.abs(VALUE) >> 1)
+    size = _size(np.abs(high))
+    code, length = (np.array([ac[int(x)][i] for x in size], dtype=np.int64) for i in (0, 1))
+    return (code << size | _signed_bits(high, size)).astype(np.uint64), (length + size).astype(np.uint64)
+
+
+_FIRST = _first_bits()
+_LAST = (np.abs(VALUE) & 1).astype(np.uint8)
+_END = next((code, length) for code, length, symbol in codes(AC_TABLE) if symbol == 0)
+
+
 def store(payloads: list[bytes]) -> list[bytes]:
     """A progressive JPEG of each payload."""
     grids = [grid(len(p)) for p in payloads]
     mcus = np.array([c * r for c, r in grids], dtype=np.int64)
     parts: list[list[np.ndarray]] = [[], [], []]
     for p, m in zip(payloads, mcus.tolist(), strict=True):
-        raw = np.full(384 * m, 255, dtype=np.int16)
+        raw = np.full(384 * m, 255, dtype=np.uint8)
         raw[: len(p)] = np.frombuffer(p, dtype=np.uint8)
-        raw = np.where(raw < 128, raw - 129, raw - 126).reshape(-1, 64)
+        raw = raw.reshape(-1, 64)
         for c, (a, b) in enumerate(((0, 4 * m), (4 * m, 5 * m), (5 * m, 6 * m))):
             parts[c].append(raw[a:b])
-    blocks = [np.concatenate(x).astype(np.int64) for x in parts]
+    blocks = [np.concatenate(x) for x in parts]
     counts = [4 * mcus, mcus, mcus]
     dc = {s: (c, n) for c, n, s in codes(DC_TABLE)}
-    ac = {s: (c, n) for c, n, s in codes(AC_TABLE)}
     dc_code, dc_len = (np.array([dc[s][i] for s in range(12)], dtype=np.int64) for i in (0, 1))
-    ac_code, ac_len = (np.array([ac[s][i] for s in range(8)], dtype=np.int64) for i in (0, 1))
 
     def segments(per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Segment of each unit, and segments of each payload."""
@@ -124,14 +180,13 @@ def store(payloads: list[bytes]) -> list[bytes]:
 
     ends = [np.cumsum(c) - c for c in counts]
     luma = np.concatenate([mcu_order(c, r) + a for (c, r), a in zip(grids, ends[0].tolist(), strict=True)])
-    dcs = np.concatenate([blocks[0][luma, 0].reshape(-1, 4), blocks[1][:, :1], blocks[2][:, :1]], axis=1)
+    dcs = VALUE[np.concatenate([blocks[0][luma, 0].reshape(-1, 4), blocks[1][:, :1], blocks[2][:, :1]], axis=1)]
     scans: list[list[bytes]] = [[] for _ in payloads]
     for comps, ss, se, ah, al in SCANS:
         if ss == 0:
             seg, n = segments(mcus)
-            seg6 = np.repeat(seg, 6)
             if ah:
-                got = pack_bits((dcs & 1).reshape(-1), np.ones(dcs.size, dtype=np.int64), seg6, int(n.sum()))
+                values, lengths = joined((dcs & 1).astype(np.uint64), np.ones(dcs.shape, dtype=np.uint64), 6)
             else:
                 high = dcs >> al
                 first = np.append(True, seg[1:] != seg[:-1])
@@ -140,21 +195,21 @@ def store(payloads: list[bytes]) -> list[bytes]:
                 for k, last in ((0, 3), (4, 4), (5, 5)):
                     before[1:, k] = high[:-1, last]
                     before[first, k] = 0
-                diff = (high - before).reshape(-1)
+                diff = high - before
                 size = _size(np.abs(diff))
-                got = pack_bits(dc_code[size] << size | _signed_bits(diff, size), dc_len[size] + size, seg6, int(n.sum()))
+                values, lengths = joined((dc_code[size] << size | _signed_bits(diff, size)).astype(np.uint64), (dc_len[size] + size).astype(np.uint64), 3)
         else:
             seg, n = segments(counts[comps[0]])
             band = blocks[comps[0]][:, ss : se + 1]
             if ah:
-                values = np.concatenate([np.full((len(band), 1), ac_code[0]), np.abs(band) & 1], axis=1)
-                lengths = np.ones(values.shape, dtype=np.int64)
-                lengths[:, 0] = ac_len[0]
+                bits = np.zeros((len(band), 64), dtype=np.uint8)
+                bits[:, 64 - band.shape[1] :] = _LAST[band]
+                word = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
+                values = np.concatenate([np.full((len(band), 1), _END[0], dtype=np.uint64), word >> np.uint64(31), word & np.uint64((1 << 31) - 1)], axis=1)
+                lengths = np.tile(np.array([_END[1], band.shape[1] - 31, 31], dtype=np.uint64), (len(band), 1))
             else:
-                high = np.sign(band) * (np.abs(band) >> al)
-                size = _size(np.abs(high))
-                values, lengths = ac_code[size] << size | _signed_bits(high, size), ac_len[size] + size
-            got = pack_bits(values.reshape(-1), lengths.reshape(-1), np.repeat(seg, values.shape[1]), int(n.sum()))
+                values, lengths = joined(_FIRST[0][band], _FIRST[1][band])
+        got = pack_bits(values.reshape(-1), lengths.reshape(-1), np.repeat(seg, values.shape[1]), int(n.sum()))
         head = b"\xff\xda" + struct.pack(">HB", 6 + 2 * len(comps), len(comps)) + b"".join(bytes([c + 1, 0]) for c in comps) + bytes([ss, se, ah << 4 | al])
         at = 0
         for out, k in zip(scans, n.tolist(), strict=True):
@@ -240,9 +295,18 @@ class Bits:
     def __init__(self, parts: list[bytes]):
         sizes = np.array([len(p) + 8 for p in parts], dtype=np.int64)
         self.start = (np.cumsum(sizes) - sizes) * 8
-        raw = np.frombuffer(b"".join(p + b"\xff" * 8 for p in parts) + b"\xff" * 8, dtype=np.uint8)
-        self.words = np.lib.stride_tricks.sliding_window_view(raw, 8).copy().view(">u8").reshape(-1).astype(np.uint64)
-        self.raw = raw
+        self.raw = np.frombuffer(b"".join([x for p in parts for x in (p, b"\xff" * 8)]) + b"\xff" * 8, dtype=np.uint8)
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        """The 64 bits from each byte."""
+        return np.lib.stride_tricks.sliding_window_view(self.raw, 8).copy().view(">u8").reshape(-1).astype(np.uint64)
+
+    @cached_property
+    def short(self) -> np.ndarray:
+        """The 24 bits from each byte."""
+        raw = self.raw.astype(np.int32)
+        return raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
 
     def window(self, at: np.ndarray) -> np.ndarray:
         """At least 57 bits from each position, the first bit on top."""
@@ -251,6 +315,16 @@ class Bits:
     def bit(self, at: np.ndarray) -> np.ndarray:
         return (self.raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
 
+    def row(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The n bits from each position, as rows of a matrix."""
+        many = (n + 14) // 8
+        found = np.unpackbits(self.raw[np.minimum((at >> 3)[:, None] + np.arange(many), len(self.raw) - 1)], axis=1)
+        out = np.empty((len(at), n), dtype=np.uint8)
+        for s in range(8):
+            mine = np.flatnonzero((at & 7) == s)
+            out[mine] = found[mine, s : s + n]
+        return out
+
 
 def _value(window: np.ndarray, skip: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The signed value of `size` bits after `skip` bits."""
@@ -278,9 +352,33 @@ def _dc_refine(out: np.ndarray, bits: Bits, where: np.ndarray, count: np.ndarray
         out[where[live, j], 0] |= bits.bit(bits.start[live] + j).astype(out.dtype) << al
 
 
-def _ac_first(out: np.ndarray, bits: Bits, where: np.ndarray, count: np.ndarray, table: np.ndarray, ss: int, se: int, al: int) -> None:
+def _in_step(out: np.ndarray, bits: Bits, where: np.ndarray, count: np.ndarray, table: np.ndarray, ss: int, se: int, al: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Decode while every code stands for a value without zeros before it, so that all segments are at the same place of their blocks.
+
+    Returns bit position, block and place of each segment where that ends.
+    """
     at, j, k = bits.start.copy(), np.zeros(len(count), dtype=np.int64), np.full(len(count), ss, dtype=np.int64)
     live = np.flatnonzero(count > 0)
+    here, block, short = at[live], 0, bits.short
+    while len(live):
+        rows = where[live, block]
+        for place in range(ss, se + 1):
+            found = table[(short[here >> 3] >> (8 - (here & 7))) & 0xFFFF]
+            if not found.all():
+                at[live], j[live], k[live] = here, block, place
+                return at, j, k
+            out[rows, place] = (found >> 6) << al
+            here += found & 63
+        block += 1
+        at[live], j[live] = here, block
+        more = count[live] > block
+        live, here = live[more], here[more]
+    return at, j, k
+
+
+def _ac_first(out: np.ndarray, bits: Bits, where: np.ndarray, count: np.ndarray, code: tuple[bytes, bytes], ss: int, se: int, al: int) -> None:
+    at, j, k = _in_step(out, bits, where, count, value_table(code), ss, se, al)
+    table, live = decoding_table(code), np.flatnonzero(j < count)
     while len(live):
         w = bits.window(at[live])
         found = table[(w >> np.uint64(48)).astype(np.int64)]
@@ -288,31 +386,42 @@ def _ac_first(out: np.ndarray, bits: Bits, where: np.ndarray, count: np.ndarray,
         if not length.all():
             raise ValueError("a code that no table has")
         end = (size == 0) & (run < 15)
-        if end.any():
-            blocks = np.where(end, (1 << run) + np.where(run > 0, ((w << length.astype(np.uint64)) >> np.where(run > 0, 64 - run, 63).astype(np.uint64)).astype(np.int64), 0), 0)
-            at[live] += length + np.where(end, run, size)
-            place = np.where(end, se + 1, k[live] + run)
-        else:
-            blocks = None
-            at[live] += length + size
-            place = k[live] + run
-        some = np.flatnonzero(size > 0) if not size.all() else slice(None)
+        extra = np.where(run > 0, ((w << length.astype(np.uint64)) >> np.where(run > 0, 64 - run, 63).astype(np.uint64)).astype(np.int64), 0)
+        blocks = np.where(end, (1 << run) + extra, 0)
+        at[live] += length + np.where(end, run, size)
+        place = np.where(end, se + 1, k[live] + run)
+        some = np.flatnonzero(size > 0)
         rows = live[some]
         out[where[rows, j[rows]], place[some]] = _value(w[some], length[some], size[some]) << al
         over = place >= se
         k[live] = np.where(over, ss, place + 1)
-        j[live] += over if blocks is None else np.where(end, blocks, over)
+        j[live] += np.where(end, blocks, over)
         if over.any():
             live = live[j[live] < count[live]]
 
 
-def _ac_refine(out: np.ndarray, bits: Bits, where: np.ndarray, count: np.ndarray, table: np.ndarray, ss: int, se: int, al: int) -> None:
-    n, width = len(count), se - ss + 1
+def _ac_refine(out: np.ndarray, bits: Bits, where: np.ndarray, count: np.ndarray, code: tuple[bytes, bytes], ss: int, se: int, al: int) -> None:
+    n, width, table = len(count), se - ss + 1, decoding_table(code)
     at, j, k, rest = bits.start.copy(), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     places = np.arange(width)
     live = np.flatnonzero(count > 0)
+    plain = True
     while len(live):
         w = bits.window(at[live])
+        if plain:
+            # Blocks that end at once and have no zeros: one bit for each place.
+            found = table[(w >> np.uint64(48)).astype(np.int64)]
+            row = where[live, j[live]]
+            band = out[row, ss : se + 1]
+            plain = bool(((found & 255) == 0).all() and (found > 0).all() and band.all())
+            if plain:
+                here = at[live] + (found >> 8)
+                more = bits.row(here, width).astype(band.dtype) << al
+                out[row, ss : se + 1] = np.where(band > 0, band + more, band - more)
+                at[live] = here + width
+                j[live] += 1
+                live = live[j[live] < count[live]]
+                continue
         found = np.where(rest[live] > 0, 0, table[(w >> np.uint64(48)).astype(np.int64)])
         length, run, size = found >> 8, (found >> 4) & 15, found & 15
         ends = (rest[live] == 0) & (size == 0) & (run < 15)
@@ -369,7 +478,7 @@ def coefficients(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
             where[np.arange(where.shape[1])[None, :] < count[:, None]] = np.concatenate(rows)
             bits = Bits(parts)
             if ss:
-                (_ac_refine if ah else _ac_first)(out, bits, where, count, decoding_table(tables[0]), ss, se, al)
+                (_ac_refine if ah else _ac_first)(out, bits, where, count, tables[0], ss, se, al)
             elif ah:
                 _dc_refine(out, bits, where, count, al)
             else:
@@ -381,46 +490,86 @@ def coefficients(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
 
 def _order(im: Image, comps: tuple[int, ...]) -> np.ndarray:
     """Rows of the coefficient array in the order of a scan."""
-    if len(comps) == 1:
-        w, h = im.used(comps[0])
-        return (im.base[comps[0]] + np.arange(h)[:, None] * im.shape[comps[0]][0] + np.arange(w)).reshape(-1)
-    across, down = im.shape[0][0] // im.sampling[0][0], im.shape[0][1] // im.sampling[0][1]
+    return im.base[0] + _rows(tuple(im.sampling), tuple(im.shape), comps, im.used(comps[0]) if len(comps) == 1 else None)
+
+
+@lru_cache(maxsize=512)
+def _rows(sampling: tuple, shape: tuple, comps: tuple[int, ...], used: tuple[int, int] | None) -> np.ndarray:
+    """A scan's order in an image whose coefficients begin at 0."""
+    base = np.cumsum([0, *(w * h for w, h in shape)])
+    if used:
+        w, h = used
+        return (base[comps[0]] + np.arange(h)[:, None] * shape[comps[0]][0] + np.arange(w)).reshape(-1)
+    across, down = shape[0][0] // sampling[0][0], shape[0][1] // sampling[0][1]
     y, x = np.divmod(np.arange(across * down), across)
-    parts = [im.base[c] + (y[:, None] * v + np.repeat(np.arange(v), h)) * im.shape[c][0] + x[:, None] * h + np.tile(np.arange(h), v) for c, (h, v) in ((c, im.sampling[c]) for c in comps)]
+    parts = [base[c] + (y[:, None] * v + np.repeat(np.arange(v), h)) * shape[c][0] + x[:, None] * h + np.tile(np.arange(h), v) for c, (h, v) in ((c, sampling[c]) for c in comps)]
     return np.concatenate(parts, axis=1).reshape(-1)
 
 
-def rgb(im: Image, found: np.ndarray) -> np.ndarray:
-    """The image as (height, width, 3) bytes; one component gives grey."""
+def samples(images: list[Image], found: np.ndarray) -> np.ndarray:
+    """The inverse transform of all blocks: (block, row, column), 0 to 255."""
+    out = np.empty((len(found), 8, 8), dtype=np.uint8)
+    scale = np.ones((0, 64))
+    owner = np.zeros(len(found), dtype=np.int64)
+    known: dict[bytes, int] = {}
+    for im in images:
+        for c, (w, h) in enumerate(im.shape):
+            q = im.quantisers[c]
+            if (i := known.get(q.tobytes())) is None:
+                i = known[q.tobytes()] = len(scale)
+                scale = np.vstack([scale, q])
+            owner[im.base[c] : im.base[c] + w * h] = i
+    for a in range(0, len(found), 8192):
+        block = np.zeros((len(found[a : a + 8192]), 64))
+        block[:, ZIGZAG] = found[a : a + 8192] * (scale[owner[a : a + 8192]] if len(scale) > 1 else scale)
+        columns = np.ascontiguousarray((block.reshape(-1, 8) @ BASIS).reshape(-1, 8, 8).transpose(0, 2, 1))
+        pixels = (columns.reshape(-1, 8) @ BASIS).reshape(-1, 8, 8).transpose(0, 2, 1)
+        pixels = pixels * (1 / (1 << 22)) + 128.5
+        np.clip(pixels, 0, 255.5, out=pixels)
+        out[a : a + 8192] = pixels
+    return out
+
+
+def rgb(im: Image, pixels: np.ndarray) -> np.ndarray:
+    """The image, from the samples of all blocks, as (height, width, 3) bytes with chroma repeated to full resolution; one component gives grey."""
     planes = []
     most = max(h for h, _ in im.sampling), max(v for _, v in im.sampling)
     for c, (w, h) in enumerate(im.shape):
-        block = np.zeros((w * h, 64))
-        block[:, ZIGZAG] = found[im.base[c] : im.base[c] + w * h] * im.quantisers[c]
-        columns = (block.reshape(-1, 8) @ BASIS).reshape(-1, 8, 8).transpose(0, 2, 1)
-        pixels = (columns.reshape(-1, 8) @ BASIS).reshape(-1, 8, 8).transpose(0, 2, 1)
-        flat = np.clip(np.floor(pixels / (1 << 22) + 128.5), 0, 255).astype(np.int32)
-        plane = flat.reshape(h, w, 8, 8).transpose(0, 2, 1, 3).reshape(8 * h, 8 * w)
-        planes.append(plane.repeat(most[1] // im.sampling[c][1], axis=0).repeat(most[0] // im.sampling[c][0], axis=1)[: im.height, : im.width])
+        plane = pixels[im.base[c] : im.base[c] + w * h].reshape(h, w, 8, 8).transpose(0, 2, 1, 3).reshape(8 * h, 8 * w)
+        if c and len(im.shape) == 3:
+            planes.append((plane, most[1] // im.sampling[c][1], most[0] // im.sampling[c][0]))
+        else:
+            planes.append(plane.repeat(most[1] // im.sampling[c][1], axis=0).repeat(most[0] // im.sampling[c][0], axis=1)[: im.height, : im.width])
     if len(planes) == 1:
-        return np.repeat(planes[0][:, :, None], 3, axis=2).astype(np.uint8)
-    y, cb, cr = planes[0] << 16, planes[1] - 128, planes[2] - 128
-    # The conversion's factors 1.402, 0.344136, 0.714136 and 1.772 in units of 2^-16.
-    mixed = (y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)
-    return np.stack([np.clip((x + 32768) >> 16, 0, 255).astype(np.uint8) for x in mixed], axis=2)
+        return np.repeat(planes[0][:, :, None], 3, axis=2)
+    (b, *times), (r, *_) = planes[1:]
+
+    def full(x: np.ndarray) -> np.ndarray:
+        return x.repeat(times[0], axis=0).repeat(times[1], axis=1)[: im.height, : im.width]
+
+    y, (cb, cr) = planes[0].astype(np.int32), (x.astype(np.int32) - 128 for x in (b, r))
+    out = np.empty((im.height, im.width, 3), dtype=np.uint8)
+    # The conversion's factors 1.402, 0.344136, 0.714136 and 1.772 in units of 2^-16. The chroma's share is
+    # taken at its own resolution; luma is a whole number of units, so rounding it there gives the same.
+    if planes[1][1:] != planes[2][1:]:
+        cb, cr, times = full(cb), planes[2][0].astype(np.int32).repeat(planes[2][1], axis=0).repeat(planes[2][2], axis=1)[: im.height, : im.width] - 128, [1, 1]
+    for i, part in enumerate(((91881 * cr + 32768) >> 16, (-22554 * cb - 46802 * cr + 32768) >> 16, (116130 * cb + 32768) >> 16)):
+        np.clip(y + full(part.astype(np.int16)), 0, 255, out=out[:, :, i], casting="unsafe")
+    return out
 
 
 def payload(im: Image, found: np.ndarray) -> bytes:
     """The bytes that a stored image holds."""
     n = struct.unpack(">Q", im.comment)[0]
     values = found[im.base[0] : im.base[-1] + im.shape[-1][0] * im.shape[-1][1]].reshape(-1)[:n]
-    return np.where(values < 0, values + 129, values + 126).astype(np.uint8).tobytes()
+    return BYTE[values + 129].tobytes()
 
 
-def feature(tensor: np.ndarray) -> str:
-    """Shape, sums of the channels, and a checksum of a tensor."""
-    h, w, _ = tensor.shape
-    return f"{h}x{w}:" + ":".join(map(str, tensor.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist())) + f":{zlib.crc32(tensor.tobytes()):08x}"
+def decode(files: list[bytes]) -> list[np.ndarray]:
+    """The RGB tensor of each file."""
+    images, found = coefficients(files)
+    pixels = samples(images, found)
+    return [rgb(im, pixels) for im in images]
 
 
 def decode_media(media: DataFrame, key: str = "k", column: str = "media") -> DataFrame:
@@ -430,9 +579,10 @@ def decode_media(media: DataFrame, key: str = "k", column: str = "media") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, data in zip(b.column("k").to_pylist(), b.column("m").to_pylist(), strict=True):
-                tensor = None if data is None else rgb(*(x if i else x[0] for i, x in enumerate(coefficients([data]))))
-                yield batch(schema, k=[k], height=[None if tensor is None else tensor.shape[0]], width=[None if tensor is None else tensor.shape[1]], rgb=[None if tensor is None else tensor.tobytes()])
+            for rows in _together(list(zip(b.column("k").to_pylist(), b.column("m").to_pylist(), strict=True)), lambda r: len(r[1] or b"")):
+                tensors = iter(decode([m for _, m in rows if m is not None]))
+                got = [None if m is None else next(tensors) for _, m in rows]
+                yield batch(schema, k=[k for k, _ in rows], height=[None if x is None else x.shape[0] for x in got], width=[None if x is None else x.shape[1] for x in got], rgb=[None if x is None else x.tobytes() for x in got])
 
     return media.selectExpr(f"cast(`{key}` as long) as k", f"cast(`{column}` as binary) as m").mapInArrow(run, "k long, height int, width int, rgb binary")
 
@@ -464,18 +614,32 @@ def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return texts(docs, key, text).mapInArrow(run, "k long, n_bytes long, media binary")
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """Reads stored media back: k, n_bytes, and digests of the payload, of the file and of its RGB tensor."""
-    schema = pa.schema([("k", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+def write_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`stored` media, written to the shared folder and read back."""
+    return cut(stored(docs, key, text), "media", "zstd")
+
+
+def read_media(media: DataFrame) -> DataFrame:
+    """Decodes stored media: k, n_bytes, digests of the payload and of the file, and the tensor as height, width and rgb (bytes by rows).
+
+    Every row of the media gives one; equal files give equal rows. A null key stays null.
+    """
+    schema = pa.schema([("k", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows in _together(list(zip(b.column("k").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media").to_pylist(), strict=True)), lambda r: len(r[2])):
                 images, found = coefficients([m for _, _, m in rows])
+                pixels = samples(images, found)
                 out = []
                 for (k, n, m), im in zip(rows, images, strict=True):
-                    p = payload(im, found)
-                    out.append((k, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(rgb(im, found))))
+                    p, tensor = payload(im, found), rgb(im, pixels)
+                    out.append((k, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), *tensor.shape[:2], tensor.tobytes()))
                 yield batch(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
 
-    return media.mapInArrow(run, "k long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "k long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, rgb binary")
+
+
+def features(decoded: DataFrame) -> DataFrame:
+    """Adds a feature to decoded media: the tensor's shape and checksum."""
+    return decoded.withColumn("feature", F.concat_ws(":", F.concat_ws("x", "height", "width"), F.lpad(F.lower(F.hex(F.crc32("rgb"))), 8, "0")))

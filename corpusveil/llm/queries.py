@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import rollups, sampling
 from .common import fresh_dir, table
 from .html import extract
-from .jpeg import digests, stored
+from .jpeg import features, read_media, write_media
 from .langid import identify
 from .minhash import near_duplicates
 from .packing import pack
@@ -79,7 +79,9 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(stored(table(spark, sf_dir, "documents"))).withColumnRenamed("k", "doc_id")
+    decoded = features(read_media(write_media(table(spark, sf_dir, "documents"))))
+    first = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return decoded.select(F.col("k").alias("doc_id"), *first, "height", "width", "rgb")
 
 
 _WORDS = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"

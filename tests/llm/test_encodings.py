@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusveil.llm import jpeg, rollups, sampling
+from corpusveil.llm import rollups, sampling
 from corpusveil.llm.html import extract, main_text
 from corpusveil.llm.queries import tokenizer
 from corpusveil.llm.records import crc32c, frames, read_at, read_frames, read_records, write_records
@@ -127,29 +127,3 @@ def test_sampling_follows_the_lattice():
     for s, w in known.items():
         share = sum([v.text[i].decode() for i in ids] == list(s) for ids in got) / 4000
         assert abs(share - np.exp(w - total)) < 0.03
-
-
-def test_media_round_trip(spark):
-    texts = ["", None, "a", "x" * 576, "x" * 577, "ж" * 5000, "same", "same", "\x7f\x80" * 400]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["k"]: r for r in jpeg.digests(jpeg.stored(docs)).collect()}
-    import hashlib
-
-    for i, t in enumerate(texts):
-        raw = (t or "").encode()
-        full = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
-        assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
-    assert got[6]["feature"] == got[7]["feature"] and got[0]["feature"] == got[1]["feature"]
-    shapes = jpeg.decode_media(jpeg.stored(docs)).select("height", "width", F.length("rgb").alias("n")).collect()
-    assert all(r["n"] == 3 * r["height"] * r["width"] for r in shapes)
-
-
-def test_coefficients_are_whatever_the_scans_say():
-    rng = np.random.default_rng(2)
-    payloads = [rng.integers(0, 256, 576 * n, dtype=np.uint8).tobytes() for n in (1, 2, 30)]
-    images, found = jpeg.coefficients(jpeg.store(payloads))
-    assert [jpeg.payload(i, found) for i in images] == payloads
-    flat = jpeg.Image(8, 8, b"", [(1, 1)], [np.ones(64)], [(1, 1)], [0])
-    block = np.zeros((1, 64))
-    block[0, 0] = 80
-    assert (jpeg.rgb(flat, block) == 138).all()
