@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut
 
 
-def components(edges: DataFrame, by: str = "doc_id", max_rounds: int = 100) -> DataFrame:
-    """The least node that each node reaches within its group. `edges`: the group's column, a, b. Returns it, node, label.
+def components(edges: DataFrame, by: str | None = "doc_id", max_rounds: int = 100) -> DataFrame:
+    """The least node that each node reaches within its group. `edges`: the group's column (if any), a, b. Returns it, node, label.
 
-    Each round takes the least label among neighbours, then the label's own label, so a chain of n nodes
-    needs about log n rounds; tables between rounds are written to the shared folder.
+    Edges may repeat and have any direction; an empty table gives an empty result. Jobs run here, not when
+    the result is read: each round takes the least label among neighbours, then the label's own label, so a
+    chain of n nodes needs about log n rounds, and writes its table to the shared folder.
     """
+    if by is None:
+        return components(edges.select(F.lit(0).alias("all"), "a", "b"), "all", max_rounds).drop("all")
     both = cut(edges.select(by, "a", "b").union(edges.select(by, "b", "a")).where("a <> b").distinct(), "edges")
     labels = cut(both.groupBy(by, F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     for _ in range(max_rounds):

@@ -6,13 +6,19 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import SECTION
 
+#: A table is broadcast by hand only if a count has shown that it has no more rows than this.
+BROADCAST_ROWS = 50_000
+
 _local: list[str] = []
+_scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -28,13 +34,40 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back."""
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables from the shared folder."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `cut` writes inside are removed at the end; those to keep then belong to the scratch outside, if any."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        delete(spark, _scratch.pop())
+
+
+def cut(df: DataFrame, name: str, codec: str = "snappy", keep: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back, so that a lost executor costs no recomputation of what came before.
+
+    Inside `scratch` the table goes at its end; with `keep` it stays as long as the scratch around that, if there is one.
+    """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    if owner := _scratch[: -1 if keep else None]:
+        owner[-1].append(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_or_plain(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """The table with a broadcast hint if it is counted to be small; otherwise as it is, for a shuffled join. Rows should be of bounded width."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def whole_text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One block per document."""
     return docs.select(F.col(key).alias("doc_id"), F.lit(0).alias("block_ord"), F.col(text).alias("text"))
