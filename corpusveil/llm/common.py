@@ -2,62 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut, delete, scratch, small_or_plain
+from ..sources.tables import shared_dir as fresh_dir
+
+__all__ = ["batch", "cut", "delete", "fresh_dir", "scratch", "small_or_plain", "table", "texts", "tune"]
+
 #: Rows of one Arrow batch that go to Python at once; a batch is also bounded in bytes.
 BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
-#: A table is broadcast by hand only if a count has shown that it has no more rows than this.
-BROADCAST_ROWS = 50_000
-
-_local_root: str | None = None
-
-
 def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the Arrow batches, since texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or on a local master without it a temporary one."""
-    global _local_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="corpusveil-")
-        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
-    return f"file://{_local_root}"
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write a table to the shared folder and read it back, so that a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_or_plain(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it is counted to be small; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 def texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the key and the text, under names that cannot clash with other columns."""
     return df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))

@@ -6,8 +6,8 @@ when the second permutation is turned by k places. As a shingle's ranks under al
 in memory, a signature is a minimum over contiguous slices.
 
 Scale: texts with equal sets are one node (the class of copies), so a group of copies costs one row.
-The shingle sets of the nodes that share a band with another are written once; candidates are verified by
-joins with that table. Bands are joined to one pivot of their bucket at a time, and only documents that
+The shingle sets of the nodes that share a band with another are written once; candidates that one bit of
+each coordinate shows to be possible are verified on them, by joins. Bands are joined to one pivot of their bucket at a time, and only documents that
 are not yet in the pivot's component are compared with it, so a bucket of n near copies costs about n
 comparisons. Buckets that stay open (texts with a long common passage) are dealt anew by their rare
 shingles, which loses no pair; what stays open even then (copies just short of the wanted similarity) is
@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, small_or_plain, tune
-from .components import components
+from ..operators.components import components
+from .common import batch, cut, scratch, small_or_plain, tune
 
 #: Places on the circle; a power of two.
 LOCATIONS = 1 << 20
@@ -37,7 +37,7 @@ PIVOT_ROUNDS = 2
 #: and documents at most. Either way all documents of a bucket are compared.
 SMALL_BUCKET, BLOCK_SHINGLES, BLOCK_ROWS = 12, 1 << 17, 1000
 #: Most ids or pairs of ids, and most shingles of whole sets, that are broadcast; both are counted first.
-ID_ROWS, SET_SHINGLES = 500_000, 2_000_000
+ID_ROWS, SKETCH_ROWS, SET_SHINGLES = 500_000, 250_000, 2_000_000
 #: Words of the cache from a word to its hash, per worker.
 CACHE_WORDS = 300_000
 
@@ -93,51 +93,63 @@ class Circulant:
 _circulant: dict[int, Circulant] = {}
 
 
-def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key for each band; a band's coordinates stand `bands` places apart on the circle."""
+def band_keys(shingles: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit key for each band, whose coordinates stand `bands` places apart on the circle; and the sketch, one bit of each coordinate."""
     hasher = _circulant.get(bands * rows) or _circulant.setdefault(bands * rows, Circulant(bands * rows))
-    sig = hasher.signature(shingles).reshape(rows, bands).astype(np.uint64)
+    sig = hasher.signature(shingles)
+    bits = np.zeros(-(-len(sig) // 64) * 64, dtype=np.uint8)
+    bits[: len(sig)] = sig & 1
+    sig = sig.reshape(rows, bands).astype(np.uint64)
     key = np.arange(1, bands + 1, dtype=np.uint64) * _ODD[7]
     for i in range(rows):
         key = (key ^ sig[i]) * _ODD[i % 7]
         key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+    return key.view(np.int64), np.packbits(bits).view(np.int64)
+
+
+def most_different(coordinates: int, percent: int) -> int:
+    """Bits in which the sketches of a pair at the wanted similarity differ at most, but for five standard deviations (a chance of 3e-7)."""
+    p = (100 - percent) / 200
+    return int(coordinates * p + 5 * (coordinates * p * (1 - p)) ** 0.5)
 
 
 def signatures(rows: DataFrame, size: int, bands: int = BANDS, rows_of_band: int = ROWS) -> DataFrame:
-    """r, k, n (size of the shingle set), f1 and f2 (a 128-bit hash of the set), bands (keys; empty for an empty set) of rows r, k, t."""
-    schema = pa.schema([("r", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """r, k, n (size of the shingle set), f1 and f2 (a 128-bit hash of the set), bands (keys) and sketch (both empty for an empty set) of rows r, k, t."""
+    schema = pa.schema([("r", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, f1, f2, offsets, keys = [], [], [], [0], []
+            n, f1, f2, keys, sketches = [], [], [], [], []
             for t in b.column("t").to_pylist():
                 s = shingle_set(t, size)
                 f = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
                 n.append(len(s))
                 f1.append(int(f[0]))
                 f2.append(int(f[1]))
-                if len(s):
-                    keys.append(band_keys(s, bands, rows_of_band))
-                offsets.append(offsets[-1] + bands * bool(len(s)))
-            values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield batch(schema, r=b.column("r"), k=b.column("k"), n=n, f1=f1, f2=f2, bands=pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)))
+                band, bits = band_keys(s, bands, rows_of_band) if len(s) else (np.zeros(0, np.int64),) * 2
+                keys.append(band)
+                sketches.append(bits)
+            yield batch(schema, r=b.column("r"), k=b.column("k"), n=n, f1=f1, f2=f2, bands=lists(keys), sketch=lists(sketches))
+
+    return rows.select("r", "k", "t").mapInArrow(run, "r long, k long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
 
-    return rows.select("r", "k", "t").mapInArrow(run, "r long, k long, n long, f1 long, f2 long, bands array<long>")
+
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """A column of lists of 64-bit numbers."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
 
 def shingle_sets(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """rep, n and the shingles of the rows r, t with these ids (column rep). Up to ID_ROWS ids are sent to the scan, so that other texts are not shuffled."""
+    """rep, n and the shingles of the rows r, t with these ids (column rep, each once). If few, they are sent to the scan, so that other texts are not shuffled."""
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(t, size).view(np.int64) for t in b.column("t").to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            values = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield batch(schema, rep=b.column("rep"), n=[len(x) for x in found], shingles=pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
+            yield batch(schema, rep=b.column("rep"), n=[len(x) for x in found], shingles=lists(found))
 
-    own = rows.select(F.col("r").alias("rep"), "t").join(small_or_plain(cut(ids.select("rep").distinct(), "ids"), ID_ROWS), "rep", "left_semi")
+    own = rows.select(F.col("r").alias("rep"), "t").join(ids, "rep", "left_semi")
     return cut(own.mapInArrow(run, "rep long, n long, shingles array<long>"), "sets")
 
 
@@ -207,9 +219,9 @@ def spanning(near: np.ndarray, reps: np.ndarray, labels: np.ndarray) -> list[tup
 class _Links:
     """The pairs tried, and the components that the links found so far make."""
 
-    def __init__(self, sets: DataFrame, percent: int):
+    def __init__(self, sets: DataFrame, sketches: DataFrame, percent: int, different: int):
         spark = sets.sparkSession
-        self.sets, self.percent = sets, percent
+        self.sets, self.sketches, self.percent, self.different = sets, small_or_plain(sketches, SKETCH_ROWS), percent, different
         self.tried = spark.createDataFrame([], "lo long, hi long")
         self.labels = spark.createDataFrame([], "node long, label long")
 
@@ -218,7 +230,7 @@ class _Links:
         known = small_or_plain(self.labels, ID_ROWS)
         a = new.join(known, F.col("a") == F.col("node"), "left").select(F.coalesce("label", "a").alias("a"), "b")
         ends = a.join(known, F.col("b") == F.col("node"), "left").select("a", F.coalesce("label", "b").alias("b")).where("a <> b")
-        moved = components(ends)
+        moved = components(ends, None)
         step = small_or_plain(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), ID_ROWS)
         old = self.labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         self.labels = cut(old.union(moved.join(self.labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
@@ -266,7 +278,11 @@ class _Links:
         if pairs.isEmpty():
             return False
         self.tried = self.tried.union(pairs.select("lo", "hi"))
-        new = cut(verified(pairs.select("a", "b"), self.sets, self.percent), "links")
+        for c in "ab":
+            pairs = pairs.join(self.sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")), c)
+        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+        pairs = cut(pairs.where(apart <= self.different).select("a", "b"), "pairs")
+        new = cut(verified(pairs, self.sets, self.percent), "links")
         if not new.isEmpty():
             self.merge(new)
         return True
@@ -283,19 +299,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     group of null keys alone has a null component, and its rows are kept. An empty table gives no rows.
     """
     tune(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return _grouped(docs, key, text, size, percent, bands, rows, pivot_rounds, row)
+
+
+def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int, bands: int, rows: int, pivot_rounds: int, row: str | None) -> DataFrame:
     number = F.col(f"`{row}`").cast("long") if row else F.monotonically_increasing_id()
     own = docs.select(number.alias("r"), F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    own = own if row else cut(own, "rows")
-    marks = cut(signatures(own, size, bands, rows), "marks")
+    own = own if row else cut(own, "rows", "zstd")
+    marks = cut(signatures(own, size, bands, rows), "marks", "zstd", keep=True)
     some = marks.where("n > 0")
     classes = cut(some.groupBy("f1", "f2").agg(F.min("r").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("k").alias("least")), "classes")
     again = small_or_plain(classes.where("copies > 1").select("f1", "f2", "rep"), ID_ROWS)
-    single = some.join(again, ["f1", "f2"], "left").where("rep is null or rep = r").select(F.col("r").alias("rep"), "n", "bands")
+    single = some.join(again, ["f1", "f2"], "left").where("rep is null or rep = r").select(F.col("r").alias("rep"), "n", "bands", "sketch")
     banded = single.select("rep", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band")
     members = cut(banded.join(shared, "band"), "members")
-    sets = shingle_sets(own, members, size)
-    state = _Links(sets, percent)
+    ids = small_or_plain(cut(members.select("rep").distinct(), "ids"), ID_ROWS)
+    sets = shingle_sets(own, ids, size)
+    state = _Links(sets, cut(single.join(ids, "rep", "left_semi").select("rep", "sketch"), "sketches"), percent, most_different(bands * rows, percent))
     for turn in range(pivot_rounds):
         if not state.pivots(members, turn):
             break
@@ -317,7 +339,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             state.in_blocks(rest)
     grouped = cut(classes.where("n > 0").join(small_or_plain(state.labels, ID_ROWS), F.col("rep") == F.col("node"), "left").where("copies > 1 or label is not null").select("f1", "f2", F.coalesce("label", "rep").alias("label"), "least"), "grouped")
     groups = some.select("r", "k", "f1", "f2").join(small_or_plain(grouped, ID_ROWS), ["f1", "f2"]).groupBy("label").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "r")).alias("head"))
-    heads = cut(grouped.join(groups, "label").select("f1", "f2", F.col("head.k").alias("component"), F.col("head.r").alias("first")), "heads")
+    heads = cut(grouped.join(groups, "label").select("f1", "f2", F.col("head.k").alias("component"), F.col("head.r").alias("first")), "heads", keep=True)
     out = marks.select("r", "k", "n", "f1", "f2").join(small_or_plain(heads, ID_ROWS), ["f1", "f2"], "left")
     linked = (F.col("n") > 0) & F.col("first").isNotNull()
     component = F.when(linked, F.col("component")).otherwise(F.col("k"))
