@@ -51,12 +51,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         delete(spark, _scratch.pop())
 
 
-def cut(df: DataFrame, name: str, codec: str = "snappy", keep: bool = False) -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str = "snappy", keep: bool = False, path: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back, so that a lost executor costs no recomputation of what came before.
 
     Inside `scratch` the table goes at its end; with `keep` it stays as long as the scratch around that, if there is one.
+    A caller that knows the path can `delete` it earlier.
     """
-    path = shared_dir(df.sparkSession, name)
+    path = path or shared_dir(df.sparkSession, name)
     if owner := _scratch[: -1 if keep else None]:
         owner[-1].append(path)
     df.write.option("compression", codec).parquet(path)
