@@ -25,14 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import batch, cut, scratch, small_or_plain, tune
+from .common import batch, cut, delete, fresh_dir, scratch, small_or_plain, tune
 
 #: Places on the circle; a power of two.
 LOCATIONS = 1 << 20
 #: Bands and rows of a band. A pair at similarity 0.8 meets in no band with a chance of (1 - 0.8^6)^45, about 1e-6.
 BANDS, ROWS = 45, 6
-#: Rounds in which each open bucket takes one more pivot, before what is left goes to buckets of rare shingles.
-PIVOT_ROUNDS = 2
+#: Rounds in which each open bucket takes one more pivot and each document tries one of its buckets' pivots, before what is
+#: left goes to buckets of rare shingles.
+PIVOT_ROUNDS = 3
 #: Documents of an open bucket that are compared one by one; larger buckets are compared in blocks of about so many shingles
 #: and documents at most. Either way all documents of a bucket are compared.
 SMALL_BUCKET, BLOCK_SHINGLES, BLOCK_ROWS = 12, 1 << 17, 1000
@@ -248,7 +249,8 @@ class _Links:
         """Compare one document of each open bucket with those of other components; False if there was nothing to compare."""
         at = self.labelled(members)
         chosen = at.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "label", "n")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        return self._try(at, small_or_plain(cut(chosen.select("band", F.col("p.rep").alias("prep"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel")), "pivots"), ID_ROWS), "rep <> prep")
+        pivots = cut(chosen.select("band", F.col("p.rep").alias("prep"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel")), "pivots")
+        return self._try(at, small_or_plain(pivots, ID_ROWS), "rep <> prep", turn)
 
     def all_pairs(self, members: DataFrame) -> bool:
         """Compare all documents of a bucket that are in different components."""
@@ -271,10 +273,14 @@ class _Links:
         if not new.isEmpty():
             self.merge(new)
 
-    def _try(self, at: DataFrame, other: DataFrame, which: str) -> bool:
+    def _try(self, at: DataFrame, other: DataFrame, which: str, turn: int | None = None) -> bool:
+        """Verify the pairs of `at` and `other` in a band that are not in one component; with a turn, one for each document."""
         found = at.join(other, "band").where(f"{which} and label <> plabel and 100 * least(n, pn) >= {self.percent} * greatest(n, pn)")
         pairs = found.select(F.least("rep", "prep").alias("lo"), F.greatest("rep", "prep").alias("hi"), F.col("rep").alias("a"), F.col("prep").alias("b"))
-        pairs = cut(pairs.groupBy("lo", "hi").agg(F.min(F.struct("a", "b")).alias("p")).join(self.tried, ["lo", "hi"], "left_anti").select("lo", "hi", "p.a", "p.b"), "pairs")
+        pairs = pairs.distinct().join(self.tried, ["lo", "hi"], "left_anti")
+        if turn is not None:
+            pairs = pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)), "b", "lo", "hi")).alias("p")).select("a", "p.b", "p.lo", "p.hi")
+        pairs = cut(pairs.groupBy("lo", "hi").agg(F.min(F.struct("a", "b")).alias("p")).select("lo", "hi", "p.a", "p.b"), "pairs")
         if pairs.isEmpty():
             return False
         self.tried = self.tried.union(pairs.select("lo", "hi"))
@@ -304,9 +310,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int, bands: int, rows: int, pivot_rounds: int, row: str | None) -> DataFrame:
+    spark = docs.sparkSession
     number = F.col(f"`{row}`").cast("long") if row else F.monotonically_increasing_id()
     own = docs.select(number.alias("r"), F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    own = own if row else cut(own, "rows", "zstd")
+    path = fresh_dir(spark, "rows")
+    own = own if row else cut(own, "rows", "zstd", path=path)
     marks = cut(signatures(own, size, bands, rows), "marks", "zstd", keep=True)
     some = marks.where("n > 0")
     classes = cut(some.groupBy("f1", "f2").agg(F.min("r").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("k").alias("least")), "classes")
@@ -314,9 +322,10 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int, band
     single = some.join(again, ["f1", "f2"], "left").where("rep is null or rep = r").select(F.col("r").alias("rep"), "n", "bands", "sketch")
     banded = single.select("rep", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band")
-    members = cut(banded.join(shared, "band"), "members")
+    members = cut(banded.join(small_or_plain(cut(shared, "shared"), ID_ROWS), "band"), "members")
     ids = small_or_plain(cut(members.select("rep").distinct(), "ids"), ID_ROWS)
     sets = shingle_sets(own, ids, size)
+    delete(spark, [path])
     state = _Links(sets, cut(single.join(ids, "rep", "left_semi").select("rep", "sketch"), "sketches"), percent, most_different(bands * rows, percent))
     for turn in range(pivot_rounds):
         if not state.pivots(members, turn):
