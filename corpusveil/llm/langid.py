@@ -8,6 +8,7 @@ the training leaves out, calibrates the probabilities. Prediction reads each tex
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,9 @@ SCALE = 10.0
 #: What the calling stage of a pipeline takes as undecided.
 LEAST_SCORE = 0.35
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What is no letter by its Unicode category: besides digits also other numerals, which count as word characters.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -67,6 +70,12 @@ class Model:
         return softmax((total / len(g) + self.bias) / self.temperature)
 
 
+    def decide(self, text: str | None) -> tuple[str, float]:
+        """The likeliest language and its probability; `und` and 0 if the text has no letter."""
+        p = self.probabilities(text)
+        return ("und", 0.0) if p is None else (self.languages[int(p.argmax())], float(p.max()))
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -164,12 +173,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = [], []
-            for t in b.column("t").to_pylist():
-                p = model.probabilities(t)
-                langs.append("und" if p is None else model.languages[int(p.argmax())])
-                scores.append(0.0 if p is None else float(p.max()))
-            yield batch(schema, k=b.column("k"), lang_pred=langs, score=scores)
+            found = [model.decide(t) for t in b.column("t").to_pylist()]
+            yield batch(schema, k=b.column("k"), lang_pred=[x for x, _ in found], score=[s for _, s in found])
 
     return docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "k long, lang_pred string, score double")
 
@@ -193,3 +198,19 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     tune(docs.sparkSession)
     model = fit(training_rows(docs, key, text, lang, folds, fold))
     return predict(docs, model, key, text).select("k", held_out(F.col("k"), folds, fold).alias("held_out"), "lang_pred", "score")
+
+
+def decided(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, fold: int = 2, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of `docs`, as they are, whose language is decided: the text has a letter and the score is `least` or more.
+
+    Trains like `identify`. Each row is judged by its own text, so rows that repeat a key, or have none, stay
+    or go by themselves. If no row has a label, all go; an empty table stays empty.
+    """
+    tune(docs.sparkSession)
+    model = fit(training_rows(docs, key, text, lang, folds, fold))
+
+    def sure(t: pa.Array) -> pa.Array:
+        found = [model.decide(x) for x in t.to_pylist()]
+        return pa.array([x != "und" and s >= least for x, s in found], pa.bool_())
+
+    return docs.where(F.arrow_udf(sure, "boolean")(F.col(f"`{text}`").cast("string")))

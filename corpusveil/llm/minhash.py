@@ -354,3 +354,18 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int, band
     component = F.when(linked, F.col("component")).otherwise(F.col("k"))
     out = out.select("r", "k", F.col("n").alias("n_shingles"), component.alias("component"), F.when(linked, F.col("first") == F.col("r")).otherwise(True).alias("first"))
     return out.withColumn("kept", F.col("k").eqNullSafe(F.col("component")))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row, as it is, of each group of near-duplicate rows of `docs`: the smallest key, null keys last, of repeated ones any one.
+
+    Rows that repeat key and text are one group, of which one stays. Rows without a word link with nothing
+    and all stay. Rows are written once with a number, so that keys need not be unique or known.
+    """
+    spark = docs.sparkSession
+    with scratch(spark):
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        rows = cut(docs.select(F.monotonically_increasing_id().alias("r"), whole.alias("d")), "numbered", "zstd", keep=True)
+        own = rows.select("r", F.col("d").getField(key).alias("k"), F.col("d").getField(text).alias("t"))
+        dropped = cut(near_duplicates(own, "k", "t", size, percent, row="r").where("not first").select("r"), "dropped", keep=True)
+        return rows.join(small_or_plain(dropped, ID_ROWS), "r", "left_anti").select("d.*")

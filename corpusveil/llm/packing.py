@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, small_or_plain, texts, tune
+from .common import batch, cut, scratch, small_or_plain, texts, tune
 from .tokens import encoder
 
 #: Most rounds of multiplicative weights, and the gap to the dual bound at which they end.
@@ -223,12 +223,17 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer:
     is packed, repeated keys and null keys too; an empty table gives no rows.
     """
     tune(docs.sparkSession)
-    cut_ = cut(pieces(docs, key, text, tokenizer, capacity, end_id), "pieces")
+    with scratch(docs.sparkSession):
+        return _packed(pieces(docs, key, text, tokenizer, capacity, end_id), capacity)
+
+
+def _packed(found: DataFrame, capacity: int) -> DataFrame:
+    cut_ = cut(found, "pieces", keep=True)
     counts = cut(cut_.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = slots(solve(histogram, capacity)[0])
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "length", "base")
+    bases = cut(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "length", "base"), "bases", keep=True)
     ranked = cut_.join(small_or_plain(bases), ["part", "length"]).select("k", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
     schema = pa.schema([("k", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 

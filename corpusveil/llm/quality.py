@@ -6,11 +6,10 @@ text costs one row; only counts by host are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import cut, small_or_plain, tune
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -27,11 +26,6 @@ RULES = {
 BASE_RULES = ("short", "repetitive")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """The body with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def repeated_words(words: Column) -> Column:
     """How many words stand in windows of three words that occur twice or more."""
 
@@ -58,7 +52,12 @@ def repeated_words(words: Column) -> Column:
 
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """k, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each row; a null text is as an empty one."""
-    own = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{host}`").cast("string").alias("host"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    return measured_with(docs, F.col(f"`{key}`"), text, host)
+
+
+def measured_with(docs: DataFrame, carried: Column, text: str, host: str) -> DataFrame:
+    """The measures of each row, with another column as k."""
+    own = docs.select(carried.alias("k"), F.col(f"`{host}`").cast("string").alias("host"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     words = F.filter(F.split("t", SPACE), lambda w: w != "")
     lines = F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     of_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words")))
@@ -91,8 +90,24 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     judged and returned each; an empty text fails the base rules.
     """
     tune(docs.sparkSession)
-    measured = cut(measures(docs, key, text, host), "measures")
+    found = verdicts(cut(measures(docs, key, text, host), "measures"), max_rate)
+    return found.select("k", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def verdicts(measured: DataFrame, max_rate: float) -> DataFrame:
+    """Measured rows with base_failed and kept."""
     hosts = small_or_plain(host_verdicts(measured, max_rate=max_rate).select(F.col("host").alias("own"), "rejected"))
     base = F.expr(" or ".join(f"({RULES[r]})" for r in BASE_RULES))
     out = measured.join(hosts, F.col("host").eqNullSafe(F.col("own")), "left").withColumn("base_failed", base)
-    return out.select("k", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected"))
+
+
+def passing(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
+    """The rows of `docs`, as they are, that pass the base rules and whose host is not rejected.
+
+    Each row is judged by itself, whatever its key, so repeated rows stay or go alike; a null host is a host
+    of its own. The rows are written once with their measures, and only counts by host are shuffled.
+    """
+    tune(docs.sparkSession)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return verdicts(cut(measured_with(docs, whole, text, host), "measures"), max_rate).where("kept").select("k.*")

@@ -35,7 +35,8 @@ class CachedEncoder:
     """Encodes texts with a tokenizer file of the tokenizers library.
 
     A text falls into chunks that the tokenizer treats one by one, so ids can be kept by chunk. The ids
-    come from the library alone. Special tokens' strings in a text are ordinary text.
+    come from the library alone, as it gives them by itself: a text that has the string of a special token
+    goes to it whole, and that string becomes the token.
     """
 
     def __init__(self, path: str, keeps_space: bool):
@@ -43,7 +44,7 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks = _keeping if keeps_space else _dropping
         self.cache: dict[str, bytes] = {}
 
@@ -51,7 +52,7 @@ class CachedEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         known, cut, got, missing = self.cache.get, [], [], set()
         for t in texts:
-            chunks = self.chunks(t)
+            chunks = [t] if any(s in t for s in self.special) else self.chunks(t)
             ids = list(map(known, chunks))
             if None in ids:
                 missing.update(c for c, x in zip(chunks, ids, strict=True) if x is None)

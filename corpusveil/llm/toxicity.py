@@ -1,13 +1,22 @@
-"""Toxicity by a weighted finite-state grammar over clauses.
+"""Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, reporting verb). Small transducers, each with
-one concern, are composed into one machine: negation and reported speech relabel the insults in their
-reach, the target transducer relabels insults near a person addressed, and the threat transducer joins a
-threat to its target. The machine runs over each clause that has an insult or a threat; the matches of a
-document, by kind and weight, go into a logistic score.
+A text falls into clauses, a clause into words, and words become symbols: the lexicon transducer reads a
+word letter by letter and ends as an insult with a weight; short fixed lists give threats, targets, frames
+(determiners and copulas), negations and reporting verbs. Small transducers with weighted arcs, each with
+one concern, are composed into two machines. The first reads a clause from left to right:
 
-The insult lexicon is learned from labels: words and word stems that toxic documents surely have more
-often than clean ones, in varied places. The few other word lists are fixed.
+- negation and reported speech: an insult in their reach changes its label, and its arc takes weight away;
+- target: an insult soon after a person addressed becomes aimed;
+- frame: an insult in a clause with a frame word before it, or that opens the clause, becomes predicated;
+- threat: a threat becomes a menace when its target follows.
+
+The second reads what the first wrote from right to left, and does the same for targets and frames that come
+after the insult. An insult that no pattern takes up passes with weight 0, so isolated words do not score. A clause's weight
+is the sum over its path of arc weight times word weight; a clause matches if that is positive. The sum of
+all clause weights, the number of matching clauses and the number of clauses go into a logistic score.
+
+The lexicon is learned from labels: words and stems that toxic documents surely have more often than clean
+ones, in varied places. The other word lists and the arc weights are fixed values.
 """
 
 from __future__ import annotations
@@ -17,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import pairwise
 
 import numpy as np
@@ -27,27 +37,32 @@ from pyspark.sql import functions as F
 from .common import batch, cut, small_or_plain, tune
 from .langid import held_out
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED, NEGATED, REPORTED, MENACE = range(10)
-SYMBOLS = 10
-#: The kinds of matches that count, each a feature of a document.
-KINDS = (INSULT, AIMED, NEGATED, REPORTED, MENACE)
+OTHER, INSULT, THREAT, TARGET, FRAME, NEGATION, REPORT, AIMED, PREDICATED, NEGATED, REPORTED, MENACE = range(12)
+SYMBOLS = 12
 #: Words of the grammar besides the learned insults (English, French, German, Spanish).
 WORDS = {
     THREAT: "kill hurt destroy beat crush smash tuer frapper töten schlagen matar golpear",
-    TARGET: "you your yours he she they them toi vous tu du dich ihr euch sie usted ustedes él ella ellos",
+    TARGET: "you your yours he she they them his her their toi vous tu tes vos lui leur du dich ihr euch dein er sie usted ustedes él ella ellos tu su",
+    FRAME: "a an the this that these those such is are was were be of for with to in as like on from and or "
+    "un une le la les ce cette ces des est sont était de du en pour avec comme et ou que qui "
+    "ein eine einen der die das dieser diese den dem ist sind war von mit zu für als wie und oder "
+    "es el los las este esta ese esa son era con para como y o",
     NEGATION: "not no never nobody isn aren wasn ne pas jamais nicht kein keine nie nunca jamás",
     REPORT: "said says called quoted reported wrote claimed dit cité écrit sagte nannte schrieb dijo llamó escribió",
 }
-#: About so many labelled rows of each class are used to learn the lexicon and the weights.
+#: Weights of the arcs that write these labels, times the word's weight; the weight of a threat and of a menace's target word is 1.
+WEIGHTS = {AIMED: 1.5, PREDICATED: 1.0, NEGATED: -0.5, REPORTED: -0.5, MENACE: 3.0}
+#: How many words further negation, targets and threats still reach; frames and reporting verbs reach to the clause's end.
+REACH = {NEGATION: 3, TARGET: 4, FRAME: 0, REPORT: 0, THREAT: 4}
+#: About so many labelled rows of each class are used to learn the lexicon and the weights. This bounds the lexicon as well.
 SAMPLE = {1: 4000, 0: 8000}
-#: Lengths of stems. A stem is an insult if its log odds, less SURENESS standard errors, are LEAST_ODDS or more.
-STEMS, SURENESS, LEAST_ODDS = (3, 4, 5, 6, 7, 8), 2.0, 2.2
+#: Lengths of stems. A stem is an insult if LEAST_TOXIC documents of the sample or more have it and its log odds, less SURENESS standard errors, are LEAST_ODDS or more.
+STEMS, SURENESS, LEAST_ODDS, LEAST_TOXIC = (3, 4, 5, 6, 7, 8), 2.0, 1.2, 6
+#: The log odds are its weight.
 #: It must also stand after different words, VARIED of its documents' number or ENOUGH: words of one often copied text do not.
 VARIED, ENOUGH = 0.4, 20
 #: A stem goes if a longer one, or a whole word, has this share of its toxic documents.
 FULLER = 0.9
-#: Most stems in a lexicon, the surest ones.
-CANDIDATES = 8000
 CACHE_WORDS = 300_000
 THRESHOLD = 0.7
 
@@ -57,80 +72,146 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Transducer:
-    """A deterministic transducer: next state, output symbol and weight for each state and input symbol."""
+    """A deterministic transducer: next state, output symbol and weight of the arc for each state and input symbol."""
 
     next: np.ndarray
     out: np.ndarray
+    weight: np.ndarray
 
     def then(self, other: Transducer) -> Transducer:
-        """The composition: the other machine reads this one's output. State (a, b) is a * states of other + b."""
+        """The composition: the other machine reads what this one writes; weights add up. State (a, b) is a * states of other + b."""
         m, n = len(self.next), len(other.next)
         a, b = np.repeat(np.arange(m), n), np.tile(np.arange(n), m)
         out = self.out[a]
-        return Transducer(self.next[a] * n + other.next[b[:, None], out], other.out[b[:, None], out])
+        return Transducer(self.next[a] * n + other.next[b[:, None], out], other.out[b[:, None], out], self.weight[a] + other.weight[b[:, None], out])
+
+    def path(self, symbols: list[int]) -> tuple[list[int], list[float]]:
+        """Outputs and weights of the arcs that a clause takes."""
+        nxt, out, weight = self.tables
+        state, labels, weights = 0, [], []
+        for x in symbols:
+            labels.append(out[state][x])
+            weights.append(weight[state][x])
+            state = nxt[state][x]
+        return labels, weights
+
+    @cached_property
+    def tables(self) -> tuple[list, list, list]:
+        return self.next.tolist(), self.out.tolist(), self.weight.tolist()
 
 
 def window(opens: int, reach: int, relabel: dict[int, int]) -> Transducer:
-    """After the symbol `opens`, up to `reach` words later (0: to the clause's end), relabel symbols."""
+    """After the symbol `opens`, up to `reach` words later (0: to the clause's end), relabel symbols and weigh their arcs."""
     states = 1 + max(1, reach)
     nxt, out = np.zeros((states, SYMBOLS), dtype=np.int64), np.tile(np.arange(SYMBOLS), (states, 1))
+    weight = np.zeros((states, SYMBOLS))
     for s in range(1, states):
         nxt[s] = s if reach == 0 else s - 1
         for x, y in relabel.items():
-            out[s, x] = y
+            out[s, x], weight[s, x] = y, WEIGHTS.get(y, 0.0)
     nxt[:, opens] = states - 1
-    return Transducer(nxt, out)
+    return Transducer(nxt, out, weight)
+
+
+def opening(relabel: dict[int, int]) -> Transducer:
+    """Relabels the first word of a clause."""
+    nxt, out, weight = np.ones((2, SYMBOLS), dtype=np.int64), np.tile(np.arange(SYMBOLS), (2, 1)), np.zeros((2, SYMBOLS))
+    for x, y in relabel.items():
+        out[0, x], weight[0, x] = y, WEIGHTS.get(y, 0.0)
+    return Transducer(nxt, out, weight)
+
 
+def grammar() -> tuple[Transducer, Transducer]:
+    """The machine from left to right (negation, reported speech, target, frame, opening, threat) and that from right to left (target, frame, end of the clause)."""
+    negation = window(NEGATION, REACH[NEGATION], {INSULT: NEGATED, THREAT: OTHER})
+    report = window(REPORT, REACH[REPORT], {INSULT: REPORTED, THREAT: OTHER})
+    target = window(TARGET, REACH[TARGET], {INSULT: AIMED})
+    frame = window(FRAME, REACH[FRAME], {INSULT: PREDICATED})
+    threat = window(THREAT, REACH[THREAT], {TARGET: MENACE})
+    edge = opening({INSULT: PREDICATED})
+    return negation.then(report).then(target).then(frame).then(edge).then(threat), target.then(frame).then(edge)
 
-def grammar() -> Transducer:
-    """All transducers composed, in the order negation, reported speech, target, threat."""
-    negation = window(NEGATION, 3, {INSULT: NEGATED, THREAT: OTHER})
-    report = window(REPORT, 0, {INSULT: REPORTED, THREAT: OTHER})
-    target = window(TARGET, 4, {INSULT: AIMED})
-    threat = window(THREAT, 4, {TARGET: MENACE})
-    return negation.then(report).then(target).then(threat)
+
+@dataclass
+class Lexicon:
+    """The insult transducer: a tree of letters, whose states carry the weight of the stem or whole word that ends there."""
+
+    nodes: list[dict[str, int]] = field(default_factory=lambda: [{}])
+    weight: list[float] = field(default_factory=lambda: [0.0])
+
+    @classmethod
+    def of(cls, units: dict[str, float]) -> Lexicon:
+        out = cls()
+        for unit, weight in units.items():
+            at = 0
+            for letter in unit:
+                if letter not in out.nodes[at]:
+                    out.nodes[at][letter] = len(out.nodes)
+                    out.nodes.append({})
+                    out.weight.append(0.0)
+                at = out.nodes[at][letter]
+            out.weight[at] = weight
+        return out
+
+    def read(self, word: str) -> float:
+        """The largest weight on the word's path, at stems and at its end; 0 if no state accepts."""
+        at, best = 0, 0.0
+        for letter in f"{word}$":
+            if (at := self.nodes[at].get(letter)) is None:
+                return best
+            best = max(best, self.weight[at])
+        return best
+
+
+FEATURES = 3
 
 
 @dataclass
 class Scorer:
-    """Lexicon and weights; scores whole texts."""
+    """Lexicon, machine and weights; scores whole texts."""
 
-    lexicon: dict[str, float]
-    theta: np.ndarray = field(default_factory=lambda: np.zeros(len(KINDS) + 1))
+    lexicon: Lexicon
+    theta: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
     known: dict[str, tuple[int, float]] = field(default_factory=dict)
-    machine: Transducer = field(default_factory=grammar)
+    machines: tuple[Transducer, Transducer] = field(default_factory=grammar)
 
     def __getstate__(self) -> dict:
-        return {"lexicon": self.lexicon, "theta": self.theta, "known": {}, "machine": self.machine}
+        return {"lexicon": self.lexicon, "theta": self.theta, "known": {}, "machines": self.machines}
 
     def symbol(self, word: str) -> tuple[int, float]:
         """A word's symbol and weight, kept by word."""
         if (found := self.known.get(word)) is None:
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
-            weight = max((self.lexicon.get(s, 0.0) for s in stems(word)), default=0.0)
+            weight = self.lexicon.read(word)
             found = (INSULT, weight) if weight else (_FIXED.get(word, OTHER), 1.0)
             self.known[word] = found
         return found
 
-    def features(self, text: str) -> np.ndarray:
-        """Log of one plus the weight of the matches of each kind."""
-        total = np.zeros(SYMBOLS)
+    def clauses(self, text: str) -> tuple[list[float], int]:
+        """The weights of the clauses that have an insult or a threat, and the number of all clauses with a word."""
+        found, total = [], 0
         for clause in _CLAUSE.split(text.lower()):
-            symbols = [self.symbol(w) for w in _WORD.findall(clause)]
-            if any(s in (INSULT, THREAT) for s, _ in symbols):
-                state = 0
-                for s, weight in symbols:
-                    total[self.machine.out[state, s]] += weight
-                    state = self.machine.next[state, s]
-        return np.log1p(total[list(KINDS)])
+            words = list(map(self.symbol, _WORD.findall(clause)))
+            total += bool(words)
+            if any(s in _BEARING for s, _ in words):
+                labels, there = self.machines[0].path([s for s, _ in words])
+                _, back = self.machines[1].path(labels[::-1])
+                found.append(sum((x + y) * w for x, y, (_, w) in zip(there, back[::-1], words, strict=True)))
+        return found, total
+
+    def features(self, text: str) -> np.ndarray:
+        """Logs of one plus the sum of clause weights (0 if negative), the number of matching clauses, and the number of clauses."""
+        found, total = self.clauses(text)
+        return np.log1p(np.array([max(0.0, sum(found)), sum(x > 0 for x in found), total]))
 
     def score(self, text: str) -> float:
         z = float(self.theta[:-1] @ self.features(text) + self.theta[-1])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-_FIXED = {w: symbol for symbol, words in WORDS.items() for w in words.split()}
+_BEARING = frozenset((INSULT, THREAT))
+_FIXED = {w: symbol for symbol, words in reversed(WORDS.items()) for w in words.split()}
 
 
 def stems(word: str) -> list[str]:
@@ -162,8 +243,8 @@ def learn(rows: DataFrame) -> Scorer:
     sums = rows.select("t", "y").mapInArrow(count, "unit string, pos long, neg long").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((F.col("neg") + 0.5) / (clean + 1))
     surely = odds - SURENESS * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    best = sums.withColumn("odds", odds).withColumn("surely", surely).where(F.col("surely") >= LEAST_ODDS).orderBy(F.desc("surely"), "unit").limit(CANDIDATES).collect()
-    wanted = {r["unit"]: (r["odds"], r["pos"]) for r in best}
+    best = sums.withColumn("weight", odds).where((surely >= LEAST_ODDS) & (F.col("pos") >= LEAST_TOXIC)).collect()
+    wanted = {r["unit"]: (r["weight"], r["pos"]) for r in best}
     places = pa.schema([("unit", pa.string()), ("before", pa.string())])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +254,7 @@ def learn(rows: DataFrame) -> Scorer:
 
     varied = {r["unit"]: r["n"] for r in rows.where("y = 1").select("t").mapInArrow(match, "unit string, before string").groupBy("unit").agg(F.count_distinct("before").alias("n")).collect()}
     fuller = {u.rstrip("$")[:n] for u, (_, pos) in wanted.items() for n in STEMS if n < len(u) and pos >= FULLER * wanted.get(u.rstrip("$")[:n], (0, pos + 1))[1]}
-    scorer = Scorer({u: float(odds) for u, (odds, pos) in wanted.items() if u not in fuller and varied.get(u, 0) >= min(VARIED * pos, ENOUGH)})
+    scorer = Scorer(Lexicon.of({u: float(weight) for u, (weight, pos) in wanted.items() if u not in fuller and varied.get(u, 0) >= min(VARIED * pos, ENOUGH)}))
     shape = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +263,24 @@ def learn(rows: DataFrame) -> Scorer:
 
     table = rows.select("t", "y").mapInArrow(features, "y int, x array<double>").toArrow()
     y = np.array(table.column("y").to_pylist(), dtype=float)
-    x = np.array(table.column("x").to_pylist(), dtype=float).reshape(len(y), len(KINDS))
-    scorer.theta = logistic(np.hstack([x, np.ones((len(y), 1))]), y)
+    x = np.array(table.column("x").to_pylist(), dtype=float).reshape(len(y), FEATURES)
+    scorer.theta = rising(x, y)
     return scorer
 
 
+def rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights of the features and the intercept, of which the first two, which speak for toxicity, are not negative."""
+    use = [0, 1, 2]
+    while True:
+        theta = logistic(np.hstack([x[:, use], np.ones((len(y), 1))]), y)
+        wrong = [i for i, t in zip(use, theta, strict=False) if i < 2 and t < 0]
+        if not wrong:
+            out = np.zeros(FEATURES + 1)
+            out[[*use, FEATURES]] = theta
+            return out
+        use = [i for i in use if i not in wrong]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
     """Ridge logistic regression by Newton's method; the last column is the intercept, which has no penalty."""
     theta, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)

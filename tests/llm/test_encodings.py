@@ -14,17 +14,19 @@ from corpusveil.llm.html import extract, main_text
 from corpusveil.llm.queries import tokenizer
 from corpusveil.llm.records import crc32c, frames, read_at, read_frames, read_records, write_records
 from corpusveil.llm.tokens import CachedEncoder
-from corpusveil.llm.toxicity import NEGATION, Scorer, grammar, score
 
 ODD = ["", " ", "a", "don't stop's", "İ'll ²½Ⅷ", "é x", "tab\t\x1c\x85 nbsp\xa0end  ", "<|endoftext|> 's", "日本 😀\n\n  x", "a__*b ''s 1's ٣", "Σίσυφος ς"]
 
 
 @pytest.mark.parametrize(("name", "keeps"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_cached_ids_equal_the_librarys(name, keeps):
-    e = CachedEncoder(tokenizer(name), keeps)
+    from tokenizers import Tokenizer
+
+    e, plain = CachedEncoder(tokenizer(name), keeps), Tokenizer.from_file(tokenizer(name))
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choices("".join(ODD), k=rng.randint(0, 40))) for _ in range(2000)]
-    want = [np.array(x.ids, dtype="<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts += ["<|startoftext|>", "a<|endoftext|>b", " <|endoftext|>  word <|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "long " * 50 + "<|startoftext|>é"]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
     assert e.encode(texts) == want and e.encode(texts) == want
 
 
@@ -88,26 +90,6 @@ def test_branches_that_repeat_on_a_host_go(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_toxic_clauses(spark):
-    s = Scorer({"moron$": 5.0})
-    plain, aimed, negated, reported = (s.features(t) for t in ("a moron here", "you are a moron", "not a moron", "she was what he called a moron"))
-    assert plain[0] > 0 and aimed[1] > 0 and negated[2] > 0 and reported[3] > 0 and s.features("moronic").sum() == 0
-    assert s.features("I will kill you")[4] > 0 and grammar().next[0, NEGATION] > 0
-    rng = random.Random(1)
-    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
-    rows, labels = [], []
-    for i in range(400):
-        t, bad = rng.choices(words, k=30), i % 4 == 0
-        if bad:
-            t[rng.randrange(30)] = rng.choice(["zukko", "zukkela"])
-        rows.append((i, " ".join(t)))
-        labels.append((i, int(bad)))
-    got = score(spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
-    assert all(r["predicted"] == dict(labels)[r["k"]] for r in got if r["k"] < 400)
-    assert {r["predicted"] for r in got if r["k"] >= 900} == {0} and {r["held_out"] for r in got if r["k"] == 3} == {zlib.crc32(b"3") % 3 == 1}
-    assert score(spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")).first()["score"] == 0.5
-
-
 def test_segmentations_are_lossless_and_seeded(spark):
     texts = [*ODD, None, "▁ literal", "internationalisation " * 50, "x" * 300]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
