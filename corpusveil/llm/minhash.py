@@ -33,7 +33,7 @@ LOCATIONS = 1 << 20
 BANDS, ROWS = 45, 6
 #: Rounds in which each open bucket takes one more pivot and each document tries one of its buckets' pivots, before what is
 #: left goes to buckets of rare shingles.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS, PREFIX_ROUNDS = 3, 2
 #: Documents of an open bucket that are compared one by one; larger buckets are compared in blocks of about so many shingles
 #: and documents at most. Either way all documents of a bucket are compared.
 SMALL_BUCKET, BLOCK_SHINGLES, BLOCK_ROWS = 12, 1 << 17, 1000
@@ -172,11 +172,14 @@ def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     n - ceil(percent * n / 100) + 1 of their n shingles. So a common passage in otherwise different texts
     makes no bucket. Returns band (a shingle), rep, n.
     """
-    each = sets.select("rep", "n", F.explode("shingles").alias("band"))
-    common = each.groupBy("band").agg(F.count("*").alias("df"))
+    each = sets.select("rep", F.explode("shingles").alias("band"))
+    common = cut(each.groupBy("band").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    # Shingles of one set alone come first and make no bucket, so only the others are counted off, from where those end.
+    shared = each.join(common, "band")
     order = Window.partitionBy("rep").orderBy("df", "band")
-    first = each.join(common, "band").withColumn("place", F.row_number().over(order)).where(f"place <= n - (({percent} * n + 99) div 100) + 1")
-    return first.where("df > 1").select("band", "rep", "n")
+    placed = shared.select("rep", "band", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("rep")).alias("shared"))
+    first = placed.join(sets.select("rep", "n"), "rep").where(f"n - shared + place <= n - (({percent} * n + 99) div 100) + 1")
+    return first.select("band", "rep", "n")
 
 
 def linked_in_group(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
@@ -331,13 +334,10 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int, band
         if not state.pivots(members, turn):
             break
     rest = state.open_buckets(members)
-    if rest is not None:
-        state.all_pairs(rest.where(f"rows <= {SMALL_BUCKET}"))
-        rest = state.open_buckets(rest.where(f"rows > {SMALL_BUCKET}"))
     if rest is not None:
         mine = sets.join(small_or_plain(rest.select("rep").distinct(), ID_ROWS), "rep", "left_semi")
         rest = cut(rare_prefixes(mine, percent), "prefixes")
-        for turn in range(pivot_rounds):
+        for turn in range(PREFIX_ROUNDS):
             if not state.pivots(rest, pivot_rounds + turn):
                 break
         rest = state.open_buckets(rest)
