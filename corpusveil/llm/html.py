@@ -4,10 +4,11 @@ Pages of a host are merged by the style paths of all their elements (tag and cla
 A branch whose text is the same on the host's different pages has a low entropy and so a low importance;
 likewise one whose presentation never varies. The leaves are the text blocks of an element: a block that
 stands on most of the different pages which have the element spreads evenly over them and so has a low
-importance, though the element's other blocks differ. Branches and leaves of low importance are removed
-from each page. Tags, roles and classes that say no article decide only in between: such a branch goes
-unless its importance is high on enough pages. Pages with equal text count once, so a host of copies
-keeps its article; a host with few different pages has no tree, and tags alone decide.
+importance, though the element's other blocks differ. Importances are shrunk towards 1 by PRIOR pages, so
+few pages say little. On each page a branch's importance is combined up the tree: half its own, half its
+children's by their share of text. Branches and leaves of low importance are removed from each page. Tags,
+roles and classes that say no article decide only in between: such a branch goes unless its importance is
+high on enough pages. Pages with equal text count once, so a host of copies keeps its article.
 
 Only hashes by host and path are shuffled. Counts are pre-aggregated by (host, path, content), so a host
 with a third of all pages is spread over its contents.
@@ -17,23 +18,28 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, small_or_plain, tune
+from .common import batch, cut, scratch, tune
 
-#: A branch goes if its importance is below this on a host with at least so many different pages.
-LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 5
+#: A branch or leaf goes if its importance is below this. CHILDREN is the children's part of a branch's importance, so one with
+#: an own importance of LEAST_IMPORTANCE / (1 - CHILDREN) or more never goes. PRIOR is the weight of the prior, in pages.
+LEAST_IMPORTANCE, CHILDREN, PRIOR = 0.2, 0.5, 1.0
 #: A branch that the lists call no article stays if its content's importance is this on so many different pages. Texts dealt
 #: out of v variants have one of at most log v / log m on m pages, so a hundred pages tell menus of up to 79 variants from running text.
 SURE_CONTENT, SURE_PAGES = 0.95, 100
 #: Elements that hold every page, so that none is removed; and what keeps places of leaves apart from paths.
 PAGE, LEAF = frozenset(("", "html", "body")), 0x5EAF
+#: Most places (16 bytes each) of all hosts that are broadcast; they are counted first.
+PLACES = 1_000_000
 #: Share of the presentation in a branch's importance; the rest is its content's.
 PRESENTATION = 0.1
 
@@ -52,13 +58,14 @@ CLOSES = {t: ("p", "") for t in "address article aside blockquote center details
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr"), "th": ("td th", "tr"), "option": ("option", "select"),
 }
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_END = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """An element: what it is, its style path, its text blocks in page order with its descendants'."""
 
@@ -71,6 +78,7 @@ class Node:
     main: int = 0
     parts: list[str | Node] = field(default_factory=list)
     style: list[str] = field(default_factory=list)
+    size: int = 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -81,7 +89,7 @@ def _hidden(tag: str, a: dict[str, str], raw: str) -> bool:
     """Whether no reader of the page sees the element."""
     if tag in ("html", "body", "main", "article"):
         return False
-    return tag == "head" or a.get("aria-hidden") == "true" or bool(a.get("style") and _HIDDEN.search(a["style"].lower())) or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw))
+    return tag in ("head", "title") or a.get("aria-hidden") == "true" or bool(a.get("style") and _HIDDEN.search(a["style"].lower())) or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw))
 
 
 def _no_article(tag: str, a: dict[str, str], inside: bool) -> tuple[bool, bool]:
@@ -98,10 +106,63 @@ def _no_article(tag: str, a: dict[str, str], inside: bool) -> tuple[bool, bool]:
     return named, named
 
 
+def _facts(tag: str, rest: str, inside: bool) -> tuple[str, bool, bool, bool, bool]:
+    """An element's look, whether it is hidden, no article by the lists, and that by its name alone, and whether its role is main."""
+    a = _attributes(rest)
+    return f"{tag}.{'.'.join(sorted(a.get('class', '').lower().split()))}", _hidden(tag, a, rest), *_no_article(tag, a, inside), a.get("role", "").lower() == "main"
+
+
+_known = lru_cache(maxsize=4096)(_facts)
+#: CLOSES as sets.
+_CLOSES = {t: tuple(frozenset(x.split()) for x in pair) for t, pair in CLOSES.items()}
+
+
+def tags(source: str) -> Iterator[tuple[str, str, bool, str]]:
+    """The text before each tag, the tag's name, whether it is an end tag, and its attributes; last the text after all, without a name.
+
+    Quotes hide a ">". A quote that is never closed is an ordinary character; after a tag that runs to the end
+    of the page, quotes hide nothing. So each character is looked at a few times at most.
+    """
+    last = {q: source.rfind(q) for q in "\"'"}
+    at = begin = 0
+    quoted = True
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith(("<!", "<?"), at):
+            comment = source.startswith("<!--", at)
+            end = source.find("-->" if comment else ">", at + 4 if comment else at)
+            if end < 0 and not comment:
+                break
+            yield source[begin:at], "", False, ""
+            at = begin = len(source) if end < 0 else end + (3 if comment else 1)
+            continue
+        if not (m := _NAME.match(source, at)):
+            at += 1
+            continue
+        end, place = -1, m.end()
+        while quoted and (q := _END.search(source, place)):
+            if q[0] == ">":
+                end = q.start()
+                break
+            place = source.index(q[0], q.end()) + 1 if q.start() < last[q[0]] else q.end()
+        if end < 0:
+            quoted = False
+            end = source.find(">", m.end())
+            if end < 0:
+                break
+        yield source[begin:at], m[1].lower(), source[at + 1] == "/", source[m.end() : end]
+        at = begin = end + 1
+    yield source[begin:], "", False, ""
+
+
 def parse(source: str) -> Node:
-    """The tree of a page. Unclosed elements end where HTML ends them; raw elements are skipped whole."""
+    """The tree of a page. Unclosed elements end where HTML ends them; raw elements are skipped whole, hidden or listed inline ones are muted."""
     root = node = Node("", 0, False, False, False, None)
     text: list[str] = []
+    open_: Counter[str] = Counter()
+    endless: set[str] = set()
+    mute, depth, skip = "", 0, ""
+    low: str | None = None
+    at = 0
 
     def flush() -> None:
         if text:
@@ -109,78 +170,101 @@ def parse(source: str) -> Node:
                 node.parts.append(block)
             text.clear()
 
-    def put(raw: str) -> None:
-        if raw:
+    for raw, tag, closing, rest in tags(source):
+        at += len(raw)
+        if skip:
+            # Inside a raw element whose end is known to come.
+            if closing and tag == skip:
+                skip = ""
+            continue
+        if raw and not mute:
             text.append(html.unescape(raw) if "&" in raw else raw)
-
-    at = 0
-    while m := _TAG.search(source, at):
-        put(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
             if tag in INLINE:
+                if tag == mute:
+                    depth -= 1
+                    mute = mute if depth else ""
                 continue
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
+            if open_.get(tag):
                 flush()
-                node = up.parent
+                mute = ""
+                while node.tag != tag:
+                    open_[node.tag] -= 1
+                    node = node.parent
+                open_[tag] -= 1
+                node = node.parent
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            if rest.endswith("/") or tag in endless:
+                continue
+            low = source.lower() if low is None else low
+            if low.find(f"</{tag}", at) >= 0:
+                skip = tag
+            elif tag in ("script", "style", "template", "textarea"):
+                break
+            else:
+                endless.add(tag)
             continue
         if tag in INLINE or tag in VOID:
+            if mute:
+                depth += tag == mute
+            elif "=" in rest or "hidden" in rest:
+                if tag in INLINE and any((_known if len(rest) < 200 else _facts)(tag, rest, True)[1:3]):
+                    mute, depth = tag, 1
             if tag in ("br", "hr", "wbr", "img"):
                 text.append(" ")
             if tag == "hr":
                 flush()
             continue
         flush()
-        if tag in CLOSES:
-            ends, stops = (set(x.split()) for x in CLOSES[tag])
-            up = node
-            while up is not root and up.tag not in ends and up.tag not in stops and (tag in ("li", "dt", "dd", "tr", "td", "th") or up.tag in TEXT):
-                up = up.parent
-            if up.tag in ends:
-                node = up.parent
-        a = _attributes(m[3])
-        look = f"{tag}.{'.'.join(sorted(a.get('class', '').lower().split()))}"
+        mute = ""
+        if tag in _CLOSES:
+            ends, stops = _CLOSES[tag]
+            if any(open_.get(x) for x in ends):
+                up = node
+                while up is not root and up.tag not in ends and up.tag not in stops and (tag in ("li", "dt", "dd", "tr", "td", "th") or up.tag in TEXT):
+                    up = up.parent
+                if up.tag in ends:
+                    while node is not up:
+                        open_[node.tag] -= 1
+                        node = node.parent
+                    open_[node.tag] -= 1
+                    node = node.parent
+        look, hidden, no_article, named, is_main = (_known if len(rest) < 200 else _facts)(tag, rest, node.main > 0)
         node.style.append(look)
-        inside = bool(node.main)
-        child = Node(tag, xxhash.xxh3_64_intdigest(look, seed=node.path) >> 1, _hidden(tag, a, m[3]), *_no_article(tag, a, inside), node, node.main)
+        child = Node(tag, xxhash.xxh3_64_intdigest(look.encode("utf-8", "surrogatepass"), seed=node.path) >> 1, hidden, no_article, named, node, node.main)
         if tag == "article":
             child.main = 2
-        elif tag == "main" or a.get("role", "").lower() == "main":
+        elif tag == "main" or is_main:
             child.main = max(node.main, 1)
         node.parts.append(child)
+        open_[tag] += 1
         node = child
-    put(source[at:])
     flush()
     _spare(root)
     return root
 
 
-def _spare(root: Node) -> None:
-    """A name alone does not speak against a branch that holds most of the page's visible text."""
-    sizes: dict[int, int] = {}
-    named: list[Node] = []
-    stack: list[tuple[Node, bool]] = [(root, False)]
+def upward(root: Node) -> list[Node]:
+    """The visible nodes, children before their parents."""
+    out, stack = [], [root]
     while stack:
-        x, done = stack.pop()
-        if not done:
-            stack.append((x, True))
-            stack.extend((p, False) for p in x.parts if isinstance(p, Node) and not p.hidden)
-            continue
-        sizes[id(x)] = sum(len(p) if isinstance(p, str) else sizes.get(id(p), 0) for p in x.parts)
-        if x.named:
-            named.append(x)
-    for x in named:
-        if 2 * sizes[id(x)] > sizes[id(root)]:
+        x = stack.pop()
+        out.append(x)
+        stack.extend(p for p in x.parts if isinstance(p, Node) and not p.hidden)
+    return out[::-1]
+
+
+def _spare(root: Node) -> None:
+    """Sizes of the visible text. A name alone does not speak against a branch that holds most of the page's."""
+    order = upward(root)
+    for x in order:
+        for p in x.parts:
+            x.size += len(p) if isinstance(p, str) else 0 if p.hidden else p.size
+    for x in order:
+        if x.named and 2 * x.size > root.size:
             x.no_article = x.named = False
 
 
@@ -189,30 +273,45 @@ def leaf(path: int, block: str) -> int:
     return xxhash.xxh3_64_intdigest(block.encode("utf-8", "surrogatepass"), seed=path ^ LEAF) >> 1
 
 
-def blocks(node: Node, low: frozenset[int] | set[int], sure: frozenset[int] | set[int], main: int) -> list[str]:
-    """Text blocks below a node in page order, without removed branches and leaves, of the main part alone if there is one."""
-    out: list[str] = []
-    stack: list[Node | tuple[int, str]] = [node]
+def combined(root: Node, low: dict[int, float]) -> dict[int, float]:
+    """The combined importance of the page's branches, by node, for those whose own one is known to be small."""
+    out: dict[int, float] = {}
+    for x in upward(root):
+        if x.path in low and x.size:
+            total = 0.0
+            for p in x.parts:
+                if isinstance(p, str):
+                    total += len(p) * low.get(leaf(x.path, p), 1.0)
+                elif not p.hidden:
+                    total += p.size * out.get(id(p), 1.0)
+            out[id(x)] = (1 - CHILDREN) * low[x.path] + CHILDREN * total / x.size
+    return out
+
+
+def blocks(root: Node, low: dict[int, float], sure: set[int]) -> list[tuple[int, str]]:
+    """Text blocks in page order with the main part that they are in, without removed branches and leaves."""
+    out: list[tuple[int, str]] = []
+    importance = combined(root, low) if low else {}
+    stack: list[Node | tuple[int, int, str]] = [root]
     while stack:
         x = stack.pop()
         if isinstance(x, tuple):
-            if not low or leaf(*x) not in low:
-                out.append(x[1])
-        elif not x.hidden and (x.tag in PAGE or (x.path not in low and (not x.no_article or x.path in sure))):
-            keep = x.main >= main
-            stack.extend((x.path, p) if isinstance(p, str) else p for p in reversed(x.parts) if keep or isinstance(p, Node))
+            if not low or low.get(leaf(x[1], x[2]), 1.0) >= LEAST_IMPORTANCE:
+                out.append((x[0], x[2]))
+        elif not x.hidden and (x.tag in PAGE or (importance.get(id(x), 1.0) >= LEAST_IMPORTANCE and (not x.no_article or x.path in sure))):
+            stack.extend((x.main, x.path, p) if isinstance(p, str) else p for p in reversed(x.parts))
     return out
 
 
-def main_text(source: str | None, low: frozenset[int] | set[int] = frozenset(), sure: frozenset[int] | set[int] = frozenset()) -> str:
+def main_text(source: str | None, low: dict[int, float] | None = None, sure: set[int] | None = None) -> str:
     """The article of a page: blocks joined by blank lines. Null or blank pages give an empty text.
 
     What is in <article> is the text if it is at least half of the main part's, and the main part's if it is
     at least half of the page's; otherwise the wider part is.
-    `low` are the places of branches and leaves of low importance on the page's host, `sure` those of high importance.
+    `low` are the small importances of branches and leaves on the page's host, `sure` the branches of high importance.
     """
-    root = parse(source or "")
-    found = [blocks(root, low, sure, main) for main in (2, 1, 0)]
+    kept = blocks(parse(source or ""), low or {}, sure or set())
+    found = [[b for main, b in kept if main >= least] for least in (2, 1, 0)]
     sizes = [sum(map(len, f)) for f in found]
     best = 2 if 2 * sizes[1] < sizes[2] else 1
     return "\n\n".join(found[0 if 2 * sizes[0] >= sizes[best] else best])
@@ -225,30 +324,28 @@ def branches(source: str) -> tuple[list[tuple[int, int, int, bool]], int]:
     path, 0, its place and True. The page's text is what the lists leave of it, or all if they leave none.
     """
     root, rows, leaves = parse(source), {}, set()
-    stack: list[tuple[Node, bool]] = [(root, False)]
-    whole: dict[int, tuple[list[str], list[str]]] = {}
-    while stack:
-        x, done = stack.pop()
-        if not done:
-            stack.append((x, True))
-            stack.extend((p, False) for p in reversed(x.parts) if isinstance(p, Node) and not p.hidden)
-            continue
-        every, listed = whole[id(x)] = [], []
+    digest = lambda parts: xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) >> 1
+    text: dict[int, str] = {}
+    listed: dict[int, str] = {}
+    for x in upward(root):
+        every, some = [], []
         for p in x.parts:
             if isinstance(p, str):
-                every.append(p)
-                listed.append(p)
-                leaves.add((x.path, 0, leaf(x.path, p), True))
-            elif id(p) in whole:
-                below = whole.pop(id(p))
-                every += below[0]
-                listed += [] if p.no_article else below[1]
-        style, text = rows.setdefault(x.path, ([], []))
-        style.extend(x.style)
-        text.extend(every)
-    digest = lambda parts: xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) >> 1
-    every, listed = whole[id(root)]
-    return [(path, digest(style), digest(text), False) for path, (style, text) in rows.items() if text] + sorted(leaves), digest(listed or every)
+                place = leaf(x.path, p)
+                leaves.add((x.path, 0, place, True))
+                every.append(f"{place:x}")
+                some.append(f"{place:x}")
+            elif not p.hidden:
+                if p.size:
+                    every.append(text[id(p)])
+                if not p.no_article and listed[id(p)]:
+                    some.append(listed[id(p)])
+        text[id(x)], listed[id(x)] = f"{digest(every):x}", f"{digest(some):x}" if some else ""
+        if x.size:
+            style, own = rows.setdefault(x.path, ([], []))
+            style.append(digest(x.style))
+            own.append(text[id(x)])
+    return [(path, digest(map(str, style)), digest(own), False) for path, (style, own) in rows.items()] + sorted(leaves), digest([listed[id(root)] or text[id(root)]])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -275,25 +372,33 @@ def style_tree(pages: DataFrame) -> DataFrame:
     on = seen.where("not leaf").groupBy("host", "path").agg(F.count_distinct("page").alias("m"))
     spread = seen.where("leaf").groupBy("host", "path", "content").agg(F.count_distinct("page").alias("n")).where("n > 1")
     leaves = spread.join(on, ["host", "path"]).select("host", F.col("content").alias("path"), "m", F.lit(True).alias("leaf"), (1 - F.log("n") / F.log("m")).alias("content")).withColumn("importance", F.col("content"))
-    return inner.union(leaves)
+    shrunk = (F.col("importance") * F.col("m") + PRIOR) / (F.col("m") + PRIOR)
+    return inner.union(leaves).withColumn("importance", shrunk)
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """The main text of each page: k, url, text, n_chars.
 
     A null or blank source gives an empty text. A null or unusual URL has no host, so tags alone decide for
-    its page. Repeated rows are returned each.
+    its page. Repeated rows are returned each, and null keys stay null; an empty table gives no rows.
     """
-    tune(pages.sparkSession)
+    spark = pages.sparkSession
+    tune(spark)
     host = F.coalesce(F.regexp_extract(F.lower(F.col(f"`{url}`")), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit(""))
     own = pages.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{source}`").cast("string").alias("h"), host.alias("host"))
-    low, sure = (F.col("importance") < least) & (F.col("m") >= least_pages), ~F.col("leaf") & (F.col("content") >= SURE_CONTENT) & (F.col("m") >= SURE_PAGES)
-    places = cut(style_tree(own).where(low | sure).groupBy("host").agg(F.collect_set(F.when(low, F.col("path"))).alias("low"), F.collect_set(F.when(sure, F.col("path"))).alias("sure")), "places")
+    low, sure = F.col("importance") < LEAST_IMPORTANCE / (1 - CHILDREN), ~F.col("leaf") & (F.col("content") >= SURE_CONTENT) & (F.col("m") >= SURE_PAGES)
+    with scratch(spark):
+        lists = style_tree(own).where(low | sure).groupBy("host").agg(F.collect_set(F.when(low, F.struct("path", "importance"))).alias("low"), F.collect_set(F.when(sure, F.col("path"))).alias("sure"))
+        places = cut(lists, "places", keep=True)
+    weight = places.agg(F.coalesce(F.sum(F.size("low") + F.size("sure") + 2), F.lit(0))).first()[0]
     schema = pa.schema([("k", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [main_text(h, set(x or ()), set(y or ())) for h, x, y in zip(b.column("h").to_pylist(), b.column("low").to_pylist(), b.column("sure").to_pylist(), strict=True)]
+            found = []
+            for h, x, y in zip(b.column("h").to_pylist(), b.column("low").to_pylist(), b.column("sure").to_pylist(), strict=True):
+                found.append(main_text(h, {p["path"]: p["importance"] for p in x or ()}, set(y or ())))
             yield batch(schema, k=b.column("k"), url=b.column("url"), text=found, n_chars=[len(t) for t in found])
 
-    return own.join(small_or_plain(places), "host", "left").select("k", "url", "h", "low", "sure").mapInArrow(run, "k long, url string, text string, n_chars long")
+    lists = F.broadcast(places) if weight <= PLACES else places
+    return own.join(lists, "host", "left").select("k", "url", "h", "low", "sure").mapInArrow(run, "k long, url string, text string, n_chars long")

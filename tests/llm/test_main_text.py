@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from corpusveil.llm.html import extract, main_text
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusveil.llm.html import branches, combined, extract, leaf, main_text, parse, style_tree
 
 
 def texts_of(spark, pages):
@@ -31,3 +37,67 @@ def test_names_do_not_outweigh_the_text():
     assert main_text(f"<main><article>{body}</article><p>more</p></main><p>x</p>") == text
     assert main_text(f"<main><p>short</p></main><div>{body}</div>") == f"short\n\n{text}"
     assert main_text("<article><p>a b c</p></article><nav>a long menu of the site</nav><div class=ad>buy</div>") == "a b c"
+
+
+def test_odd_markup_is_read_in_linear_time():
+    import time
+
+    for source in ('<a x"b' * 100_000, "<a '>' " * 100_000, "<div>" * 60_000 + "x", "<div>" * 30_000 + "</p>" * 60_000, "<ul>" + "<li><div>" * 30_000, "<svg>x" * 80_000, "<" * 500_000, "<!x" * 200_000, "<script>x" * 50_000):
+        began = time.process_time()
+        main_text(source)
+        branches(source)
+        assert time.process_time() - began < 20, source[:20]
+    assert main_text('<p title="a > b">x</p><p title="never closed>y</p>') == "x\n\ny"
+    assert main_text("<title>t</title><p>a <span hidden>no</span> b <span class='ad'>buy <span>now</span></span> c</p><svg/><p>d</p><canvas><p>e") == "a b c\n\nd\n\ne"
+    assert main_text("<p>1 < 2 and x<y") == "1 < 2 and x<y" and main_text("a<!-- never closed <p>b") == "a"
+
+
+def test_importance_is_combined_up_the_tree():
+    page = parse("<div class=a><p>one one</p><p>two</p></div><div class=b><p>three</p></div>")
+    a, b = page.parts
+    low = {a.path: 0.1, a.parts[0].path: 0.2, leaf(a.parts[0].path, "one one"): 0.0}
+    p = 0.5 * 0.2 + 0.5 * 0.0, 0.5 * 0.2 + 0.5 * 1.0
+    assert combined(page, low) == pytest.approx({id(a.parts[0]): p[0], id(a.parts[1]): p[1], id(a): 0.5 * 0.1 + 0.5 * (7 * p[0] + 3 * p[1]) / 10})
+    assert id(b) not in combined(page, low)
+
+
+def test_the_tree_equals_brute_force(spark):
+    """Entropies of presentation and content by path, and the spread of leaves, from the definition."""
+    rng = random.Random(2)
+    pages = []
+    for i in range(40):
+        host = rng.choice(["a.example", "b.example", "b.example"])
+        menu = "".join(f"<li>{x}</li>" for x in rng.sample(["home", "news", "help"], 2))
+        pages.append((i, f"http://{host}/{i}", f"<body><ul>{menu}</ul><div class=n><p>text {i}</p>{'<p>often</p>' * (i % 2)}</div><div class=f>{rng.choice(['x', 'y'])}</div></body>"))
+    pages += [(100 + i, *pages[i][1:]) for i in range(5)] + [(200, None, pages[0][2]), (201, "http://a.example/", None)]
+    docs = spark.createDataFrame(pages, "page_id long, url string, h string").withColumn("host", F.coalesce(F.regexp_extract("url", "//([^/]+)", 1), F.lit("")))
+    got = {(r["host"], r["path"], r["leaf"]): (r["m"], r["importance"]) for r in style_tree(docs).collect()}
+    seen = {}
+    for _, url, source in pages:
+        if url and source:
+            rows, page = branches(source)
+            for path, look, content, is_leaf in rows:
+                seen.setdefault((url.split("/")[2], path, is_leaf), {}).setdefault(content if is_leaf else (look, content), set()).add(page)
+    whole = lambda m: {p for pages in m.values() for p in pages}
+
+    def entropy(counts, m):
+        return -sum(n / m * math.log(n / m) for n in counts) / math.log(m) if m > 1 else 1.0
+
+    want = {}
+    for (host, path, is_leaf), contents in seen.items():
+        m = len(whole(contents))
+        if is_leaf:
+            for place, on in contents.items():
+                if len(on) > 1:
+                    want[host, place, True] = (m, ((1 - math.log(len(on)) / math.log(m)) * m + 1) / (m + 1))
+        else:
+            look, content = ([len({p for key, on in contents.items() if key[at] == x for p in on}) for x in {key[at] for key in contents}] for at in (0, 1))
+            want[host, path, False] = (m, ((0.1 * entropy(look, m) + 0.9 * entropy(content, m)) * m + 1) / (m + 1))
+    assert {k: m for k, (m, _) in got.items()} == {k: m for k, (m, _) in want.items()}
+    assert all(got[k][1] == pytest.approx(x) for k, (_, x) in want.items())
+
+
+def test_rows_of_any_kind_come_back(spark):
+    rows = [(1, "http://h.example/1", "<p>a</p>", "x", 1), (1, "http://h.example/1", "<p>a</p>", "y", 2), (None, None, "<p>b", None, None), (2, "no url", None, "z", 3), (3, "", "", None, None)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, host int")).collect()
+    assert sorted(((r["k"], r["url"], r["text"], r["n_chars"]) for r in got), key=str) == sorted([(1, "http://h.example/1", "a", 1)] * 2 + [(None, None, "b", 1), (2, "no url", "", 0), (3, "", "", 0)], key=str)
