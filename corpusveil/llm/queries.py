@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rollups, sampling
-from .common import fresh_dir, table
+from .common import cut, fresh_dir, scratch, table
 from .html import extract
 from .jpeg import features, read_media, write_media
 from .langid import identify
@@ -36,19 +36,36 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in, then those of under five words go, the others' word counts are revised to words with a letter, a second tokenizer's counts come in; the second batch is committed twice."""
-    docs, root = table(spark, sf_dir, "documents"), fresh_dir(spark, "rollups")
-    words, pieces = (rollups.token_count("text", v) for v in ("words-1", "pieces-2"))
-    lettered = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*")), F.lit(0)).cast("long")
-    keys = docs.select("source", "lang", words.alias("words"), lettered.alias("lettered"), pieces.alias("pieces"))
-    first = keys.select("source", "lang", F.lit("words-1").alias("version"), F.lit("insert").alias("op"), F.col("words").alias("tokens"), F.lit(None).cast("long").alias("old_tokens"))
-    second = keys.select("source", "lang", F.explode(F.array(
-        F.struct(F.lit("words-1").alias("version"), F.when(F.col("words") < 5, "delete").otherwise("revise").alias("op"), F.when(F.col("words") < 5, F.col("words")).otherwise(F.col("lettered")).alias("tokens"), F.col("words").alias("old_tokens")),
-        F.struct(F.lit("pieces-2").alias("version"), F.lit("insert").alias("op"), F.col("pieces").alias("tokens"), F.lit(None).cast("long").alias("old_tokens")),
-    )).alias("c")).select("source", "lang", "c.*")
-    rollups.commit(root, "1", first)
-    rollups.commit(root, "2", second)
-    rollups.commit(root, "2", second)
+    """All documents come in with one tokenizer's counts; then those of under five tokens go, the others' counts are revised to hold an end id, a second tokenizer's counts come in, and that batch is committed twice."""
+    root = fresh_dir(spark, "rollups")
+    files = {"word_bpe_49k": (tokenizer("word_bpe_49k.json"), False), "byte_bpe_50k": (tokenizer("byte_bpe_50k.json"), True)}
+    with scratch(spark):
+        counts = cut(rollups.token_counts(table(spark, sf_dir, "documents"), files), "counts")
+        commits(root, counts, "word_bpe_49k", "byte_bpe_50k")
+    return rollups.totals(spark, root)
+
+
+def commits(root: str, counts: DataFrame, first: str, second: str) -> None:
+    """The two batches of a query on rollups, of which the second comes twice; `counts` has a column for each of two versions."""
+    old = F.col(first)
+    rollups.commit(root, "1", counts.select("source", "lang", F.lit(first).alias("version"), F.lit("insert").alias("op"), old.alias("tokens"), F.lit(None).cast("long").alias("old_tokens")))
+    change = F.explode(F.array(
+        F.struct(F.lit(first).alias("version"), F.when(old < 5, "delete").otherwise("revise").alias("op"), F.when(old < 5, old).otherwise(old + 1).alias("tokens"), old.alias("old_tokens")),
+        F.struct(F.lit(second).alias("version"), F.lit("insert").alias("op"), F.col(second).alias("tokens"), F.lit(None).cast("long").alias("old_tokens")),
+    ))
+    for _ in range(2):
+        rollups.commit(root, "2", counts.select("source", "lang", change.alias("c")).select("source", "lang", "c.*"))
+
+
+def word_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches with counts that SQL can make: words, and runs of letters, digits and other signs; compacted before the second batch's repeat."""
+    root = fresh_dir(spark, "rollups")
+    count = lambda pattern: F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(pattern)), F.lit(0)).cast("long")
+    with scratch(spark):
+        counts = cut(table(spark, sf_dir, "documents").select("source", "lang", count(r"[^\x20\x09-\x0D]+").alias("words-1"), count(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]").alias("pieces-2")), "counts")
+        commits(root, counts, "words-1", "pieces-2")
+        rollups.compact(spark, root)
+        commits(root, counts, "words-1", "pieces-2")
     return rollups.totals(spark, root)
 
 
@@ -87,11 +104,10 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
-    "op3_token_rollups": r"""
+    "word_rollups": r"""
         with c as (select source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as words,
-                          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]*[A-Za-z][^\x20\x09-\x0D]*')), 0)::bigint as lettered,
                           coalesce(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]')), 0)::bigint as pieces from documents)
-        select source, lang, 'words-1' as version, count(*)::bigint as n_docs, sum(lettered)::bigint as n_tokens from c where words >= 5 group by all
+        select source, lang, 'words-1' as version, count(*)::bigint as n_docs, sum(words + 1)::bigint as n_tokens from c where words >= 5 group by all
         union all
         select source, lang, 'pieces-2', count(*)::bigint, sum(pieces)::bigint from c group by all""",
     "op4_host_rules": rf"""
@@ -119,4 +135,4 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"word_rollups": word_rollups}

@@ -1,50 +1,113 @@
 """Token counts as rollups that signed changes maintain.
 
 A change inserts a document, deletes one or revises its count. A batch of changes becomes additive sums by
-source, language and tokenizer version, written to a folder that bears the batch's name. Committing a
-batch again replaces its own sums alone, so a repeated commit changes nothing. Totals are the sums over
-all batches; compaction folds batches into one.
+source, language and tokenizer version. They are written aside and published by one rename to a folder
+that bears the batch's name, so readers see all of a batch or nothing of it. A name is taken once: a batch
+that is committed again, after a failure or after compaction, changes nothing. Totals are the sums over all
+batches. Compaction folds them into one table, published the same way, that remembers their names.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import batch, delete, fresh_dir, tune
+from .tokens import encoder
+
 KEYS = ("source", "lang", "version")
-#: Tokenizer versions by name, as patterns of which each match is a token.
-VERSIONS = {"words-1": r"[^\x20\x09-\x0D]+", "pieces-2": r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]"}
 SUMS = "source string, lang string, version string, n_docs long, n_tokens long"
 
 
-def token_count(text: str, version: str) -> F.Column:
-    """Tokens of a text column; null texts have none."""
-    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(VERSIONS[version])), F.lit(0)).cast("long")
+def token_counts(docs: DataFrame, files: dict[str, tuple[str, bool]], keys: tuple[str, ...] = ("source", "lang"), text: str = "text") -> DataFrame:
+    """The keys and, for each version, the tokens of each row; `files` has a tokenizer file by version, and whether it keeps spaces. Null texts have none."""
+    tune(docs.sparkSession)
+    schema = pa.schema([*((k, pa.string()) for k in keys), *((v, pa.int64()) for v in files)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole = [t or "" for t in b.column("t").to_pylist()]
+            counts = {v: np.array([len(ids) // 4 for ids in encoder(path, keeps).encode(whole)], dtype=np.int64) for v, (path, keeps) in files.items()}
+            yield batch(schema, **{k: b.column(k) for k in keys}, **counts)
+
+    own = docs.select(*(F.col(f"`{k}`").cast("string").alias(k) for k in keys), F.col(f"`{text}`").cast("string").alias("t"))
+    return own.mapInArrow(run, ", ".join([*(f"`{k}` string" for k in keys), *(f"`{v}` long" for v in files)]))
 
 
 def signed(changes: DataFrame) -> DataFrame:
     """Documents and tokens that a change adds (less than 0: takes away).
 
     `changes` has the keys, op (insert, delete or revise), tokens, and old_tokens for revisions. A null op
-    or count adds nothing; null keys are groups of their own.
+    or count adds nothing; null keys are groups of their own; each of repeated rows counts.
     """
     tokens, old = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("tokens", "old_tokens"))
     sign = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0).cast("long")
     return changes.select(*KEYS, sign.alias("docs"), F.when(F.col("op") == "revise", tokens - old).otherwise(sign * tokens).alias("tokens"))
 
 
-def commit(root: str, batch_id: str, changes: DataFrame) -> None:
-    """Commit a batch of changes under its name; a batch that was committed before is replaced by itself."""
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, root: str) -> list[str]:
+    where, fs = _file_system(spark, root)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def _publish(spark: SparkSession, made: str, target: str) -> bool:
+    """Rename a written table to its name; if another one has it, that stays."""
+    where, fs = _file_system(spark, target)
+    fs.mkdirs(where.getParent())
+    if not fs.exists(where) and fs.rename(_file_system(spark, made)[0], where):
+        return True
+    delete(spark, [made])
+    return False
+
+
+def _state(spark: SparkSession, root: str) -> tuple[str | None, list[str], list[str]]:
+    """The last compaction's folder, the names folded into it, and the folders of the batches since."""
+    names = _names(spark, root)
+    number = max((int(m[1]) for n in names if (m := re.fullmatch(r"compaction-(\d+)", n))), default=None)
+    last = None if number is None else f"compaction-{number}"
+    folded = [r["name"] for r in spark.read.schema("name string").parquet(f"{root}/{last}/names").collect()] if last else []
+    known = set(folded)
+    return last, folded, sorted(n for n in names if n.startswith("batch-") and n not in known)
+
+
+def commit(root: str, batch_id: str, changes: DataFrame) -> bool:
+    """Commit a batch of changes under its name; False, and nothing changes, if the name was committed before."""
+    spark, name = changes.sparkSession, f"batch-{quote(batch_id, safe='')}"
+    _, folded, since = _state(spark, root)
+    if name in since or name in folded:
+        return False
+    made = fresh_dir(spark, "changes")
     sums = signed(changes).groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
-    sums.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    sums.write.parquet(made)
+    return _publish(spark, made, f"{root}/{name}")
 
 
 def totals(spark: SparkSession, root: str) -> DataFrame:
-    """The totals of all committed batches, without groups that have become empty."""
-    rows = spark.read.schema(SUMS).parquet(f"{root}/batch=*")
+    """The totals of all committed batches, without groups that have become empty; without a batch there are none."""
+    last, _, since = _state(spark, root)
+    paths = [f"{root}/{n}" for n in since] + ([f"{root}/{last}/sums"] if last else [])
+    rows = spark.read.schema(SUMS).parquet(*paths) if paths else spark.createDataFrame([], SUMS)
     return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
 
-def compact(spark: SparkSession, root: str, to: str) -> None:
-    """Write the totals as the one batch of a new root."""
-    totals(spark, root).write.mode("overwrite").parquet(f"{to}/batch=compacted")
+def compact(spark: SparkSession, root: str) -> None:
+    """Fold all batches into one table that remembers their names, then remove them. A run that fails on the way changes no total."""
+    last, folded, since = _state(spark, root)
+    if not since:
+        return
+    made = fresh_dir(spark, "compaction")
+    totals(spark, root).write.parquet(f"{made}/sums")
+    spark.createDataFrame([(n,) for n in folded + since], "name string").coalesce(1).write.parquet(f"{made}/names")
+    if _publish(spark, made, f"{root}/compaction-{int(last.split('-')[1]) + 1 if last else 1}"):
+        delete(spark, [f"{root}/{n}" for n in [*since, *([last] if last else [])]])

@@ -61,17 +61,48 @@ def test_frames_show_damage():
 
 
 def test_repeated_commits_change_nothing(spark, tmp_path):
-    schema = "source string, lang string, version string, op string, tokens long, old_tokens long"
-    first = spark.createDataFrame([("a", "x", "1", "insert", 5, None), ("a", "x", "1", "insert", 7, None), (None, "x", "1", "insert", 1, None), ("b", "x", "1", "insert", 3, None)], schema)
-    second = spark.createDataFrame([("a", "x", "1", "revise", 9, 5), ("b", "x", "1", "delete", 3, None), ("a", "x", "1", None, 3, None), ("a", "x", "1", "insert", None, None)], schema)
-    root = str(tmp_path / "r")
-    rollups.commit(root, "1", first)
-    for _ in range(2):
-        rollups.commit(root, "2", second)
+    schema = "source string, lang string, version string, op string, tokens long, old_tokens long, n_docs int"
+    first = spark.createDataFrame([("a", "x", "1", "insert", 5, None, 0), ("a", "x", "1", "insert", 7, None, 0), (None, "x", "1", "insert", 1, None, 0), ("b", "x", "1", "insert", 3, None, 0)], schema)
+    second = spark.createDataFrame([("a", "x", "1", "revise", 9, 5, None), ("b", "x", "1", "delete", 3, None, None), ("a", "x", "1", None, 3, None, None), ("a", "x", "1", "insert", None, None, None)], schema)
+    root = f"file://{tmp_path}/r"
+    found = lambda: {(r["source"], r["n_docs"], r["n_tokens"]) for r in rollups.totals(spark, root).collect()}
+    assert found() == set()
+    rollups.compact(spark, root)
+    assert rollups.commit(root, "1", first) and not rollups.commit(root, "1", first)
+    assert found() == {("a", 2, 12), (None, 1, 1), ("b", 1, 3)}
+    assert rollups.commit(root, "2/b", second) and not rollups.commit(root, "2/b", second)
     want = {("a", 3, 16), (None, 1, 1)}
-    assert {(r["source"], r["n_docs"], r["n_tokens"]) for r in rollups.totals(spark, root).collect()} == want
-    rollups.compact(spark, root, str(tmp_path / "c"))
-    assert {(r["source"], r["n_docs"], r["n_tokens"]) for r in rollups.totals(spark, str(tmp_path / "c")).collect()} == want
+    assert found() == want
+    for _ in range(2):
+        rollups.compact(spark, root)
+        assert found() == want and not rollups.commit(root, "1", first) and not rollups.commit(root, "2/b", second) and found() == want
+    assert rollups.commit(root, "3", first) and found() == {("a", 5, 28), (None, 2, 2), ("b", 1, 3)}
+    rollups.compact(spark, root)
+    assert not rollups.commit(root, "2/b", second) and found() == {("a", 5, 28), (None, 2, 2), ("b", 1, 3)}
+    assert rollups.commit(root, "4", first.where("false")) and found() == {("a", 5, 28), (None, 2, 2), ("b", 1, 3)}
+
+
+def test_a_compaction_that_was_cut_off_counts_nothing_twice(spark, tmp_path, monkeypatch):
+    schema = "source string, lang string, version string, op string, tokens long, old_tokens long"
+    rows = spark.createDataFrame([("a", "x", "1", "insert", 5, None)], schema)
+    root = f"file://{tmp_path}/r"
+    rollups.commit(root, "1", rows)
+    monkeypatch.setattr(rollups, "delete", lambda *a: None)
+    rollups.compact(spark, root)
+    assert [r["n_tokens"] for r in rollups.totals(spark, root).collect()] == [5] and not rollups.commit(root, "1", rows)
+
+
+def test_token_counts_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.createDataFrame([(i, t, "s", None, 3) for i, t in enumerate([*ODD, None, "word " * 2000])], "doc_id long, text string, source string, lang string, byte_bpe_50k int")
+    files = {"word_bpe_49k": (tokenizer("word_bpe_49k.json"), False), "byte_bpe_50k": (tokenizer("byte_bpe_50k.json"), True)}
+    got = rollups.token_counts(docs, files).collect()
+    texts = [r["text"] or "" for r in docs.collect()]
+    for v, (path, _) in files.items():
+        plain = Tokenizer.from_file(path)
+        assert [r[v] for r in got] == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert {(r["source"], r["lang"]) for r in got} == {("s", None)} and rollups.token_counts(docs.where("false"), files).count() == 0
 
 
 def test_main_text_of_single_pages():
