@@ -28,6 +28,8 @@ from .tokens import encoder
 #: The reflected polynomial of CRC-32C and the constant of the mask: fixed values of the record format.
 POLYNOMIAL, MASK_DELTA = 0x82F63B78, 0xA282EAD8
 WIDTH = 64
+#: Bytes of input for a shard, and most shards (the estimate of a derived table can be far too large).
+SHARD_BYTES, MOST_SHARDS = 256 << 20, 500_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +114,9 @@ def write_records(docs: DataFrame, key: str = "doc_id", text: str = "text", *, t
     """Encode the texts, append the end id, and write shards and index below a new folder, whose URI is returned.
 
     Ids have 2 bytes, or 4 if `wide`. A null text has the end id alone. Null keys come first; rows that
-    repeat a key are all written.
+    repeat a key are all written. Many rows of one key, or without one, are dealt by a hash of their texts
+    to several shards. There is a shard for each SHARD_BYTES of the input, by Spark's estimate of its size,
+    and at least one for each shuffle partition.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -147,7 +151,10 @@ def write_records(docs: DataFrame, key: str = "doc_id", text: str = "text", *, t
             out.close()
             fs.move(own, f"{base}/{shard_name(part)}")
 
-    ordered = texts(docs, key, text).repartitionByRange("k").sortWithinPartitions("k")
+    own = texts(docs, key, text).withColumn("h", F.xxhash64("t"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    ordered = own.repartitionByRange(min(shards, MOST_SHARDS), "k", "h").sortWithinPartitions("k", "h").select("k", "t")
     ordered.mapInArrow(run, "shard int, k long, offset long, n_bytes long, n_tokens long, before long").write.parquet(f"{root}/index")
     return root
 
