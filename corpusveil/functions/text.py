@@ -15,7 +15,7 @@ from ..schema import PREFIXES, SHORT_PREFIXES, lookup
 from .patterns import LEGAL_FORMS, LONG_FORMS, Pattern
 
 #: Private-use characters that mark where a value begins and ends.
-_OPEN, _CLOSE = "", ""
+_OPEN, _CLOSE = "\ue000", "\ue001"
 RANGES = "array<struct<start:int,end:int>>"
 
 
@@ -31,7 +31,7 @@ def piece(text: Column, start: Column, end: Column) -> Column:
 def find(text: Column, pattern: Pattern | Column) -> Column:
     """Ranges of all matches of a pattern's value in a text, in order. A column as pattern has its value in group 2."""
     java = pattern if isinstance(pattern, Column) else F.lit(pattern.java)
-    clean = F.translate(text, _OPEN + _CLOSE, "��")
+    clean = F.translate(text, _OPEN + _CLOSE, "\ufffd\ufffd")
 
     def ranges(marked: Column) -> Column:
         pieces = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
