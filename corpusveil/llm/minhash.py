@@ -36,7 +36,7 @@ BANDS, ROWS = 45, 6
 PIVOT_ROUNDS, PREFIX_ROUNDS = 3, 2
 #: Documents of an open bucket that are compared one by one; larger buckets are compared in blocks of about so many shingles
 #: and documents at most. Either way all documents of a bucket are compared.
-SMALL_BUCKET, BLOCK_SHINGLES, BLOCK_ROWS = 12, 1 << 17, 1000
+SMALL_BUCKET, BLOCK_SHINGLES, BLOCK_ROWS = 12, 1 << 18, 500
 #: Most ids or pairs of ids, and most shingles of whole sets, that are broadcast; both are counted first.
 ID_ROWS, SKETCH_ROWS, SET_SHINGLES = 500_000, 250_000, 2_000_000
 #: Words of the cache from a word to its hash, per worker.
@@ -170,7 +170,8 @@ def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     With the shingles of each set in one order, rarest first, two sets that similar share one of the first
     n - ceil(percent * n / 100) + 1 of their n shingles. So a common passage in otherwise different texts
-    makes no bucket. Returns band (a shingle), rep, n.
+    makes no bucket. Of buckets with the same documents (the shingles of one passage) one is enough. Returns
+    band (a shingle), rep, n.
     """
     each = sets.select("rep", F.explode("shingles").alias("band"))
     common = cut(each.groupBy("band").agg(F.count("*").alias("df")).where("df > 1"), "common")
@@ -179,7 +180,10 @@ def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     order = Window.partitionBy("rep").orderBy("df", "band")
     placed = shared.select("rep", "band", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("rep")).alias("shared"))
     first = placed.join(sets.select("rep", "n"), "rep").where(f"n - shared + place <= n - (({percent} * n + 99) div 100) + 1")
-    return first.select("band", "rep", "n")
+    buckets = cut(first.select("band", "rep", "n"), "buckets")
+    members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    alike = buckets.groupBy("band").agg(F.count("*").alias("many"), *members).where("many > 1").groupBy("many", "x1", "x2").agg(F.min("band").alias("band"))
+    return buckets.join(small_or_plain(cut(alike.select("band"), "alike"), ID_ROWS), "band", "left_semi")
 
 
 def linked_in_group(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
@@ -261,18 +265,29 @@ class _Links:
         return self._try(at, at.select("band", F.col("rep").alias("prep"), F.col("n").alias("pn"), F.col("label").alias("plabel")), "rep < prep")
 
     def in_blocks(self, members: DataFrame) -> None:
-        """Compare all documents of large open buckets, one block with another in each task."""
+        """Compare all documents that share a large open bucket, one block with another in each task.
+
+        Buckets that share documents make a cluster, whose documents are dealt to blocks, so that a set is sent
+        once for each block that it has to be compared with, however many buckets it stands in.
+        """
         percent = self.percent
-        sizes = members.groupBy("band").agg(F.expr(f"cast(ceil(greatest(sum(n) / {BLOCK_SHINGLES}, count(*) / {BLOCK_ROWS})) as int)").alias("blocks"))
-        at = self.labelled(members).join(small_or_plain(cut(sizes, "sizes"), ID_ROWS), "band")
-        mine = at.withColumn("mine", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = mine.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "label").join(self.sets, "rep")
+        heads = small_or_plain(cut(members.groupBy("band").agg(F.min("rep").alias("b")), "heads"), ID_ROWS)
+        clusters = components(members.join(heads, "band").select(F.col("rep").alias("a"), "b"), None).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
+        own = self.labelled(members).dropDuplicates(["rep"]).join(clusters, "rep", "left").select("rep", "n", "label", F.coalesce("cluster", "rep").alias("cluster"))
+        own = cut(own, "clustered")
+        sizes = own.groupBy("cluster").agg(F.expr(f"cast(ceil(greatest(sum(n) / {BLOCK_SHINGLES}, count(*) / {BLOCK_ROWS})) as int)").alias("blocks"))
+        own = cut(own.join(small_or_plain(cut(sizes, "sizes"), ID_ROWS), "cluster").select("cluster", F.expr("cast(pmod(xxhash64(rep), blocks) as int)").alias("block"), "rep", "label"), "dealt")
+        at = members.select("band", "rep").join(small_or_plain(own, ID_ROWS), "rep").select("band", "cluster", "block").distinct()
+        meets = at.groupBy("band", "cluster").agg(F.array_sort(F.collect_set("block")).alias("blocks")).select("cluster", "blocks").distinct()
+        meets = meets.select("cluster", "blocks", F.explode("blocks").alias("i")).select("cluster", "i", F.explode(F.filter("blocks", lambda x: x >= F.col("i"))).alias("j")).distinct()
+        sides = cut(meets.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "meets")
+        dealt = own.join(small_or_plain(sides, ID_ROWS), ["cluster", "block"]).select("cluster", "i", "j", "rep", "label").join(self.sets, "rep")
 
         def run(rows: pa.Table) -> pa.Table:
             found = linked_in_group(rows, percent)
             return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
-        new = cut(dealt.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct(), "links")
+        new = cut(dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long").distinct(), "links")
         if not new.isEmpty():
             self.merge(new)
 
