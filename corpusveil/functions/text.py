@@ -133,7 +133,7 @@ def label(replacement: Column, entity_type: Column, style: str) -> Column:
 
 def literal_pattern(value: Column) -> Column:
     """A pattern that finds a value whatever its white space, not inside a longer word; the value is group 2."""
-    words = F.transform(F.split(squeeze(value), " "), lambda w: F.concat(F.lit(r"\Q"), F.regexp_replace(w, r"\\E", r"\\\\E\\\\E\\Q"), F.lit(r"\E")))
+    words = F.transform(F.split(squeeze(value), " "), lambda w: F.concat(F.lit(r"\Q"), F.regexp_replace(w, r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E")))
     edge = lambda c: F.rlike(c, F.lit(r"(?U)\A[\p{L}\p{N}]\z"))
     first, last = F.substring(squeeze(value), 1, 1), F.substring(squeeze(value), -1, 1)
     return F.concat(F.lit("(?U)()("), F.when(edge(first), F.lit(r"(?<!\w)")).otherwise(F.lit("")), F.array_join(words, r"\s+"), F.when(edge(last), F.lit(r"(?!\w)")).otherwise(F.lit("")), F.lit(")"))

@@ -30,6 +30,21 @@ def masked(blocks: DataFrame, found: DataFrame, style: str = "full") -> DataFram
     return own.withColumn("_done", done).withColumns({"masked": F.col("_done.masked"), "complete": F.col("_done.complete")}).drop("_spans", "_done")
 
 
+def with_applied(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """Matches with `applied`: whether masking their block puts them in, by the same rule as `masked`."""
+    spans = found.groupBy("doc_id", "block_ord").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("text").alias("value"), "entity_type"))).alias("_spans"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,entity_type:string,applied:boolean>>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        good = (s["start"] >= a["at"]) & (piece(F.col("text"), s["start"], s["end"]) == s["value"])
+        mark = F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["entity_type"].alias("entity_type"), F.coalesce(good, F.lit(False)).alias("applied"))
+        return F.struct(F.when(good, s["end"].cast("int")).otherwise(a["at"]).alias("at"), F.concat(a["out"], F.array(mark)).alias("out"))
+
+    marks = blocks.select("doc_id", "block_ord", "text").join(spans, ["doc_id", "block_ord"]).select("doc_id", "block_ord", F.explode(F.aggregate("_spans", zero, step, lambda a: a["out"])).alias("m"))
+    place = ["doc_id", "block_ord", "start", "end", "entity_type"]
+    return found.join(marks.select("doc_id", "block_ord", "m.*").dropDuplicates(place), place, "left").withColumn("applied", F.coalesce("applied", F.lit(False)))
+
+
 def publishable(masked_blocks: DataFrame) -> DataFrame:
     """doc_id and whether all its blocks are complete; a document that is not must not be published."""
     return masked_blocks.groupBy("doc_id").agg(F.min("complete").alias("publishable"))

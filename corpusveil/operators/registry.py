@@ -26,8 +26,11 @@ def repeats(detected: DataFrame) -> DataFrame:
     """
     each = detected.select("doc_id", "block_ord", F.explode("spans").alias("s")).where(F.col("s.entity_type").isin(*FALLBACK_TYPES) & (F.length(F.trim("s.text")) >= 3))
     first = each.groupBy("doc_id", F.col("s.entity_type").alias("entity_type"), squeeze(F.col("s.text")).alias("value")).agg(F.min(F.struct("block_ord", F.col("s.start").alias("start"), F.col("s.confidence").alias("confidence"))).alias("at"))
-    seeds = first.select("doc_id", "entity_type", "value", "at", F.split("value", " ")[0].alias("word"), literal_pattern(F.col("value")).alias("pattern"))
-    hits = detected.select("doc_id", "block_ord", "text").join(seeds, "doc_id").where(F.instr(F.col("text"), F.col("word")) > 0)
+    # A value can only stand where its first run of letters and digits is a whole run of the block, so blocks and values meet by these.
+    run = lambda text: F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    seeds = first.select("doc_id", "entity_type", "value", "at", F.get(run(F.col("value")), F.lit(0)).alias("word"), literal_pattern(F.col("value")).alias("pattern")).where("word is not null")
+    words = detected.select("doc_id", "block_ord", F.explode(F.array_distinct(run(F.col("text")))).alias("word"))
+    hits = words.join(seeds, ["doc_id", "word"]).join(detected.select("doc_id", "block_ord", "text"), ["doc_id", "block_ord"])
     found = hits.select("doc_id", "block_ord", "entity_type", "at", "text", F.explode(find(F.col("text"), F.col("pattern"))).alias("r"))
     kinds = [F.when(F.col("entity_type") == t, span(t, F.col("text"), F.col("r"), "document_repeat", 1.0, False)) for t in FALLBACK_TYPES]
     spans = found.select("doc_id", "block_ord", F.struct("at", "r.start").alias("key"), F.coalesce(*kinds).withField("confidence", F.col("at.confidence")).alias("span"))

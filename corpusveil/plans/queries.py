@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tf
 from ..operators.detect import detect, in_one_cell, mock_spans, money_spans, no_titles, rule_spans
-from ..operators.masking import format_location, masked, preview, publishable, quality, report
+from ..operators.masking import format_location, masked, preview, publishable, quality, report, with_applied
 from ..operators.matches import apply_answers, matches, questions, with_roles
+from ..operators.model import relocated
 from ..operators.registry import mentions, nearest_identifiers, organizations, repeats, representatives
 from ..schema import DISPLAY_NAMES, ENTITY_TYPES, SPAN_ARRAY
+from ..sources.ocr import ocr_lines
 from ..sources.tables import cut, line_blocks, whole_text_blocks, with_sections, with_table_headers
 from .pipeline import job_progress, job_queue, mask, propose
 
@@ -279,6 +281,34 @@ def _sql(select: str, *extra: str) -> str:
     return f"{_own(*extra)} {select}"
 
 
+def _relocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model names each supplier in every line, with a doubled space; where it stands is found in the text."""
+    blocks = contract_blocks(spark, sf_dir)
+    name = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey as doc_id", "concat('ООО  «', s_name, '»') as value")
+    named = blocks.select("doc_id", "block_ord").join(name, "doc_id").select("doc_id", "block_ord", F.lit("organization").alias("entity_type"), "value", F.lit(0.9).alias("confidence"))
+    found = relocated(blocks, named)
+    return found.select("doc_id", "block_ord", F.coalesce("reason", F.lit("found")).alias("outcome"), F.size("ranges").cast("long").alias("n"), F.coalesce(F.get("ranges", F.lit(0))["start"], F.lit(-1)).cast("long").alias("start"))
+
+
+def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contracts' values, of which those of odd documents do not hold the text of their range, and those of every third repeat one."""
+    blocks = contract_blocks(spark, sf_dir)
+    found = _spans(blocks.withColumn("spans", rule_spans(F.col("text"), ENTITY_TYPES)))
+    wrong = found.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.concat("text", F.lit("?"))).otherwise(F.col("text")))
+    again = wrong.where("doc_id % 3 = 0").withColumns({"start": F.col("start") + 1, "text": F.expr("substring(text, 2)")})
+    return with_applied(blocks, wrong.unionByName(again)).select("doc_id", "block_ord", "entity_type", "start", "end", "applied")
+
+
+def _ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a line of recognised words, one of each line number; those of a low confidence go."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct()
+    n = F.col("l_linenumber")
+    words = items.select(F.col("l_orderkey").alias("doc_id"), F.lit(2).alias("page_num"), F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), F.lit(1).alias("line_num"), n.alias("word_num"), (100 * n).alias("left"), (10 + n).alias("top"), (40 + 10 * n).alias("width"), F.lit(20).alias("height"), (10.0 * n).alias("conf"), F.concat(F.lit("w"), (n * n).cast("string")).alias("text"))
+    box = lambda i: F.col("bbox")[i].cast("long")
+    last = F.element_at("ocr_words", -1)
+    return ocr_lines(words, 2.0, 1.0).select("doc_id", F.col("page_number").cast("long").alias("page_number"), "text", box(0).alias("x0"), box(1).alias("y0"), box(2).alias("x1"), box(3).alias("y1"), last["start"].cast("long").alias("last_start"), last["end"].cast("long").alias("last_end"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     detectors = {f"detect_{'contract' if t == 'contract_number' else t.removesuffix('_name')}": _detector(t) for t in ENTITY_TYPES}
     return detectors | {
@@ -287,6 +317,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "party_roles": _roles, "document_repeat": _repeats, "review_questions": _review, "apply_answers": _answers, "report_rows": _report, "format_location": _locations, "preview_segments": _preview,
         "quality_scores": _quality, "checksums": _checks, "normalize_name": _names, "token_estimate": _tokens, "amount_by_column": _column_amounts, "independent_cells": _cells, "sections": _sections,
         "table_headers": _headers, "stage_progress": _progress, "job_fifo": _queue, "publishable": _publishable,
+        "model_relocation": _relocation, "applied_matches": _applied, "ocr_lines": _ocr,
     }
 
 
@@ -332,4 +363,11 @@ ORACLES: dict[str, str] = {f"detect_{'contract' if t == 'contract_number' else t
     "stage_progress": "select l_orderkey as job_id, sum(case when l_returnflag = 'N' then 20 else 0 end)::bigint as progress from lineitem group by 1",
     "job_fifo": "select o_orderkey as job_id, o_orderdate as created_at from orders where o_orderstatus = 'O'",
     "publishable": "select s_suppkey as doc_id, s_suppkey % 2 = 0 as publishable from supplier",
+    "model_relocation": _sql("""select doc_id, block_ord, case when strpos(text, v) > 0 then 'found' else 'absent' end as outcome, ((length(text) - length(replace(text, v, ''))) // length(v))::bigint as n, strpos(text, v)::bigint - 1 as start
+        from (select *, concat('ООО «', s, '»') as v from blocks) x"""),
+    "applied_matches": _sql("""select doc_id, block_ord, entity_type, start, "end", doc_id % 2 = 0 as applied from gold
+        union all select doc_id, block_ord, entity_type, start + 1, "end", false from gold where doc_id % 3 = 0"""),
+    "ocr_lines": """with w as (select distinct l_orderkey as doc_id, l_linenumber::bigint as n from lineitem where l_linenumber >= 2),
+        t as (select doc_id, string_agg('w' || (n * n), ' ' order by n) as text, min(n) as a, max(n) as b, max(100 * n + 40 + 10 * n) as r from w group by doc_id)
+        select doc_id, 1::bigint as page_number, text, 200 * a as x0, 10 + a as y0, 2 * r as x1, 30 + b as y1, (length(text) - length('w' || (b * b)))::bigint as last_start, length(text)::bigint as last_end from t""",
 }

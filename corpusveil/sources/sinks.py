@@ -1,22 +1,52 @@
-"""Reports as files, and an append-only log of metadata."""
+"""Reports as files, masked texts that are published whole, and an append-only log of metadata."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.masking import report
+from ..operators.masking import publishable
+from ..schema import DISPLAY_NAMES, ROLE_NAMES, lookup
 
+#: The fields of a report in JSON, in order; those that a table of matches lacks are null.
+FIELDS = {
+    "entity_type": "string", "original_value": "string", "replacement": "string", "location": "string", "source": "string", "confidence": "double", "party_role": "string",
+    "entity_id": "string", "organization_id": "string", "evidence": "array<string>", "conflict": "boolean", "applied": "boolean",
+}
+#: Mark of UTF-8 files, which office programs look for.
+BOM = "\ufeff"
 
-def write_json_report(matches: DataFrame, path: str) -> None:
-    """All fields of the matches, a folder for each run; the write is committed as a whole."""
-    matches.write.mode("overwrite").json(path)
+
+def json_rows(matches: DataFrame, applied_only: bool = False) -> DataFrame:
+    """doc_id and the twelve fields of each match, of those that were put in alone if `applied_only`."""
+    own = matches.withColumn("original_value", F.col("text"))
+    if applied_only:
+        own = own.where("applied")
+    return own.select("doc_id", *(F.col(c).cast(t).alias(c) if c in own.columns else F.lit(None).cast(t).alias(c) for c, t in FIELDS.items()))
+
+
+def write_json_report(matches: DataFrame, path: str, applied_only: bool = False) -> None:
+    """The twelve fields of the matches; the write is committed as a whole."""
+    json_rows(matches, applied_only).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def csv_rows(matches: DataFrame) -> DataFrame:
+    """Seven columns of each match, with names and shares as people read them."""
+    rows = json_rows(matches)
+    share = F.format_string("%.2f%%", 100 * F.col("confidence"))
+    return rows.select(lookup(DISPLAY_NAMES, F.col("entity_type")).alias("type"), "original_value", "replacement", "location", "source", share.alias("confidence"), lookup(ROLE_NAMES, F.col("party_role")).alias("role"))
 
 
 def write_csv_report(matches: DataFrame, path: str) -> None:
-    """Report rows as CSV with a header."""
-    rows = report(matches)
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    """Report rows as CSV; every file begins with the mark of UTF-8 and a header."""
+    rows = csv_rows(matches)
+    rows.withColumnRenamed("type", f"{BOM}type").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_masked(masked_blocks: DataFrame, path: str) -> None:
+    """The masked blocks of documents of which every match was put in, committed as a whole; the others stay unpublished."""
+    whole = publishable(masked_blocks).where("publishable").select("doc_id")
+    masked_blocks.join(whole, "doc_id", "left_semi").select("doc_id", "block_ord", "masked").write.mode("overwrite").parquet(path)
 
 
 def log_counts(matches: DataFrame, path: str, run: str) -> None:
