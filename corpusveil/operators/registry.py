@@ -63,7 +63,10 @@ def nearest_identifiers(found: DataFrame) -> DataFrame:
 
 
 def organizations(found: DataFrame) -> DataFrame:
-    """The entity of each organization mention: doc_id, block_ord, start, entity_id, role, conflict, canonical_name.
+    """The entity of each organization mention: doc_id, block_ord, start, entity_id, role, conflict, canonical_name, aliases, evidence.
+
+    `aliases` are the entity's texts in order of their first place. `evidence` says what joins its mentions:
+    shared_identifier (one number at two of them or more) and normalized_name (one name at two or more).
 
     Mentions are one organization if they share a taxpayer or registration number, or unless such numbers
     contradict if name and legal form are equal or one is the other's alias in brackets. The id is a hash of the sorted normalised names.
@@ -93,9 +96,18 @@ def organizations(found: DataFrame) -> DataFrame:
     entities = grouped.groupBy("doc_id", "label").agg(
         F.concat(F.lit("org:"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("name")), "|"), 256), 1, 16)).alias("entity_id"),
         F.max(F.struct(F.length("name"), F.length("text"), (-F.col("block_ord")).alias("b"), (-F.col("start")).alias("s"), F.col("text").alias("canonical"))).alias("best"), known.alias("roles"),
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "start", "text"))), lambda m: m["text"])).alias("aliases"),
+        *(F.flatten(F.collect_list(k)).alias(f"{k}s") for k in ("inn", "ogrn")), F.collect_list(F.when(F.col("name") != "", F.col("name"))).alias("names"),
     )
+    twice = lambda c: F.size(c) > F.size(F.array_distinct(c))
+    evidence = F.array_compact(F.array(F.when(twice(F.col("inns")) | twice(F.col("ogrns")), "shared_identifier"), F.when(twice(F.col("names")), "normalized_name")))
     role = F.when(F.size("roles") == 1, F.get("roles", F.lit(0))).otherwise("unknown")
-    return grouped.join(entities, ["doc_id", "label"]).select("doc_id", "block_ord", "start", "entity_id", role.alias("role"), (F.size("roles") > 1).alias("conflict"), F.col("best.canonical").alias("canonical_name"))
+    return grouped.join(entities, ["doc_id", "label"]).select("doc_id", "block_ord", "start", "entity_id", role.alias("role"), (F.size("roles") > 1).alias("conflict"), F.col("best.canonical").alias("canonical_name"), "aliases", evidence.alias("evidence"))
+
+
+def relations(people: DataFrame) -> DataFrame:
+    """Which person represents which organization in a document, once each: doc_id, kind, subject_id, object_id."""
+    return people.where("organization_id is not null").select("doc_id", F.lit("person_represents_organization").alias("kind"), F.col("entity_id").alias("subject_id"), F.col("organization_id").alias("object_id")).distinct()
 
 
 def representatives(found: DataFrame, orgs: DataFrame) -> DataFrame:

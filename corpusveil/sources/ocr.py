@@ -22,7 +22,10 @@ def ocr_lines(words: DataFrame, scale_x: float = 1.0, scale_y: float = 1.0) -> D
         ((F.col("left") + F.col("width")) * scale_x).alias("x1"), ((F.col("top") + F.col("height")) * scale_y).alias("y1"),
     )
     lines = good.groupBy("doc_id", *_LINE).agg(F.array_sort(F.collect_list(box)).alias("words"), F.min(F.col("left") * scale_x).alias("a"), F.min(F.col("top") * scale_y).alias("b"), F.max((F.col("left") + F.col("width")) * scale_x).alias("c"), F.max((F.col("top") + F.col("height")) * scale_y).alias("d"))
-    start = lambda i: F.aggregate(F.slice("words", F.lit(1), i), F.lit(0), lambda n, w: n + F.length(w["text"]) + 1)
-    placed = F.transform("words", lambda w, i: F.struct(start(i).alias("start"), (start(i) + F.length(w["text"])).alias("end"), w["x0"].alias("x0"), w["y0"].alias("y0"), w["x1"].alias("x1"), w["y1"].alias("y1")))
+    # Where each word ends, from one pass over the line.
+    ends = F.aggregate("words", F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, w: F.struct((a["at"] + 1 + F.length(w["text"])).alias("at"), F.concat(a["out"], F.array(a["at"] + 1 + F.length(w["text"]))).alias("out")), lambda a: a["out"])
+    lines = lines.withColumn("ends", ends)
+    end = lambda i: F.get("ends", i)
+    placed = F.transform("words", lambda w, i: F.struct((end(i) - F.length(w["text"])).alias("start"), end(i).alias("end"), w["x0"].alias("x0"), w["y0"].alias("y0"), w["x1"].alias("x1"), w["y1"].alias("y1")))
     order = Window.partitionBy("doc_id").orderBy(*_LINE)
     return lines.select("doc_id", (F.col("page_num") - 1).cast("int").alias("page_number"), (F.row_number().over(order) - 1).alias("block_ord"), F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"), placed.alias("ocr_words"), F.array("a", "b", "c", "d").alias("bbox"))

@@ -12,7 +12,7 @@ from corpusveil.operators.detect import detect
 from corpusveil.operators.masking import masked, with_applied
 from corpusveil.operators.matches import matches
 from corpusveil.operators.model import answers, chunks, model_spans, relocated
-from corpusveil.operators.registry import repeats
+from corpusveil.operators.registry import mentions, organizations, relations, repeats, representatives
 from corpusveil.sources.sinks import FIELDS, write_csv_report, write_json_report, write_masked
 
 
@@ -71,3 +71,15 @@ def test_values_repeat_wherever_their_first_word_is_a_whole_one(spark):
     got = sorted((r["doc_id"], r["block_ord"], s["text"], s["source"]) for r in found.collect() for s in r["spans"] if s["source"] == "document_repeat" or r["doc_id"] == 1)
     texts = [(b, t) for d, b, t, _ in got if d == 1]
     assert (1, "Белова\nАнна Павловна") in texts and (3, "ООО  «Луч»") in texts and not [t for b, t in texts if "Павловнатая" in t or t.startswith("ПООО")]
+
+
+def test_aliases_evidence_and_relations(spark):
+    lines = ["ООО «Луч», ИНН 7707083893", "Общество с ограниченной ответственностью «Луч-Сервис», ИНН 7707083893", "ООО «Луч» в лице директора Белова Ивана Павловича, действующего", "АО «Мир»"]
+    blocks = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "doc_id long, block_ord int, text string")
+    found = mentions(detect(blocks, ("organization", "person_name")))
+    orgs = organizations(found)
+    got = {r["block_ord"]: (r["entity_id"], r["aliases"], sorted(r["evidence"])) for r in orgs.collect()}
+    assert got[0] == got[1] == got[2] and got[3][1:] == (["АО «Мир»"], [])
+    assert got[0][1] == ["ООО «Луч»", "Общество с ограниченной ответственностью «Луч-Сервис»"] and got[0][2] == ["normalized_name", "shared_identifier"]
+    links = relations(representatives(found, orgs)).collect()
+    assert [(r["kind"], r["object_id"]) for r in links] == [("person_represents_organization", got[0][0])]
