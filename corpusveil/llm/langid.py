@@ -31,14 +31,15 @@ LEAST_SCORE = 0.35
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Numerals that count as word characters but are no letters by their Unicode category.
-_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+_NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_AS_BLANKS = dict.fromkeys(map(ord, _NUMERALS), " ")
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
 def grams(text: str) -> np.ndarray:
     """The bucket of every n-gram of a text's letters; words are lower-cased and parted by single spaces. No letters: empty."""
-    if not text.isascii() and _NUMERALS.search(text):
-        text = _NUMERALS.sub(" ", text)
+    if not text.isascii() and not _NUMERALS.isdisjoint(text):
+        text = text.translate(_AS_BLANKS)
     letters = _NOT_LETTERS.sub(" ", text).strip(" ").lower()
     if not letters:
         return np.zeros(0, dtype=np.int64)
