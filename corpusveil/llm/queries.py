@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rollups, sampling
+from . import mixing, rollups, sampling
+from .centroids import clusters
 from .common import cut, fresh_dir, scratch, table
 from .html import extract
 from .jpeg import features, read_media, write_media
 from .langid import identify
+from .middle import fill_in_middle, restored
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import judged
@@ -101,9 +103,69 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(F.col("k").alias("doc_id"), *first, "height", "width", "rgb")
 
 
+def op11_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sound vector of `embeddings` with its cluster after ten rounds; see `clusters`."""
+    return clusters(table(spark, sf_dir, "embeddings")).withColumnRenamed("k", "vec_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's form and of the text restored from it; see `fill_in_middle`."""
+    formed = fill_in_middle(table(spark, sf_dir, "documents"))
+    return formed.select(F.col("k").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(restored(F.col("form"), F.col("output")).cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes; see `copies`."""
+    return mixing.copies(table(spark, sf_dir, "documents")).select(F.col("k").alias("doc_id"), "size", "source_size", "target", "taken", F.col("s").alias("source"), "copies")
+
+
+def source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target of each source, without the draws, so that SQL can tell."""
+    with scratch(spark):
+        sizes = mixing.sizes(table(spark, sf_dir, "documents"))
+        return mixing.targets(sizes.groupBy("s").agg(F.sum("size").alias("source_size"))).select(F.col("s").alias("source"), "source_size", "weight", "target")
+
+
 _WORDS = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
 
+_UNITS = r"regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+')"
+
+
+def _clusters_sql() -> str:
+    """Ten rounds as ten steps: distances to all centroids, the smallest, and means rounded down."""
+    assign = "select k, c, d from (select k, c, d, row_number() over (partition by k order by d, c) as i from (select k, c, list_sum(list_transform(list_zip(v, u), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from x, c{n}) q) q where i = 1"
+    steps = []
+    for n in range(11):
+        steps.append(f"a{n} as materialized ({assign.format(n=n)})")
+        if n < 10:
+            sums = f"select c, p, sum(v[p])::bigint as s, count(*) as m from (select c, v, unnest(range(1, 65)) as p from a{n} join x using (k)) q group by c, p"
+            steps.append(f"c{n + 1} as materialized (select c, coalesce(w, u) as u from c{n} left join (select c, list((s - ((s % m) + m) % m) // m order by p) as w from ({sums}) q group by c) q using (c))")
+    return f"""with x as materialized (select vec_id as k, list_transform(embedding, lambda e: floor(1024 * e::double)::bigint) as v from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+        c0 as materialized (select row_number() over (order by h) - 1 as c, u from (select sha256(concat('3:', k)) as h, v as u from x order by h limit 8) q),
+        {", ".join(steps)},
+        s as (select c, sum(d)::bigint as cluster_inertia from a10 group by c)
+        select k as vec_id, c::int as cluster, d as distance, cluster_inertia, (select sum(d)::bigint from a10) as inertia, sha256(array_to_string(u, ',')) as centroid_sha256 from a10 join s using (c) join c10 using (c)"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_annulus_clusters": _clusters_sql(),
+    "op12_fill_in_middle": rf"""
+        with d as (select doc_id, coalesce(text, '') as t, sha256(concat('42:', doc_id)) as h from documents),
+        u as (select *, {_UNITS} as units, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+        c as (select *, len(units)::bigint as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b from u),
+        p as (select doc_id, t, n, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix,
+                     case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from c)
+        select doc_id, n, form, case when form <> 'plain' then length(prefix)::bigint end as prefix_chars, case when form <> 'plain' then length(middle)::bigint end as middle_chars,
+               sha256(case form when 'plain' then t when 'spm' then concat('<S>', suffix, '<P>', prefix, '<M>', middle) else concat('<P>', prefix, '<S>', suffix, '<M>', middle) end) as output_sha256, sha256(t) as restored_sha256 from p""",
+    "source_targets": r"""
+        with s as (select source, sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0))::bigint as source_size from documents group by source),
+        w as (select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::int as weight from s),
+        r as (select *, row_number() over (order by source_size / weight, source nulls last) as i from w),
+        b as (select *, sum(source_size) over () - coalesce(sum(3 * source_size) over (order by i rows between unbounded preceding and 1 preceding), 0) as words, sum(weight) over () - coalesce(sum(weight) over (order by i rows between unbounded preceding and 1 preceding), 0) as weights from r),
+        f as (select *, words * weight > 3 * source_size * weights as above from b),
+        l as (select sum(case when above then -2 * source_size else source_size end) as words, sum(case when above then 0 else weight end) as weights from f)
+        select source, source_size, weight, case when above then (3 * source_size)::double else (l.words * weight)::double / l.weights::double end as target from f, l""",
     "word_rollups": r"""
         with c as (select source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as words,
                           coalesce(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]')), 0)::bigint as pieces from documents)
@@ -135,4 +197,4 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"word_rollups": word_rollups}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"word_rollups": word_rollups, "source_targets": source_targets}
