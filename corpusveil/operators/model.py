@@ -1,71 +1,73 @@
-"""A model's answers: texts cut into chunks with an overlap, strict reading of its JSON, and values found again in the source.
+"""A model's answers: strict reading of its JSON, and values found again in the source.
 
 Offsets that a model names are never used: a value counts where it stands in the text, whatever its white space.
+Answers on pieces of long texts are found in these pieces and carried back to the whole texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import find, literal_pattern, piece
-from ..schema import MODEL_TYPES, SPAN_ARRAY
+from ..schema import ENTITY_TYPES, MODEL_TYPES, SPAN_ARRAY
+from .pieces import carried_back, chunks
 
-ANSWER = "struct<entities:array<struct<entity_type:string,value:string,confidence:double>>>"
+__all__ = ["answers", "answers_on_pieces", "chunks", "model_spans", "relocated"]
 
+FIELDS = ("entity_type", "value", "confidence")
+ANSWER = "struct<entities:array<struct<entity_type:string,value:string,confidence:double>>>"
 
-def chunks(blocks: DataFrame, size: int, overlap: int | None = None) -> DataFrame:
-    """doc_id, block_ord, offset and text of pieces of at most `size` characters, which begin `overlap` (512 or a quarter at most) before the last one's end.
 
-    A piece ends behind the last line break or space of its second half, if there is one. A null text has no piece.
-    """
-    back = min(512, size // 4) if overlap is None else overlap
-    if not 0 <= back < size // 2:
-        raise ValueError("the overlap must be less than half of a piece")
-    text, zero = F.col("text"), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,end:int>>").alias("out"))
-
-    def step(a: Column, _: Column) -> Column:
-        rest = F.length(text) - a["at"]
-        half = F.substring(text, a["at"] + size // 2 + 1, F.lit(size - size // 2))
-        cut = F.when(F.rlike(half, F.lit(r"[ \n]")), size // 2 + F.length(F.regexp_extract(half, r"(?s)\A(.*[ \n])", 1))).otherwise(size)
-        end = a["at"] + F.when(rest <= size, rest).otherwise(cut).cast("int")
-        done = F.size(a["out"]) > 0
-        over = done & (F.try_element_at(a["out"], F.lit(-1))["end"] >= F.length(text))
-        more = F.struct(F.greatest(end - back, a["at"] + 1).cast("int").alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("offset"), end.alias("end")))).alias("out"))
-        return F.when(over, a).otherwise(more)
-
-    rounds = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(text) / (size // 2 - back)).cast("int")))
-    found = blocks.where("text is not null").select("doc_id", "block_ord", "text", F.explode(F.aggregate(rounds, zero, step, lambda a: a["out"])).alias("c"))
-    return found.select("doc_id", "block_ord", F.col("c.offset").alias("offset"), piece(F.col("text"), F.col("c.offset"), F.col("c.end")).alias("text"))
+def _keys(df: DataFrame) -> list[str]:
+    """What tells a text that was asked about: a block, or a piece of one."""
+    return ["doc_id", "block_ord", *(["piece"] if "piece" in df.columns else [])]
 
 
 def answers(replies: DataFrame) -> DataFrame:
-    """The entities of replies (doc_id, block_ord, reply): doc_id, block_ord, entity_type, value, confidence, and a reason if the reply is no such JSON.
+    """The entities of replies (doc_id, block_ord, perhaps piece, reply): the keys, entity_type, value, confidence, and a reason if the reply is no such JSON.
 
-    A fence around the whole reply is taken off; any other text, field or type makes the reply unreadable.
+    A fence around the whole reply is taken off, in any case and on one line too. Any other text, name or type,
+    at the top or in an entity, makes the reply unreadable.
     """
-    bare = F.regexp_replace("reply", r"(?s)\A\s*```(?:json)?\s*\n(.*?)\n?\s*```\s*\z", "$1")
+    keys = _keys(replies)
+    bare = F.regexp_replace("reply", r"(?is)\A\s*```(?:json)?\s*(.*?)\s*```\s*\z", "$1")
     read = F.from_json(bare, ANSWER, {"mode": "PERMISSIVE"})
     strict = F.rlike(bare, F.lit(r"(?s)\A\s*\{\s*\"entities\"\s*:\s*\[.*\]\s*\}\s*\z")) & read["entities"].isNotNull()
     known = F.forall(F.coalesce(F.json_object_keys(bare), F.array()), lambda k: k == "entities")
-    own = replies.select("doc_id", "block_ord", F.when(strict & known, read["entities"]).alias("found"))
-    rows = own.select("doc_id", "block_ord", F.explode_outer("found").alias("e"), F.col("found").isNull().alias("bad"))
-    return rows.where("bad or e is not null").select("doc_id", "block_ord", "e.entity_type", "e.value", "e.confidence", F.when(F.col("bad"), "unreadable").alias("reason"))
+    named = F.from_json(bare, "struct<entities:array<map<string,string>>>", {"mode": "PERMISSIVE"})["entities"]
+    plain = F.forall(F.coalesce(named, F.array().cast("array<map<string,string>>")), lambda e: F.coalesce(F.size(F.array_except(F.map_keys(e), F.array(*map(F.lit, FIELDS)))) == 0, F.lit(False)))
+    own = replies.select(*keys, F.when(strict & known & plain, read["entities"]).alias("found"))
+    rows = own.select(*keys, F.explode_outer("found").alias("e"), F.col("found").isNull().alias("bad"))
+    return rows.where("bad or e is not null").select(*keys, "e.entity_type", "e.value", "e.confidence", F.when(F.col("bad"), "unreadable").alias("reason"))
 
 
 def relocated(blocks: DataFrame, named: DataFrame, types: tuple[str, ...] | list[str] = MODEL_TYPES, source: str = "llm", confidence: float = 0.8) -> DataFrame:
-    """Each named value (doc_id, block_ord, entity_type, value, confidence, perhaps reason) with the ranges where its block has it.
+    """Each named value (the keys, entity_type, value, confidence, perhaps reason) with the ranges where its block, or piece, has it.
 
-    Returns the columns of `named`, ranges, and reason: what it was, or unknown_type, empty, absent; null if it was found.
+    Returns the keys, the value's columns, ranges, and reason: what it was, or unknown_type (of no such name),
+    unrequested_type, empty, absent; null if it was found.
     """
+    keys = _keys(named)
     own = named if "reason" in named.columns else named.withColumn("reason", F.lit(None).cast("string"))
-    own = own.join(blocks.select("doc_id", "block_ord", "text"), ["doc_id", "block_ord"], "left")
+    own = own.join(blocks.select(*keys, "text"), keys, "left")
     blank = F.coalesce(F.rlike("value", F.lit(r"(?U)\A\s*\z")), F.lit(True))
-    early = F.coalesce("reason", F.when(~F.coalesce(F.col("entity_type").isin(*types), F.lit(False)), "unknown_type").when(blank, "empty").when(F.col("text").isNull(), "absent"))
+    no = lambda kinds: ~F.coalesce(F.col("entity_type").isin(*kinds), F.lit(False))
+    early = F.coalesce("reason", F.when(no(ENTITY_TYPES), "unknown_type").when(no(types), "unrequested_type").when(blank, "empty").when(F.col("text").isNull(), "absent"))
     ranges = F.when(early.isNull(), find(F.col("text"), literal_pattern(F.col("value")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
     out = own.withColumn("early", early).withColumn("ranges", ranges)
     out = out.withColumn("reason", F.coalesce("early", F.when(F.size("ranges") == 0, "absent")))
-    return out.withColumns({"source": F.lit(source), "confidence": F.coalesce("confidence", F.lit(confidence))}).select("doc_id", "block_ord", "entity_type", "value", "confidence", "source", "ranges", "reason", "text")
+    return out.withColumns({"source": F.lit(source), "confidence": F.coalesce("confidence", F.lit(confidence))}).select(*keys, "entity_type", "value", "confidence", "source", "ranges", "reason", "text")
+
+
+def answers_on_pieces(pieces: DataFrame, replies: DataFrame, back: int, types: tuple[str, ...] | list[str] = MODEL_TYPES) -> DataFrame:
+    """Spans of whole texts from replies (doc_id, block_ord, piece, reply) on their pieces, which `chunks` cut with an overlap of `back`.
+
+    Returns doc_id, block_ord, entity_type, start, end, confidence and source. A value that several pieces have counts once, and one that a cut halved as a whole.
+    """
+    found = relocated(pieces, answers(replies), types).where("reason is null").select("doc_id", "block_ord", "piece", "entity_type", "confidence", "source", F.explode("ranges").alias("r"))
+    rows = found.join(pieces.select("doc_id", "block_ord", "piece", "offset", "end", "last"), ["doc_id", "block_ord", "piece"])
+    return carried_back(rows.select("doc_id", "block_ord", "offset", "end", "last", "entity_type", F.col("r.start").alias("start"), F.col("r.end").alias("stop"), "confidence", "source"), back)
 
 
 def model_spans(blocks: DataFrame, named: DataFrame, types: tuple[str, ...] | list[str] = MODEL_TYPES) -> DataFrame:

@@ -16,7 +16,8 @@ from ..functions import text as tf
 from ..operators.detect import detect, in_one_cell, mock_spans, money_spans, no_titles, rule_spans
 from ..operators.masking import format_location, masked, preview, publishable, quality, report, with_applied
 from ..operators.matches import apply_answers, matches, questions, with_roles
-from ..operators.model import relocated
+from ..operators.model import answers_on_pieces, relocated
+from ..operators.pieces import chunks, found_in_pieces
 from ..operators.registry import mentions, nearest_identifiers, organizations, repeats, representatives
 from ..schema import DISPLAY_NAMES, ENTITY_TYPES, SPAN_ARRAY
 from ..sources.ocr import ocr_lines
@@ -309,6 +310,20 @@ def _ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr_lines(words, 2.0, 1.0).select("doc_id", F.col("page_number").cast("long").alias("page_number"), "text", box(0).alias("x0"), box(1).alias("y0"), box(2).alias("x1"), box(3).alias("y1"), last["start"].cast("long").alias("last_start"), last["end"].cast("long").alias("last_end"))
 
 
+def _in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The e-mail addresses of whole documents, by a detector that sees no more than 500 characters at once."""
+    found = found_in_pieces(whole_text_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet")), lambda t: rule_spans(t, ("email",)), 500)
+    return found.select("doc_id", "start", "end")
+
+
+def _answers_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that is asked about pieces of 500 characters names their addresses in fenced JSON; where they stand in the whole documents."""
+    pieces = cut(chunks(whole_text_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet")), 500), "pieces")
+    names = F.transform(rule_spans(F.col("text"), ("email",)), lambda s: F.struct(s["entity_type"].alias("entity_type"), s["text"].alias("value"), F.lit(0.9).alias("confidence")))
+    replies = pieces.select("doc_id", "block_ord", "piece", F.concat(F.lit("```json\n"), F.to_json(F.struct(names.alias("entities"))), F.lit("\n```")).alias("reply"))
+    return answers_on_pieces(pieces, replies, 125, ("email",)).select("doc_id", "start", "end")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     detectors = {f"detect_{'contract' if t == 'contract_number' else t.removesuffix('_name')}": _detector(t) for t in ENTITY_TYPES}
     return detectors | {
@@ -317,20 +332,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "party_roles": _roles, "document_repeat": _repeats, "review_questions": _review, "apply_answers": _answers, "report_rows": _report, "format_location": _locations, "preview_segments": _preview,
         "quality_scores": _quality, "checksums": _checks, "normalize_name": _names, "token_estimate": _tokens, "amount_by_column": _column_amounts, "independent_cells": _cells, "sections": _sections,
         "table_headers": _headers, "stage_progress": _progress, "job_fifo": _queue, "publishable": _publishable,
-        "model_relocation": _relocation, "applied_matches": _applied, "ocr_lines": _ocr,
+        "model_relocation": _relocation, "applied_matches": _applied, "ocr_lines": _ocr, "spans_in_pieces": _in_pieces, "answers_in_pieces": _answers_in_pieces,
     }
 
 
 _EMAIL = r"[A-Za-z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"
+_EMAIL_PLACES = f"""t as (select doc_id, regexp_extract_all(text, '{_EMAIL}') as v, string_split_regex(text, '{_EMAIL}') as s from documents),
+        e as (select doc_id, v[i] as value, (list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0))::bigint as start from (select *, unnest(range(1, len(v) + 1)) as i from t) z)"""
 _INN = "concat('77', lpad(p_partkey::varchar, 8, '0'))"
 _WEIGHTS = "[2, 4, 10, 3, 5, 9, 4, 6, 8]"
 _COLUMNS = "doc_id, block_ord, entity_type, start, \"end\", text"
 _ENTITY = "concat('org:', substring(sha256(array_to_string(list_sort(list(lower(replace(replace(replace(replace(text, 'ООО ', ''), 'АО ', ''), '«', ''), '»', '')))), '|')), 1, 16))"
 ORACLES: dict[str, str] = {f"detect_{'contract' if t == 'contract_number' else t.removesuffix('_name')}": _sql(f"select {_COLUMNS} from gold where entity_type = '{t}'") for t in ENTITY_TYPES} | {
-    "mask_text": f"""with t as (select doc_id, regexp_extract_all(text, '{_EMAIL}') as v, string_split_regex(text, '{_EMAIL}') as s from documents),
-        e as (select doc_id, v[i] as value, (list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0))::bigint as start from (select *, unnest(range(1, len(v) + 1)) as i from t) z)
+    "mask_text": f"""with {_EMAIL_PLACES}
         select doc_id, start, start + length(value) as "end", value, concat('[ЭЛЕКТРОННАЯ_ПОЧТА_', dense_rank() over (partition by doc_id order by first), ']') as replacement
         from (select *, min(start) over (partition by doc_id, value) as first from e) y""",
+    "spans_in_pieces": f"with {_EMAIL_PLACES} select doc_id, start, start + length(value) as \"end\" from e",
+    "answers_in_pieces": f"with {_EMAIL_PLACES} select doc_id, start, start + length(value) as \"end\" from e",
     "email_counts": f"select doc_id, email, count(*)::bigint as n from (select doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) as email from documents) group by all",
     "blocks_lines": "select doc_id, (i - 1)::bigint as block_ord, length(line)::bigint as n_chars from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where trim(line, ' ' || chr(9) || chr(13)) <> ''",
     "resolve_rule_spans": _sql(f"select {_COLUMNS} from gold"),
