@@ -8,7 +8,7 @@ import unicodedata
 from array import array
 
 #: Chunks that a worker keeps, and the longest chunk that is kept.
-CACHE_CHUNKS, CACHE_CHARS = 1_000_000, 32
+CACHE_CHUNKS, CACHE_CHARS = 250_000, 32
 
 #: Chunks are splits of the tokenizers' own patterns, or unions of neighbouring ones.
 _DROP = re.compile(r"'[^\W_]+|[^\W_]+|(?:[^\w\s]|_)+")
