@@ -15,12 +15,21 @@ _DROP = re.compile(r"'[^\W_]+|[^\W_]+|(?:[^\w\s]|_)+")
 _KEEP = re.compile(r"'[^\W_]+| ?[^\W_]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 #: White space on which the two regular expression engines differ.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e]")
+#: Code points that this Python doesn't know, and the library may; above U+FFFF they are looked up one by one.
+_UNKNOWN = re.compile(f"[{''.join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) == 'Cn')}]")
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _unknown(text: str) -> bool:
+    return bool(_UNKNOWN.search(text)) or any(unicodedata.category(c) == "Cn" for c in set(_HIGH.findall(text)))
 
 
 def _dropping(text: str) -> list[str]:
     """Chunks for a tokenizer that composes characters, lower-cases and drops white space."""
     if text.isascii():
         return re.split("[ \n]+", text) if _ODD_SPACE.search(text) else _DROP.findall(text.lower())
+    if _unknown(text):
+        return [text]
     if _ODD_SPACE.search(text) or "\u0130" in text or not unicodedata.is_normalized("NFC", text):
         return re.split("[ \n]+", text)
     return _DROP.findall(text)
@@ -28,7 +37,7 @@ def _dropping(text: str) -> list[str]:
 
 def _keeping(text: str) -> list[str]:
     """Chunks for byte-level tokenizers that give a word the space before it."""
-    return [text] if _ODD_SPACE.search(text) else _KEEP.findall(text)
+    return [text] if _ODD_SPACE.search(text) or not text.isascii() and _unknown(text) else _KEEP.findall(text)
 
 
 class CachedEncoder:
@@ -36,7 +45,8 @@ class CachedEncoder:
 
     A text falls into chunks that the tokenizer treats one by one, so ids can be kept by chunk. The ids
     come from the library alone, as it gives them by itself: a text that has the string of a special token
-    goes to it whole, and that string becomes the token.
+    goes to it whole, and that string becomes the token. So does a text with a code point that is unassigned
+    here, since the library's tables may say what kind of character it is.
     """
 
     def __init__(self, path: str, keeps_space: bool):
