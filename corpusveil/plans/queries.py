@@ -18,6 +18,7 @@ from ..operators.masking import format_location, masked, preview, publishable, q
 from ..operators.matches import apply_answers, matches, questions, with_roles
 from ..operators.model import answers_on_pieces, relocated
 from ..operators.pieces import chunks, found_in_pieces
+from ..operators.redaction import redacted_cells, redacted_runs
 from ..operators.registry import mentions, nearest_identifiers, organizations, repeats, representatives
 from ..schema import DISPLAY_NAMES, ENTITY_TYPES, SPAN_ARRAY
 from ..sources.ocr import ocr_lines
@@ -310,6 +311,26 @@ def _ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr_lines(words, 2.0, 1.0).select("doc_id", F.col("page_number").cast("long").alias("page_number"), "text", box(0).alias("x0"), box(1).alias("y0"), box(2).alias("x1"), box(3).alias("y1"), last["start"].cast("long").alias("last_start"), last["end"].cast("long").alias("last_end"))
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contracts' lines as runs of seven characters, each of a format of its own; masked and put together again."""
+    blocks = contract_blocks(spark, sf_dir)
+    found = cut(detect(blocks, ENTITY_TYPES), "detected")
+    runs = blocks.select("doc_id", F.col("block_ord").cast("int").alias("block_ord"), F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0))).alias("run_ord", "text"))
+    pieces, judged = redacted_runs(runs.withColumn("format", F.concat(F.lit("f"), F.col("run_ord").cast("string"))), matches(found, ENTITY_TYPES))
+    marks = F.array_sort(F.collect_list(F.when(F.col("marked"), F.struct("run_ord", F.concat_ws("=", "format", "text").alias("x")))))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("run_ord", "part", "text"))), lambda r: r["text"])
+    out = pieces.groupBy("doc_id", "block_ord").agg(F.array_join(joined, "").alias("masked"), F.array_join(F.transform(marks, lambda m: m["x"]), ";").alias("marks"))
+    return out.join(judged.groupBy("doc_id", "block_ord").agg(F.sum(F.col("applied").cast("long")).alias("n_applied")), ["doc_id", "block_ord"], "left").withColumn("n_applied", F.coalesce("n_applied", F.lit(0)))
+
+
+def _masked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that name an order's customer by taxpayer number; formulas are not touched, nor what isn't there any more."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").cast("string").alias("c"), F.col("o_orderkey") % 3 == 0)
+    cells = orders.toDF("doc_id", "c", "formula").select("doc_id", F.lit(0).alias("block_ord"), F.concat(F.lit("ИНН 77"), F.lpad("c", 8, "0"), F.lit(" клиент")).alias("text"), "formula")
+    found = cells.select("doc_id", "block_ord", F.lit("inn").alias("entity_type"), F.lit(4).alias("start"), F.lit(14).alias("end"), F.when(F.col("doc_id") % 5 == 0, "other").otherwise(F.substring("text", 5, 10)).alias("text"), F.lit("[ИНН_1]").alias("replacement"))
+    return redacted_cells(cells, found)[0].select("doc_id", "masked", "marked")
+
+
 def _in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The e-mail addresses of whole documents, by a detector that sees no more than 500 characters at once."""
     found = found_in_pieces(whole_text_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet")), lambda t: rule_spans(t, ("email",)), 500)
@@ -332,7 +353,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "party_roles": _roles, "document_repeat": _repeats, "review_questions": _review, "apply_answers": _answers, "report_rows": _report, "format_location": _locations, "preview_segments": _preview,
         "quality_scores": _quality, "checksums": _checks, "normalize_name": _names, "token_estimate": _tokens, "amount_by_column": _column_amounts, "independent_cells": _cells, "sections": _sections,
         "table_headers": _headers, "stage_progress": _progress, "job_fifo": _queue, "publishable": _publishable,
-        "model_relocation": _relocation, "applied_matches": _applied, "ocr_lines": _ocr, "spans_in_pieces": _in_pieces, "answers_in_pieces": _answers_in_pieces,
+        "model_relocation": _relocation, "applied_matches": _applied, "ocr_lines": _ocr, "redacted_runs": _runs, "redacted_cells": _masked_cells, "spans_in_pieces": _in_pieces, "answers_in_pieces": _answers_in_pieces,
     }
 
 
@@ -347,6 +368,11 @@ ORACLES: dict[str, str] = {f"detect_{'contract' if t == 'contract_number' else t
     "mask_text": f"""with {_EMAIL_PLACES}
         select doc_id, start, start + length(value) as "end", value, concat('[ЭЛЕКТРОННАЯ_ПОЧТА_', dense_rank() over (partition by doc_id order by first), ']') as replacement
         from (select *, min(start) over (partition by doc_id, value) as first from e) y""",
+    "redacted_runs": _masked_sql("concat('[', pre, '_', number, ']')").replace(
+        ", true as complete from", ", coalesce((select string_agg(concat('f', start // 7, '=[', pre, '_', number, ']'), ';' order by start) from marked x where x.doc_id = b.doc_id and x.block_ord = b.block_ord), '') as marks, coalesce(len(m), 0)::bigint as n_applied from"
+    ),
+    "redacted_cells": """select o_orderkey as doc_id, o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 as marked,
+        case when o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 then 'ИНН [ИНН_1] клиент' else concat('ИНН 77', lpad(o_custkey::varchar, 8, '0'), ' клиент') end as masked from orders""",
     "spans_in_pieces": f"with {_EMAIL_PLACES} select doc_id, start, start + length(value) as \"end\" from e",
     "answers_in_pieces": f"with {_EMAIL_PLACES} select doc_id, start, start + length(value) as \"end\" from e",
     "email_counts": f"select doc_id, email, count(*)::bigint as n from (select doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) as email from documents) group by all",
