@@ -572,19 +572,37 @@ def decode(files: list[bytes]) -> list[np.ndarray]:
     return [rgb(im, pixels) for im in images]
 
 
-def decode_media(media: DataFrame, key: str = "k", column: str = "media") -> DataFrame:
-    """k, height, width and rgb (bytes by rows) of progressive JPEG files; a null file gives nulls. A file that is none fails the job."""
+def _decoded(files: list[bytes], most: int) -> list[tuple[np.ndarray | None, str | None]]:
+    """The tensor of each file, or why there is none. Files are decoded together, and apart if one of them fails."""
+    if not files:
+        return []
+    try:
+        if any(im.height * im.width > most for im in map(read, files)):
+            raise ValueError(f"more than {most} pixels")
+        return [(x, None) for x in decode(files)]
+    except Exception as e:  # noqa: BLE001 - whatever a file that is no image makes fail
+        if len(files) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+    return [x for f in files for x in _decoded([f], most)]
+
+
+def decode_media(media: DataFrame, key: str = "k", column: str = "media", most_pixels: int = 1 << 26) -> DataFrame:
+    """k, height, width, rgb (bytes by rows) and reason of progressive JPEG files.
+
+    A null file gives nulls. A file that is no progressive JPEG, is broken, or claims more pixels than
+    `most_pixels`, gives nulls and the reason.
+    """
     tune(media.sparkSession)
-    schema = pa.schema([("k", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])
+    schema = pa.schema([("k", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary()), ("reason", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows in _together(list(zip(b.column("k").to_pylist(), b.column("m").to_pylist(), strict=True)), lambda r: len(r[1] or b"")):
-                tensors = iter(decode([m for _, m in rows if m is not None]))
-                got = [None if m is None else next(tensors) for _, m in rows]
-                yield batch(schema, k=[k for k, _ in rows], height=[None if x is None else x.shape[0] for x in got], width=[None if x is None else x.shape[1] for x in got], rgb=[None if x is None else x.tobytes() for x in got])
+                found = iter(_decoded([m for _, m in rows if m is not None], most_pixels))
+                got, why = zip(*((None, None) if m is None else next(found) for _, m in rows), strict=True)
+                yield batch(schema, k=[k for k, _ in rows], height=[None if x is None else x.shape[0] for x in got], width=[None if x is None else x.shape[1] for x in got], rgb=[None if x is None else x.tobytes() for x in got], reason=list(why))
 
-    return media.selectExpr(f"cast(`{key}` as long) as k", f"cast(`{column}` as binary) as m").mapInArrow(run, "k long, height int, width int, rgb binary")
+    return media.selectExpr(f"cast(`{key}` as long) as k", f"cast(`{column}` as binary) as m").mapInArrow(run, "k long, height int, width int, rgb binary, reason string")
 
 
 def _together(rows: list[tuple], weight) -> Iterator[list[tuple]]:

@@ -4,17 +4,21 @@ A change inserts a document, deletes one or revises its count. A batch of change
 source, language and tokenizer version. They are written aside and published by one rename to a folder
 that bears the batch's name, so readers see all of a batch or nothing of it. A name is taken once: a batch
 that is committed again, after a failure or after compaction, changes nothing. Totals are the sums over all
-batches. Compaction folds them into one table, published the same way, that remembers their names.
+batches. Compaction folds the batches of one listing into one table, published the same way, that remembers
+their names; batches that come meanwhile stay. What is folded is removed by the next compaction, so that a
+reader who listed the folders before still finds them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,30 +66,52 @@ def _names(spark: SparkSession, root: str) -> list[str]:
 
 
 def _publish(spark: SparkSession, made: str, target: str) -> bool:
-    """Rename a written table to its name; if another one has it, that stays."""
+    """Rename a written table to its name, which must be free: if another writer has taken it, that one's stays."""
     where, fs = _file_system(spark, target)
     fs.mkdirs(where.getParent())
-    if not fs.exists(where) and fs.rename(_file_system(spark, made)[0], where):
+    jvm = spark._jvm
+    free = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    free[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration()).rename(_file_system(spark, made)[0], where, free)
         return True
+    except Py4JJavaError:
+        if not fs.exists(where):
+            raise
     delete(spark, [made])
     return False
 
 
-def _state(spark: SparkSession, root: str) -> tuple[str | None, list[str], list[str]]:
-    """The last compaction's folder, the names folded into it, and the folders of the batches since."""
+class _State(NamedTuple):
+    """The last compaction's folder, the folders of the batches since, and folders that earlier compactions have made needless."""
+
+    last: str | None
+    since: list[str]
+    needless: list[str]
+
+
+def _folded(spark: SparkSession, root: str, last: str | None, names: list[str]) -> set[str]:
+    """Which of these names the compaction has folded."""
+    if not last or not names:
+        return set()
+    return {r["name"] for r in spark.read.schema("name string").parquet(f"{root}/{last}/names").where(F.col("name").isin(names)).collect()}
+
+
+def _state(spark: SparkSession, root: str) -> _State:
+    """What one listing of the folders shows."""
     names = _names(spark, root)
-    number = max((int(m[1]) for n in names if (m := re.fullmatch(r"compaction-(\d+)", n))), default=None)
-    last = None if number is None else f"compaction-{number}"
-    folded = [r["name"] for r in spark.read.schema("name string").parquet(f"{root}/{last}/names").collect()] if last else []
-    known = set(folded)
-    return last, folded, sorted(n for n in names if n.startswith("batch-") and n not in known)
+    numbers = sorted(int(m[1]) for n in names if (m := re.fullmatch(r"compaction-(\d+)", n)))
+    last = f"compaction-{numbers[-1]}" if numbers else None
+    batches = sorted(n for n in names if n.startswith("batch-"))
+    done = _folded(spark, root, last, batches)
+    return _State(last, [n for n in batches if n not in done], sorted(done) + [f"compaction-{n}" for n in numbers[:-1]])
 
 
 def commit(root: str, batch_id: str, changes: DataFrame) -> bool:
     """Commit a batch of changes under its name; False, and nothing changes, if the name was committed before."""
     spark, name = changes.sparkSession, f"batch-{quote(batch_id, safe='')}"
-    _, folded, since = _state(spark, root)
-    if name in since or name in folded:
+    state = _state(spark, root)
+    if name in state.since or name in state.needless or _folded(spark, root, state.last, [name]):
         return False
     made = fresh_dir(spark, "changes")
     sums = signed(changes).groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
@@ -93,21 +119,33 @@ def commit(root: str, batch_id: str, changes: DataFrame) -> bool:
     return _publish(spark, made, f"{root}/{name}")
 
 
-def totals(spark: SparkSession, root: str) -> DataFrame:
-    """The totals of all committed batches, without groups that have become empty; without a batch there are none."""
-    last, _, since = _state(spark, root)
-    paths = [f"{root}/{n}" for n in since] + ([f"{root}/{last}/sums"] if last else [])
+def _sums(spark: SparkSession, root: str, state: _State) -> DataFrame:
+    """The totals of the batches that a listing has shown."""
+    paths = [f"{root}/{n}" for n in state.since] + ([f"{root}/{state.last}/sums"] if state.last else [])
     rows = spark.read.schema(SUMS).parquet(*paths) if paths else spark.createDataFrame([], SUMS)
     return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
 
-def compact(spark: SparkSession, root: str) -> None:
-    """Fold all batches into one table that remembers their names, then remove them. A run that fails on the way changes no total."""
-    last, folded, since = _state(spark, root)
-    if not since:
-        return
+def totals(spark: SparkSession, root: str) -> DataFrame:
+    """The totals of all committed batches, without groups that have become empty; without a batch there are none."""
+    return _sums(spark, root, _state(spark, root))
+
+
+def compact(spark: SparkSession, root: str) -> bool:
+    """Fold the batches of one listing into one table that remembers their names. False if there are none, or another compaction came first.
+
+    A run that fails on the way changes no total. Folders that earlier compactions have folded go; those of this one go with the next.
+    """
+    state = _state(spark, root)
+    if not state.since:
+        return False
     made = fresh_dir(spark, "compaction")
-    totals(spark, root).write.parquet(f"{made}/sums")
-    spark.createDataFrame([(n,) for n in folded + since], "name string").coalesce(1).write.parquet(f"{made}/names")
-    if _publish(spark, made, f"{root}/compaction-{int(last.split('-')[1]) + 1 if last else 1}"):
-        delete(spark, [f"{root}/{n}" for n in [*since, *([last] if last else [])]])
+    _sums(spark, root, state).write.parquet(f"{made}/sums")
+    names = spark.createDataFrame([(n,) for n in state.since], "name string")
+    if state.last:
+        names = names.union(spark.read.schema("name string").parquet(f"{root}/{state.last}/names"))
+    names.write.parquet(f"{made}/names")
+    done = _publish(spark, made, f"{root}/compaction-{int(state.last.split('-')[1]) + 1 if state.last else 1}")
+    if done:
+        delete(spark, [f"{root}/{n}" for n in state.needless])
+    return done
