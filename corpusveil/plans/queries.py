@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tf
@@ -22,6 +22,7 @@ from ..operators.redaction import redacted_cells, redacted_runs
 from ..operators.registry import mentions, nearest_identifiers, organizations, repeats, representatives
 from ..schema import DISPLAY_NAMES, ENTITY_TYPES, SPAN_ARRAY
 from ..sources.ocr import ocr_lines
+from ..sources.pages import page_blocks, page_characters, span_rectangles, with_table_cells
 from ..sources.tables import cut, line_blocks, whole_text_blocks, with_sections, with_table_headers
 from .pipeline import job_progress, job_queue, mask, propose
 
@@ -331,6 +332,52 @@ def _masked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted_cells(cells, found)[0].select("doc_id", "masked", "marked")
 
 
+def _characters(lines: DataFrame, x: Column, y: Column, order: Column) -> DataFrame:
+    """Characters of lines (doc_id, page_number, text), six units wide and ten high, from a place on; spaces between words have boxes too."""
+    signs = F.posexplode(F.split("text", "(?!^)(?!$)")).alias("i", "c")
+    own = lines.select("doc_id", "page_number", x.alias("x"), y.alias("y"), order.alias("o"), signs)
+    at = lambda n: (F.col("x") + 6 * (F.col("i") + n)).cast("double")
+    return own.select("doc_id", "page_number", (F.col("o") * 1000 + F.col("i")).alias("char_ord"), "c", at(0).alias("x0"), F.col("y").cast("double").alias("y0"), at(1).alias("x1"), (F.col("y") + 10).cast("double").alias("y1"))
+
+
+def _contract_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contracts as pages: the first six lines in two blocks of three, the other four beside them as a column of their own."""
+    n = F.col("block_ord")
+    lines = contract_blocks(spark, sf_dir).withColumn("page_number", F.lit(0))
+    return _characters(lines, F.when(n < 6, 10).otherwise(900), F.when(n < 6, 12 * n + F.when(n >= 3, 30).otherwise(0)).otherwise(12 * (n - 6) + 5), n)
+
+
+def _page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = page_blocks(page_characters(_contract_characters(spark, sf_dir)))
+    return blocks.select("doc_id", "block_id", "text", *(F.col("bbox")[i].cast("long").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+def _rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What hides the values of the contracts' pages; those that a line break cuts take a rectangle in each line."""
+    placed = cut(page_characters(_contract_characters(spark, sf_dir)), "characters")
+    blocks = cut(page_blocks(placed), "blocks")
+    found = blocks.select("doc_id", "block_ord", F.explode(rule_spans(F.regexp_replace("text", "\n", " "), ("inn", "email", "bik", "amount"))).alias("s"))
+    found = found.select("doc_id", "block_ord", "s.start", "s.end", "s.text", "s.entity_type", F.concat(F.lit("["), "s.entity_type", F.lit("]")).alias("label"))
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    return span_rectangles(placed, blocks, found).select("doc_id", "entity_type", whole("x0"), whole("y0"), whole("x1"), whole("y1"), "label")
+
+
+def _table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tables of a header and a line; spans of the cells, and which of them are sums."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("size"))
+    row = lambda i, a, b, c: F.struct(F.lit(i).alias("row"), F.array(a, b, c).alias("texts"))
+    rows = part.select("doc_id", F.explode(F.array(row(0, F.lit("Товар"), F.lit("Цена, руб."), F.lit("Число")), row(1, F.col("name"), F.concat(F.lit(" "), "size", F.lit(" 000,50 ")), F.col("size")))).alias("r"))
+    texts = rows.select("doc_id", F.lit(0).alias("page_number"), "r.row", F.posexplode("r.texts").alias("column", "text"))
+    n, k = F.col("column"), F.col("row")
+    signs = _characters(texts, 20 + 700 * n, 20 * k, 3 * k + n)
+    cells = texts.select("doc_id", "page_number", F.lit(0).alias("table"), "row", "column", (10.0 + 700 * n).alias("x0"), (20.0 * k - 2).alias("y0"), (700.0 + 700 * n).alias("x1"), (20.0 * k + 14).alias("y1"))
+    placed = cut(page_characters(signs), "characters")
+    found = with_table_cells(page_blocks(placed), placed, cells).where("cell_spans is not null")
+    spans = found.select("doc_id", F.explode("cell_spans").alias("c"), "money_spans", "text")
+    inside = F.filter("money_spans", lambda m: (m["start"] >= F.col("c.start")) & (m["end"] <= F.col("c.end")))
+    return spans.select("doc_id", F.col("c.cell_column").cast("long").alias("column"), F.expr("substring(text, c.start + 1, c.end - c.start)").alias("text"), F.get(F.transform(inside, lambda m: F.substring(F.col("text"), m["start"] + 1, m["end"] - m["start"])), F.lit(0)).alias("money"))
+
+
 def _in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The e-mail addresses of whole documents, by a detector that sees no more than 500 characters at once."""
     found = found_in_pieces(whole_text_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet")), lambda t: rule_spans(t, ("email",)), 500)
@@ -353,7 +400,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "party_roles": _roles, "document_repeat": _repeats, "review_questions": _review, "apply_answers": _answers, "report_rows": _report, "format_location": _locations, "preview_segments": _preview,
         "quality_scores": _quality, "checksums": _checks, "normalize_name": _names, "token_estimate": _tokens, "amount_by_column": _column_amounts, "independent_cells": _cells, "sections": _sections,
         "table_headers": _headers, "stage_progress": _progress, "job_fifo": _queue, "publishable": _publishable,
-        "model_relocation": _relocation, "applied_matches": _applied, "ocr_lines": _ocr, "redacted_runs": _runs, "redacted_cells": _masked_cells, "spans_in_pieces": _in_pieces, "answers_in_pieces": _answers_in_pieces,
+        "model_relocation": _relocation, "applied_matches": _applied, "ocr_lines": _ocr, "page_blocks": _page_blocks, "span_rectangles": _rectangles, "table_cells": _table_cells, "redacted_runs": _runs, "redacted_cells": _masked_cells, "spans_in_pieces": _in_pieces, "answers_in_pieces": _answers_in_pieces,
     }
 
 
@@ -371,6 +418,13 @@ ORACLES: dict[str, str] = {f"detect_{'contract' if t == 'contract_number' else t
     "redacted_runs": _masked_sql("concat('[', pre, '_', number, ']')").replace(
         ", true as complete from", ", coalesce((select string_agg(concat('f', start // 7, '=[', pre, '_', number, ']'), ';' order by start) from marked x where x.doc_id = b.doc_id and x.block_ord = b.block_ord), '') as marks, coalesce(len(m), 0)::bigint as n_applied from"
     ),
+    "page_blocks": _sql("""select doc_id, concat('pdf_page_0_block_', case g when 0 then 0 when 2 then 1 else 2 end) as block_id, string_agg(text || chr(10), '' order by block_ord) as text,
+        (case g when 2 then 900 else 10 end)::bigint as x0, (case g when 0 then 0 when 1 then 66 else 5 end)::bigint as y0, ((case g when 2 then 900 else 10 end) + 6 * max(length(text)))::bigint as x1, (case g when 0 then 34 when 1 then 100 else 51 end)::bigint as y1
+        from (select *, case when block_ord < 3 then 0 when block_ord < 6 then 1 else 2 end as g from blocks) z group by doc_id, g"""),
+    "span_rectangles": _sql("""select doc_id, entity_type, (x + 6 * start)::bigint as x0, y::bigint as y0, (x + 6 * "end")::bigint as x1, (y + 10)::bigint as y1, concat('[', entity_type, ']') as label
+        from (select *, case when block_ord < 6 then 10 else 900 end as x, case when block_ord < 3 then 12 * block_ord when block_ord < 6 then 12 * block_ord + 30 else 12 * (block_ord - 6) + 5 end as y from gold where entity_type in ('inn', 'email', 'bik', 'amount')) z"""),
+    "table_cells": """select p_partkey as doc_id, c::bigint as "column", t as text, case when c = 1 then trim(t) end as money
+        from part, lateral (values (0, p_name), (1, concat(' ', p_size, ' 000,50 ')), (2, p_size::varchar)) v(c, t)""",
     "redacted_cells": """select o_orderkey as doc_id, o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 as marked,
         case when o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 then 'ИНН [ИНН_1] клиент' else concat('ИНН 77', lpad(o_custkey::varchar, 8, '0'), ' клиент') end as masked from orders""",
     "spans_in_pieces": f"with {_EMAIL_PLACES} select doc_id, start, start + length(value) as \"end\" from e",
