@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from ..functions.patterns import SECTION
 BROADCAST_ROWS = 50_000
 
 _local: list[str] = []
-_scratch: list[list[str]] = []
+#: The scopes of `scratch` that are open here; threads, such as those of two streams, have their own.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -44,11 +46,13 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that `cut` writes inside are removed at the end; those to keep then belong to the scratch outside, if any."""
-    _scratch.append([])
+    own: list[str] = []
+    before = _scratch.set((*_scratch.get(), own))
     try:
         yield
     finally:
-        delete(spark, _scratch.pop())
+        _scratch.reset(before)
+        delete(spark, own)
 
 
 def cut(df: DataFrame, name: str, codec: str = "snappy", keep: bool = False, path: str | None = None) -> DataFrame:
@@ -58,7 +62,7 @@ def cut(df: DataFrame, name: str, codec: str = "snappy", keep: bool = False, pat
     A caller that knows the path can `delete` it earlier.
     """
     path = path or shared_dir(df.sparkSession, name)
-    if owner := _scratch[: -1 if keep else None]:
+    if owner := _scratch.get()[: -1 if keep else None]:
         owner[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
