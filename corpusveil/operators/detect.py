@@ -41,9 +41,39 @@ def ranked(spans: Column, key: Callable[[Column], Column]) -> Column:
     return F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(key(s).alias("key"), s.alias("span")))), lambda x: x["span"])
 
 
-def keep_disjoint(spans: Column) -> Column:
-    """Each span, in order, that overlaps none kept before it."""
-    return F.aggregate(spans, F.array().cast(SPAN_ARRAY), lambda kept, s: F.when(F.exists(kept, lambda k: overlaps(k, s)), kept).otherwise(F.concat(kept, F.array(s))).cast(SPAN_ARRAY))
+#: Spans that one step of a fold over a block's spans takes together.
+STEP = 256
+_GROUPS = f"array<{SPAN_ARRAY}>"
+
+
+def groups(spans: Column) -> Column:
+    """Spans in groups that no overlap crosses: in order of place, a group ends where the next span begins behind all before.
+
+    Spans go in steps, so that what is put out is copied once a step and not once a span.
+    """
+    zero = F.struct(F.lit(0).alias("end"), F.array().cast(SPAN_ARRAY).alias("open"), F.array().cast(_GROUPS).alias("out"))
+
+    def one(a: Column, s: Column) -> Column:
+        new = s["start"] >= a["end"]
+        return F.struct(
+            F.greatest(a["end"], s["end"]).alias("end"), F.when(new, F.array(s).cast(SPAN_ARRAY)).otherwise(F.concat(a["open"], F.array(s))).cast(SPAN_ARRAY).alias("open"),
+            F.when(new & (F.size(a["open"]) > 0), F.concat(a["out"], F.array(a["open"]))).otherwise(a["out"]).cast(_GROUPS).alias("out"),
+        )
+
+    def many(a: Column, part: Column) -> Column:
+        fresh = F.struct(a["end"].alias("end"), a["open"].alias("open"), F.array().cast(_GROUPS).alias("out"))
+        return let(F.aggregate(part, fresh, one), lambda x: F.struct(x["end"].alias("end"), x["open"].alias("open"), F.concat(a["out"], x["out"]).cast(_GROUPS).alias("out")))
+
+    parts = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / STEP).cast("int")), lambda i: F.slice(s, i * STEP + 1, F.lit(STEP)))
+    fold = lambda s: F.aggregate(parts(s), zero, many, lambda a: F.concat(a["out"], F.array(a["open"])))
+    return let(ranked(spans, by_place), lambda s: F.when(F.size(s) == 0, F.array().cast(_GROUPS)).otherwise(fold(s)))
+
+
+def keep_disjoint(spans: Column, key: Callable[[Column], Column]) -> Column:
+    """Each span, in the order of a key, that overlaps none kept before it; by place. Only spans of one group are compared."""
+    chosen = lambda g: F.aggregate(ranked(g, key), F.array().cast(SPAN_ARRAY), lambda kept, s: F.when(F.exists(kept, lambda k: overlaps(k, s)), kept).otherwise(F.concat(kept, F.array(s))).cast(SPAN_ARRAY))
+    many = lambda s: F.flatten(F.transform(groups(s), lambda g: F.when(F.size(g) == 1, g).otherwise(ranked(chosen(g), by_place))))
+    return F.when(F.size(spans) < 2, spans).otherwise(many(spans)).cast(SPAN_ARRAY)
 
 
 def by_place(s: Column) -> Column:
@@ -57,7 +87,7 @@ def rule_spans(text: Column, types: tuple[str, ...], patterns: dict[str, tuple[P
         return F.array().cast(SPAN_ARRAY)
     sound = F.filter(F.concat(*found), lambda s: (s["entity_type"] != "phone") | phone_valid(s["text"]))
     first = lambda s: F.struct(s["start"].alias("a"), (s["start"] - s["end"]).alias("b"), s["entity_type"].alias("c"))
-    return F.when(F.trim(text) == "", F.array().cast(SPAN_ARRAY)).otherwise(keep_disjoint(ranked(sound, first)).cast(SPAN_ARRAY))
+    return F.when(F.trim(text) == "", F.array().cast(SPAN_ARRAY)).otherwise(let(sound, lambda x: keep_disjoint(x, first)).cast(SPAN_ARRAY))
 
 
 def mock_spans(text: Column, types: tuple[str, ...] = MODEL_TYPES) -> Column:
@@ -132,7 +162,7 @@ def resolve(candidates: Column) -> Column:
         F.when(s["is_rule"], 0).otherwise(1).alias("a"), F.when(s["is_rule"], 0.0).otherwise(-s["confidence"]).alias("b"), (s["start"] - s["end"]).alias("c"),
         s["start"].alias("d"), s["end"].alias("e"), s["entity_type"].alias("f"), s["text"].alias("g"), s["source"].alias("h"),
     )
-    return ranked(keep_disjoint(ranked(candidates, key)), by_place)
+    return keep_disjoint(candidates, key)
 
 
 def with_optional(blocks: DataFrame) -> DataFrame:

@@ -90,12 +90,23 @@ def preview(masked_blocks: DataFrame, markers: DataFrame, limit: int = 500_000)
 
 
 def reduced_gold(gold: DataFrame) -> DataFrame:
-    """Gold spans without those that lie within another one of their block and type."""
-    g = gold.select("doc_id", "block_ord", "entity_type", "start", "end").distinct()
-    h = g.select("doc_id", "block_ord", "entity_type", F.col("start").alias("s"), F.col("end").alias("e"))
-    within = (F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e")) & ((F.col("s") < F.col("start")) | (F.col("end") < F.col("e")))
-    held = g.join(h, ["doc_id", "block_ord", "entity_type"]).where(within).select(*g.columns).distinct()
-    return g.join(held, g.columns, "left_anti")
+    """Gold spans without those that lie within another one of their block and type.
+
+    In the order of their begins, the longer first, one lies within another if that reaches as far as it.
+    """
+    key = ["doc_id", "block_ord", "entity_type"]
+    g = gold.select(*key, "start", "end").distinct()
+    before = Window.partitionBy(*key).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return g.withColumn("reach", F.max("end").over(before)).where("reach is null or reach < end").drop("reach")
+
+
+#: Characters of one bin, by which gold and found spans meet.
+BIN = 256
+
+
+def _binned(df: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each bin that a span touches."""
+    return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor((F.greatest(F.col(end), F.col(start) + 1) - 1) / BIN))))
 
 
 def quality(gold: DataFrame, found: DataFrame) -> DataFrame:
@@ -103,7 +114,7 @@ def quality(gold: DataFrame, found: DataFrame) -> DataFrame:
     key = ["doc_id", "block_ord", "entity_type"]
     g = reduced_gold(gold)
     f = found.select(*key, F.col("start").alias("s"), F.col("end").alias("e"))
-    pairs = g.join(f, key)
+    pairs = _binned(g, "start", "end").join(_binned(f, "s", "e"), [*key, "bin"])
     covered = pairs.where("s <= start and e >= end").select(*g.columns).distinct()
     touched = pairs.where("s < end and e > start").select(*f.columns).distinct()
     extra = f.join(touched, f.columns, "left_anti")

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import REPRESENTATION
-from ..functions.text import clause_end, clause_start, find, legal_form, literal_pattern, normalize_name, piece, squeeze
+from ..functions.text import clause_end, clause_start, find, legal_form, normalize_name, piece, squeeze
 from ..schema import FALLBACK_TYPES, SPAN_ARRAY
 from .components import components
-from .detect import overlaps, ranked, span
+from .detect import ranked
+from .places import free_places
 
 CLAUSE = r";\n\r"
 
@@ -26,22 +27,24 @@ def repeats(detected: DataFrame) -> DataFrame:
     """
     each = detected.select("doc_id", "block_ord", F.explode("spans").alias("s")).where(F.col("s.entity_type").isin(*FALLBACK_TYPES) & (F.length(F.trim("s.text")) >= 3))
     first = each.groupBy("doc_id", F.col("s.entity_type").alias("entity_type"), squeeze(F.col("s.text")).alias("value")).agg(F.min(F.struct("block_ord", F.col("s.start").alias("start"), F.col("s.confidence").alias("confidence"))).alias("at"))
-    # A value can only stand where its first run of letters and digits is a whole run of the block, so blocks and values meet by these.
+    # A value can only stand where each of its runs of letters and digits is a whole run of the block, so blocks and values meet
+    # by the run that the fewest blocks of the document have; legal forms and first names would bring all of them together.
     run = lambda text: F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    seeds = first.select("doc_id", "entity_type", "value", "at", F.get(run(F.col("value")), F.lit(0)).alias("word"), literal_pattern(F.col("value")).alias("pattern")).where("word is not null")
     words = detected.select("doc_id", "block_ord", F.explode(F.array_distinct(run(F.col("text")))).alias("word"))
-    hits = words.join(seeds, ["doc_id", "word"]).join(detected.select("doc_id", "block_ord", "text"), ["doc_id", "block_ord"])
-    found = hits.select("doc_id", "block_ord", "entity_type", "at", "text", F.explode(find(F.col("text"), F.col("pattern"))).alias("r"))
-    kinds = [F.when(F.col("entity_type") == t, span(t, F.col("text"), F.col("r"), "document_repeat", 1.0, False)) for t in FALLBACK_TYPES]
-    spans = found.select("doc_id", "block_ord", F.struct("at", "r.start").alias("key"), F.coalesce(*kinds).withField("confidence", F.col("at.confidence")).alias("span"))
-    more = spans.groupBy("doc_id", "block_ord").agg(F.array_sort(F.collect_list(F.struct("key", "span"))).alias("more"))
+    each_run = first.select("doc_id", "entity_type", "value", "at", F.explode(F.array_distinct(run(F.col("value")))).alias("word"))
+    common = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    seeds = each_run.join(common, ["doc_id", "word"]).groupBy("doc_id", "entity_type", "value", "at").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
+    value = F.struct("at", "entity_type", "value")
+    hits = words.join(seeds, ["doc_id", "word"]).groupBy("doc_id", "block_ord").agg(F.transform(F.array_sort(F.collect_list(value)), lambda v: F.struct(v["value"].alias("value"), v["entity_type"].alias("entity_type"), v["at"]["confidence"].alias("confidence"))).alias("values"))
+    taken = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("taken")
+    more = free_places(hits.join(detected.select("doc_id", "block_ord", "text", taken), ["doc_id", "block_ord"]))
     joined = detected.join(more, ["doc_id", "block_ord"], "left")
-    added = F.aggregate(
-        F.coalesce(F.transform("more", lambda m: m["span"]).cast(SPAN_ARRAY), F.array().cast(SPAN_ARRAY)),
-        F.col("spans").cast(SPAN_ARRAY),
-        lambda have, s: F.when(F.exists(have, lambda h: overlaps(h, s)), have).otherwise(F.concat(have, F.array(s))).cast(SPAN_ARRAY),
-    )
-    return joined.withColumn("spans", ranked(added, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))).drop("more")
+    added = F.transform(F.coalesce("more", F.array().cast("array<struct<start:int,end:int,entity_type:string,confidence:double>>")), lambda m: F.struct(
+        m["entity_type"].alias("entity_type"), m["start"].alias("start"), m["end"].alias("end"), piece(F.col("text"), m["start"], m["end"]).alias("text"),
+        F.lit("document_repeat").alias("source"), m["confidence"].alias("confidence"), F.lit("unknown").alias("party_role"), F.lit(False).alias("is_rule"),
+    )).cast(SPAN_ARRAY)
+    both = F.concat(F.col("spans").cast(SPAN_ARRAY), added)
+    return joined.withColumn("spans", F.when(F.size(added) > 0, ranked(both, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))).otherwise(F.col("spans"))).drop("more")
 
 
 def mentions(detected: DataFrame) -> DataFrame:
@@ -79,10 +82,16 @@ def organizations(found: DataFrame) -> DataFrame:
     same_row = F.col("name") == ""
     one = orgs.join(nodes, ["doc_id", "name", "form", "inn", "ogrn"]).withColumn("node", F.when(same_row, F.struct("block_ord", "start")).otherwise(F.col("node")))
     key = one.select("doc_id", "node", "name", "form", "inn", "ogrn").distinct()
-    other = key.select("doc_id", *(F.col(c).alias(f"o_{c}") for c in ("node", "name", "form", "inn", "ogrn")))
     apart = lambda k: (F.size(k) > 0) & (F.size(f"o_{k}") > 0) & ~F.arrays_overlap(k, f"o_{k}")
     fit = ~(apart("inn") | apart("ogrn"))
-    by_name = key.where("name <> ''").join(other.withColumns({"name": F.col("o_name"), "form": F.col("o_form")}), ["doc_id", "name", "form"]).where(fit & (F.col("node") < F.col("o_node"))).select("doc_id", F.col("node").alias("a"), F.col("o_node").alias("b"))
+    # Of one name, a mention without numbers fits all others, and one with only taxpayer numbers each with only registration
+    # numbers. Any other two that fit share a number, so the stars of numbers below join them: no pairs are made here.
+    kinds = F.when((F.size("inn") == 0) & (F.size("ogrn") == 0), 0).when(F.size("ogrn") == 0, 1).when(F.size("inn") == 0, 2).otherwise(3)
+    named_keys = key.where("name <> ''").select("doc_id", "name", "form", "node", kinds.alias("kind"))
+    of_kind = {k: F.min(F.when(F.col("kind") == k, F.col("node"))).alias(f"k{k}") for k in (0, 1, 2)}
+    heads = named_keys.groupBy("doc_id", "name", "form").agg(*of_kind.values()).where("k0 is not null or (k1 is not null and k2 is not null)")
+    starred = named_keys.join(heads, ["doc_id", "name", "form"]).where("k0 is not null or kind in (1, 2)")
+    by_name = starred.select("doc_id", F.coalesce("k0", F.least("k1", "k2")).alias("a"), F.col("node").alias("b")).where("a <> b")
     ids = key.select("doc_id", "node", F.explode(F.concat(F.transform("inn", lambda v: F.concat(F.lit("i"), v)), F.transform("ogrn", lambda v: F.concat(F.lit("o"), v)))).alias("id"))
     by_id = ids.join(ids.groupBy("doc_id", "id").agg(F.min("node").alias("least")), ["doc_id", "id"]).select("doc_id", F.col("least").alias("a"), F.col("node").alias("b"))
     following = Window.partitionBy("doc_id", "block_ord").orderBy("start")
