@@ -37,7 +37,7 @@ def token_counts(docs: DataFrame, files: dict[str, tuple[str, bool]], keys: tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             whole = [t or "" for t in b.column("t").to_pylist()]
-            counts = {v: np.array([len(ids) // 4 for ids in encoder(path, keeps).encode(whole)], dtype=np.int64) for v, (path, keeps) in files.items()}
+            counts = {v: np.array(encoder(path, keeps).count(whole), dtype=np.int64) for v, (path, keeps) in files.items()}
             yield batch(schema, **{k: b.column(k) for k in keys}, **counts)
 
     own = docs.select(*(F.col(f"`{k}`").cast("string").alias(k) for k in keys), F.col(f"`{text}`").cast("string").alias("t"))

@@ -6,9 +6,10 @@ import os
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
-#: Chunks that a worker keeps, and the longest chunk that is kept.
-CACHE_CHUNKS, CACHE_CHARS = 250_000, 32
+#: Chunks that a worker keeps, the longest chunk that is kept, and places in which chunks that came once are noted.
+CACHE_CHUNKS, CACHE_CHARS, CACHE_NOTES = 500_000, 32, 1 << 22
 
 #: Chunks are splits of the tokenizers' own patterns, or unions of neighbouring ones.
 _DROP = re.compile(r"'[^\W_]+|[^\W_]+|(?:[^\w\s]|_)+")
@@ -57,12 +58,35 @@ class CachedEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks = _keeping if keeps_space else _dropping
         self.cache: dict[str, bytes] = {}
+        self.counts: dict[str, int] = {}
+        self.noted = bytearray(CACHE_NOTES)
+
+    def _cut(self, text: str) -> list[str]:
+        return [text] if any(s in text for s in self.special) else self.chunks(text)
+
+    def _encoded(self, chunks: set[str]) -> Iterator[tuple[str, list[int]]]:
+        """The library's ids of each chunk."""
+        wanted = list(chunks)
+        for i in range(0, len(wanted), 4096):
+            part = wanted[i : i + 4096]
+            yield from zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True)
+
+    def _keep(self, cache: dict, new: dict) -> None:
+        """Keep chunks that came before; most that come once don't come again. A full cache starts anew."""
+        if len(cache) + len(new) > CACHE_CHUNKS:
+            cache.clear()
+            self.noted = bytearray(CACHE_NOTES)
+        for c, x in new.items():
+            at = hash(c) % CACHE_NOTES
+            if self.noted[at] and len(c) <= CACHE_CHARS:
+                cache[c] = x
+            self.noted[at] = 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         known, cut, got, missing = self.cache.get, [], [], set()
         for t in texts:
-            chunks = [t] if any(s in t for s in self.special) else self.chunks(t)
+            chunks = self._cut(t)
             ids = list(map(known, chunks))
             if None in ids:
                 missing.update(c for c, x in zip(chunks, ids, strict=True) if x is None)
@@ -70,16 +94,22 @@ class CachedEncoder:
             got.append(ids)
         if not missing:
             return [b"".join(ids) for ids in got]
-        new: dict[str, bytes] = {}
-        wanted = list(missing)
-        for i in range(0, len(wanted), 4096):
-            part = wanted[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[c] = array("I", e.ids).tobytes()
+        new = {c: array("I", ids).tobytes() for c, ids in self._encoded(missing)}
         out = [b"".join([new[c] if x is None else x for c, x in zip(chunks, ids, strict=True)] if None in ids else ids) for chunks, ids in zip(cut, got, strict=True)]
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache.clear()
-        self.cache.update((c, x) for c, x in new.items() if len(c) <= CACHE_CHARS)
+        self._keep(self.cache, new)
+        return out
+
+    def count(self, texts: list[str]) -> list[int]:
+        """How many ids each text has."""
+        cut = [self._cut(t) for t in texts]
+        missing = set().union(*cut).difference(self.counts)
+        new = {c: len(ids) for c, ids in self._encoded(missing)}
+        known = self.counts
+        known.update(new)
+        out = [sum(map(known.__getitem__, chunks)) for chunks in cut]
+        for c in new:
+            del known[c]
+        self._keep(self.counts, new)
         return out
 
 

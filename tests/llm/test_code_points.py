@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from corpusveil.llm import tokens
 from corpusveil.llm.queries import tokenizer
 from corpusveil.llm.tokens import CachedEncoder
 
@@ -18,4 +19,17 @@ def test_every_code_point_is_encoded_as_by_the_library(name, keeps):
         for i in range(0, len(points), 8192):
             texts = [made(c) for c in points[i : i + 8192]]
             want = [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
-            assert [np.frombuffer(x, dtype="<u4").tolist() for x in mine.encode(texts)] == want
+            for _ in range(2):
+                assert [np.frombuffer(x, dtype="<u4").tolist() for x in mine.encode(texts)] == want
+                assert mine.count(texts) == list(map(len, want))
+
+
+@pytest.mark.parametrize("limit", [3, 50])
+def test_a_full_cache_changes_nothing(monkeypatch, limit):
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", limit)
+    texts = ["the cat sat", "the dog sat on the mat", "", "zq " * 40, "a b c d e f g the cat"] * 3
+    mine, theirs = CachedEncoder(tokenizer("byte_bpe_50k.json"), True), Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    want = [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+    for i in range(0, len(texts), 2):
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in mine.encode(texts[i : i + 2])] == want[i : i + 2] and mine.count(texts[i : i + 2]) == list(map(len, want[i : i + 2]))
+        assert len(mine.cache) <= limit and len(mine.counts) <= limit
