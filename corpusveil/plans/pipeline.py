@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.detect import detect
+from ..operators.detectors import Detectors
 from ..operators.masking import masked
 from ..operators.matches import apply_answers, matches, questions, with_roles
 from ..operators.registry import repeats
@@ -23,10 +24,15 @@ class Proposal(NamedTuple):
     questions: DataFrame
 
 
-def propose(blocks: DataFrame, types: tuple[str, ...] | list[str] = ENTITY_TYPES, mock: bool = False, roles: bool = True) -> Proposal:
-    """Detect, repeat, link, number and assign roles. The detected blocks are written once, since four steps read them."""
+def propose(blocks: DataFrame, types: tuple[str, ...] | list[str] = ENTITY_TYPES, mock: bool = False, roles: bool = True, detectors: Detectors | None = None) -> Proposal:
+    """Detect, repeat, link, number and assign roles. The detected blocks are written once, since four steps read them.
+
+    `detectors` bring candidates below the rules; their failures are left out here, see `Detectors.candidates`.
+    """
     if not types:
         raise ValueError("no entity types")
+    if detectors:
+        blocks = detectors.candidates(blocks)[0]
     found = cut(detect(blocks, types, mock), "detected")
     found = cut(repeats(found), "repeated")
     out = matches(found, types)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tf
 from ..operators.detect import detect, in_one_cell, mock_spans, money_spans, no_titles, rule_spans
+from ..operators.detectors import Detectors
 from ..operators.masking import format_location, masked, preview, publishable, quality, report, with_applied
 from ..operators.matches import apply_answers, matches, questions, with_roles
 from ..operators.model import answers_on_pieces, relocated
@@ -378,6 +379,25 @@ def _table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", F.col("c.cell_column").cast("long").alias("column"), F.expr("substring(text, c.start + 1, c.end - c.start)").alias("text"), F.get(F.transform(inside, lambda m: F.substring(F.col("text"), m["start"] + 1, m["end"] - m["start"])), F.lit(0)).alias("money"))
 
 
+def _brought(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three detectors of others on the contracts' lines: a column's, a text's that fails on some, and a table's."""
+    blocks = contract_blocks(spark, sf_dir)
+    first = lambda t, kind, word: F.when(F.instr(t, word) > 0, F.array(F.struct(F.lit(kind).alias("entity_type"), (F.instr(t, word) - 1).alias("start"), (F.instr(t, word) - 1 + len(word)).alias("end"), F.lit(0.7).alias("confidence"))))
+
+    def held(text: str) -> list[tuple[str, int, int, float]]:
+        if text.startswith("Итого"):
+            raise ValueError("no totals")
+        return [("person_name", text.index("Петров"), text.index("Петров") + 6, 0.6)] if "Петров" in text else []
+
+    registry = Detectors()
+    registry.column("town", lambda t: first(t, "address", "Москва"))
+    registry.text("people", held)
+    registry.table("often", lambda b: b.join(b.groupBy("doc_id").agg(F.max("block_ord").alias("block_ord")), ["doc_id", "block_ord"]).select("doc_id", "block_ord", F.lit("organization").alias("entity_type"), F.lit(0).alias("start"), F.lit(7).alias("end"), F.lit(0.9).alias("confidence")))
+    found, failures = registry.candidates(blocks)
+    spans = found.select("doc_id", "block_ord", F.explode("model_spans").alias("s")).select("doc_id", "block_ord", F.col("s.source").alias("detector"), F.col("s.text").alias("outcome"))
+    return spans.unionByName(failures.select("doc_id", "block_ord", "detector", F.col("reason").alias("outcome")))
+
+
 def _in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The e-mail addresses of whole documents, by a detector that sees no more than 500 characters at once."""
     found = found_in_pieces(whole_text_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet")), lambda t: rule_spans(t, ("email",)), 500)
@@ -400,7 +420,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "party_roles": _roles, "document_repeat": _repeats, "review_questions": _review, "apply_answers": _answers, "report_rows": _report, "format_location": _locations, "preview_segments": _preview,
         "quality_scores": _quality, "checksums": _checks, "normalize_name": _names, "token_estimate": _tokens, "amount_by_column": _column_amounts, "independent_cells": _cells, "sections": _sections,
         "table_headers": _headers, "stage_progress": _progress, "job_fifo": _queue, "publishable": _publishable,
-        "model_relocation": _relocation, "applied_matches": _applied, "ocr_lines": _ocr, "page_blocks": _page_blocks, "span_rectangles": _rectangles, "table_cells": _table_cells, "redacted_runs": _runs, "redacted_cells": _masked_cells, "spans_in_pieces": _in_pieces, "answers_in_pieces": _answers_in_pieces,
+        "model_relocation": _relocation, "applied_matches": _applied, "ocr_lines": _ocr, "brought_detectors": _brought, "page_blocks": _page_blocks, "span_rectangles": _rectangles, "table_cells": _table_cells, "redacted_runs": _runs, "redacted_cells": _masked_cells, "spans_in_pieces": _in_pieces, "answers_in_pieces": _answers_in_pieces,
     }
 
 
@@ -418,6 +438,7 @@ ORACLES: dict[str, str] = {f"detect_{'contract' if t == 'contract_number' else t
     "redacted_runs": _masked_sql("concat('[', pre, '_', number, ']')").replace(
         ", true as complete from", ", coalesce((select string_agg(concat('f', start // 7, '=[', pre, '_', number, ']'), ';' order by start) from marked x where x.doc_id = b.doc_id and x.block_ord = b.block_ord), '') as marks, coalesce(len(m), 0)::bigint as n_applied from"
     ),
+    "brought_detectors": """select s_suppkey as doc_id, o as block_ord, detector, outcome from supplier, lateral (values (7, 'town', 'Москва'), (9, 'people', 'Петров'), (9, 'often', 'Подпись'), (8, 'people', 'ValueError')) v(o, detector, outcome)""",
     "page_blocks": _sql("""select doc_id, concat('pdf_page_0_block_', case g when 0 then 0 when 2 then 1 else 2 end) as block_id, string_agg(text || chr(10), '' order by block_ord) as text,
         (case g when 2 then 900 else 10 end)::bigint as x0, (case g when 0 then 0 when 1 then 66 else 5 end)::bigint as y0, ((case g when 2 then 900 else 10 end) + 6 * max(length(text)))::bigint as x1, (case g when 0 then 34 when 1 then 100 else 51 end)::bigint as y1
         from (select *, case when block_ord < 3 then 0 when block_ord < 6 then 1 else 2 end as g from blocks) z group by doc_id, g"""),

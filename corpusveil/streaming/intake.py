@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.detectors import Detectors
 from ..plans.pipeline import mask, propose
 from ..schema import ENTITY_TYPES
 from ..sources.snapshots import exists, rename_to_free
@@ -13,7 +14,7 @@ from ..sources.tables import line_blocks, scratch
 DOCUMENTS = "doc_id long, text string"
 
 
-def start(spark: SparkSession, source: str, target: str, checkpoint: str, types: tuple[str, ...] | list[str] = ENTITY_TYPES, style: str = "full", every: str | None = None) -> StreamingQuery:
+def start(spark: SparkSession, source: str, target: str, checkpoint: str, types: tuple[str, ...] | list[str] = ENTITY_TYPES, style: str = "full", every: str | None = None, detectors: Detectors | None = None) -> StreamingQuery:
     """Mask the Parquet documents (doc_id, text) that come into `source`: what is there now, or on and on at an interval (`every`, such as "1 minute").
 
     Each batch is written aside and then renamed to a folder of `target` under its number, so a batch that
@@ -24,7 +25,7 @@ def start(spark: SparkSession, source: str, target: str, checkpoint: str, types:
         if exists(spark, f"{target}/batch={number}"):
             return
         with scratch(spark):
-            done = mask(propose(line_blocks(batch), types), style=style)
+            done = mask(propose(line_blocks(batch), types, detectors=detectors), style=style)
             done = done.select("doc_id", "block_ord", "masked", "complete")
             done.write.mode("overwrite").parquet(f"{target}/_batch-{number}")
             rename_to_free(spark, f"{target}/_batch-{number}", f"{target}/batch={number}")
