@@ -1,17 +1,19 @@
-"""What counts as an identifier, a name, an address or an amount: a small grammar, and a rule for each type.
+"""What counts as an identifier, a name, an address or an amount: rules over typed tokens.
 
-A rule has what must stand before a value, the value, and what must follow it, put together from parts of
-the grammar for java.util.regex. Comments above the rules say in words what they find. Word lists and
-labels are fixed values.
+Word classes are tables of fixed values. Rules say in which sequence of tokens a value stands; digits are
+counted by token, not by character. E-mail addresses alone are read character by character.
 """
 
 from __future__ import annotations
 
+from itertools import product
 from typing import NamedTuple
 
+from .tokens import BLANK, BREAK, CAPITALS, INITIAL, LETTER, LETTERS, LINE, MIXED, ONE_BLANK, PATRONYMIC, PROPER, SMALL, SPACE, TITLED, Alphabet, Rule, number
+
 
 class Pattern(NamedTuple):
-    """Finds `value` after `context` and before `tail`."""
+    """Finds `value` after `context` and before `tail`, character by character."""
 
     context: str
     value: str
@@ -23,179 +25,188 @@ class Pattern(NamedTuple):
         return f"{'(?iu)' if self.ignore_case else ''}(?U)({self.context})({self.value}){self.tail}"
 
 
-# --- The grammar's parts.
-
-#: Blanks inside a line (space, tab, no-break spaces), and those that also break it.
-BLANK = "[ \\t\\u00A0\\u202F]"
-ANY_BLANK = "[ \\t\\r\\n\\u00A0\\u202F]"
-CAPITAL, SMALL, LETTER = "[А-ЯЁ]", "[а-яё-]", "[А-ЯЁа-яё-]"
-NOT_BEFORE, NOT_AFTER = "(?!{})", "(?<!{})"
-
-
-def one_of(*parts: str) -> str:
+# The words that the rules know.
+_UNITS = "ноль один одна одно одну два две три четыре пять шесть семь восемь девять десять"
+_TEENS = "один две три четыр пят шест сем восем девят"
+COMPANY_FORMS, INSTITUTION_FORMS = "ООО ПАО АО ЗАО ОАО ИП", "ГАУ ГБУ МБУ ФГБУ"
+SUPPLIER_WORDS, BUYER_WORDS = "поставщик исполнитель подрядчик продавец", "покупатель заказчик клиент"
+LONG_FORMS = {"общество с ограниченной ответственностью": "ооо", "индивидуальный предприниматель": "ип"}
+CASES = ("", "а", "у", "ом", "е")
+MONEY_COLUMNS = ("цена", "сумма", "стоимость")
+
+
+def numerals() -> str:
+    """Number words: units; teens and tens from their stems; hundreds; scales with their endings."""
+    tens = ["двадцать", "тридцать", "сорок", *(f"{x}ьдесят" for x in ("пят", "шест", "сем", "восем")), "девяносто"]
+    hundreds = ["сто", "двести", "триста", "четыреста", *(f"{x}ьсот" for x in ("пят", "шест", "сем", "восем", "девят"))]
+    scales = [f"тысяч{x}" for x in ("", "а", "и", "у")] + [f"{s}{x}" for s in ("миллион", "миллиард") for x in ("", "а", "ов")]
+    return " ".join([_UNITS, *(f"{x}надцать" for x in _TEENS.split()), *tens, *hundreds, *scales])
+
+
+WORDS = Alphabet({
+    "inn": "инн", "kpp": "кпп", "ogrn": "огрн", "ogrnip": "огрнип", "bik": "бик", "phone": "телефон", "phone.": "тел моб", "address": "адрес",
+    "с": "с", "л": "л", "рк": "р к", "personal": "лицевой", "current": "расчётный расчетный корреспондентский", "account": "счёт счет",
+    "contract": " ".join(f"{w}{x}" for w in ("договор", "контракт") for x in CASES), "number": "n номер", "в": "в", "лице": "лице",
+    "post": "руководитель директор бухгалтер", "responsible": "ответственное", "person": "лицо", "company": COMPANY_FORMS.lower(), "institution": INSTITUTION_FORMS.lower(),
+    "общество": "общество", "ограниченной": "ограниченной", "ответственностью": "ответственностью", "муниципальное": "муниципальное", "бюджетное": "бюджетное",
+    "общеобразовательное": "общеобразовательное", "учреждение": "учреждение", "мбоу": "мбоу", "сош": "сош", "town": "г", "street": "ул просп пер", "пр": "пр", "т": "т",
+    "house": "д", "part": "стр корп кв оф", "rouble": "рублей рубля рубль", "руб": "руб", "rub": "rub", "money": "долларов евро", "kopeck": "копеек копейки копейка", "коп": "коп",
+    "numeral": numerals(),
+})
+
+w, ANY_WORD, ANY_NUMBER = WORDS.word, WORDS.word(), number()
+#: Nothing that goes on with a word or number stands before, or behind.
+_FREE, _END = f"(?<!{ANY_WORD}|{ANY_NUMBER})", f"(?!{ANY_WORD}|{ANY_NUMBER})"
+_NAMED = (PROPER, PATRONYMIC)
+_LONGER = (SMALL, *_NAMED, CAPITALS, MIXED, LETTERS)
+_CYRILLIC = (*_LONGER, INITIAL, LETTER)
+
+
+def either(*parts: str) -> str:
     return f"(?:{'|'.join(parts)})"
 
 
-def listed(words: str) -> str:
-    """One of the words of a list."""
-    return one_of(*words.split())
-
+def spread(*parts: str, by: str = f"{SPACE}+") -> str:
+    """Parts with something between them."""
+    return by.join(parts)
 
-def maybe(part: str) -> str:
-    return f"(?:{part})?"
-
-
-def times(part: str, least: int, most: int | None = None) -> str:
-    """The part exactly so often, or from `least` to `most` times; with 0 alone, any number of times."""
-    if most is None:
-        return f"(?:{part})*" if least == 0 else f"(?:{part}){{{least}}}"
-    return f"(?:{part}){{{least},{most}}}"
-
-
-def alone(part: str, among: str = r"\w") -> str:
-    """The part, if none of these characters touches it."""
-    return f"{NOT_AFTER.format(among)}{part}{NOT_BEFORE.format(among)}"
-
-
-def spaced(*parts: str) -> str:
-    """Parts with white space between them."""
-    return r"\s+".join(parts)
 
+def labelled(*labels: str) -> str:
+    """A label that stands alone, perhaps with a colon or number sign behind it."""
+    return f"{_FREE}{either(*labels)}{_END}{LINE}*[:№]?{LINE}*"
 
-def digits(n: int, gap: str = "") -> str:
-    """So many digits; blanks may stand between them."""
-    return r"\d" + times(gap + r"*\d", n - 1) if gap else rf"\d{{{n}}}"
 
+def divided(groups: tuple[int, ...], by: str) -> str:
+    """Digits in these groups, of which neighbours may be written as one run, or with `by` between them."""
+    ways = []
+    for cuts in product((False, True), repeat=len(groups) - 1):
+        runs = [groups[0]]
+        for cut, n in zip(cuts, groups[1:], strict=True):
+            runs = [*runs, n] if cut else [*runs[:-1], runs[-1] + n]
+        ways.append(by.join(number(n) for n in runs))
+    return either(*ways)
 
-def labelled(*labels: str) -> str:
-    """One of the labels as a word of its own, and a colon or number sign that may follow it."""
-    return alone(one_of(*labels)) + ANY_BLANK + "*" + maybe("[:№]") + ANY_BLANK + "*"
 
+def counted(*lengths: int) -> str:
+    """The beginning of digits and blanks that has so many digits, of lengths the first that ends with a run."""
+    return rf"\A(?:{'|'.join(rf'(?:\D*\d){{{n}}}(?!\d)' for n in lengths)})"
 
-def whole_number(*lengths: int, gap: str = "") -> str:
-    """A number of one of these lengths that is no part of a longer one."""
-    return alone(one_of(*(digits(n, gap) for n in lengths)), r"\d")
 
+_SPACED_DIGITS = f"{ANY_NUMBER}(?:{BLANK}{ANY_NUMBER})*"
+_BY_SLASH = f"{BLANK}?/{BLANK}?"
+_BOTH = w("inn") + _BY_SLASH + w("kpp")
+_CODE = f"(?:{ANY_WORD}|{ANY_NUMBER})*"
+_MARK = f"(?:{ANY_WORD}|{ANY_NUMBER}|[./-])"
+# Names: a surname may go on behind hyphens in small letters; initials have dots.
+_TAIL = f"(?:-|{w(shapes=(SMALL, LETTER))})"
+_SURNAME = either(f"{w(shapes=_NAMED)}{_TAIL}*", f"{w(shapes=(INITIAL,))}-{_TAIL}*")
+_ANY_NAME = either(w(shapes=_LONGER), f"{w(shapes=_CYRILLIC)}-") + f"(?:-|{w(shapes=_CYRILLIC)})*"
+_WRITTEN = f"{w(shapes=_CYRILLIC)}(?:-|{w(shapes=_CYRILLIC)})*"
 
-# --- Word lists.
 
-NUMERALS = (
-    "ноль один одна одно одну два две три четыре пять шесть семь восемь девять десять одиннадцать двенадцать тринадцать четырнадцать пятнадцать шестнадцать "
-    "семнадцать восемнадцать девятнадцать двадцать тридцать сорок пятьдесят шестьдесят семьдесят восемьдесят девяносто сто двести триста четыреста пятьсот "
-    "шестьсот семьсот восемьсот девятьсот тысяча тысячи тысячу тысяч миллиона миллионов миллион миллиарда миллиардов миллиард"
-)
-COMPANY_FORMS, INSTITUTION_FORMS = "ООО ПАО АО ЗАО ОАО ИП", "ГАУ ГБУ МБУ ФГБУ"
-SUPPLIER_WORDS, BUYER_WORDS = "поставщик исполнитель подрядчик продавец", "покупатель заказчик клиент"
-LONG_FORMS = {"общество с ограниченной ответственностью": "ооо", "индивидуальный предприниматель": "ип"}
+def initials(gap: str) -> str:
+    return rf"{w(shapes=(INITIAL,))}\.{gap}*{w(shapes=(INITIAL,))}\."
 
-# --- Larger parts.
 
-QUOTED = one_of("«[^»\\r\\n]+»", '"[^"\\r\\n]+"')
-NUMERAL_PHRASE = listed(NUMERALS) + times(spaced("", listed(NUMERALS)), 0, 20)
-CLIPPED_CODE = "[0-9A-ZА-ЯЁ]"
-SURNAME = f"{CAPITAL}{SMALL}+"
-GROUPED_NUMBER = r"\d{1,3}" + times("[ \\u00A0\\u202F]" + digits(3), 0)
-CENTS = maybe("[,.]" + digits(2))
+_QUOTED = either(f"«[^»{BREAK}]+»", f'"[^"{BREAK}]+"')
+_TITLE_WORD = f"{w(shapes=(*_NAMED, INITIAL, CAPITALS, MIXED, TITLED))}(?:{ANY_WORD}|{ANY_NUMBER}|[.-])*"
 
 
 def titled(most: int) -> str:
-    """A quoted name, or a capitalised word with so many more after it."""
-    word = rf"{CAPITAL}[\w.-]*"
-    return one_of(QUOTED, word + times(spaced("", word), 0, most))
-
-
-def initials(gap: str) -> str:
-    return rf"{CAPITAL}\.{gap}*{CAPITAL}\."
-
-
-_INN, _KPP = whole_number(12, 10, gap=BLANK), alone(digits(4) + CLIPPED_CODE + "{2}" + digits(3), CLIPPED_CODE)
-_SPACE = "[ \\t]"
-_SLASH = f"{_SPACE}*/{_SPACE}*"
-_BOTH = f"ИНН{_SLASH}КПП"
-_HOST = "[A-Z0-9]" + maybe("[A-Z0-9-]{0,61}[A-Z0-9]")
-_ACCOUNT = r"сч[её]т"
-_STREET = one_of(r"ул\.", r"просп\.", r"пер\.", "пр-т")
-_UNIT = r"\d+[а-яёА-ЯЁ/-]*"
-_TOKEN = "[A-ZА-ЯЁ0-9./-]"
-
-PATTERNS: dict[str, tuple[Pattern, ...]] = {
-    # 10 or 12 digits, perhaps with blanks between them, after the label of the taxpayer number alone or with the next one's.
-    "inn": (Pattern(labelled(_BOTH, "ИНН"), _INN),),
-    # Nine characters, of which the fifth and sixth may be letters, after their own label, or after both labels, a taxpayer number and a slash.
-    "kpp": (Pattern(one_of(labelled(_BOTH) + one_of(digits(12, BLANK), digits(10, BLANK)) + _SLASH, labelled("КПП")), _KPP),),
-    # 15 digits after the entrepreneur's label, 13 after the company's.
-    "ogrn": (Pattern(labelled("ОГРНИП"), whole_number(15, gap=BLANK)), Pattern(labelled("ОГРН"), whole_number(13, gap=BLANK))),
-    # Perhaps a country code, then 3, 3, 2 and 2 digits, the first three perhaps in brackets, after a label.
-    "phone": (
-        Pattern(
-            r"(?<!\w)" + one_of("телефон", r"(?:тел|моб)\.?") + r"\s*[:-]?\s*",
-            alone(maybe(r"\+7|8") + r"\s*" + one_of(r"\(" + digits(3) + r"\)", digits(3)) + "".join(r"[\s-]*" + digits(n) for n in (3, 2, 2)), r"\d"),
-        ),
-    ),
-    # A local part, and two or more host labels that begin and end with a letter or digit.
-    "email": (Pattern("", r"(?<![\w.+-])[A-Z0-9.!#$%&'*+/=?^_`{|}~-]+@" + _HOST + times(r"\." + _HOST, 1, 126), r"(?![\w-])"),),
-    # 20 or 11 digits of a personal account; 20 of a current or correspondent one.
+    """A quoted name, or a capitalised word with so many more behind it."""
+    return either(_QUOTED, f"{_TITLE_WORD}(?:{SPACE}+{_TITLE_WORD}){{0,{most}}}")
+
+
+_SCHOOL = either(
+    spread(w("общество", shapes=(PROPER,)), w("с", shapes=(LETTER,)), w("ограниченной", shapes=(SMALL,)), w("ответственностью", shapes=(SMALL,)), by=ONE_BLANK),
+    spread(w("муниципальное", shapes=(PROPER,)), *(w(x, shapes=(SMALL,)) for x in ("бюджетное", "общеобразовательное", "учреждение")), by=ONE_BLANK), w("мбоу", shapes=(CAPITALS,)) + f"(?:{ONE_BLANK}{w('сош', shapes=(CAPITALS,))})?",
+)
+_UNIT = f"{ANY_NUMBER}(?:{w(shapes=_CYRILLIC)}|[/-])*"
+_STREET = either(w("street") + r"\.", f"{w('пр')}-{w('т')}")
+_NEXT = f",{SPACE}*"
+_PLACE = f"[^;{BREAK}]+"
+_SUM = f"(?<!{ANY_WORD}|{ANY_NUMBER}|[.,])" + either(f"{number(1, 2, 3)}(?:{ONE_BLANK}{number(3)})*", ANY_NUMBER) + f"(?:[,.]{number(2)})?"
+_IN_WORDS = f"{w('numeral')}(?:{SPACE}+{w('numeral')}){{0,20}}"
+_KOPECKS = f"(?:{SPACE}+{number(2)}{SPACE}+" + either(w("kopeck"), w("коп") + r"\.?") + ")?"
+_THREE = spread(_SURNAME, _SURNAME, _SURNAME)
+
+RULES: dict[str, tuple[Rule, ...]] = {
+    # Ten or twelve digits after the taxpayer's label, alone or with the next one's.
+    "inn": (Rule(labelled(_BOTH, w("inn")), _SPACED_DIGITS, "", counted(12, 10)),),
+    # Nine characters, of which two may be letters, after their label, or after both and a taxpayer number.
+    "kpp": (Rule(either(f"{labelled(_BOTH)}{_SPACED_DIGITS}{_BY_SLASH}", labelled(w("kpp"))), f"{number(*range(4, 10))}{_CODE}", "", r"(?iu)\A\d{4}[\dA-ZА-ЯЁ]{2}\d{3}\z"),),
+    "ogrn": (Rule(labelled(w("ogrnip")), _SPACED_DIGITS, "", counted(15)), Rule(labelled(w("ogrn")), _SPACED_DIGITS, "", counted(13))),
+    # Perhaps a country code, then 3, 3, 2 and 2 digits, however they are grouped.
+    "phone": (Rule(
+        f"{_FREE}{either(w('phone'), w('phone.') + chr(92) + '.?')}{SPACE}*[:-]?{SPACE}*",
+        either(*(f"{lead}{either(rf'{chr(92)}({number(3)}{chr(92)})(?:{SPACE}|-)*{divided((3, 2, 2), f'(?:{SPACE}|-)*')}', divided((3, 3, 2, 2), f'(?:{SPACE}|-)*'))}" for lead in (rf"\+{number(1)}{SPACE}*", f"{number(1)}{SPACE}*", "")), rf"\+?{divided((4, 3, 2, 2), f'(?:{SPACE}|-)*')}"),
+        f"(?!{ANY_NUMBER})", r"(?s)\A(?:\+7|8(?=.*\d(?:\D*\d){9})|(?!\+)(?=\D*(?:\d\D*){10}\z)).*\z",
+    ),),
     "bank_account": (
-        Pattern(labelled(r"л\s*[./]\s*с", rf"лицевой\s+{_ACCOUNT}"), whole_number(20, 11)),
-        Pattern(labelled(r"[рк]\s*[./]\s*с", rf"(?:расч[её]тный|корреспондентский)\s+{_ACCOUNT}"), whole_number(20)),
+        Rule(labelled(f"{w('л')}{SPACE}*[./]{SPACE}*{w('с')}", spread(w("personal"), w("account"))), number(20, 11)),
+        Rule(labelled(f"{w('рк')}{SPACE}*[./]{SPACE}*{w('с')}", spread(w("current"), w("account"))), number(20)),
     ),
-    # Nine digits after the bank's label.
-    "bik": (Pattern(labelled("БИК"), whole_number(9)),),
-    # A token with a digit after a contract's name, up to four more words, and a number sign.
-    "contract_number": (
-        Pattern(
-            alone(one_of("договор" + maybe(listed("а у ом е")), "контракт" + maybe(listed("а у ом е")))) + times(f"{ANY_BLANK}+{LETTER}+", 0, 4) + f"{ANY_BLANK}*" + one_of("№", "N", "номер") + f"{ANY_BLANK}*[:-]?{ANY_BLANK}*",
-            rf"(?={_TOKEN}*\d)" + "[A-ZА-ЯЁ0-9]" + maybe(f"{_TOKEN}*[A-ZА-ЯЁ0-9]"), r"(?![\w./-])",
-        ),
-    ),
-    # Surname, name and patronymic; surname and initials either way round; three names after a slash or post up to a mark; three after "represented by".
+    "bik": (Rule(labelled(w("bik")), number(9)),),
+    # A mark with a digit, after a contract's name, up to four more words, and a number sign.
+    "contract_number": (Rule(f"{_FREE}{w('contract')}{_END}(?:{LINE}+{_WRITTEN}){{0,4}}{LINE}*" + either("№", w("number")) + f"{LINE}*[:-]?{LINE}*", f"(?=(?:{ANY_WORD}|[./-])*{ANY_NUMBER})(?:{ANY_WORD}|{ANY_NUMBER})(?:{_MARK}*(?:{ANY_WORD}|{ANY_NUMBER}))?", f"(?!{_MARK})", r"(?iu)\A[A-ZА-ЯЁ\d./-]+\z"),),
+    # Surname, name and patronymic; surname and initials either way round; three names behind a slash or post before a mark; three before a mark where someone is represented.
     "person_name": (
-        Pattern("", r"(?<!\w)" + spaced(SURNAME, SURNAME, f"{CAPITAL}{SMALL}*" + listed("вич вна вича вны")), r"(?!\w)", False),
-        Pattern("", rf"(?<!\w){SURNAME}[ \t]+{initials(_SPACE)}", r"(?!\w)", False),
-        Pattern("", rf"(?<!\w){initials(_SPACE)}[ \t]*{SURNAME}", r"(?!\w)", False),
-        Pattern(one_of(r"/\s*", one_of("руководитель", "директор", "бухгалтер", "ответственное лицо") + r"\s*:?\s*"), spaced(SURNAME, SURNAME, SURNAME), one_of(r"(?=\s*[/,;])", r"(?=\n?\z)"), False),
-        Pattern(r"(?<!\w)" + spaced("в", "лице") + times(spaced("", f"{SMALL}+"), 0, 5) + r"\s+", spaced(SURNAME, SURNAME, SURNAME), r"(?=\s*[,;])"),
+        Rule("", f"{_FREE}{spread(_SURNAME, _SURNAME, w(shapes=(PATRONYMIC,)))}", _END),
+        Rule("", f"{_FREE}{_SURNAME}{BLANK}{initials(BLANK)}", _END), Rule("", f"{_FREE}{initials(BLANK)}{BLANK}*{_SURNAME}", _END),
+        Rule(either(f"/{SPACE}*", either(w("post", shapes=(SMALL,)), spread(w("responsible", shapes=(SMALL,)), w("person", shapes=(SMALL,)), by=ONE_BLANK)) + f"{SPACE}*:?{SPACE}*"), _THREE, either(f"(?={SPACE}*[/,;])", rf"(?={BREAK}?\z)")),
+        Rule(f"{_FREE}{spread(w('в'), w('лице'))}(?:{SPACE}+{_ANY_NAME}){{0,5}}{SPACE}+", spread(_ANY_NAME, _ANY_NAME, _ANY_NAME), f"(?={SPACE}*[,;])"),
     ),
-    # A legal or municipal form in full with a quoted name or a school's number; a company's short form with a name; an institution's with a name.
+    # A form in full with a quoted name or a school's number; a short form with a name; an institution's with a name.
     "organization": (
-        Pattern("", spaced(one_of("Общество с ограниченной ответственностью", "Муниципальное бюджетное общеобразовательное учреждение", "МБОУ СОШ", "МБОУ"), one_of("«[^»\\r\\n]+»", maybe(r"СОШ\s*") + r"№\s*\d+")) + maybe(rf"\s+г\.\s*{SURNAME}"), "", False),
-        Pattern("", r"(?<!\w)" + spaced(listed(COMPANY_FORMS), titled(4)), "", False),
-        Pattern("", r"(?<!\w)" + listed(INSTITUTION_FORMS) + maybe(spaced("", f"{CAPITAL}{{2,5}}")) + r"\s+" + titled(4), "", False),
+        Rule("", spread(_SCHOOL, either(f"«[^»{BREAK}]+»", f"(?:{w('сош', shapes=(CAPITALS,))}{SPACE}*)?№{SPACE}*{ANY_NUMBER}")) + rf"(?:{SPACE}+{w('town', shapes=(LETTER,))}\.{SPACE}*{_SURNAME})?"),
+        Rule("", f"{_FREE}{spread(w('company', shapes=(CAPITALS,)), titled(4))}"),
+        Rule("", f"{_FREE}{w('institution', shapes=(CAPITALS,))}(?:{SPACE}+{w(shapes=(CAPITALS,))})?{SPACE}+{titled(4)}"),
     ),
-    # Postal code, town, street, house and its parts; or what follows an address label to the end of the clause, and a second line that goes on with a part of an address.
+    # Postal code, town, street, house and its parts; or what follows a label to the clause's end, and a second line that goes on with a part of an address.
     "address": (
-        Pattern("", r"(?<!\d)" + r",\s*".join((digits(6), rf"г\.\s*{LETTER}+", rf"{_STREET}\s*[^,;\r\n]+", rf"д\.\s*{_UNIT}")) + times(r",\s*" + one_of(r"стр\.", r"корп\.", r"кв\.", r"оф\.") + rf"\s*{_UNIT}", 0), "", False),
-        Pattern(maybe(r"(?<!\w)" + listed("юридический почтовый фактический") + r"\s+") + r"(?<!\w)адрес\s*:\s*", r"[^;\r\n]{5,}" + maybe(r"\r?\n" + one_of(r"г\.", r"ул\.", r"просп\.", r"пер\.", r"д\.") + r"[^;\r\n]+")),
+        Rule("", f"(?<!{ANY_NUMBER})" + _NEXT.join((number(6), rf"{w('town')}\.{SPACE}*{_WRITTEN}", f"{_STREET}{SPACE}*[^,;{BREAK}]+", rf"{w('house')}\.{SPACE}*{_UNIT}")) + rf"(?:{_NEXT}{w('part')}\.{SPACE}*{_UNIT})*"),
+        Rule(f"{_FREE}{w('address')}{SPACE}*:{SPACE}*", f"{_PLACE}(?:{BREAK}" + either(w("town"), w("street"), w("house")) + rf"\.{_PLACE})?", "", r"(?s)\A[^\r\n]{5,}(?:\r?\n.*)?"),
     ),
-    # A number, perhaps in words after it, and a currency, perhaps with kopecks; or an amount in words.
+    # A sum, perhaps in words behind it, and a currency, perhaps with kopecks; or a sum in words.
     "amount": (
-        Pattern(
-            "", r"(?<![\w.,])" + one_of(GROUPED_NUMBER + CENTS, r"\d+" + CENTS) + maybe(rf"\s*\({NUMERAL_PHRASE}\)") + r"\s*" + one_of("руб" + maybe(one_of(r"\.", "лей", "ля", "ль")), "₽", "долларов", "евро")
-            + maybe(spaced("", digits(2), "коп" + maybe(one_of("еек", "ейки", "ейка", r"\.")))), r"(?!\w)",
-        ),
-        Pattern("", r"(?<!\w)" + spaced(NUMERAL_PHRASE, "руб" + listed("лей ля ль")) + maybe(spaced("", digits(2), "копеек"))),
+        Rule("", _SUM + rf"(?:{SPACE}*\({_IN_WORDS}\))?{SPACE}*" + either(w("rouble"), w("руб") + r"\.?", "₽", w("money")) + _KOPECKS, _END),
+        Rule("", f"{_FREE}{_IN_WORDS}{SPACE}+{w('rouble')}(?:{SPACE}+{number(2)}{SPACE}+{w('kopeck')})?"),
     ),
 }
 
-_PROPER = "[А-ЯЁ][а-яё]+" + maybe("-[А-ЯЁ][а-яё]+")
 #: Rules of the deterministic stand-in for a model: full or shortened names, companies, labelled addresses, amounts in roubles.
-MOCK_PATTERNS: dict[str, tuple[Pattern, ...]] = {
-    "person_name": (Pattern("", r"(?<![\w-])" + one_of(spaced(_PROPER, _PROPER, _PROPER), spaced(_PROPER, initials(r"\s"))), r"(?![\w-])", False),),
-    "organization": (Pattern("", r"(?<!\w)" + spaced(listed(COMPANY_FORMS), titled(3)), "", False),),
-    "address": (Pattern(maybe(listed("юридический почтовый") + r"\s+") + r"адрес\s*:\s*", r"[^;\r\n]+"),),
-    "amount": (Pattern("", r"(?<!\w)\d+" + times("[ \\u00A0]" + digits(3), 0) + maybe(r"[.,]\d{1,2}") + r"\s*" + one_of("руб" + maybe("л" + listed("ей я ь")) + r"\.?", "₽", "RUB"), r"(?!\w)"),),
-}
+_DOUBLE = f"{w(shapes=_NAMED)}(?:-{w(shapes=_NAMED)})?"
+_LONE, _DONE = f"(?<!{ANY_WORD}|{ANY_NUMBER}|-)", f"(?!{ANY_WORD}|{ANY_NUMBER}|-)"
+MOCK_RULES: dict[str, tuple[Rule, ...]] = {
+    "person_name": (Rule("", _LONE + either(spread(_DOUBLE, _DOUBLE, _DOUBLE), spread(_DOUBLE, initials(SPACE))), _DONE),),
+    "organization": (Rule("", f"{_FREE}{spread(w('company', shapes=(CAPITALS,)), titled(3))}"),),
+    "address": (Rule(f"{w('address')}{SPACE}*:{SPACE}*", _PLACE),),
+    "amount": (Rule("", f"{_FREE}{ANY_NUMBER}(?:{ONE_BLANK}{number(3)})*(?:[.,]{number(1, 2)})?{SPACE}*" + either(w("rouble") + r"\.?", w("руб") + r"\.?", "₽", w("rub")), _END),),
+}
+
+_HOST = "[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?"
+#: A local part, and two or more host labels that begin and end with a letter or digit.
+EMAIL = Pattern("", rf"(?<![\w.+-])[A-Z0-9.!#$%&'*+/=?^_`{{|}}~-]+@{_HOST}(?:\.{_HOST}){{1,126}}", r"(?![\w-])")
+
+
+def _listed(words: str) -> str:
+    return either(*words.split())
+
+
+def _alone(part: str) -> str:
+    return rf"(?<!\w){part}(?!\w)"
+
 
-SUPPLIER, BUYER = (Pattern("", r"(?<!\w)" + listed(words), r"(?!\w)") for words in (SUPPLIER_WORDS, BUYER_WORDS))
-REPRESENTATION = Pattern("", alone(one_of(spaced("в", "лице"), spaced(r"действующ\w*", "от", "имени"))))
+SUPPLIER, BUYER = (Pattern("", _alone(_listed(words))) for words in (SUPPLIER_WORDS, BUYER_WORDS))
+REPRESENTATION = Pattern("", _alone(r"(?:в\s+лице|действующ\w*\s+от\s+имени)"))
 
 _ANY_CASE = "(?iu)(?U)"
-LEGAL_FORMS = _ANY_CASE + alone(one_of(*COMPANY_FORMS.lower().split(), *(spaced(*form.split()) for form in LONG_FORMS)))
-JOB_TITLE = _ANY_CASE + r"\A" + maybe(spaced("генеральный", "")) + one_of("директор", "руководитель", spaced("главный", "бухгалтер")) + r"\z"
-MONEY_HEADER = _ANY_CASE + alone(listed("цена сумма стоимость"))
+LEGAL_FORMS = _ANY_CASE + _alone(either(*COMPANY_FORMS.lower().split(), *(r"\s+".join(form.split()) for form in LONG_FORMS)))
+JOB_TITLE = _ANY_CASE + r"\A(?:генеральный\s+)?(?:директор|руководитель|главный\s+бухгалтер)\z"
+MONEY_HEADER = _ANY_CASE + _alone(either(*MONEY_COLUMNS))
 MONEY_CELL = r"(?U)\A\s*\d[\d\s.,]*\z"
 SECTION = r"(?U)\A\d+\.\s+[А-ЯЁ ]{4,}\z"
-INVOICE = _ANY_CASE + spaced(_ACCOUNT, "на", "оплату")
+INVOICE = _ANY_CASE + r"сч[её]т\s+на\s+оплату"
 INVOICE_SUPPLIER = _ANY_CASE + r"\A\s*Поставщик\s*:"
-INVOICE_SIGN = _ANY_CASE + one_of(alone(r"[рк]\s*/\s*с"), "руководитель", "главный бухгалтер")
-DATED = r"(?U)(?<!\w)" + digits(4) + r"\s*г\.?"
+INVOICE_SIGN = _ANY_CASE + either(_alone(r"[рк]\s*/\s*с"), "руководитель", "главный бухгалтер")
+DATED = r"(?U)(?<!\w)\d{4}\s*г\.?"

@@ -10,22 +10,35 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import JOB_TITLE, MOCK_PATTERNS, MONEY_CELL, MONEY_HEADER, PATTERNS, Pattern
+from ..functions.patterns import EMAIL, JOB_TITLE, MOCK_RULES, MONEY_CELL, MONEY_HEADER, RULES, WORDS
 from ..functions.text import find, let, phone_valid, piece
+from ..functions.tokens import Rule, find_tokens
 from ..schema import FALLBACK_TYPES, MODEL_TYPES, OPTIONAL, RULE_TYPES, SPAN_ARRAY, analysed
 
 
-def span(kind: str, text: Column, where: Column, source: str = "rule", confidence: float = 1.0, is_rule: bool = True) -> Column:
+def span(kind: str | Column, text: Column, where: Column, source: str = "rule", confidence: float = 1.0, is_rule: bool = True) -> Column:
     """A candidate at a range of a text."""
     return F.struct(
-        F.lit(kind).alias("entity_type"), where["start"].alias("start"), where["end"].alias("end"), piece(text, where["start"], where["end"]).alias("text"),
+        (kind if isinstance(kind, Column) else F.lit(kind)).alias("entity_type"), where["start"].alias("start"), where["end"].alias("end"), piece(text, where["start"], where["end"]).alias("text"),
         F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), F.lit("unknown").alias("party_role"), F.lit(is_rule).alias("is_rule"),
     )
 
 
-def spans_at(kind: str, text: Column, ranges: Column, source: str = "rule", confidence: float = 1.0, is_rule: bool = True) -> Column:
-    """Candidates at all ranges."""
-    return F.transform(ranges, lambda r: span(kind, text, r, source, confidence, is_rule))
+#: Every rule over tokens names a word in Cyrillic letters or this currency's sign, so other texts are not cut into tokens.
+_BEARING = "[\\p{IsCyrillic}₽]"
+
+
+def found_by(rules: dict[str, tuple[Rule, ...]], text: Column, types: tuple[str, ...], source: str = "rule", confidence: float = 1.0, is_rule: bool = True) -> Column:
+    """Candidates of the types' rules; e-mail addresses are rules' alone."""
+    use = {t: rules[t] for t in types if t in rules}
+    parts = []
+    if use:
+        name = F.array(*map(F.lit, use))
+        ranges = F.when(F.rlike(text, F.lit(_BEARING)), find_tokens(text, use, WORDS)).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int>>"))
+        parts.append(F.transform(ranges, lambda r: span(F.get(name, r["kind"]), text, r, source, confidence, is_rule)).cast(SPAN_ARRAY))
+    if is_rule and "email" in types:
+        parts.append(F.transform(find(text, EMAIL), lambda r: span("email", text, r, source, confidence, is_rule)).cast(SPAN_ARRAY))
+    return F.concat(*parts) if parts else F.array().cast(SPAN_ARRAY)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -80,20 +93,18 @@ def by_place(s: Column) -> Column:
     return F.struct(s["start"].alias("a"), s["end"].alias("b"), s["entity_type"].alias("c"))
 
 
-def rule_spans(text: Column, types: tuple[str, ...], patterns: dict[str, tuple[Pattern, ...]] = PATTERNS) -> Column:
-    """Disjoint matches of the types' patterns: the first begins first, and of those the longest."""
-    found = [spans_at(t, text, find(text, p)) for t in types for p in patterns.get(t, ())]
-    if not found:
+def rule_spans(text: Column, types: tuple[str, ...]) -> Column:
+    """Disjoint matches of the types' rules: the first begins first, and of those the longest."""
+    if not types:
         return F.array().cast(SPAN_ARRAY)
-    sound = F.filter(F.concat(*found), lambda s: (s["entity_type"] != "phone") | phone_valid(s["text"]))
+    sound = F.filter(found_by(RULES, text, types), lambda s: (s["entity_type"] != "phone") | phone_valid(s["text"]))
     first = lambda s: F.struct(s["start"].alias("a"), (s["start"] - s["end"]).alias("b"), s["entity_type"].alias("c"))
     return F.when(F.trim(text) == "", F.array().cast(SPAN_ARRAY)).otherwise(let(sound, lambda x: keep_disjoint(x, first)).cast(SPAN_ARRAY))
 
 
 def mock_spans(text: Column, types: tuple[str, ...] = MODEL_TYPES) -> Column:
     """What the deterministic stand-in for a model names, with confidence 0.5."""
-    found = [spans_at(t, text, find(text, p), "llm-mock", 0.5, False) for t in MODEL_TYPES if t in types for p in MOCK_PATTERNS[t]]
-    return ranked(F.concat(*found), by_place) if found else F.array().cast(SPAN_ARRAY)
+    return ranked(found_by(MOCK_RULES, text, tuple(t for t in MODEL_TYPES if t in types), "llm-mock", 0.5, False), by_place)
 
 
 def money_spans(text: Column, header: Column, given: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusveil.functions.patterns import PATTERNS
+from corpusveil.functions.patterns import EMAIL, MOCK_RULES, RULES, WORDS
+from corpusveil.functions import tokens
 from corpusveil.functions.text import find, inn_valid, legal_form, literal_pattern, normalize_name, ogrn_valid, phone_valid
 from corpusveil.operators.detect import detect, rule_spans
 from corpusveil.operators.masking import masked, quality
@@ -39,15 +42,65 @@ def test_each_detector_finds_its_values_with_offsets(spark):
         assert all(a["end"] <= b["start"] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def coded(text):
+    """Tokens and their codes, read in Python."""
+    found = re.findall(r"[^\W\d]+|[0-9]+|[ \t\u00a0\u202f]+|[\r\n]+|[^\S \t\u00a0\u202f\r\n]+|.", text, re.DOTALL)
+
+    def code(t):
+        if re.match(r"[^\W\d]", t):
+            shape = next((i for i, p in enumerate(tokens._SHAPED) if re.search(p.replace(r"\z", r"\Z"), t)), tokens.OTHER)
+            return chr(tokens._WORDS + tokens.SHAPES * WORDS.of.get(t.lower(), 0) + shape)
+        if t[0].isdigit():
+            return chr(tokens._DIGITS + min(len(t), tokens._MOST))
+        if t[0] in " \t\u00a0\u202f":
+            return tokens._ONE if len(t) == 1 and t != "\t" else tokens._SEVERAL
+        return tokens._BREAK if t[0] in "\r\n" else tokens._ELSE if t.isspace() else t
+
+    return found, "".join(map(code, found))
+
+
+def in_python(rule, text):
+    found, codes = coded(text)
+    begins = [0, *itertools.accumulate(map(len, found))]
+    out = []
+    for m in re.compile(f"(?:{rule.before})(?P<value>{rule.value}){rule.after}".replace(r"\z", r"\Z")).finditer(codes):
+        start, end = begins[m.start("value")], begins[m.end("value")]
+        kept = re.match(rule.check.replace(r"\z", r"\Z").replace("iu", "i"), text[start:end]) if rule.check else None
+        if kept or not rule.check:
+            out.append((start, start + len(kept[0]) if kept else end))
+    return out
+
+
 def test_spans_equal_those_of_another_pattern_engine(spark):
+    rng = random.Random(4)
+    parts = [p for _, t, _ in CASES for p in re.split("( )", t)] + ["договор", "в лице", "Ивановна", "А.", "/", ",", "сто", "руб.", "₽", "(", ")", "\n", "\u00a0", "\u2003", "_", "ИНН/КПП", "+7", "495", "12345", "Смирнов-", "ВТБ24", "\U0001f600", "\ue405", "МБОУ СОШ", "№"]
     texts = [t for _, t, _ in CASES] + ["ИНН 770 708 38 93; инн:7707083893", "", "р/с 40702810900000000001 л/с 12345678901", "МБОУ СОШ № 5 г. Тверь; ПАО \"Газ\""]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    for kind, patterns in PATTERNS.items():
-        for p in patterns:
-            mine = re.compile(rf"(?:{p.context})(?P<value>{p.value}){p.tail}".replace(r"\z", r"\Z"), re.IGNORECASE if p.ignore_case else 0)
-            got = {r["i"]: [(x["start"], x["end"]) for x in r["r"]] for r in rows.select("i", find(F.col("text"), p).alias("r")).collect()}
+    texts += ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 12))) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for rules in (RULES, MOCK_RULES):
+        for kind, own in rules.items():
+            got = {r["i"]: sorted((x["start"], x["end"]) for x in r["r"]) for r in rows.select("i", tokens.find_tokens(F.col("text"), {kind: own}, WORDS).alias("r")).collect()}
             for i, t in enumerate(texts):
-                assert got[i] == [m.span("value") for m in mine.finditer(t)], (kind, t)
+                assert got[i] == sorted(x for rule in own for x in in_python(rule, t.replace("\ue405", "\ufffd"))), (kind, t)
+    mine = re.compile(f"(?P<value>{EMAIL.value}){EMAIL.tail}", re.IGNORECASE)
+    assert all([(x["start"], x["end"]) for x in r["r"]] == [m.span("value") for m in mine.finditer(texts[r["i"]])] for r in rows.select("i", find(F.col("text"), EMAIL).alias("r")).collect())
+
+
+def test_values_beside_negatives_gaps_breaks_and_overlaps(spark):
+    text = "Договор без номера. Договор № 15-А/2026, ИНН 12 ИНН\n770 708\u00a03893, КПП КПП 773601001.\nБез метки: 7707083893, 20%, № 128, 12.03.2026, 5 000 шт.\nИванов Пётр Иванов Иванович; ООО «Луч» и АО Мир; 1 200,50 руб. (сто рублей)\nадрес: 123456, г. Тверь, ул. Мира, д. 5, кв. 7; тел 8(495)123-45-67"
+    found = rows_of(spark, text)
+    assert found == [("contract_number", "15-А/2026"), ("inn", "770 708\u00a03893"), ("kpp", "773601001"), ("person_name", "Пётр Иванов Иванович"), ("organization", "ООО «Луч»"), ("organization", "АО Мир"), ("amount", "1 200,50 руб."), ("amount", "сто рублей"), ("address", "123456, г. Тверь, ул. Мира, д. 5, кв. 7"), ("phone", "8(495)123-45-67")]
+
+
+def rows_of(spark, text):
+    spans = spark.createDataFrame([(text,)], "t string").select(rule_spans(F.col("t"), ENTITY_TYPES).alias("s")).first()["s"]
+    assert all(text[s["start"] : s["end"]] == s["text"] for s in spans)
+    return [(s["entity_type"], s["text"]) for s in spans]
+
+
+def test_numerals_are_built_from_their_parts(spark):
+    words = "ноль один одна одно одну два две три четыре пять шесть семь восемь девять десять одиннадцать двенадцать тринадцать четырнадцать пятнадцать шестнадцать семнадцать восемнадцать девятнадцать двадцать тридцать сорок пятьдесят шестьдесят семьдесят восемьдесят девяносто сто двести триста четыреста пятьсот шестьсот семьсот восемьсот девятьсот тысяча тысячи тысячу тысяч миллион миллиона миллионов миллиард миллиарда миллиардов"
+    assert {w for w, c in WORDS.of.items() if WORDS.names[c] == "numeral"} == set(words.split())
 
 
 def test_checks_and_names(spark):
