@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .ranges import RANGES, find, let, piece
 
-TOKEN = r"(?s)[\p{L}\p{M}_]+|\d+|[ \t  ]+|[\r\n]+|(?U:[\s&&[^ \t\r\n  ]])+|."
+TOKEN = r"(?s)[\p{L}\p{M}_]+|\d+|[ \t\u00a0\u202f]+|[\r\n]+|(?U:[\s&&[^ \t\r\n\u00a0\u202f]])+|."
 #: Codes are in a private area of Unicode: words from here on, SHAPES for each class; digits; kinds of white space.
 _WORDS, _DIGITS, _BLANKS, _MOST = 0xE400, 0xE200, 0xE300, 40
 #: How a word is written. In Cyrillic letters: small ones, a capital and small ones, one capital, capitals, a capital and then
@@ -78,7 +78,7 @@ def codes(found: Column, alphabet: Alphabet) -> Column:
         word = F.substring(letters, SHAPES * F.coalesce(F.try_element_at(classes, F.lower(t)), F.lit(0)) + shape + 1, F.lit(1))
         digits = F.substring(F.lit("".join(chr(_DIGITS + i) for i in range(_MOST + 1))), F.least(F.length(t), F.lit(_MOST)) + 1, F.lit(1))
         blank = F.when(F.length(t) == 1, F.when(t == "\t", _SEVERAL).otherwise(_ONE)).otherwise(_SEVERAL)
-        return F.when(F.rlike(t, F.lit(r"\A[\p{L}\p{M}_]")), word).when(F.rlike(t, F.lit(r"\A\d")), digits).when(F.rlike(t, F.lit(r"\A[ \t  ]")), blank).when(F.rlike(t, F.lit(r"\A[\r\n]")), _BREAK).when(F.rlike(t, F.lit(r"(?U)\A\s")), _ELSE).when(F.rlike(t, F.lit(r"\A\p{Co}")), "\ufffd").otherwise(t)
+        return F.when(F.rlike(t, F.lit(r"\A[\p{L}\p{M}_]")), word).when(F.rlike(t, F.lit(r"\A\d")), digits).when(F.rlike(t, F.lit(r"\A[ \t\u00a0\u202f]")), blank).when(F.rlike(t, F.lit(r"\A[\r\n]")), _BREAK).when(F.rlike(t, F.lit(r"(?U)\A\s")), _ELSE).when(F.rlike(t, F.lit(r"\A\p{Co}")), "\ufffd").otherwise(t)
 
     return F.array_join(F.transform(found, one), "")
 

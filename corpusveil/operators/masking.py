@@ -70,7 +70,7 @@ def segments(text: Column, markers: Column) -> Column:
     """A text cut at markers (the longer first): array of text and replacement (null between markers)."""
     longest = F.transform(F.array_sort(F.transform(F.filter(markers, lambda m: m != ""), lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m")))), lambda x: x["m"])
     any_of = F.array_join(F.transform(longest, lambda m: F.concat(F.lit(r"\Q"), m, F.lit(r"\E"))), "|")
-    mark = ""
+    mark = "\ue000"
     cut_ = lambda p: F.split(F.regexp_replace(text, F.concat(F.lit("("), p, F.lit(")")), F.lit(f"{mark}$1{mark}")), mark, -1)
     parts = let(any_of, lambda p: F.when(p == "", F.array(text)).otherwise(cut_(p)))
     kept = F.when(text == "", F.array(F.lit(""))).otherwise(F.filter(parts, lambda x: x != ""))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Characters that count as white space, as in the SQL functions' patterns (fixed values of Unicode's White_Space).
-SPACES = "\t-\r \x85\xa0  -     　"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f"[^{SPACES}]+")
 _MARKS = {"Mn", "Mc", "Me", "Nd", "Nl", "Pc"}
 
@@ -20,7 +20,7 @@ _MARKS = {"Mn", "Mc", "Me", "Nd", "Nl", "Pc"}
 def in_word(c: str) -> bool:
     """Whether a character goes on with a word: letters, marks, decimal digits, connectors."""
     kind = unicodedata.category(c)
-    return kind[0] == "L" or kind in _MARKS or c in "‌‍" or "Ⓐ" <= c <= "ⓩ"
+    return kind[0] == "L" or kind in _MARKS or c in "\u200c\u200d" or "Ⓐ" <= c <= "ⓩ"
 
 
 def _edge(c: str) -> bool:

@@ -90,9 +90,9 @@ _MARKED = f"""marked as (select *, {_PREFIX} as pre, dense_rank() over (partitio
 _NAMES = "case entity_type " + " ".join(f"when '{k}' then '{v}'" for k, v in DISPLAY_NAMES.items()) + " end"
 
 
-def _masked_sql(label: str) -> str:
+def _masked_sql(label: str, which: str = "true") -> str:
     """SQL of the contracts' masked lines: values are replaced from the right, each once."""
-    one = "marks as (select doc_id, block_ord, list({'start': start, 'stop': \"end\", 'label': %s} order by start) as m from marked group by doc_id, block_ord)" % label
+    one = "marks as (select doc_id, block_ord, list({'start': start, 'stop': \"end\", 'label': %s} order by start) as m from marked where %s group by doc_id, block_ord)" % (label, which)
     parts = "array_to_string(list_transform(range(1, len(m) + 1), lambda i: concat(substring(text, (case when i = 1 then 0 else m[i - 1].stop end) + 1, m[i].start - (case when i = 1 then 0 else m[i - 1].stop end)), m[i].label)), '') || substring(text, m[len(m)].stop + 1)"
     return _own(_MARKED, one) + f" select b.doc_id, b.block_ord, case when m is null then text else {parts} end as masked, true as complete from blocks b left join marks using (doc_id, block_ord)"
 
@@ -214,7 +214,7 @@ def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = contract_blocks(spark, sf_dir)
-    found = _spans(detect(blocks, ("person_name", "organization", "inn", "kpp", "ogrn")))
+    found = cut(_spans(detect(blocks, ("person_name", "organization", "inn", "kpp", "ogrn"))), "found")
     gold = blocks.where("block_ord in (1, 3)").select("doc_id", F.col("block_ord").cast("int").alias("block_ord"), F.explode(rule_spans(F.col("text"), ("organization", "inn"))).alias("s")).select("doc_id", "block_ord", "s.entity_type", "s.start", "s.end")
     return quality(gold, found.select("doc_id", "block_ord", "entity_type", "start", "end"))
 
@@ -297,7 +297,7 @@ def _relocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contracts' values, of which those of odd documents do not hold the text of their range, and those of every third repeat one."""
     blocks = contract_blocks(spark, sf_dir)
-    found = _spans(blocks.withColumn("spans", rule_spans(F.col("text"), ENTITY_TYPES)))
+    found = cut(_spans(blocks.withColumn("spans", rule_spans(F.col("text"), ENTITY_TYPES))), "found")
     wrong = found.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.concat("text", F.lit("?"))).otherwise(F.col("text")))
     again = wrong.where("doc_id % 3 = 0").withColumns({"start": F.col("start") + 1, "text": F.expr("substring(text, 2)")})
     return with_applied(blocks, wrong.unionByName(again)).select("doc_id", "block_ord", "entity_type", "start", "end", "applied")
@@ -470,6 +470,10 @@ ORACLES: dict[str, str] = {f"detect_{'contract' if t == 'contract_number' else t
     "report_rows": _sql(f"select doc_id, row_number() over (partition by doc_id order by block_ord, start)::bigint as number, {_NAMES} as type_name, text as original_value, concat('[', pre, '_', number, ']') as replacement, 'Не определено' as role_name, 1.0::double as confidence from marked where entity_type in ('inn', 'kpp', 'ogrn', 'bik', 'phone')", _MARKED),
     "format_location": """select l_orderkey, l_linenumber, case l_linenumber when 1 then concat('Лист «Лист', l_orderkey, '», ячейка B2') when 2 then concat('Таблица ', l_orderkey + 1, ', строка 3, столбец 1')
         when 3 then concat('Таблица ', l_orderkey + 1, ', строка 4, столбец 4, абзац 4') when 4 then concat('Абзац ', l_orderkey + 1) when 5 then concat('Страница ', l_orderkey + 1) else 'Не указано' end as location from lineitem""",
+    "preview_segments": f"""with p as ({_masked_sql("concat('[', pre, '_', number, ']')", "entity_type in ('inn', 'kpp', 'bik')")}),
+        u as (select *, coalesce(sum(length(masked)) over (partition by doc_id order by block_ord rows between unbounded preceding and 1 preceding), 0)::bigint as used from p),
+        c as (select doc_id, block_ord::bigint as block_ord, length(masked) > 200 - used as truncated, substring(masked, 1, 200 - used) as text from u where used < 200)
+        select *, len(regexp_extract_all(text, '\\[(ИНН|КПП|БИК)_[0-9]+\\]'))::bigint as n_markers from c""",
     "quality_scores": _sql("select doc_id, 3::bigint as expected, 3::bigint as covered, (select count(*) from gold g where g.doc_id = own.doc_id and entity_type in ('person_name', 'organization', 'inn', 'kpp', 'ogrn') and not (block_ord in (1, 3) and entity_type in ('organization', 'inn')))::bigint as extra from own"),
     "checksums": f"""select p_partkey, (list_sum(list_transform(range(1, 10), lambda i: substring({_INN}, i, 1)::int * {_WEIGHTS}[i])) % 11 % 10) = substring({_INN}, 10, 1)::int as inn_valid,
         (concat('102', lpad(p_partkey::varchar, 10, '0'))[1:12]::bigint % 11 % 10) = right(p_partkey::varchar, 1)::int as ogrn_valid, p_partkey % 3 <> 1 as phone_valid from part""",
