@@ -48,9 +48,10 @@ RAW = frozenset("script style noscript template iframe object svg canvas textare
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Text blocks of an article.
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr dt dd blockquote pre tbody thead".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NO_ARTICLE = frozenset("nav footer aside form button dialog menu".split())
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-NO_CLASS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond disqus reply replies widget pagination pager toolbar search skip copyright".split())
+NO_CLASS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist respond disqus reply replies widget pagination pager toolbar search skip copyright".split())
 #: Names that an article's own wrapper has; as a whole class or id they outweigh words inside of other names (with-sidebar).
 ARTICLE_NAME = frozenset("article content entry main page post site story".split())
 #: Tags that a start tag closes, up to the nearest of the second set.
@@ -92,21 +93,30 @@ def _hidden(tag: str, a: dict[str, str], raw: str) -> bool:
     return tag in ("head", "title") or a.get("aria-hidden") == "true" or bool(a.get("style") and _HIDDEN.search(a["style"].lower())) or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw))
 
 
-def _no_article(tag: str, a: dict[str, str], inside: bool) -> tuple[bool, bool]:
-    """Whether the lists call an element no article, and whether they do so for its class, id or form tag alone."""
+def _no_article(tag: str, a: dict[str, str], inside: int) -> tuple[bool, bool]:
+    """Whether the lists call an element no article, and whether they do so for its class, id or form tag alone.
+
+    `inside` is 1 in the main part and 2 in an article. There a heading's names say nothing, a section's
+    only as whole names, and others' only if they have two words at most: a section on related work, a heading that is
+    called header, or a long name with a listed word in it is the article's.
+    """
     if (tag in NO_ARTICLE and tag != "form") or (tag == "header" and not inside) or a.get("role", "").lower() in NO_ROLE:
         return True, False
     if tag in ("html", "body", "main"):
         return False, False
     names = f"{a.get('class', '')} {a.get('id', '') if tag != 'article' else ''}".lower().split()
     found = [n for n in names if not NO_CLASS.isdisjoint(words := _WORDS.findall(n)) and (NO_CLASS.intersection(words) != {"header"} or ARTICLE_NAME.isdisjoint(words))]
-    if tag == "article" or not ARTICLE_NAME.isdisjoint(names):
+    if tag == "article" or (inside == 2 and tag == "section") or not ARTICLE_NAME.isdisjoint(names):
         found = [n for n in found if n in NO_CLASS]
+    elif inside == 2:
+        found = [n for n in found if len(_WORDS.findall(n)) <= 2]
+    if inside == 2 and tag in HEADINGS:
+        found = []
     named = bool(found) or tag == "form"
     return named, named
 
 
-def _facts(tag: str, rest: str, inside: bool) -> tuple[str, bool, bool, bool, bool]:
+def _facts(tag: str, rest: str, inside: int) -> tuple[str, bool, bool, bool, bool]:
     """An element's look, whether it is hidden, no article by the lists, and that by its name alone, and whether its role is main."""
     a = _attributes(rest)
     return f"{tag}.{'.'.join(sorted(a.get('class', '').lower().split()))}", _hidden(tag, a, rest), *_no_article(tag, a, inside), a.get("role", "").lower() == "main"
@@ -232,7 +242,7 @@ def parse(source: str) -> Node:
                         node = node.parent
                     open_[node.tag] -= 1
                     node = node.parent
-        look, hidden, no_article, named, is_main = (_known if len(rest) < 200 else _facts)(tag, rest, node.main > 0)
+        look, hidden, no_article, named, is_main = (_known if len(rest) < 200 else _facts)(tag, rest, node.main)
         node.style.append(look)
         child = Node(tag, xxhash.xxh3_64_intdigest(look.encode("utf-8", "surrogatepass"), seed=node.path) >> 1, hidden, no_article, named, node, node.main)
         if tag == "article":

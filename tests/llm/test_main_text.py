@@ -101,3 +101,9 @@ def test_rows_of_any_kind_come_back(spark):
     rows = [(1, "http://h.example/1", "<p>a</p>", "x", 1), (1, "http://h.example/1", "<p>a</p>", "y", 2), (None, None, "<p>b", None, None), (2, "no url", None, "z", 3), (3, "", "", None, None)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, host int")).collect()
     assert sorted(((r["k"], r["url"], r["text"], r["n_chars"]) for r in got), key=str) == sorted([(1, "http://h.example/1", "a", 1)] * 2 + [(None, None, "b", 1), (2, "no url", "", 0), (3, "", "", 0)], key=str)
+
+
+def test_names_in_an_article_remove_no_headings_and_sections():
+    page = '<main><article><h2 class="header">Title</h2><p>first</p><section id="related-work"><p>earlier</p></section><div class="search-results-explained"><p>why</p></div><div class="ad"><p>buy</p></div><ol class="commentlist"><li>me too</li></ol><div class="comments"><p>no</p></div><p>last</p></article></main>'
+    assert main_text(page) == "Title\n\nfirst\n\nearlier\n\nwhy\n\nlast"
+    assert main_text('<div class="related-links"><p>x</p></div><article><p>one</p></article>') == "one"
