@@ -126,7 +126,7 @@ def write_records(docs: DataFrame, key: str = "doc_id", text: str = "text", *, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        enc, part, at, before, out = encoder(tokenizer, keeps_space), task.partitionId(), 0, 0, None
+        enc, part, at, before, out = encoder(tokenizer, keeps_space, large=True), task.partitionId(), 0, 0, None
         for b in batches:
             if b.num_rows == 0:
                 continue

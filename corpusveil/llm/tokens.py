@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 #: Chunks that a worker keeps, the longest chunk that is kept, and places in which chunks that came once are noted.
 CACHE_CHUNKS, CACHE_CHARS, CACHE_NOTES = 500_000, 32, 1 << 22
+#: Chunks of a worker that keeps them when they first come, for operators that have its memory to themselves.
+LARGE_CACHE = 1_000_000
 
 #: Chunks are splits of the tokenizers' own patterns, or unions of neighbouring ones.
 _DROP = re.compile(r"'[^\W_]+|[^\W_]+|(?:[^\w\s]|_)+")
@@ -50,13 +52,14 @@ class CachedEncoder:
     here, since the library's tables may say what kind of character it is.
     """
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, large: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks = _keeping if keeps_space else _dropping
+        self.large = large
         self.cache: dict[str, bytes] = {}
         self.counts: dict[str, int] = {}
         self.noted = bytearray(CACHE_NOTES)
@@ -72,7 +75,12 @@ class CachedEncoder:
             yield from zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True)
 
     def _keep(self, cache: dict, new: dict) -> None:
-        """Keep chunks that came before; most that come once don't come again. A full cache starts anew."""
+        """Keep chunks that came before; most that come once don't come again. A full cache starts anew. A large one keeps all."""
+        if self.large:
+            if len(cache) + len(new) > LARGE_CACHE:
+                cache.clear()
+            cache.update((c, x) for c, x in new.items() if len(c) <= CACHE_CHARS)
+            return
         if len(cache) + len(new) > CACHE_CHUNKS:
             cache.clear()
             self.noted = bytearray(CACHE_NOTES)
@@ -113,9 +121,10 @@ class CachedEncoder:
         return out
 
 
-_encoders: dict[tuple[str, bool], CachedEncoder] = {}
+_encoders: dict[tuple[str, bool, bool], CachedEncoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> CachedEncoder:
+def encoder(path: str, keeps_space: bool, large: bool = False) -> CachedEncoder:
     """This worker's encoder for a tokenizer file."""
-    return _encoders.get((path, keeps_space)) or _encoders.setdefault((path, keeps_space), CachedEncoder(path, keeps_space))
+    key = (path, keeps_space, large)
+    return _encoders.get(key) or _encoders.setdefault(key, CachedEncoder(*key))
