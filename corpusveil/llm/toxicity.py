@@ -1,22 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A text falls into clauses, a clause into words, and words become symbols: the lexicon transducer reads a
-word letter by letter and ends as an insult with a weight; short fixed lists give threats, targets, frames
-(determiners and copulas), negations and reporting verbs. Small transducers with weighted arcs, each with
-one concern, are composed into two machines. The first reads a clause from left to right:
+word letter by letter and ends as an insult with a weight; short fixed lists give threats, persons, copulas,
+negations and reporting verbs. Small transducers, each with one concern, are composed into two machines.
+The first reads a clause from left to right:
 
-- negation and reported speech: an insult in their reach changes its label, and its arc takes weight away;
+- negation and reported speech: an insult in their reach is excused, a threat forgotten;
 - target: an insult soon after a person addressed becomes aimed;
-- frame: an insult in a clause with a frame word before it, or that opens the clause, becomes predicated;
-- threat: a threat becomes a menace when its target follows.
-
-The second reads what the first wrote from right to left, and does the same for targets and frames that come
-after the insult. An insult that no pattern takes up passes with weight 0, so isolated words do not score. A clause's weight
-is the sum over its path of arc weight times word weight; a clause matches if that is positive. The sum of
-all clause weights, the number of matching clauses and the number of clauses go into a logistic score.
-
-The lexicon is learned from labels: words and stems that toxic documents surely have more often than clean
-ones, in varied places. The other word lists and the arc weights are fixed values.
+- predicate: an insult becomes predicated if a person is the subject of a copula before it;
+- compound: an insult soon after another one becomes part of a compound;
+- clause: an insult after any other word of its clause becomes loose;
+- threat: a person who is a threat's object becomes a menace.
+
+The second reads what the first wrote from right to left, for what comes after the insult or, in French,
+German and Spanish, before the threat. An insult that no machine takes up, as a bare one, weighs nothing.
+A clause's weight is the sum over its path of arc weight times word weight. The sum of all clause weights
+and the number of clauses go into a logistic score; a text whose sum is not positive has no match, and its
+score is the rate of toxic texts among such.
+
+Learned from labels are the lexicon (words and stems that toxic documents surely have more often than clean
+ones, in varied places), the arc weights, by label, and the logistic weights. The other word lists are fixed
+values. A menace has the weight of an aimed insult with the lexicon's largest weight.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 from itertools import pairwise
@@ -37,23 +41,25 @@ from pyspark.sql import functions as F
 from .common import batch, cut, small_or_plain, tune
 from .langid import held_out
 
-OTHER, INSULT, THREAT, TARGET, FRAME, NEGATION, REPORT, AIMED, PREDICATED, NEGATED, REPORTED, MENACE = range(12)
-SYMBOLS = 12
+OTHER, INSULT, THREAT, YOU, YOUR, SUBJECT, OBJECT, COPULA, NEGATION, REPORT, AIMED, PREDICATED, COMPOUND, LOOSE, EXCUSED, MENACE = range(16)
+SYMBOLS = 16
 #: Words of the grammar besides the learned insults (English, French, German, Spanish).
 WORDS = {
     THREAT: "kill hurt destroy beat crush smash tuer frapper töten schlagen matar golpear",
-    TARGET: "you your yours he she they them his her their toi vous tu tes vos lui leur du dich ihr euch dein er sie usted ustedes él ella ellos tu su",
-    FRAME: "a an the this that these those such is are was were be of for with to in as like on from and or "
-    "un une le la les ce cette ces des est sont était de du en pour avec comme et ou que qui "
-    "ein eine einen der die das dieser diese den dem ist sind war von mit zu für als wie und oder "
-    "es el los las este esta ese esa son era con para como y o",
+    YOU: "you vous tu du ihr tú usted ustedes vosotros",
+    YOUR: "your yours ton ta tes votre vos dein deine deinen euer eure vuestro",
+    SUBJECT: "he she they we who il elle ils elles er él ella ellos ellas",
+    OBJECT: "him her them te toi lui dich euch ihn os",
+    COPULA: "is are am was were be been being s re est es suis sont était sommes êtes bist ist sind seid war waren eres son era eran",
     NEGATION: "not no never nobody isn aren wasn ne pas jamais nicht kein keine nie nunca jamás",
     REPORT: "said says called quoted reported wrote claimed dit cité écrit sagte nannte schrieb dijo llamó escribió",
 }
-#: Weights of the arcs that write these labels, times the word's weight; the weight of a threat and of a menace's target word is 1.
-WEIGHTS = {AIMED: 1.5, PREDICATED: 1.0, NEGATED: -0.5, REPORTED: -0.5, MENACE: 3.0}
-#: How many words further negation, targets and threats still reach; frames and reporting verbs reach to the clause's end.
-REACH = {NEGATION: 3, TARGET: 4, FRAME: 0, REPORT: 0, THREAT: 4}
+#: How many words further negation, persons addressed, subjects, copulas, other insults and threats (back from the verb: objects) still reach; reporting verbs reach to the clause's end.
+REACH = {NEGATION: 3, YOU: 4, SUBJECT: 2, COPULA: 4, INSULT: 3, REPORT: 0, THREAT: 2, OBJECT: 3}
+#: The weights of arcs by the label they write, before labels are seen, and what they may be; GRID_PENALTY is the price of leaving the first by 1.
+PRIOR = {AIMED: 2.0, PREDICATED: 2.0, COMPOUND: 1.5, LOOSE: 1.0, EXCUSED: -0.5}
+GRID = {AIMED: (1.0, 1.5, 2.0, 3.0), PREDICATED: (1.0, 1.5, 2.0, 3.0), COMPOUND: (1.0, 1.25, 1.5, 2.0), LOOSE: (0.0, 0.25, 0.5, 0.75, 1.0), EXCUSED: (-0.5, -0.25, 0.0)}
+GRID_PENALTY = 2.0
 #: About so many labelled rows of each class are used to learn the lexicon and the weights. This bounds the lexicon as well.
 SAMPLE = {1: 4000, 0: 8000}
 #: Lengths of stems. A stem is an insult if LEAST_TOXIC documents of the sample or more have it and its log odds, less SURENESS standard errors, are LEAST_ODDS or more.
@@ -72,64 +78,72 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Transducer:
-    """A deterministic transducer: next state, output symbol and weight of the arc for each state and input symbol."""
+    """A deterministic transducer: next state and output symbol of the arc for each state and input symbol. An arc weighs what its output does."""
 
     next: np.ndarray
     out: np.ndarray
-    weight: np.ndarray
 
     def then(self, other: Transducer) -> Transducer:
-        """The composition: the other machine reads what this one writes; weights add up. State (a, b) is a * states of other + b."""
+        """The composition: the other machine reads what this one writes. State (a, b) is a * states of other + b."""
         m, n = len(self.next), len(other.next)
         a, b = np.repeat(np.arange(m), n), np.tile(np.arange(n), m)
         out = self.out[a]
-        return Transducer(self.next[a] * n + other.next[b[:, None], out], other.out[b[:, None], out], self.weight[a] + other.weight[b[:, None], out])
+        return Transducer(self.next[a] * n + other.next[b[:, None], out], other.out[b[:, None], out])
 
-    def path(self, symbols: list[int]) -> tuple[list[int], list[float]]:
-        """Outputs and weights of the arcs that a clause takes."""
-        nxt, out, weight = self.tables
-        state, labels, weights = 0, [], []
+    def path(self, symbols: list[int]) -> list[int]:
+        """Outputs of the arcs that a clause takes."""
+        nxt, out = self.tables
+        state, labels = 0, []
         for x in symbols:
             labels.append(out[state][x])
-            weights.append(weight[state][x])
             state = nxt[state][x]
-        return labels, weights
+        return labels
 
     @cached_property
-    def tables(self) -> tuple[list, list, list]:
-        return self.next.tolist(), self.out.tolist(), self.weight.tolist()
+    def tables(self) -> tuple[list, list]:
+        return self.next.tolist(), self.out.tolist()
 
 
-def window(opens: int, reach: int, relabel: dict[int, int]) -> Transducer:
-    """After the symbol `opens`, up to `reach` words later (0: to the clause's end), relabel symbols and weigh their arcs."""
+def window(opens: Iterable[int], reach: int, relabel: dict[int, int]) -> Transducer:
+    """After one of the symbols `opens`, up to `reach` words later (0: to the clause's end), relabel symbols."""
     states = 1 + max(1, reach)
     nxt, out = np.zeros((states, SYMBOLS), dtype=np.int64), np.tile(np.arange(SYMBOLS), (states, 1))
-    weight = np.zeros((states, SYMBOLS))
     for s in range(1, states):
         nxt[s] = s if reach == 0 else s - 1
         for x, y in relabel.items():
-            out[s, x], weight[s, x] = y, WEIGHTS.get(y, 0.0)
-    nxt[:, opens] = states - 1
-    return Transducer(nxt, out, weight)
+            out[s, x] = y
+    nxt[:, list(opens)] = states - 1
+    return Transducer(nxt, out)
 
 
-def opening(relabel: dict[int, int]) -> Transducer:
-    """Relabels the first word of a clause."""
-    nxt, out, weight = np.ones((2, SYMBOLS), dtype=np.int64), np.tile(np.arange(SYMBOLS), (2, 1)), np.zeros((2, SYMBOLS))
-    for x, y in relabel.items():
-        out[0, x], weight[0, x] = y, WEIGHTS.get(y, 0.0)
-    return Transducer(nxt, out, weight)
+def predicate() -> Transducer:
+    """Relabels an insult soon after a copula that comes soon after a person as its subject."""
+    near, far = REACH[SUBJECT], REACH[COPULA]
+    nxt, out = np.zeros((1 + near + far, SYMBOLS), dtype=np.int64), np.tile(np.arange(SYMBOLS), (1 + near + far, 1))
+    for s in range(1, 1 + near + far):
+        nxt[s] = 0 if s == near + 1 else s - 1
+        if s <= near:
+            nxt[s, COPULA] = near + far
+        else:
+            out[s, INSULT] = PREDICATED
+    nxt[:, [YOU, SUBJECT]] = near
+    return Transducer(nxt, out)
 
 
 def grammar() -> tuple[Transducer, Transducer]:
-    """The machine from left to right (negation, reported speech, target, frame, opening, threat) and that from right to left (target, frame, end of the clause)."""
-    negation = window(NEGATION, REACH[NEGATION], {INSULT: NEGATED, THREAT: OTHER})
-    report = window(REPORT, REACH[REPORT], {INSULT: REPORTED, THREAT: OTHER})
-    target = window(TARGET, REACH[TARGET], {INSULT: AIMED})
-    frame = window(FRAME, REACH[FRAME], {INSULT: PREDICATED})
-    threat = window(THREAT, REACH[THREAT], {TARGET: MENACE})
-    edge = opening({INSULT: PREDICATED})
-    return negation.then(report).then(target).then(frame).then(edge).then(threat), target.then(frame).then(edge)
+    """The machine from left to right and that from right to left."""
+    negation = window([NEGATION], REACH[NEGATION], {INSULT: EXCUSED, THREAT: OTHER})
+    report = window([REPORT], REACH[REPORT], {INSULT: EXCUSED, THREAT: OTHER})
+    words = [x for x in range(SYMBOLS) if x not in (INSULT, AIMED, PREDICATED, COMPOUND, LOOSE, EXCUSED)]
+
+    def both(left: list[int]) -> Transducer:
+        """Targets, compounds and the clause itself, for the symbols of insults that are still open."""
+        target = window([YOU, YOUR], REACH[YOU], dict.fromkeys(left, AIMED))
+        target = target if LOOSE in left else target.then(predicate())
+        return target.then(window([INSULT, AIMED, PREDICATED, COMPOUND, LOOSE], REACH[INSULT], dict.fromkeys(left, COMPOUND))).then(window(words, 0, {INSULT: LOOSE}))
+
+    ahead = window([THREAT], REACH[THREAT], {YOU: MENACE, OBJECT: MENACE})
+    return negation.then(report).then(both([INSULT])).then(ahead), both([INSULT, LOOSE]).then(window([THREAT], REACH[OBJECT], {OBJECT: MENACE}))
 
 
 @dataclass
@@ -163,20 +177,23 @@ class Lexicon:
         return best
 
 
-FEATURES = 3
+#: Labels with weights; a menace has that of an aimed insult.
+LABELS = (*PRIOR, MENACE)
 
 
 @dataclass
 class Scorer:
-    """Lexicon, machine and weights; scores whole texts."""
+    """Lexicon, machines, arc weights by label and logistic weights; scores whole texts."""
 
     lexicon: Lexicon
-    theta: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
+    weights: dict[int, float] = field(default_factory=lambda: dict(PRIOR))
+    theta: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    rest: float = 0.5
     known: dict[str, tuple[int, float]] = field(default_factory=dict)
     machines: tuple[Transducer, Transducer] = field(default_factory=grammar)
 
     def __getstate__(self) -> dict:
-        return {"lexicon": self.lexicon, "theta": self.theta, "known": {}, "machines": self.machines}
+        return self.__dict__ | {"known": {}}
 
     def symbol(self, word: str) -> tuple[int, float]:
         """A word's symbol and weight, kept by word."""
@@ -184,36 +201,42 @@ class Scorer:
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
             weight = self.lexicon.read(word)
-            found = (INSULT, weight) if weight else (_FIXED.get(word, OTHER), 1.0)
+            found = (INSULT, weight) if weight else (_FIXED.get(word, OTHER), max(1.0, *self.lexicon.weight) if word in _FIXED else 1.0)
             self.known[word] = found
         return found
 
-    def clauses(self, text: str) -> tuple[list[float], int]:
-        """The weights of the clauses that have an insult or a threat, and the number of all clauses with a word."""
-        found, total = [], 0
+    def clause(self, words: list[str]) -> tuple[list[int], list[float]]:
+        """The label and the weight of each word of a clause."""
+        symbols, weights = zip(*map(self.symbol, words), strict=True)
+        return self.machines[1].path(self.machines[0].path(symbols)[::-1])[::-1], weights
+
+    def sums(self, text: str) -> list[float]:
+        """The sums of word weights by label, over all clauses, and the number of clauses with a word."""
+        found, total = dict.fromkeys(LABELS, 0.0), 0
         for clause in _CLAUSE.split(text.lower()):
-            words = list(map(self.symbol, _WORD.findall(clause)))
+            words = _WORD.findall(clause)
             total += bool(words)
-            if any(s in _BEARING for s, _ in words):
-                labels, there = self.machines[0].path([s for s, _ in words])
-                _, back = self.machines[1].path(labels[::-1])
-                found.append(sum((x + y) * w for x, y, (_, w) in zip(there, back[::-1], words, strict=True)))
-        return found, total
-
-    def features(self, text: str) -> np.ndarray:
-        """Logs of one plus the sum of clause weights (0 if negative), the number of matching clauses, and the number of clauses."""
-        found, total = self.clauses(text)
-        return np.log1p(np.array([max(0.0, sum(found)), sum(x > 0 for x in found), total]))
+            if any(self.symbol(w)[0] in _BEARING for w in words):
+                for label, weight in zip(*self.clause(words), strict=True):
+                    if label in found:
+                        found[label] += weight
+        return [*found.values(), float(total)]
 
     def score(self, text: str) -> float:
-        z = float(self.theta[:-1] @ self.features(text) + self.theta[-1])
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        x = features(np.array([self.sums(text)]), self.weights)[0]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ self.theta))))) if x[0] > 0 else self.rest
 
 
 _BEARING = frozenset((INSULT, THREAT))
 _FIXED = {w: symbol for symbol, words in reversed(WORDS.items()) for w in words.split()}
 
 
+def features(sums: np.ndarray, weights: dict[int, float]) -> np.ndarray:
+    """Logs of one plus the sum of clause weights (0 if negative) and of one plus the number of clauses, and 1, by row of Scorer.sums."""
+    arcs = np.array([*(weights[x] for x in PRIOR), weights[AIMED]])
+    return np.stack([np.log1p(np.maximum(0.0, sums[:, :-1] @ arcs)), np.log1p(sums[:, -1]), np.ones(len(sums))], axis=1)
+
+
 def stems(word: str) -> list[str]:
     """The word itself, closed by a mark, and its stems."""
     return [f"{word}$", *(word[:n] for n in STEMS if len(word) >= n)] if len(word) >= STEMS[0] else []
@@ -257,28 +280,44 @@ def learn(rows: DataFrame) -> Scorer:
     scorer = Scorer(Lexicon.of({u: float(weight) for u, (weight, pos) in wanted.items() if u not in fuller and varied.get(u, 0) >= min(VARIED * pos, ENOUGH)}))
     shape = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(shape, y=b.column("y"), x=[scorer.features(t) for t in b.column("t").to_pylist()])
+            yield batch(shape, y=b.column("y"), x=[scorer.sums(t) for t in b.column("t").to_pylist()])
 
-    table = rows.select("t", "y").mapInArrow(features, "y int, x array<double>").toArrow()
+    table = rows.select("t", "y").mapInArrow(sums_of, "y int, x array<double>").toArrow()
     y = np.array(table.column("y").to_pylist(), dtype=float)
-    x = np.array(table.column("x").to_pylist(), dtype=float).reshape(len(y), FEATURES)
-    scorer.theta = rising(x, y)
+    scorer.weights, scorer.theta, scorer.rest = fitted(np.array(table.column("x").to_pylist(), dtype=float).reshape(len(y), len(LABELS) + 1), y)
     return scorer
 
 
-def rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights of the features and the intercept, of which the first two, which speak for toxicity, are not negative."""
-    use = [0, 1, 2]
-    while True:
-        theta = logistic(np.hstack([x[:, use], np.ones((len(y), 1))]), y)
-        wrong = [i for i, t in zip(use, theta, strict=False) if i < 2 and t < 0]
-        if not wrong:
-            out = np.zeros(FEATURES + 1)
-            out[[*use, FEATURES]] = theta
-            return out
-        use = [i for i in use if i not in wrong]
+def fitted(sums: np.ndarray, y: np.ndarray) -> tuple[dict[int, float], np.ndarray, float]:
+    """The likeliest arc weights on the grid, one label at a time, after the price of leaving the prior; their logistic weights, and the rate of toxic rows without a match.
+
+    A target, predicate or compound never weighs less than a loose insult. The sum of clause weights never
+    speaks against toxicity.
+    """
+    weights, memory = dict(PRIOR), {}
+
+    def value(trial: dict[int, float]) -> tuple[float, np.ndarray, float]:
+        if (key := tuple(trial.values())) not in memory:
+            x = features(sums, trial)
+            match = x[:, 0] > 0
+            theta = logistic(x[match], y[match])
+            if theta[0] < 0:
+                theta = np.array([0.0, *logistic(x[match, 1:], y[match])])
+            rest = float((y[~match].sum() + 0.5) / (np.sum(~match) + 1))
+            z = np.where(match, np.clip(x @ theta, -30, 30), math.log(rest / (1 - rest)))
+            price = sum((v - PRIOR[k]) ** 2 for k, v in trial.items())
+            memory[key] = float(np.sum(y * z - np.log1p(np.exp(z)))) - GRID_PENALTY * price, theta, rest
+        return memory[key]
+
+    before: dict[int, float] = {}
+    while before != weights:
+        before = dict(weights)
+        for label, grid in GRID.items():
+            trials = [t for v in grid if min((t := weights | {label: v})[AIMED], t[PREDICATED], t[COMPOUND]) >= t[LOOSE] >= t[EXCUSED]]
+            weights = max([weights, *trials], key=lambda t: value(t)[0])
+    return weights, *value(weights)[1:]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:

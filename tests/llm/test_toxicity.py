@@ -5,54 +5,54 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pytest
 
-from corpusveil.llm.toxicity import AIMED, FRAME, INSULT, MENACE, NEGATED, NEGATION, OTHER, PREDICATED, REACH, REPORT, REPORTED, TARGET, THREAT, WEIGHTS, Lexicon, Scorer, grammar, score
+from corpusveil.llm.toxicity import AIMED, COMPOUND, COPULA, EXCUSED, INSULT, LABELS, LOOSE, MENACE, NEGATION, OBJECT, OTHER, PREDICATED, PRIOR, REACH, REPORT, SUBJECT, THREAT, YOU, YOUR, Lexicon, Scorer, features, fitted, grammar, score
+
+INSULTS = (INSULT, AIMED, PREDICATED, COMPOUND, LOOSE)
+
+
+def within(labels, i, kinds, reach, step):
+    """Whether one of the kinds stands within reach of place i, before (step -1) or after it."""
+    return any(0 <= i + step * d < len(labels) and labels[i + step * d] in kinds for d in range(1, (reach or len(labels)) + 1))
 
 
 def plain_match(clause):
-    """The weight of each word of a clause, from the distances between the words alone."""
+    """The labels of a clause, from the distances between its words, one pattern after the other."""
     n = len(clause)
-
-    def near(i, kind, reach, step):
-        """Whether the kind stands within reach of place i, before (step -1) or after it."""
-        far = n if reach == 0 else reach
-        return any(clause[i + step * d] == kind for d in range(1, far + 1) if 0 <= i + step * d < n)
-
-    out, quiet = [], [near(i, NEGATION, REACH[NEGATION], -1) or near(i, REPORT, REACH[REPORT], -1) for i in range(n)]
-    for i, x in enumerate(clause):
-        label = x
-        if x == INSULT:
-            if near(i, NEGATION, REACH[NEGATION], -1):
-                label = NEGATED
-            elif near(i, REPORT, REACH[REPORT], -1):
-                label = REPORTED
-            elif near(i, TARGET, REACH[TARGET], -1):
-                label = AIMED
-            elif near(i, FRAME, 0, -1) or i == 0:
-                label = PREDICATED
-            else:
-                # What the left pass leaves is read from the right, where targets that became a menace no longer count.
-                after = [j for j in range(i + 1, min(n, i + REACH[TARGET] + 1)) if clause[j] == TARGET and not menaced(clause, quiet, j)]
-                label = AIMED if after else PREDICATED if near(i, FRAME, 0, 1) or i == n - 1 else INSULT
-        elif x == TARGET and menaced(clause, quiet, i):
-            label = MENACE
-        out.append(WEIGHTS.get(label, 0.0))
-    return out
-
-
-def menaced(clause, quiet, i):
-    return any(clause[j] == THREAT and not quiet[j] for j in range(max(0, i - REACH[THREAT]), i))
+    labels = [{INSULT: EXCUSED, THREAT: OTHER}.get(x, x) if within(clause, i, [NEGATION], REACH[NEGATION], -1) or within(clause, i, [REPORT], 0, -1) else x for i, x in enumerate(clause)]
+    # A copula counts if what stands nearest before it, of subjects and copulas in reach, is a subject.
+    nearest = [next((x for x in clause[max(0, i - REACH[SUBJECT]) : i][::-1] if x in (YOU, SUBJECT, COPULA)), OTHER) for i in range(n)]
+    copula = [x == COPULA and y in (YOU, SUBJECT) for x, y in zip(clause, nearest, strict=True)]
+
+    def predicated(i):
+        """A copula with a subject is in reach, and no other subject stands between."""
+        for j in range(i - 1, max(-1, i - REACH[COPULA] - 1), -1):
+            if copula[j] or labels[j] in (YOU, SUBJECT):
+                return copula[j]
+        return False
+
+    def widen(at, opened, step):
+        labels[:] = [AIMED if x in opened and within(at, i, [YOU, YOUR], REACH[YOU], step) else x for i, x in enumerate(labels)]
+        if step == -1:
+            labels[:] = [PREDICATED if x == INSULT and predicated(i) else x for i, x in enumerate(labels)]
+        first = list(labels)
+        labels[:] = [COMPOUND if x in opened and within(first, i, INSULTS, REACH[INSULT], step) else x for i, x in enumerate(labels)]
+        labels[:] = [LOOSE if x == INSULT and any(y not in (*INSULTS, EXCUSED) for y in (labels[:i] if step < 0 else labels[i + 1 :])) else x for i, x in enumerate(labels)]
+
+    widen(list(labels), [INSULT], -1)
+    labels = [MENACE if x in (YOU, OBJECT) and within(labels, i, [THREAT], REACH[THREAT], -1) else x for i, x in enumerate(labels)]
+    widen(list(labels), [INSULT, LOOSE], 1)
+    return [MENACE if x == OBJECT and within(labels, i, [THREAT], REACH[OBJECT], 1) else x for i, x in enumerate(labels)]
 
 
 def test_the_machines_equal_the_plain_matcher():
     rng = random.Random(3)
     left, right = grammar()
-    for _ in range(4000):
-        clause = rng.choices([OTHER, INSULT, THREAT, TARGET, FRAME, NEGATION, REPORT], weights=[6, 2, 1, 1, 1, 0.5, 0.3], k=rng.randint(1, 12))
-        labels, there = left.path(clause)
-        _, back = right.path(labels[::-1])
-        assert [a + b for a, b in zip(there, back[::-1], strict=True)] == plain_match(clause), clause
+    for _ in range(6000):
+        clause = rng.choices([OTHER, INSULT, THREAT, YOU, YOUR, SUBJECT, OBJECT, COPULA, NEGATION, REPORT], weights=[6, 3, 1, 1, 1, 1, 1, 2, 0.5, 0.3], k=rng.randint(1, 12))
+        assert right.path(left.path(clause)[::-1])[::-1] == plain_match(clause), clause
 
 
 def test_the_lexicon_reads_letters():
@@ -62,20 +62,38 @@ def test_the_lexicon_reads_letters():
 
 @pytest.fixture
 def scorer():
-    s = Scorer(Lexicon.of({"moron$": 5.0, "clown$": 4.0}))
-    s.theta[:] = [2.0, 0.5, -0.2, -3.0]
+    s = Scorer(Lexicon.of({"moron$": 5.0, "clown$": 4.0}), rest=0.01)
+    s.theta[:] = [2.0, -0.2, -3.0]
     return s
 
 
 def test_clauses_and_not_words_are_scored(scorer):
-    total = lambda t: sum(scorer.clauses(t)[0])
-    assert total("you are a moron") == 7.5 and total("that is a moron") == 5.0 and total("Moron!") == 5.0
-    assert total("xx moron yy") == 0.0 and total("moronic people") == 0.0
-    assert total("he is not a moron") == -2.5 and total("they called him a moron") == -2.5
-    assert total("I will kill you") == 3.0 and total("I will not kill you") == 0.0 and total("") == 0.0
+    def found(t):
+        sums = dict(zip(LABELS, scorer.sums(t), strict=False))
+        return {k: v for k, v in sums.items() if v}
+
+    assert found("you are a moron") == found("moron, that is what you are") == found("your clever moron") == {AIMED: 5.0}
+    assert found("he is a moron") == {PREDICATED: 5.0} and found("a moron clown") == {COMPOUND: 9.0} and found("xx moron yy") == {LOOSE: 5.0}
+    assert found("Moron!") == found("moronic people") == found("") == {} and scorer.score("Moron!") == scorer.score("Moronic people.") == 0.01
+    assert found("he is not a moron") == found("they called him a moron") == {EXCUSED: 5.0}
+    assert found("I will kill you") == found("Te voy a matar") == {MENACE: 5.0} and found("I will not kill you") == found("They will destroy the house they built.") == {}
     insult = scorer.score("you are a moron. a b c.")
-    assert scorer.score("you are a moron. he said she is a clown.") < insult and scorer.score("you are a moron. she is not a clown.") < insult
-    assert insult > scorer.score("that is a moron. a b c.") > scorer.score("xx moron yy. a b c.") == scorer.score("xx word yy. a b c.")
+    assert scorer.score("you are a moron. she is not a clown.") < insult and scorer.score("he is not a moron.") == 0.01
+    assert insult > scorer.score("xx moron yy. a b c.") > scorer.score("xx word yy. a b c.")
+
+
+def test_arc_weights_follow_the_labels():
+    """Rows whose loose insults say nothing and whose predicated ones say all; only the ratio counts."""
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 600).astype(float)
+    sums = np.zeros((600, len(LABELS) + 1))
+    sums[:, LABELS.index(LOOSE)] = rng.integers(1, 9, 600)
+    sums[:, LABELS.index(PREDICATED)] = 5 * y
+    sums[:, -1] = 10
+    weights, theta, rest = fitted(sums, y)
+    assert weights[PREDICATED] * PRIOR[LOOSE] > PRIOR[PREDICATED] * weights[LOOSE] and theta[0] > 0 and 0 < rest < 1
+    assert np.all((features(sums, weights) @ theta > 0) == (y == 1))
+    assert fitted(sums[:0], y[:0])[::2] == (PRIOR, 0.5)
 
 
 def test_learned_scores(spark):
