@@ -6,9 +6,16 @@ likewise one whose presentation never varies. The leaves are the text blocks of
 stands on most of the different pages which have the element spreads evenly over them and so has a low
 importance, though the element's other blocks differ. Importances are shrunk towards 1 by PRIOR pages, so
 few pages say little. On each page a branch's importance is combined up the tree: half its own, half its
-children's by their share of text. Branches and leaves of low importance are removed from each page. Tags,
-roles and classes that say no article decide only in between: such a branch goes unless its importance is
-high on enough pages. Pages with equal text count once, so a host of copies keeps its article.
+children's by their share of text. Branches and leaves of low importance are removed from each page.
+
+Menus, adverts and notices are often dealt out of some tens of texts, too many for a low entropy on a host of
+some tens of pages. So the number of pages that only repeat a branch's text is held against those to expect
+if it is dealt out of DEALT texts, as notices are, and out of FREE, as running text is. The log of their
+likelihood ratio is the branch's evidence. A branch outside of articles, but for headings and branches with
+most of a page's text, goes if the evidence, from SOME_PAGES or more, is EVIDENCE or more.
+
+Tags, roles and classes that say no article decide only in between: such a branch goes unless its importance is
+high on enough pages; what readers write goes always. Pages with equal text count once, so a host of copies keeps its article.
 
 Only hashes by host and path are shuffled. Counts are pre-aggregated by (host, path, content), so a host
 with a third of all pages is spread over its contents.
@@ -17,6 +24,7 @@ with a third of all pages is spread over its contents.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +44,8 @@ LEAST_IMPORTANCE, CHILDREN, PRIOR = 0.2, 0.5, 1.0
 #: A branch that the lists call no article stays if its content's importance is this on so many different pages. Texts dealt
 #: out of v variants have one of at most log v / log m on m pages, so a hundred pages tell menus of up to 79 variants from running text.
 SURE_CONTENT, SURE_PAGES = 0.95, 100
+#: Numbers of texts that a notice and running text are thought to be dealt out of, the evidence at which a branch goes (odds of a thousand), and the pages that it must come from.
+DEALT, FREE, EVIDENCE, SOME_PAGES = 100.0, 10_000.0, 6.9, 10
 #: Elements that hold every page, so that none is removed; and what keeps places of leaves apart from paths.
 PAGE, LEAF = frozenset(("", "html", "body")), 0x5EAF
 #: Most places (16 bytes each) of all hosts that are broadcast; they are counted first.
@@ -52,6 +62,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NO_ARTICLE = frozenset("nav footer aside form button dialog menu".split())
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NO_CLASS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist respond disqus reply replies widget pagination pager toolbar search skip copyright".split())
+#: Names, in NO_CLASS as well, of what readers write: it differs on every page, so that no importance speaks for it.
+READERS = frozenset("comment comments commentlist respond disqus reply replies".split())
 #: Names that an article's own wrapper has; as a whole class or id they outweigh words inside of other names (with-sidebar).
 ARTICLE_NAME = frozenset("article content entry main page post site story".split())
 #: Tags that a start tag closes, up to the nearest of the second set.
@@ -75,6 +87,7 @@ class Node:
     hidden: bool
     no_article: bool
     named: bool
+    readers: bool
     parent: Node | None
     main: int = 0
     parts: list[str | Node] = field(default_factory=list)
@@ -93,17 +106,17 @@ def _hidden(tag: str, a: dict[str, str], raw: str) -> bool:
     return tag in ("head", "title") or a.get("aria-hidden") == "true" or bool(a.get("style") and _HIDDEN.search(a["style"].lower())) or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw))
 
 
-def _no_article(tag: str, a: dict[str, str], inside: int) -> tuple[bool, bool]:
-    """Whether the lists call an element no article, and whether they do so for its class, id or form tag alone.
+def _no_article(tag: str, a: dict[str, str], inside: int) -> tuple[bool, bool, bool]:
+    """Whether the lists call an element no article, whether they do so for its class, id or form tag alone, and whether it is what readers write.
 
     `inside` is 1 in the main part and 2 in an article. There a heading's names say nothing, a section's
     only as whole names, and others' only if they have two words at most: a section on related work, a heading that is
     called header, or a long name with a listed word in it is the article's.
     """
     if (tag in NO_ARTICLE and tag != "form") or (tag == "header" and not inside) or a.get("role", "").lower() in NO_ROLE:
-        return True, False
+        return True, False, False
     if tag in ("html", "body", "main"):
-        return False, False
+        return False, False, False
     names = f"{a.get('class', '')} {a.get('id', '') if tag != 'article' else ''}".lower().split()
     found = [n for n in names if not NO_CLASS.isdisjoint(words := _WORDS.findall(n)) and (NO_CLASS.intersection(words) != {"header"} or ARTICLE_NAME.isdisjoint(words))]
     if tag == "article" or (inside == 2 and tag == "section") or not ARTICLE_NAME.isdisjoint(names):
@@ -113,11 +126,11 @@ def _no_article(tag: str, a: dict[str, str], inside: int) -> tuple[bool, bool]:
     if inside == 2 and tag in HEADINGS:
         found = []
     named = bool(found) or tag == "form"
-    return named, named
+    return named, named, any(not READERS.isdisjoint(_WORDS.findall(n)) for n in found)
 
 
-def _facts(tag: str, rest: str, inside: int) -> tuple[str, bool, bool, bool, bool]:
-    """An element's look, whether it is hidden, no article by the lists, and that by its name alone, and whether its role is main."""
+def _facts(tag: str, rest: str, inside: int) -> tuple[str, bool, bool, bool, bool, bool]:
+    """An element's look, whether it is hidden, no article by the lists, that by its name alone, and of readers, and whether its role is main."""
     a = _attributes(rest)
     return f"{tag}.{'.'.join(sorted(a.get('class', '').lower().split()))}", _hidden(tag, a, rest), *_no_article(tag, a, inside), a.get("role", "").lower() == "main"
 
@@ -166,7 +179,7 @@ def tags(source: str) -> Iterator[tuple[str, str, bool, str]]:
 
 def parse(source: str) -> Node:
     """The tree of a page. Unclosed elements end where HTML ends them; raw elements are skipped whole, hidden or listed inline ones are muted."""
-    root = node = Node("", 0, False, False, False, None)
+    root = node = Node("", 0, False, False, False, False, None)
     text: list[str] = []
     open_: Counter[str] = Counter()
     endless: set[str] = set()
@@ -242,9 +255,9 @@ def parse(source: str) -> Node:
                         node = node.parent
                     open_[node.tag] -= 1
                     node = node.parent
-        look, hidden, no_article, named, is_main = (_known if len(rest) < 200 else _facts)(tag, rest, node.main)
+        look, hidden, no_article, named, readers, is_main = (_known if len(rest) < 200 else _facts)(tag, rest, node.main)
         node.style.append(look)
-        child = Node(tag, xxhash.xxh3_64_intdigest(look.encode("utf-8", "surrogatepass"), seed=node.path) >> 1, hidden, no_article, named, node, node.main)
+        child = Node(tag, xxhash.xxh3_64_intdigest(look.encode("utf-8", "surrogatepass"), seed=node.path) >> 1, hidden, no_article, named, readers, node, node.main)
         if tag == "article":
             child.main = 2
         elif tag == "main" or is_main:
@@ -275,7 +288,7 @@ def _spare(root: Node) -> None:
             x.size += len(p) if isinstance(p, str) else 0 if p.hidden else p.size
     for x in order:
         if x.named and 2 * x.size > root.size:
-            x.no_article = x.named = False
+            x.no_article = x.named = x.readers = False
 
 
 def leaf(path: int, block: str) -> int:
@@ -298,8 +311,16 @@ def combined(root: Node, low: dict[int, float]) -> dict[int, float]:
     return out
 
 
-def blocks(root: Node, low: dict[int, float], sure: set[int]) -> list[tuple[int, str]]:
+def blocks(root: Node, low: dict[int, float], sure: set[int], dealt: set[int]) -> list[tuple[int, str]]:
     """Text blocks in page order with the main part that they are in, without removed branches and leaves."""
+
+    def kept(x: Node) -> bool:
+        if x.tag in PAGE:
+            return True
+        if importance.get(id(x), 1.0) < LEAST_IMPORTANCE or (x.no_article and (x.readers or x.path not in sure)):
+            return False
+        return x.path not in dealt or x.main == 2 or x.tag in HEADINGS or 2 * x.size > root.size
+
     out: list[tuple[int, str]] = []
     importance = combined(root, low) if low else {}
     stack: list[Node | tuple[int, int, str]] = [root]
@@ -308,19 +329,20 @@ def blocks(root: Node, low: dict[int, float], sure: set[int]) -> list[tuple[int,
         if isinstance(x, tuple):
             if not low or low.get(leaf(x[1], x[2]), 1.0) >= LEAST_IMPORTANCE:
                 out.append((x[0], x[2]))
-        elif not x.hidden and (x.tag in PAGE or (importance.get(id(x), 1.0) >= LEAST_IMPORTANCE and (not x.no_article or x.path in sure))):
+        elif not x.hidden and kept(x):
             stack.extend((x.main, x.path, p) if isinstance(p, str) else p for p in reversed(x.parts))
     return out
 
 
-def main_text(source: str | None, low: dict[int, float] | None = None, sure: set[int] | None = None) -> str:
+def main_text(source: str | None, low: dict[int, float] | None = None, sure: set[int] | None = None, dealt: set[int] | None = None) -> str:
     """The article of a page: blocks joined by blank lines. Null or blank pages give an empty text.
 
     What is in <article> is the text if it is at least half of the main part's, and the main part's if it is
     at least half of the page's; otherwise the wider part is.
-    `low` are the small importances of branches and leaves on the page's host, `sure` the branches of high importance.
+    `low` are the small importances of branches and leaves on the page's host, `sure` the branches of high importance, `dealt` those
+    with evidence of texts dealt out of few.
     """
-    kept = blocks(parse(source or ""), low or {}, sure or set())
+    kept = blocks(parse(source or ""), low or {}, sure or set(), dealt or set())
     found = [[b for main, b in kept if main >= least] for least in (2, 1, 0)]
     sizes = [sum(map(len, f)) for f in found]
     best = 2 if 2 * sizes[1] < sizes[2] else 1
@@ -359,7 +381,7 @@ def branches(source: str) -> tuple[list[tuple[int, int, int, bool]], int]:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, content (the content's importance) and importance of the branches and leaves of each host's merged tree, and m, the different pages that they rest on; from columns host and h (the page's source)."""
+    """host, path, content (the content's importance), evidence (0 for leaves) and importance of the branches and leaves of each host's merged tree, and m, the different pages that they rest on; from columns host and h (the page's source)."""
     schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("look", pa.int64()), ("content", pa.int64()), ("leaf", pa.bool_()), ("page", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,13 +397,16 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     def entropy(what: str) -> DataFrame:
         counts = seen.where("not leaf").groupBy("host", "path", what).agg(F.count_distinct("page").alias("n"))
-        return counts.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s")).select("host", "path", "m", F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0).alias(what))
+        return counts.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), (F.sum("n") - F.count("*")).alias("repeats")).select("host", "path", "m", "repeats", F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0).alias(what))
 
-    both = entropy("content").join(entropy("look").drop("m"), ["host", "path"])
-    inner = both.select("host", "path", "m", F.lit(False).alias("leaf"), "content", (PRESENTATION * F.col("look") + (1 - PRESENTATION) * F.col("content")).alias("importance"))
+    both = entropy("content").join(entropy("look").drop("m", "repeats"), ["host", "path"])
+    # Poisson likelihoods of so many repeats; a single page has none to expect.
+    dealt, free = (F.col("m") - v * (1 - F.exp(F.col("m") * math.log1p(-1 / v))) for v in (DEALT, FREE))
+    evidence = F.when(F.col("m") > 1, F.col("repeats") * F.log(dealt / free) - dealt + free).otherwise(0.0)
+    inner = both.select("host", "path", "m", F.lit(False).alias("leaf"), "content", evidence.alias("evidence"), (PRESENTATION * F.col("look") + (1 - PRESENTATION) * F.col("content")).alias("importance"))
     on = seen.where("not leaf").groupBy("host", "path").agg(F.count_distinct("page").alias("m"))
     spread = seen.where("leaf").groupBy("host", "path", "content").agg(F.count_distinct("page").alias("n")).where("n > 1")
-    leaves = spread.join(on, ["host", "path"]).select("host", F.col("content").alias("path"), "m", F.lit(True).alias("leaf"), (1 - F.log("n") / F.log("m")).alias("content")).withColumn("importance", F.col("content"))
+    leaves = spread.join(on, ["host", "path"]).select("host", F.col("content").alias("path"), "m", F.lit(True).alias("leaf"), (1 - F.log("n") / F.log("m")).alias("content"), F.lit(0.0).alias("evidence")).withColumn("importance", F.col("content"))
     shrunk = (F.col("importance") * F.col("m") + PRIOR) / (F.col("m") + PRIOR)
     return inner.union(leaves).withColumn("importance", shrunk)
 
@@ -397,18 +422,19 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     host = F.coalesce(F.regexp_extract(F.lower(F.col(f"`{url}`")), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit(""))
     own = pages.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{source}`").cast("string").alias("h"), host.alias("host"))
     low, sure = F.col("importance") < LEAST_IMPORTANCE / (1 - CHILDREN), ~F.col("leaf") & (F.col("content") >= SURE_CONTENT) & (F.col("m") >= SURE_PAGES)
+    dealt = (F.col("evidence") >= EVIDENCE) & (F.col("m") >= SOME_PAGES)
     with scratch(spark):
-        lists = style_tree(own).where(low | sure).groupBy("host").agg(F.collect_set(F.when(low, F.struct("path", "importance"))).alias("low"), F.collect_set(F.when(sure, F.col("path"))).alias("sure"))
+        lists = style_tree(own).where(low | sure | dealt).groupBy("host").agg(F.collect_set(F.when(low, F.struct("path", "importance"))).alias("low"), *(F.collect_set(F.when(x, F.col("path"))).alias(name) for name, x in (("sure", sure), ("dealt", dealt))))
         places = cut(lists, "places", keep=True)
-    weight = places.agg(F.coalesce(F.sum(F.size("low") + F.size("sure") + 2), F.lit(0))).first()[0]
+    weight = places.agg(F.coalesce(F.sum(F.size("low") + F.size("sure") + F.size("dealt") + 2), F.lit(0))).first()[0]
     schema = pa.schema([("k", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for h, x, y in zip(b.column("h").to_pylist(), b.column("low").to_pylist(), b.column("sure").to_pylist(), strict=True):
-                found.append(main_text(h, {p["path"]: p["importance"] for p in x or ()}, set(y or ())))
+            for h, x, y, z in zip(*(b.column(name).to_pylist() for name in ("h", "low", "sure", "dealt")), strict=True):
+                found.append(main_text(h, {p["path"]: p["importance"] for p in x or ()}, set(y or ()), set(z or ())))
             yield batch(schema, k=b.column("k"), url=b.column("url"), text=found, n_chars=[len(t) for t in found])
 
     lists = F.broadcast(places) if weight <= PLACES else places
-    return own.join(lists, "host", "left").select("k", "url", "h", "low", "sure").mapInArrow(run, "k long, url string, text string, n_chars long")
+    return own.join(lists, "host", "left").select("k", "url", "h", "low", "sure", "dealt").mapInArrow(run, "k long, url string, text string, n_chars long")
