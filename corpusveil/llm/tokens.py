@@ -75,12 +75,7 @@ class CachedEncoder:
             yield from zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True)
 
     def _keep(self, cache: dict, new: dict) -> None:
-        """Keep chunks that came before; most that come once don't come again. A full cache starts anew. A large one keeps all."""
-        if self.large:
-            if len(cache) + len(new) > LARGE_CACHE:
-                cache.clear()
-            cache.update((c, x) for c, x in new.items() if len(c) <= CACHE_CHARS)
-            return
+        """Keep chunks that came before; most that come once don't come again. A full cache starts anew."""
         if len(cache) + len(new) > CACHE_CHUNKS:
             cache.clear()
             self.noted = bytearray(CACHE_NOTES)
@@ -92,6 +87,8 @@ class CachedEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if self.large:
+            return self._encode_keeping(texts)
         known, cut, got, missing = self.cache.get, [], [], set()
         for t in texts:
             chunks = self._cut(t)
@@ -107,6 +104,19 @@ class CachedEncoder:
         self._keep(self.cache, new)
         return out
 
+    def _encode_keeping(self, texts: list[str]) -> list[bytes]:
+        """The same with a large cache, which takes all chunks of the texts first and then gives them."""
+        cut = [self._cut(t) for t in texts]
+        new = {c: array("I", ids).tobytes() for c, ids in self._encoded(set().union(*cut).difference(self.cache))}
+        self.cache.update(new)
+        out = [b"".join(map(self.cache.__getitem__, chunks)) for chunks in cut]
+        if len(self.cache) > LARGE_CACHE:
+            self.cache.clear()
+        else:
+            for c in (c for c in new if len(c) > CACHE_CHARS):
+                del self.cache[c]
+        return out
+
     def count(self, texts: list[str]) -> list[int]:
         """How many ids each text has."""
         cut = [self._cut(t) for t in texts]

@@ -24,11 +24,11 @@ def test_every_code_point_is_encoded_as_by_the_library(name, keeps):
                 assert mine.count(texts) == list(map(len, want))
 
 
-@pytest.mark.parametrize(("limit", "large"), [(3, False), (50, False), (50, True)])
+@pytest.mark.parametrize(("limit", "large"), [(3, False), (50, False), (3, True), (50, True)])
 def test_a_full_cache_changes_nothing(monkeypatch, limit, large):
     monkeypatch.setattr(tokens, "CACHE_CHUNKS", limit)
     monkeypatch.setattr(tokens, "LARGE_CACHE", limit)
-    texts = ["the cat sat", "the dog sat on the mat", "", "zq " * 40, "a b c d e f g the cat"] * 3
+    texts = ["the cat sat", "the dog sat on the mat", "", "zq " * 40, "a b c d e f g the cat", "x" * 100] * 3
     mine, theirs = CachedEncoder(tokenizer("byte_bpe_50k.json"), True, large), Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
     want = [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
     for i in range(0, len(texts), 2):
