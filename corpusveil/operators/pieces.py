@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import piece as slice_of
 from ..schema import SPAN_ARRAY
+from ..sources.tables import each
 
 #: Pieces of one Arrow batch.
 _BATCH = 512
@@ -99,7 +100,7 @@ def carried_back(found: DataFrame, back: int) -> DataFrame:
 
 def found_in_pieces(blocks: DataFrame, spans: Callable[[Column], Column], size: int, overlap: int | None = None) -> DataFrame:
     """Spans of whole texts by a column function (text -> spans) that sees only pieces of them."""
-    cut_up = chunks(blocks, size, overlap).withColumn("s", F.explode(spans(F.col("text"))))
+    cut_up = each(chunks(blocks, size, overlap), spans(F.col("text")), "doc_id", "block_ord", "offset", "end", "last")
     rows = cut_up.select("doc_id", "block_ord", "offset", "end", "last", "s.entity_type", "s.start", F.col("s.end").alias("stop"), "s.confidence", "s.source")
     return carried_back(rows, overlap_of(size, overlap))
 
