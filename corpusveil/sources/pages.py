@@ -2,7 +2,8 @@
 
 A character has doc_id, page_number, char_ord (its place in the page's own order), c, and its box x0, y0, x1,
 y1, with y downwards. Characters are put together along that order, first to lines and then to blocks, and
-blocks get the order in which a page is read. All windows are within a page or a block.
+blocks get the order in which a page is read. All windows are within a page or a block. Joins are told to
+merge: Spark's estimate of a table's size does not see that a row became many, and would send it through the driver.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def page_characters(characters: DataFrame) -> DataFrame:
     lines = lines.withColumn("block", (F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("by0", "bx0", "group")) - 1).cast("int"))
     in_block = Window.partitionBy(*PAGE, "group").orderBy("line")
     lines = lines.withColumns({"block_line": (F.row_number().over(in_block) - 1).cast("int"), "before": F.coalesce(F.sum(F.col("n") + 1).over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    joined = placed.join(lines.select(*PAGE, "line", "block", "block_line", "before"), [*PAGE, "line"])
+    joined = placed.join(lines.select(*PAGE, "line", "block", "block_line", "before").hint("merge"), [*PAGE, "line"])
     in_line = F.row_number().over(Window.partitionBy(*PAGE, "line").orderBy("char_ord")) - 1
     return joined.withColumn("offset", (F.col("before") + in_line).cast("int")).drop("before")
 
@@ -80,7 +81,7 @@ def _meet(placed: DataFrame, cells: DataFrame) -> DataFrame:
     squares = cells.select(*PAGE, "table", "row", "column", *(F.col(v).alias(f"c{v}") for v in ("x0", "y0", "x1", "y1")))
     squares = squares.withColumn("gx", F.explode(F.sequence(step("cx0"), step("cx1")))).withColumn("gy", F.explode(F.sequence(step("cy0"), step("cy1"))))
     middle = placed.withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": (F.col("y0") + F.col("y1")) / 2}).withColumns({"gx": F.floor(F.col("mx") / GRID), "gy": F.floor(F.col("my") / GRID)})
-    return middle.join(squares, [*PAGE, "gx", "gy"]).where("cx0 <= mx and mx < cx1 and cy0 <= my and my < cy1")
+    return middle.join(squares.hint("merge"), [*PAGE, "gx", "gy"]).where("cx0 <= mx and mx < cx1 and cy0 <= my and my < cy1")
 
 
 def with_table_cells(blocks: DataFrame, placed: DataFrame, cells: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def with_table_cells(blocks: DataFrame, placed: DataFrame, cells: DataFrame) ->
     ordered = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "offset", "c"))), lambda x: x["c"]), "")
     headers = held.where("row = 0").groupBy(*PAGE, "table", "column").agg(ordered().alias("header"))
     spans = held.where("row > 0").groupBy(*PAGE, "block", "block_line", "table", "row", "column").agg(F.min("offset").alias("start"), (F.max("offset") + 1).alias("end"))
-    spans = spans.join(headers, [*PAGE, "table", "column"], "left").join(blocks.select(*PAGE, "block", "text"), [*PAGE, "block"])
+    spans = spans.join(headers.hint("merge"), [*PAGE, "table", "column"], "left").join(blocks.select(*PAGE, "block", "text").hint("merge"), [*PAGE, "block"])
     value = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
     left = F.length(value) - F.length(F.regexp_replace(value, r"(?U)\A\s+", ""))
     right = F.length(F.regexp_replace(value, r"(?U)\s+\z", ""))
@@ -101,7 +102,7 @@ def with_table_cells(blocks: DataFrame, placed: DataFrame, cells: DataFrame) ->
     cell = F.struct("start", "end", F.col("table").alias("cell_table"), F.col("row").alias("cell_row"), F.col("column").alias("cell_column"))
     sums = F.struct((F.col("start") + left).alias("start"), (F.col("start") + right).alias("end"))
     found = spans.groupBy(*PAGE, "block").agg(F.array_sort(F.collect_list(cell)).alias("cell_spans"), F.array_sort(F.collect_list(F.when(money, sums))).alias("money_spans"))
-    return blocks.join(found, [*PAGE, "block"], "left")
+    return blocks.join(found.hint("merge"), [*PAGE, "block"], "left")
 
 
 def span_rectangles(placed: DataFrame, blocks: DataFrame, found: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def span_rectangles(placed: DataFrame, blocks: DataFrame, found: DataFrame) -> D
     that place has none. Matches of a block should not overlap; of those that begin alike the longest counts.
     """
     key = ["doc_id", "block_ord"]
-    sound = found.join(blocks.select(*key, *PAGE[1:], "block", F.col("text").alias("whole")), key).where("start >= 0 and start < end and substring(whole, start + 1, end - start) = text")
+    sound = found.join(blocks.select(*key, *PAGE[1:], "block", F.col("text").alias("whole")).hint("merge"), key).where("start >= 0 and start < end and substring(whole, start + 1, end - start) = text")
     starts = sound.select("doc_id", "page_number", "block", F.col("start").alias("offset"), F.struct("block_ord", "start", "end", "entity_type", "label").alias("m"), F.lit(0).alias("kind"), (-F.col("end")).alias("longer"))
     signs = placed.select(*PAGE, "block", "offset", F.lit(1).alias("kind"), F.lit(0).alias("longer"), "block_line", F.expr(BOX).alias("box"))
     both = starts.unionByName(signs, allowMissingColumns=True)

@@ -24,3 +24,9 @@ def test_spans_are_computed_once(spark):
 
 def test_a_small_file_is_dealt_to_all_cores(spark):
     assert contract_blocks(spark, SF).rdd.getNumPartitions() >= 32
+
+
+def test_page_joins_send_no_table_through_the_driver(spark):
+    for name in ("page_blocks", "table_cells", "span_rectangles"):
+        df = __spark_entry__.queries()[name](spark, SF)
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString(), name
