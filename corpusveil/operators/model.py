@@ -6,7 +6,7 @@ Answers on pieces of long texts are found in these pieces and carried back to th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import find, literal_pattern, piece
@@ -63,11 +63,14 @@ def relocated(blocks: DataFrame, named: DataFrame, types: tuple[str, ...] | list
 def answers_on_pieces(pieces: DataFrame, replies: DataFrame, back: int, types: tuple[str, ...] | list[str] = MODEL_TYPES) -> DataFrame:
     """Spans of whole texts from replies (doc_id, block_ord, piece, reply) on their pieces, which `chunks` cut with an overlap of `back`.
 
-    Returns doc_id, block_ord, entity_type, start, end, confidence and source. A value that several pieces have counts once, and one that a cut halved as a whole.
+    Returns doc_id, block_ord, entity_type, start, end, confidence and source. A value that several pieces have counts once, one that a cut halved as a whole, and one inside a longer value of its type not at all.
     """
     found = relocated(pieces, answers(replies), types).where("reason is null").select("doc_id", "block_ord", "piece", "entity_type", "confidence", "source", F.explode("ranges").alias("r"))
     rows = found.join(pieces.select("doc_id", "block_ord", "piece", "offset", "end", "last"), ["doc_id", "block_ord", "piece"])
-    return carried_back(rows.select("doc_id", "block_ord", "offset", "end", "last", "entity_type", F.col("r.start").alias("start"), F.col("r.end").alias("stop"), "confidence", "source"), back)
+    whole = carried_back(rows.select("doc_id", "block_ord", "offset", "end", "last", "entity_type", F.col("r.start").alias("start"), F.col("r.end").alias("stop"), "confidence", "source"), back)
+    # A value is also found inside a longer one that ends or begins with it; there it is no value of its own.
+    before = Window.partitionBy("doc_id", "block_ord", "entity_type").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return whole.withColumn("reach", F.max("end").over(before)).where("reach is null or reach < end").drop("reach")
 
 
 def model_spans(blocks: DataFrame, named: DataFrame, types: tuple[str, ...] | list[str] = MODEL_TYPES) -> DataFrame:

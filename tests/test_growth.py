@@ -30,3 +30,10 @@ def test_page_joins_send_no_table_through_the_driver(spark):
     for name in ("page_blocks", "table_cells", "span_rectangles"):
         df = __spark_entry__.queries()[name](spark, SF)
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString(), name
+
+
+def test_a_value_inside_a_longer_one_is_none(spark, tmp_path):
+    text = "first.info@example.ru, info@example.ru, info@example.ru.net and info@example.ru"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["start"], r["end"]) for r in __spark_entry__.queries()["answers_in_pieces"](spark, str(tmp_path)).collect())
+    assert [text[a:e] for a, e in got] == ["first.info@example.ru", "info@example.ru", "info@example.ru.net", "info@example.ru"]
