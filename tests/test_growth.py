@@ -3,6 +3,7 @@
 import __spark_entry__
 from corpusveil.functions.patterns import ANY_WORD
 from corpusveil.functions.tokens import number
+from corpusveil.operators.masking import masked, with_applied
 from corpusveil.plans.queries import contract_blocks
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +38,27 @@ def test_a_value_inside_a_longer_one_is_none(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r["start"], r["end"]) for r in __spark_entry__.queries()["answers_in_pieces"](spark, str(tmp_path)).collect())
     assert [text[a:e] for a, e in got] == ["first.info@example.ru", "info@example.ru", "info@example.ru.net", "info@example.ru"]
+
+
+def no_broadcast(df):
+    return "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_a_block_meets_its_matches_in_one_join_that_merges(spark):
+    for name in ("applied_matches", "mask_none", "redacted_cells"):
+        df = __spark_entry__.queries()[name](spark, SF)
+        assert no_broadcast(df), name
+        assert name == "mask_none" or df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1, name
+
+
+def test_of_equal_matches_the_first_is_put_in(spark):
+    blocks = spark.createDataFrame([(1, 0, "ab cd")], "doc_id long, block_ord int, text string")
+    found = spark.createDataFrame([(1, 0, 0, 2, t, "inn", "[X]") for t in ("ab", "ab", "zz")] + [(None, 0, 0, 2, "ab", "inn", "[X]")], "doc_id long, block_ord int, start int, end int, text string, entity_type string, replacement string")
+    got = sorted((str(r["doc_id"]), r["text"], r["applied"]) for r in with_applied(blocks, found).collect())
+    assert got == [("1", "ab", False), ("1", "ab", True), ("1", "zz", False), ("None", "ab", False)]
+    assert [r["masked"] for r in masked(blocks, found).collect()] == ["[X] cd"]
+
+
+def test_markers_and_entities_are_linked_by_joins_that_merge(spark):
+    for name in ("stable_markers", "org_entities", "person_represents", "nearest_identifier", "document_repeat"):
+        assert no_broadcast(__spark_entry__.queries()[name](spark, SF)), name
