@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import label, piece
-from .masking import masked, with_applied
+from .masking import put_in, with_applied
 
 KEY = ("doc_id", "block_ord")
 
@@ -63,10 +63,7 @@ def redacted_cells(cells: DataFrame, found: DataFrame, style: str = "full") -> t
 
     `cells` has doc_id, block_ord, text and perhaps `formula`; formulas and null texts stay as they are.
     """
-    own = cells.withColumn("_open", F.col("text").isNotNull() & ~(F.coalesce(F.col("formula"), F.lit(False)) if "formula" in cells.columns else F.lit(False)))
-    plain = own.where("_open").select(*KEY, "text")
-    judged = with_applied(plain, found)
-    use = judged.where("applied")
-    done = masked(plain, use.drop("applied"), style).select(*KEY, "masked").join(use.select(*KEY).distinct().withColumn("marked", F.lit(True)), list(KEY), "left")
-    out = own.drop("_open").join(done, list(KEY), "left")
-    return out.withColumns({"masked": F.coalesce("masked", "text"), "marked": F.coalesce("marked", F.lit(False))}), judged
+    closed = F.coalesce(F.col("formula"), F.lit(False)) if "formula" in cells.columns else F.lit(False)
+    judged = with_applied(cells.where(F.col("text").isNotNull() & ~closed), found)
+    out = put_in(cells, found, style, unless=F.col("text").isNull() | closed)
+    return out.withColumn("marked", F.col("put") > 0).drop("complete", "put"), judged
