@@ -1,8 +1,11 @@
 """Work that must grow with the rows alone: patterns, plans and tasks of detection."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
-from corpusveil.functions.patterns import ANY_WORD
-from corpusveil.functions.tokens import number
+from corpusveil.functions.patterns import ANY_WORD, RULES, WORDS
+from corpusveil.functions.tokens import find_tokens, number
+from corpusveil.operators.detect import bearing
 from corpusveil.operators.masking import masked, with_applied
 from corpusveil.plans.queries import contract_blocks
 
@@ -66,3 +69,23 @@ def test_markers_and_entities_are_linked_by_joins_that_merge(spark):
 
 def test_pieces_are_looked_through_once(spark):
     assert plan_of(__spark_entry__.queries()["spans_in_pieces"](spark, SF)).count("MapInArrow") == 0
+
+
+def test_a_report_of_identifiers_needs_no_join(spark):
+    assert plan_of(__spark_entry__.queries()["report_rows"](spark, SF)).count("Join ") == 0
+
+
+def test_only_lines_with_a_word_of_the_rules_are_cut_into_tokens(spark):
+    use = {t: RULES[t] for t in ("inn", "kpp", "ogrn", "bik", "phone")}
+    lines = {"ИНН 7707083893": True, "инн7707083893": True, "xИНН 7707083893": False, "ИНН_ 7707083893": False, "Тел. 8 (495) 123-45-67": True, "Итого 7707083893": False, "БИКи 044525225": False, "р/с 1, Бик:044525225": True, "ИНН\u0301 7707083893": False}
+    x = F.col("x")
+    got = spark.createDataFrame([(t,) for t in lines], "x string").select(x, bearing([r for rs in use.values() for r in rs], x).alias("may"), find_tokens(x, use, WORDS).alias("found")).collect()
+    assert {r["x"]: r["may"] for r in got} == lines
+    assert [r["x"] for r in got if r["found"]] == [t for t in lines if t in ("ИНН 7707083893", "Тел. 8 (495) 123-45-67", "р/с 1, Бик:044525225")]
+    assert not spark.range(1).select(bearing([*RULES["inn"], *RULES["person_name"]], F.lit("no words")).alias("may")).first()["may"]
+
+
+def test_places_are_the_same_in_few_and_in_many_tokens(spark):
+    texts = ["слово " * n + "ИНН 7707083893" for n in (0, 1, 125, 126, 127, 128, 300)]
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", find_tokens(F.col("x"), {"inn": RULES["inn"]}, WORDS).alias("found")).collect()
+    assert all([(m["start"], m["end"]) for m in r["found"]] == [(r["x"].index("7"), len(r["x"]))] for r in got)
