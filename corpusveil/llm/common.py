@@ -6,10 +6,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut, delete, scratch, small_or_plain
+from ..sources.tables import counted, cut, delete, scratch, small_or_plain
 from ..sources.tables import shared_dir as fresh_dir
 
-__all__ = ["batch", "cut", "delete", "fresh_dir", "scratch", "small_or_plain", "table", "texts", "tune"]
+__all__ = ["batch", "counted", "cut", "delete", "fresh_dir", "scratch", "small_or_plain", "table", "texts", "tune"]
 
 #: Rows of one Arrow batch that go to Python at once; a batch is also bounded in bytes.
 BATCH_ROWS = 256

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.components import components
-from .common import batch, cut, delete, fresh_dir, scratch, small_or_plain, tune
+from ..operators.components import counted_components
+from .common import batch, counted, cut, delete, fresh_dir, scratch, small_or_plain, tune
 
 #: Places on the circle; a power of two.
 LOCATIONS = 1 << 20
@@ -39,6 +40,8 @@ PIVOT_ROUNDS, PREFIX_ROUNDS = 3, 2
 SMALL_BUCKET, BLOCK_SHINGLES, BLOCK_ROWS = 12, 1 << 18, 500
 #: Most ids or pairs of ids, and most shingles of whole sets, that are broadcast; both are counted first.
 ID_ROWS, SKETCH_ROWS, SET_SHINGLES = 500_000, 250_000, 2_000_000
+#: Links that a task joins to trees at a time.
+FOREST_LINKS = 100_000
 #: Words of the cache from a word to its hash, per worker.
 CACHE_WORDS = 300_000
 
@@ -154,14 +157,13 @@ def shingle_sets(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return cut(own.mapInArrow(run, "rep long, n long, shingles array<long>"), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * |both| >= percent * |either|. Repeated ids should stand in b."""
-    wanted = cut(pairs.select(F.col("b").alias("rep")).distinct().join(sets.select("rep", "n"), "rep"), "wanted")
-    total = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    right = sets.join(small_or_plain(wanted.select("rep"), ID_ROWS), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")).join(small_or_plain(pairs, ID_ROWS), "a")
+def verified(pairs: DataFrame, many: int, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), so many, whose full shingle sets have 100 * |both| >= percent * |either|. Repeated ids should stand in b."""
+    wanted, seen = counted(pairs.select(F.col("b").alias("rep")).distinct().join(sets.select("rep", "n"), "rep"), "wanted", total=F.sum("n"))
+    right = sets.join(small_or_plain(wanted.select("rep"), ID_ROWS, seen["rows"]), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")).join(small_or_plain(pairs, ID_ROWS, many), "a")
     both = F.size(F.array_intersect("sa", "sb"))
-    found = left.join(F.broadcast(right) if total <= SET_SHINGLES else right, "b").select("a", "b", "na", "nb", both.alias("both"))
+    found = left.join(F.broadcast(right) if (seen["total"] or 0) <= SET_SHINGLES else right, "b").select("a", "b", "na", "nb", both.alias("both"))
     return found.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 
@@ -183,7 +185,8 @@ def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     buckets = cut(first.select("band", "rep", "n"), "buckets")
     members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
     alike = buckets.groupBy("band").agg(F.count("*").alias("many"), *members).where("many > 1").groupBy("many", "x1", "x2").agg(F.min("band").alias("band"))
-    return buckets.join(small_or_plain(cut(alike.select("band"), "alike"), ID_ROWS), "band", "left_semi")
+    alike, seen = counted(alike.select("band"), "alike")
+    return buckets.join(small_or_plain(alike, ID_ROWS, seen["rows"]), "band", "left_semi")
 
 
 def linked_in_group(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
@@ -224,40 +227,94 @@ def spanning(near: np.ndarray, reps: np.ndarray, labels: np.ndarray) -> list[tup
     return out
 
 
+def trees(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
+    """The least node that each node of these links reaches over them."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return {x: top(x) for x in up}
+
+
+def joined(links: DataFrame) -> tuple[DataFrame, int]:
+    """node, label (the least node that it reaches over the links a, b), and the number of rows.
+
+    Each task first joins its own links to trees, FOREST_LINKS at a time. Only if there was more than one such part do rounds
+    of joins connect them.
+    """
+    schema = pa.schema([("node", pa.int64()), ("label", pa.int64()), ("part", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, many = TaskContext.get().partitionId() << 32, [], 0
+
+        def grown() -> pa.RecordBatch:
+            found = trees(*(np.concatenate([b.column(c).to_numpy() for b in held]) for c in "ab"))
+            return batch(schema, node=list(found), label=list(found.values()), part=[part] * len(found))
+
+        for b in batches:
+            held.append(b)
+            many += b.num_rows
+            if many >= FOREST_LINKS:
+                yield grown()
+                part, held, many = part + 1, [], 0
+        if many:
+            yield grown()
+
+    forest, seen = counted(links.select("a", "b").distinct().mapInArrow(run, "node long, label long, part long"), "forest", least=F.min("part"), most=F.max("part"))
+    if seen["least"] == seen["most"]:
+        return forest.select("node", "label"), seen["rows"]
+    return counted_components(forest.select(F.col("node").alias("a"), F.col("label").alias("b")), None)
+
+
 class _Links:
-    """The pairs tried, and the components that the links found so far make."""
+    """The pairs tried, and the components that the links found so far make.
+
+    Each table's rows are counted as it is written: jobs that only count cost the driver, which keeps the plans, threads and
+    broadcasts of hundreds of short jobs, more than the tables do.
+    """
 
     def __init__(self, sets: DataFrame, sketches: DataFrame, percent: int, different: int):
         spark = sets.sparkSession
-        self.sets, self.sketches, self.percent, self.different = sets, small_or_plain(sketches, SKETCH_ROWS), percent, different
+        self.sets, self.sketches, self.percent, self.different = sets, sketches, percent, different
         self.tried = spark.createDataFrame([], "lo long, hi long")
-        self.labels = spark.createDataFrame([], "node long, label long")
+        self.labels, self.many = spark.createDataFrame([], "node long, label long"), 0
 
     def merge(self, new: DataFrame) -> None:
         """Join the components of each link's ends; only components that the new links touch are worked on."""
-        known = small_or_plain(self.labels, ID_ROWS)
+        known = self.known()
         a = new.join(known, F.col("a") == F.col("node"), "left").select(F.coalesce("label", "a").alias("a"), "b")
         ends = a.join(known, F.col("b") == F.col("node"), "left").select("a", F.coalesce("label", "b").alias("b")).where("a <> b")
-        moved = components(ends, None)
-        step = small_or_plain(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), ID_ROWS)
+        moved, rows = joined(ends)
+        step = small_or_plain(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), ID_ROWS, rows)
         old = self.labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        self.labels = cut(old.union(moved.join(self.labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+        self.labels, seen = counted(old.union(moved.join(self.labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+        self.many = seen["rows"]
+
+    def known(self) -> DataFrame:
+        return small_or_plain(self.labels, ID_ROWS, self.many)
 
     def labelled(self, members: DataFrame) -> DataFrame:
-        return members.join(small_or_plain(self.labels, ID_ROWS), F.col("rep") == F.col("node"), "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        return members.join(self.known(), F.col("rep") == F.col("node"), "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
 
     def open_buckets(self, members: DataFrame) -> DataFrame | None:
         """The rows of buckets that still hold documents of different components."""
         mixed = self.labelled(members).groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("band", "rows")
-        rest = cut(members.select("band", "rep", "n").join(small_or_plain(cut(mixed, "mixed"), ID_ROWS), "band"), "open")
-        return None if rest.isEmpty() else rest
+        mixed, seen = counted(mixed, "mixed")
+        return cut(members.select("band", "rep", "n").join(small_or_plain(mixed, ID_ROWS, seen["rows"]), "band"), "open") if seen["rows"] else None
 
     def pivots(self, members: DataFrame, turn: int) -> bool:
         """Compare one document of each open bucket with those of other components; False if there was nothing to compare."""
         at = self.labelled(members)
         chosen = at.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "label", "n")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        pivots = cut(chosen.select("band", F.col("p.rep").alias("prep"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel")), "pivots")
-        return self._try(at, small_or_plain(pivots, ID_ROWS), "rep <> prep", turn)
+        pivots, seen = counted(chosen.select("band", F.col("p.rep").alias("prep"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel")), "pivots")
+        return bool(seen["rows"]) and self._try(at, small_or_plain(pivots, ID_ROWS, seen["rows"]), "rep <> prep", turn)
 
     def all_pairs(self, members: DataFrame) -> bool:
         """Compare all documents of a bucket that are in different components."""
@@ -271,24 +328,26 @@ class _Links:
         once for each block that it has to be compared with, however many buckets it stands in.
         """
         percent = self.percent
-        heads = small_or_plain(cut(members.groupBy("band").agg(F.min("rep").alias("b")), "heads"), ID_ROWS)
-        clusters = components(members.join(heads, "band").select(F.col("rep").alias("a"), "b"), None).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
+        heads, seen = counted(members.groupBy("band").agg(F.min("rep").alias("b")), "heads")
+        heads = small_or_plain(heads, ID_ROWS, seen["rows"])
+        clusters = joined(members.join(heads, "band").select(F.col("rep").alias("a"), "b"))[0].select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
         own = self.labelled(members).dropDuplicates(["rep"]).join(clusters, "rep", "left").select("rep", "n", "label", F.coalesce("cluster", "rep").alias("cluster"))
         own = cut(own, "clustered")
         sizes = own.groupBy("cluster").agg(F.expr(f"cast(ceil(greatest(sum(n) / {BLOCK_SHINGLES}, count(*) / {BLOCK_ROWS})) as int)").alias("blocks"))
-        own = cut(own.join(small_or_plain(cut(sizes, "sizes"), ID_ROWS), "cluster").select("cluster", F.expr("cast(pmod(xxhash64(rep), blocks) as int)").alias("block"), "rep", "label"), "dealt")
-        at = members.select("band", "rep").join(small_or_plain(own, ID_ROWS), "rep").select("band", "cluster", "block").distinct()
+        sizes, seen = counted(sizes, "sizes")
+        own, dealt = counted(own.join(small_or_plain(sizes, ID_ROWS, seen["rows"]), "cluster").select("cluster", F.expr("cast(pmod(xxhash64(rep), blocks) as int)").alias("block"), "rep", "label"), "dealt")
+        at = members.select("band", "rep").join(small_or_plain(own, ID_ROWS, dealt["rows"]), "rep").select("band", "cluster", "block").distinct()
         meets = at.groupBy("band", "cluster").agg(F.array_sort(F.collect_set("block")).alias("blocks")).select("cluster", "blocks").distinct()
         meets = meets.select("cluster", "blocks", F.explode("blocks").alias("i")).select("cluster", "i", F.explode(F.filter("blocks", lambda x: x >= F.col("i"))).alias("j")).distinct()
-        sides = cut(meets.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "meets")
-        dealt = own.join(small_or_plain(sides, ID_ROWS), ["cluster", "block"]).select("cluster", "i", "j", "rep", "label").join(self.sets, "rep")
+        sides, seen = counted(meets.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "meets")
+        dealt = own.join(small_or_plain(sides, ID_ROWS, seen["rows"]), ["cluster", "block"]).select("cluster", "i", "j", "rep", "label").join(self.sets, "rep")
 
         def run(rows: pa.Table) -> pa.Table:
             found = linked_in_group(rows, percent)
             return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
-        new = cut(dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long").distinct(), "links")
-        if not new.isEmpty():
+        new, seen = counted(dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long").distinct(), "links")
+        if seen["rows"]:
             self.merge(new)
 
     def _try(self, at: DataFrame, other: DataFrame, which: str, turn: int | None = None) -> bool:
@@ -298,17 +357,18 @@ class _Links:
         pairs = pairs.distinct().join(self.tried, ["lo", "hi"], "left_anti")
         if turn is not None:
             pairs = pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)), "b", "lo", "hi")).alias("p")).select("a", "p.b", "p.lo", "p.hi")
-        pairs = cut(pairs.groupBy("lo", "hi").agg(F.min(F.struct("a", "b")).alias("p")).select("lo", "hi", "p.a", "p.b"), "pairs")
-        if pairs.isEmpty():
+        pairs, seen = counted(pairs.groupBy("lo", "hi").agg(F.min(F.struct("a", "b")).alias("p")).select("lo", "hi", "p.a", "p.b"), "pairs")
+        if not seen["rows"]:
             return False
         self.tried = self.tried.union(pairs.select("lo", "hi"))
         for c in "ab":
             pairs = pairs.join(self.sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")), c)
         apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-        pairs = cut(pairs.where(apart <= self.different).select("a", "b"), "pairs")
-        new = cut(verified(pairs, self.sets, self.percent), "links")
-        if not new.isEmpty():
-            self.merge(new)
+        pairs, seen = counted(pairs.where(apart <= self.different).select("a", "b"), "pairs")
+        if seen["rows"]:
+            new, seen = counted(verified(pairs, seen["rows"], self.sets, self.percent), "links")
+            if seen["rows"]:
+                self.merge(new)
         return True
 
 
@@ -335,22 +395,26 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int, band
     own = own if row else cut(own, "rows", "zstd", path=path)
     marks = cut(signatures(own, size, bands, rows), "marks", "zstd", keep=True)
     some = marks.where("n > 0")
-    classes = cut(some.groupBy("f1", "f2").agg(F.min("r").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("k").alias("least")), "classes")
-    again = small_or_plain(classes.where("copies > 1").select("f1", "f2", "rep"), ID_ROWS)
+    classes, seen = counted(some.groupBy("f1", "f2").agg(F.min("r").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("k").alias("least")), "classes", again=F.count_if(F.expr("copies > 1")))
+    again = small_or_plain(classes.where("copies > 1").select("f1", "f2", "rep"), ID_ROWS, seen["again"])
     single = some.join(again, ["f1", "f2"], "left").where("rep is null or rep = r").select(F.col("r").alias("rep"), "n", "bands", "sketch")
     banded = single.select("rep", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("band")
-    members = cut(banded.join(small_or_plain(cut(shared, "shared"), ID_ROWS), "band"), "members")
-    ids = small_or_plain(cut(members.select("rep").distinct(), "ids"), ID_ROWS)
+    shared, seen = counted(shared, "shared")
+    members = cut(banded.join(small_or_plain(shared, ID_ROWS, seen["rows"]), "band"), "members")
+    ids, seen = counted(members.select("rep").distinct(), "ids")
+    ids = small_or_plain(ids, ID_ROWS, seen["rows"])
     sets = shingle_sets(own, ids, size)
     delete(spark, [path])
-    state = _Links(sets, cut(single.join(ids, "rep", "left_semi").select("rep", "sketch"), "sketches"), percent, most_different(bands * rows, percent))
+    sketches, seen = counted(single.join(ids, "rep", "left_semi").select("rep", "sketch"), "sketches")
+    state = _Links(sets, small_or_plain(sketches, SKETCH_ROWS, seen["rows"]), percent, most_different(bands * rows, percent))
     for turn in range(pivot_rounds):
         if not state.pivots(members, turn):
             break
     rest = state.open_buckets(members)
     if rest is not None:
-        mine = sets.join(small_or_plain(rest.select("rep").distinct(), ID_ROWS), "rep", "left_semi")
+        mine, seen = counted(rest.select("rep").distinct(), "mine")
+        mine = sets.join(small_or_plain(mine, ID_ROWS, seen["rows"]), "rep", "left_semi")
         rest = cut(rare_prefixes(mine, percent), "prefixes")
         for turn in range(PREFIX_ROUNDS):
             if not state.pivots(rest, pivot_rounds + turn):
@@ -361,10 +425,10 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, percent: int, band
             rest = state.open_buckets(rest.where(f"rows > {SMALL_BUCKET}"))
         if rest is not None:
             state.in_blocks(rest)
-    grouped = cut(classes.where("n > 0").join(small_or_plain(state.labels, ID_ROWS), F.col("rep") == F.col("node"), "left").where("copies > 1 or label is not null").select("f1", "f2", F.coalesce("label", "rep").alias("label"), "least"), "grouped")
-    groups = some.select("r", "k", "f1", "f2").join(small_or_plain(grouped, ID_ROWS), ["f1", "f2"]).groupBy("label").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "r")).alias("head"))
-    heads = cut(grouped.join(groups, "label").select("f1", "f2", F.col("head.k").alias("component"), F.col("head.r").alias("first")), "heads", keep=True)
-    out = marks.select("r", "k", "n", "f1", "f2").join(small_or_plain(heads, ID_ROWS), ["f1", "f2"], "left")
+    grouped, seen = counted(classes.where("n > 0").join(state.known(), F.col("rep") == F.col("node"), "left").where("copies > 1 or label is not null").select("f1", "f2", F.coalesce("label", "rep").alias("label"), "least"), "grouped")
+    groups = some.select("r", "k", "f1", "f2").join(small_or_plain(grouped, ID_ROWS, seen["rows"]), ["f1", "f2"]).groupBy("label").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "r")).alias("head"))
+    heads, seen = counted(grouped.join(groups, "label").select("f1", "f2", F.col("head.k").alias("component"), F.col("head.r").alias("first")), "heads", keep=True)
+    out = marks.select("r", "k", "n", "f1", "f2").join(small_or_plain(heads, ID_ROWS, seen["rows"]), ["f1", "f2"], "left")
     linked = (F.col("n") > 0) & F.col("first").isNotNull()
     component = F.when(linked, F.col("component")).otherwise(F.col("k"))
     out = out.select("r", "k", F.col("n").alias("n_shingles"), component.alias("component"), F.when(linked, F.col("first") == F.col("r")).otherwise(True).alias("first"))
@@ -382,5 +446,5 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
         rows = cut(docs.select(F.monotonically_increasing_id().alias("r"), whole.alias("d")), "numbered", "zstd", keep=True)
         own = rows.select("r", F.col("d").getField(key).alias("k"), F.col("d").getField(text).alias("t"))
-        dropped = cut(near_duplicates(own, "k", "t", size, percent, row="r").where("not first").select("r"), "dropped", keep=True)
-        return rows.join(small_or_plain(dropped, ID_ROWS), "r", "left_anti").select("d.*")
+        dropped, seen = counted(near_duplicates(own, "k", "t", size, percent, row="r").where("not first").select("r"), "dropped", keep=True)
+        return rows.join(small_or_plain(dropped, ID_ROWS, seen["rows"]), "r", "left_anti").select("d.*")

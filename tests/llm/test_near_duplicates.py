@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusveil.llm import minhash
 from corpusveil.llm.langid import identify
 from corpusveil.llm.minhash import near_duplicates, shingle_set
 from corpusveil.llm.packing import best_fit, dearest, pack, solve
@@ -131,6 +132,36 @@ def test_configurations_cover_the_histogram():
     assert sum(dearest(np.array([0, 1.0, 0, 3.5, 0]), 4)) <= 4
 
 
+def jobs(spark):
+    return spark._jsc.sc().dagScheduler().numTotalJobs()
+
+
+def test_a_run_takes_few_jobs(spark):
+    """The driver's memory follows the number of its jobs and broadcasts."""
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    before = jobs(spark)
+    near_duplicates(docs, size=5).write.format("noop").mode("overwrite").save()
+    assert jobs(spark) - before <= 200
+
+
+@pytest.mark.parametrize("part", [100_000, 3])
+def test_links_of_many_parts_are_joined(spark, monkeypatch, part):
+    monkeypatch.setattr(minhash, "FOREST_LINKS", part)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    rng = random.Random(6)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(130)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (5, 5)]
+    found, rows = minhash.joined(spark.createDataFrame(links, "a long, b long").repartition(5))
+    label = {x: x for link in links for x in link}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = [(r["node"], r["label"]) for r in found.collect()]
+    want = {x: y for x, y in label.items() if any(x in link and link[0] != link[1] for link in links)}
+    assert {x: y for x, y in got if x in want} == want and len(got) == rows == len(dict(got))
+    none, rows = minhash.joined(spark.createDataFrame([], "a long, b long"))
+    assert none.count() == rows == 0
+
+
 def test_packing_is_exact(spark):
     texts = ["", None, "hello world", "the cat " * 900, "short one", "😀 b"] + [f"word{i} " * (i % 60) for i in range(150)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
