@@ -174,17 +174,17 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tup
     return sorted(uses.items(), reverse=True), full + int(np.ceil(bound - 1e-9))
 
 
-def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int, end_id: int, large: bool = False) -> DataFrame:
     """One row per piece of a document: k, piece, start, length, ids_crc32, and its place (part, rank) among the pieces of its length.
 
     A document is its ids with the end id. Longer ones than the capacity are cut from the end into pieces
-    of the capacity, so only the first piece may be shorter. A null text is as an empty one.
+    of the capacity, so only the first piece may be shorter. A null text is as an empty one. `large`: workers keep a large cache of chunks.
     """
     schema = pa.schema([("k", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())])
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen = encoder(tokenizer, True), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        enc, part, seen = encoder(tokenizer, True, large), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
             rows: list[tuple] = []
             for k, ids in zip(b.column("k").to_pylist(), enc.encode([t or "" for t in b.column("t").to_pylist()]), strict=True):
@@ -216,15 +216,16 @@ def slots(uses: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {length: np.array(r, dtype=np.int64) for length, r in runs.items()}
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer: str, capacity: int = 1024, end_id: int = 2, large: bool = False) -> DataFrame:
     """Pack all documents into as few sequences of at most `capacity` tokens as the method finds.
 
     Returns one row per piece: k, piece, start, length, ids_crc32, sequence_id, offset. Every row of `docs`
-    is packed, repeated keys and null keys too; an empty table gives no rows.
+    is packed, repeated keys and null keys too; an empty table gives no rows. `large` is for jobs whose workers
+    have their memory to themselves: they keep more chunks of text, for less time.
     """
     tune(docs.sparkSession)
     with scratch(docs.sparkSession):
-        return _packed(pieces(docs, key, text, tokenizer, capacity, end_id), capacity)
+        return _packed(pieces(docs, key, text, tokenizer, capacity, end_id, large), capacity)
 
 
 def _packed(found: DataFrame, capacity: int) -> DataFrame:

@@ -89,7 +89,7 @@ def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2, large=True)
     return packed.withColumnRenamed("k", "doc_id")
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusveil.llm import minhash
+from corpusveil.llm import minhash, queries
 from corpusveil.llm.langid import identify
 from corpusveil.llm.minhash import near_duplicates, shingle_set
 from corpusveil.llm.packing import best_fit, dearest, pack, solve
@@ -183,6 +183,16 @@ def test_packing_is_exact(spark):
     assert pack(docs.where("false"), tokenizer=path).count() == 0
 
 
+def test_a_large_cache_packs_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} and more " * (i % 40)) for i in range(100)], "doc_id long, text string")
+    rows = lambda large: sorted(map(tuple, pack(docs, tokenizer=tokenizer("byte_bpe_50k.json"), capacity=64, large=large).collect()))
+    assert rows(True) == rows(False)
+    seen = {}
+    monkeypatch.setattr(queries, "table", lambda *a: docs)
+    monkeypatch.setattr(queries, "pack", lambda df, **how: seen.update(how) or pack(df, **how))
+    assert queries.op8_best_fit_packing(spark, "").count() >= 100 and seen["large"]
+
+
 def test_rules_equal_brute_force(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 90))) for _ in range(60)] + ["", None, "a\nb\na\n \na", "#*x $%", "x y z " * 40, "слово  \t\x0b дом", "q r s t u v w " * 30 + "\n\n"]
